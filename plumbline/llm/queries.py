@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from . import mixing, quality_rules
+from . import mixing, quality_rules, simhash
 from .common import only, read_table
 
 
+def op1_simhash(spark, sf_dir):
+    return simhash.near_duplicates(read_table(spark, sf_dir, "documents"))
+
+
 def op8_mix_sources(spark, sf_dir):
     return mixing.mix(read_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
