@@ -2,14 +2,20 @@
 
 from __future__ import annotations
 
-from . import mixing, quality_rules, simhash
-from .common import only, read_table
+from . import mixing, packing, quality_rules, simhash, token_store
+from .common import read_table
+from .tokens import vocabulary
 
 
 def op1_simhash(spark, sf_dir):
     return simhash.near_duplicates(read_table(spark, sf_dir, "documents"))
 
 
+def op4_token_store(spark, sf_dir):
+    folder, manifest = token_store.write(read_table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"), end_id=2)
+    return token_store.read(folder, manifest)
+
+
 def op8_mix_sources(spark, sf_dir):
     return mixing.mix(read_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -18,6 +24,10 @@ def op9_quality_rules(spark, sf_dir):
     return quality_rules.apply_rules(read_table(spark, sf_dir, "documents"))
 
 
+def op10_pack_hilbert(spark, sf_dir):
+    return packing.pack(read_table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), end_id=0)
+
+
 def queries():
     return {n: f for n, f in globals().items() if n.startswith("op") and callable(f) and n[2].isdigit()}
 
