@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import mixing, packing, quality_rules, simhash, token_store
+from . import mixing, ngram_quality, packing, quality_rules, simhash, token_store
 from .common import read_table
 from .tokens import vocabulary
 
@@ -16,6 +16,10 @@ def op4_token_store(spark, sf_dir):
     return token_store.read(folder, manifest)
 
 
+def op5_kneser_ney_quality(spark, sf_dir):
+    return ngram_quality.classify(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
 def op8_mix_sources(spark, sf_dir):
     return mixing.mix(read_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
