@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import mixing, ngram_quality, packing, quality_rules, simhash, token_store
+from . import mixing, ngram_quality, packing, pii, quality_rules, simhash, token_store
 from .common import read_table
 from .tokens import vocabulary
 
@@ -11,6 +11,10 @@ def op1_simhash(spark, sf_dir):
     return simhash.near_duplicates(read_table(spark, sf_dir, "documents"))
 
 
+def op3_personal_data(spark, sf_dir):
+    return pii.find(read_table(spark, sf_dir, "documents"))
+
+
 def op4_token_store(spark, sf_dir):
     folder, manifest = token_store.write(read_table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"), end_id=2)
     return token_store.read(folder, manifest)
