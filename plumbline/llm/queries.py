@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import mixing, ngram_quality, packing, pii, quality_rules, simhash, token_store
+from . import forest, mixing, ngram_quality, packing, pii, quality_rules, simhash, token_store
 from .common import read_table
 from .tokens import vocabulary
 
@@ -11,6 +11,10 @@ def op1_simhash(spark, sf_dir):
     return simhash.near_duplicates(read_table(spark, sf_dir, "documents"))
 
 
+def op2_prefix_forest(spark, sf_dir):
+    return forest.nearest(read_table(spark, sf_dir, "embeddings"), lambda vec_id: vec_id % 50 == 0)
+
+
 def op3_personal_data(spark, sf_dir):
     return pii.find(read_table(spark, sf_dir, "documents"))
 
