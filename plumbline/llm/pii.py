@@ -276,26 +276,28 @@ def find(docs: DataFrame) -> DataFrame:
 
 
 def _redact(weights: np.ndarray):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for rows in batches:
-            texts = []
-            for text in rows["text"]:
-                found = matches(text) if text else []
-                if found:
-                    spans = choose(*zip(*found, strict=True), [features(text, *f[:3]) for f in found], weights)
-                    parts, at = [], 0
-                    for s, k, e in spans:
-                        if s >= at:
-                            parts += [text[at:s], f"<{KINDS[k]}>"]
-                        at = max(at, e)
-                    text = "".join([*parts, text[at:]])
-                texts.append(text)
-            yield rows.assign(text=texts)
+    def run(column: pd.Series) -> pd.Series:
+        texts = []
+        for text in column:
+            found = matches(text) if text else []
+            if found:
+                spans = choose(*zip(*found, strict=True), [features(text, *f[:3]) for f in found], weights)
+                parts, at = [], 0
+                for s, k, e in spans:
+                    if s >= at:
+                        parts += [text[at:s], f"<{KINDS[k]}>"]
+                    at = max(at, e)
+                text = "".join([*parts, text[at:]])
+            texts.append(text)
+        return pd.Series(texts, index=column.index, dtype=object)
 
     return run
 
 
 def redact(docs: DataFrame) -> DataFrame:
-    """``docs`` with every span replaced by its kind in angle brackets; columns as they are."""
+    """``docs`` with every span in ``text`` replaced by its kind in angle brackets.
+
+    Overlapping spans become one. Other columns are as they are.
+    """
     weights = train(pattern_counts(materialize(candidates(docs))))
-    return docs.mapInPandas(_redact(weights), docs.schema)
+    return docs.withColumn("text", F.pandas_udf(_redact(weights), "string")(F.col("text")))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import forest, html_text, mixing, ngram_quality, packing, pii, quality_rules, simhash, token_store
+from . import forest, html_text, mixing, ngram_quality, packing, pii, quality_rules, simhash, suffixes, token_store
 from .common import read_table
 from .tokens import vocabulary
 
@@ -28,6 +28,10 @@ def op5_kneser_ney_quality(spark, sf_dir):
     return ngram_quality.classify(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
 
+def op6_suffix_ranges(spark, sf_dir):
+    return suffixes.remove_repeats(read_table(spark, sf_dir, "documents"), with_text=False)
+
+
 def op7_site_templates(spark, sf_dir):
     return html_text.extract(read_table(spark, sf_dir, "pages"))
 
