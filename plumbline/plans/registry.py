@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from . import core, relations, search  # noqa: F401  (importing registers)
+
 
 def queries():
-    return {}
+    return {name: core.query(name) for name in core.PLANS}
 
 
 def oracle_sql():
-    return {}
+    return {name: core.oracle(name) for name in core.PLANS}
