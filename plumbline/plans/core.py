@@ -155,6 +155,11 @@ def query(name: str):
 
 def oracle(name: str) -> str:
     """The same plan for DuckDB, with its relations as common table expressions."""
+    p = PLANS[name]
+    return rendered(p.body(DUCK), p.needs, p.tables)
+
+
+def rendered(body: str, needs: tuple[str, ...], tables: tuple[str, ...] = ()) -> str:
     order: list[str] = []
 
     def visit(n: str) -> None:
@@ -163,11 +168,10 @@ def oracle(name: str) -> str:
                 visit(d)
             order.append(n)
 
-    for n in PLANS[name].needs:
+    for n in needs:
         visit(n)
     ctes = [f"pl_{n} AS MATERIALIZED ({RELATIONS[n].body(DUCK)})" for n in order]
-    ctes += [f"pl_{t} AS (SELECT * FROM {t})" for t in PLANS[name].tables]
-    body = PLANS[name].body(DUCK)
+    ctes += [f"pl_{t} AS (SELECT * FROM {t})" for t in tables]
     if not ctes:
         return body
     if body.lstrip().upper().startswith("WITH "):

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from . import core, relations, search  # noqa: F401  (importing registers)
+from . import core, extra, policies, ranking, relations, search, stability  # noqa: F401  (importing registers)
 
 
 def queries():
-    return {name: core.query(name) for name in core.PLANS}
+    return {name: core.query(name) for name in core.PLANS} | extra.QUERIES
 
 
 def oracle_sql():
-    return {name: core.oracle(name) for name in core.PLANS}
+    return {name: core.oracle(name) for name in core.PLANS} | {name: core.rendered(sql, (need,)) for name, (need, sql) in extra.SQL.items()}

@@ -146,7 +146,7 @@ def refined(d):
 @relation("policies", "refined", "gaps")
 def policies(d):
     """Which queries each policy refines at a budget of a tenth, a quarter, a half."""
-    order = lambda expr: f"row_number() OVER (PARTITION BY f, rep ORDER BY {expr})"
+    order = lambda expr: f"row_number() OVER (PARTITION BY f, rep, policy ORDER BY {expr})"
     return f"""SELECT query_id, f, policy, rep, native_hits, refined_hits, CASE WHEN r <= floor(f * n) THEN 1 ELSE 0 END AS chosen FROM (
       SELECT b.*, p.policy, CASE policy WHEN 'gap' THEN {order('gap, query_id')} WHEN 'oracle' THEN {order('native_hits - refined_hits, query_id')}
         ELSE {order(d.hash_order('rep', 'query_id'))} END AS r FROM (
