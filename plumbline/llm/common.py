@@ -1,54 +1,54 @@
 """Shared pieces of the training-data operators.
 
-Lineage is cut by :func:`materialize`, which writes a Parquet table below the
-folder named in ``spark.checkpoint.dir`` and reads it back: the rows survive a
-lost executor and later jobs read them without the work above.
+Lineage is cut by ``materialize``, which writes a Parquet table below the folder
+named in ``spark.checkpoint.dir`` and reads it back: the rows survive a lost
+executor and later jobs read them without the work above.
 """
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
+import sys
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-#: A word in the sense of the operators: a run of anything but space and \t..\r.
+from ..functions.storage import broadcast_if_small, materialize, shared_dir, shuffle_partitions
+
+__all__ = ["WORD", "bound_batches", "broadcast_if_small", "held", "materialize", "read_table", "release", "shared_dir", "shuffle_partitions"]
+
+#: A word in the sense of the operators: a run of anything but space and the characters 9 to 13.
 WORD = r"[^\x20\x09-\x0D]+"
-#: Rows up to which a side may be broadcast once it has been counted.
-BROADCAST_ROWS = 200_000
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """A new folder below the one that the cluster shares; a local one in tests."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = f"file://{tempfile.gettempdir()}/plumbline-shared"
-    return f"{root.rstrip('/')}/plumbline-{uuid.uuid4().hex}"
-
+#: Bytes of text that go to a Python worker at a time.
+BATCH_BYTES = 8 << 20
 
-def materialize(df: DataFrame) -> DataFrame:
-    """Write once, read again: the lineage above is cut and not computed twice."""
-    spark = df.sparkSession
-    path = shared_dir(spark)
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
 
+def bound_batches(spark: SparkSession) -> None:
+    """Lowers the session's limit on Arrow batches: whole texts are large rows."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = int(spark.conf.get(key).rstrip("bB"))
+    if not 0 < now <= BATCH_BYTES:
+        spark.conf.set(key, str(BATCH_BYTES))
 
-def shuffle_partitions(spark: SparkSession) -> int:
-    return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
+def release() -> None:
+    """Drops what :func:`held` keeps, for stages that need none of it."""
+    sys.__dict__.get("_plumbline_held", {}).clear()
 
-def broadcast_if_small(df: DataFrame, rows: int) -> DataFrame:
-    """``rows`` is a count of ``df``; beyond the bound Spark shuffles as it likes."""
-    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
 
+def held(key: tuple, build: Callable):
+    """What a worker process keeps between tasks: one thing at a time.
 
-def only(df: DataFrame, *names: str) -> DataFrame:
-    """The named columns; further columns of the input never clash with ours."""
-    return df.select(*[F.col(f"`{n}`") for n in names])
+    Workers serve all stages of a job, so the tables of one stage make room for
+    those of the next.
+    """
+    kept = sys.__dict__.setdefault("_plumbline_held", {})
+    if key not in kept:
+        kept.clear()
+        kept[key] = build()
+    return kept[key]

@@ -69,7 +69,8 @@ class Forest:
         """``(query_id, vec_id, score)`` of each query's best in this block."""
         norms = np.sqrt((queries * queries).sum(axis=1))
         strings = [hash_strings(queries / norms[:, None], p) for p in self.planes]
-        wanted = min(share, len(self.planes)) * len(self.ids)
+        # an entry counts at most once a tree, so these are k + 2 different ones at least
+        wanted = min(max(share * len(self.ids), len(self.planes) * (k + 2)), len(self.planes) * len(self.ids))
         low, high = np.zeros(len(ids), dtype=np.int64), np.full(len(ids), 64)
         while (low < high).any():  # the longest prefix length with enough below it in all trees
             middle = (low + high + 1) // 2

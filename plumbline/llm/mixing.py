@@ -101,6 +101,6 @@ def apply_mix(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), total_share:
 
     Ids are taken as keys: rows that share an id share a decision.
     """
-    mixed = mix(docs, weights, total_share, cap).select(F.col("doc_id").alias("_id"), F.when(F.col("size") > 0, F.col("taken") / F.col("size")).otherwise(F.lit(1)).cast("int").alias("_copies")).groupBy("_id").agg(F.max("_copies").alias("_copies"))
-    kept = docs.join(mixed, docs["doc_id"].eqNullSafe(mixed["_id"])).filter("_copies > 0")
-    return kept.withColumn("_copy", F.explode(F.expr("sequence(1, _copies)"))).select(*[kept[c] for c in docs.columns])
+    mixed = mix(docs, weights, total_share, cap).select(F.col("doc_id").alias("__plumbline_id"), F.when(F.col("size") > 0, F.col("taken") / F.col("size")).otherwise(F.lit(1)).cast("int").alias("__plumbline_copies")).groupBy("__plumbline_id").agg(F.max("__plumbline_copies").alias("__plumbline_copies"))
+    kept = docs.join(mixed, docs["doc_id"].eqNullSafe(mixed["__plumbline_id"])).filter("__plumbline_copies > 0")
+    return kept.withColumn("__plumbline_copy", F.explode(F.expr("sequence(1, __plumbline_copies)"))).select(*[kept[c] for c in docs.columns])

@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import shuffle_partitions
+from .common import bound_batches, shuffle_partitions
 from .tokens import blocks, encoder
 
 LENGTH = 1024
@@ -155,6 +155,7 @@ def pack(docs: DataFrame, path: str, end_id: int = 0, length: int = LENGTH) -> D
     if length < 1 or length & (length - 1):
         raise ValueError("length must be a power of two")
     spark = docs.sparkSession
+    bound_batches(spark)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     parts = shuffle_partitions(spark)
     fraction = min(1.0, SAMPLE * parts / max(1, rows.count()))

@@ -29,7 +29,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import bound_batches, materialize, release
 
 BASE = ("email", "ip", "card", "phone")
 MORE = ("phone_local", "email_masked", "iban", "ssn", "name")
@@ -162,6 +162,7 @@ SPANS = "kind array<int>, start array<int>, end array<int>, base array<boolean>,
 
 
 def _candidates(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    release()
     for rows in batches:
         out: dict[str, list] = {k: [] for k in ("kind", "start", "end", "base", "votes", "features")}
         for text in rows["text"]:
@@ -177,6 +178,7 @@ def _candidates(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def candidates(docs: DataFrame) -> DataFrame:
+    bound_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return rows.mapInPandas(_candidates, f"doc_id long, {SPANS}")
 

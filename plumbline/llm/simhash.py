@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import broadcast_if_small, materialize
+from .common import bound_batches, broadcast_if_small, materialize, release
 from .graph import components
 
 DISTANCE = 2
@@ -59,6 +59,7 @@ def fingerprint(text: str | None, width: int = SHINGLE) -> int:
 
 def _fingerprints(width: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        release()
         for rows in batches:
             values = np.array([fingerprint(t, width) for t in rows["text"]], dtype=np.uint64).view(np.int64)
             yield pd.DataFrame({"doc_id": rows["doc_id"], "fp": values})
@@ -68,6 +69,7 @@ def _fingerprints(width: int):
 
 def fingerprints(docs: DataFrame, width: int = SHINGLE) -> DataFrame:
     """``doc_id, fp`` (the 64 bits as a signed long) of every row."""
+    bound_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInPandas(_fingerprints(width), "doc_id long, fp long")
 
 
@@ -245,7 +247,7 @@ def drop_near_duplicates(docs: DataFrame, width: int = SHINGLE, distance: int =
     """
     marked = materialize(near_duplicates(docs, width, distance))
     keep = marked.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
-    keep = materialize(keep.withColumnRenamed("doc_id", "keep_id"))
-    kept = docs.join(keep, docs["doc_id"].eqNullSafe(F.col("keep_id"))).select(*[docs[c] for c in docs.columns])
-    repeated = keep.filter(F.col("keep_id").isNotNull() & (F.col("n") > 1)).limit(1).count()
+    keep = materialize(keep.withColumnRenamed("doc_id", "__plumbline_keep"))
+    kept = docs.join(keep.select("__plumbline_keep"), docs["doc_id"].eqNullSafe(keep["__plumbline_keep"])).select(*[docs[c] for c in docs.columns])
+    repeated = keep.filter(F.col("__plumbline_keep").isNotNull() & (F.col("n") > 1)).limit(1).count()
     return kept.dropDuplicates(["doc_id"]) if repeated else kept

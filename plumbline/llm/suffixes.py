@@ -39,7 +39,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, shared_dir, shuffle_partitions
+from .common import bound_batches, materialize, shared_dir, shuffle_partitions
 from .token_store import _file
 
 LENGTH, GRAM = 50, 20
@@ -401,6 +401,7 @@ def remove_repeats(docs: DataFrame, with_text: bool = True) -> DataFrame:
     that was cut are replaced); the hash is over the exact bytes.
     """
     spark = docs.sparkSession
+    bound_batches(spark)
     folder, parts = shared_dir(spark), shuffle_partitions(spark)
     system, at = _file(folder)
     system.create_dir(at, recursive=True)

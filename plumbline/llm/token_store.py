@@ -33,7 +33,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, shared_dir
+from .common import bound_batches, materialize, shared_dir
 from .tokens import blocks, encoder
 
 MAGIC = b"PLTOKEF1"
@@ -189,6 +189,7 @@ def write(docs: DataFrame, path: str, end_id: int, folder: str | None = None) ->
     The manifest has a row for each file, ``start`` being the ids before it.
     """
     spark = docs.sparkSession
+    bound_batches(spark)
     folder = folder or shared_dir(spark)
     system, at = _file(folder)
     system.create_dir(at, recursive=True)

@@ -13,13 +13,14 @@ from __future__ import annotations
 import json
 import os
 import re
-import sys
 
 import numpy as np
 
+from .common import held
+
 #: Pieces of a generation. A worker process keeps two: the one it fills, and the
 #: one before, from which what is used again is taken over.
-CACHE = 400_000
+CACHE = 300_000
 #: Pieces longer than this aren't kept.
 PIECE = 64
 
@@ -94,10 +95,7 @@ class Encoder:
 
 def encoder(path: str, dtype: str = "<u2") -> Encoder:
     """The worker process's encoder; its cache outlives a task."""
-    kept = sys.__dict__.setdefault("_plumbline_encoders", {})
-    if (path, dtype) not in kept:
-        kept[path, dtype] = Encoder(path, dtype)
-    return kept[path, dtype]
+    return held(("encoder", path, dtype), lambda: Encoder(path, dtype))
 
 
 def blocks(texts: list[str], most: int = 4_000_000):
