@@ -1,7 +1,8 @@
 """Exhaustive nearest neighbours, block by block.
 
-Base vectors are dealt into blocks; every query goes to every block, a task adds
-up the squared differences one dimension after the other (so sums are the same
+Base vectors are dealt into blocks; every query goes to every block. A task
+chooses by one matrix product all that can be among the ``k`` best, adds up the
+squared differences of those one dimension after the other (so sums are the same
 as in SQL) and sends on its ``k`` best. No pair of a query and a base vector is
 ever a row.
 """
@@ -19,15 +20,29 @@ from pyspark.sql import functions as F
 BLOCK, BATCH = 8192, 256
 
 
-def squared_distances(queries: np.ndarray, base: np.ndarray) -> np.ndarray:
-    out = np.zeros((len(queries), len(base)))
+def rough_squared_distances(queries: np.ndarray, base: np.ndarray) -> np.ndarray:
+    """The same by one matrix product; not to the last bits."""
+    return (queries * queries).sum(axis=1)[:, None] + (base * base).sum(axis=1)[None, :] - 2.0 * (queries @ base.T)
+
+
+def _pairs(queries: np.ndarray, base: np.ndarray, q: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Squared distances of single pairs, from the first dimension to the last."""
+    out = np.zeros(len(q))
     for j in range(queries.shape[1]):
-        d = queries[:, j, None] - base[None, :, j]
+        d = queries[q, j] - base[b, j]
         out += d * d
     return out
 
 
-def _best(k: int, columns: list[str], distances: Callable[[np.ndarray, np.ndarray], np.ndarray]):
+def _chosen(k: int, d: np.ndarray, slack: float) -> tuple[np.ndarray, np.ndarray]:
+    """Rows and columns of each row's ``k`` least, with all within ``slack`` of the last."""
+    last = np.partition(d, min(k, d.shape[1]) - 1, axis=1)[:, min(k, d.shape[1]) - 1]
+    return np.nonzero(d <= last[:, None] + slack)
+
+
+def _best(k: int, columns: list[str], distances: Callable[[np.ndarray, np.ndarray], np.ndarray] | None):
+    """``distances`` None: squared Euclidean, a matrix product to choose and exact sums to rank."""
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         block, ids, parts, base = None, [], [], None
         for rows in batches:
@@ -41,19 +56,27 @@ def _best(k: int, columns: list[str], distances: Callable[[np.ndarray, np.ndarra
                 elif ids:
                     if base is None:
                         base, known = np.concatenate(parts), np.concatenate(ids)
+                        largest = float((base * base).sum(axis=1).max())
                     for a in range(0, len(key), BATCH):
-                        d = distances(vectors[a : a + BATCH], base)
-                        out = []
-                        for q, row in zip(key[a : a + BATCH], d, strict=True):
-                            near = np.flatnonzero(row <= np.partition(row, min(k, len(row)) - 1)[min(k, len(row)) - 1])
-                            near = near[np.lexsort((known[near], row[near]))][:k]
-                            out.append(pd.DataFrame({columns[0]: q, columns[1]: known[near], columns[2]: row[near]}))
-                        yield pd.concat(out, ignore_index=True)
+                        asked = vectors[a : a + BATCH]
+                        if distances is None:
+                            slack = 1e-9 * (largest + float((asked * asked).sum(axis=1).max()) + 1e-300)
+                            q, at = _chosen(k, rough_squared_distances(asked, base), slack)
+                            d = _pairs(asked, base, q, at)
+                        else:
+                            whole = distances(asked, base)
+                            q, at = _chosen(k, whole, 0.0)
+                            d = whole[q, at]
+                        order = np.lexsort((known[at], d, q))
+                        q, at, d = q[order], at[order], d[order]
+                        first = np.searchsorted(q, np.arange(len(asked)))
+                        keep = np.arange(len(q)) - first[q] < k
+                        yield pd.DataFrame({columns[0]: key[a : a + BATCH][q[keep]], columns[1]: known[at[keep]], columns[2]: d[keep]})
 
     return run
 
 
-def blocked_top_k(queries: DataFrame, base: DataFrame, k: int, names: tuple[str, str, str], distances=squared_distances, block: int = BLOCK) -> DataFrame:
+def blocked_top_k(queries: DataFrame, base: DataFrame, k: int, names: tuple[str, str, str], distances=None, block: int = BLOCK) -> DataFrame:
     """``queries(id, vector)``, ``base(id, vector)`` -> names, and ``rk`` from 1; ties to the smaller id."""
     blocks = max(1, -(-base.count() // block))
     dealt = base.select(F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("block"), F.lit(0).alias("asks"), "id", "vector")

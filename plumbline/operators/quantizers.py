@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -88,3 +89,28 @@ def score_pool(pool: DataFrame, queries: DataFrame, base: DataFrame, models: dic
     rows = pool.join(base.select("base_id", "be"), "base_id").join(queries.select("query_id", "qe"), "query_id")
     scores = F.array(*[F.struct(F.lit(n).alias("model"), V.squared_l2(F.col("qe"), V.quantize(F.col("be"), s, o)).alias("score")) for n, (s, o) in models.items()])
     return rows.select("query_id", "pos", "base_id", V.squared_l2(F.col("qe"), F.col("be")).alias("exact"), F.inline(scores))
+
+
+def rotation(dims: int, seed: int) -> np.ndarray:
+    """A random orthogonal matrix; signs are fixed so that it is unique."""
+    q, r = np.linalg.qr(np.random.default_rng(seed).standard_normal((dims, dims)))
+    return q * np.sign(np.diag(r))
+
+
+def rotate(vectors: DataFrame, column: str, matrix: np.ndarray) -> DataFrame:
+    """``vectors`` with ``column`` multiplied by the transposed matrix (a parameter of the tasks)."""
+
+    def run(x: pd.Series) -> pd.Series:
+        return pd.Series(list(np.stack(x.to_numpy()) @ matrix.T)) if len(x) else x
+
+    return vectors.withColumn(column, F.pandas_udf(run, "array<double>")(F.col(column)))
+
+
+def save_index(folder: str, **tables: DataFrame) -> None:
+    """Codebooks, codes and graph edges as Parquet tables; existing ones are an error."""
+    for name, df in tables.items():
+        df.write.mode("errorifexists").parquet(f"{folder}/{name}")
+
+
+def load_index(spark, folder: str, *names: str) -> dict[str, DataFrame]:
+    return {name: spark.read.parquet(f"{folder}/{name}") for name in names}

@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from ..functions.storage import shared_dir
-from ..operators import graph, quantizers
+from ..operators import graph, knn, quantizers
 from ..sources import records, xvecs
 from ..streaming import refinement
 from .core import get
@@ -56,6 +56,21 @@ def seeded_permutations(spark, sf_dir):
     return get(spark, sf_dir, "ranked").filter("model = 'coarse'").groupBy("query_id").applyInPandas(draw, "query_id long, draw long, loss_hits long")
 
 
+def orthogonal_rotation(spark, sf_dir):
+    """A random rotation of queries and base keeps every query's neighbours."""
+    turn = quantizers.rotation(64, 3)
+    q, b = (quantizers.rotate(get(spark, sf_dir, n), c, turn) for n, c in (("queries", "qe"), ("base", "be")))
+    return knn.exact_top_k(q, b, 10).select("query_id", F.col("rk").cast("long").alias("rank"), "base_id", F.round("d", 6).alias("dist"))
+
+
+def index_round_trip(spark, sf_dir):
+    """Codebook, codes and graph written as tables and read back."""
+    folder = shared_dir(spark)
+    quantizers.save_index(folder, codebook=get(spark, sf_dir, "codebook"), codes=get(spark, sf_dir, "codes"), edges=get(spark, sf_dir, "edges"))
+    tables = quantizers.load_index(spark, folder, "codes", "edges")
+    return tables["edges"].join(tables["codes"].filter("m = 0"), F.col("src") == F.col("base_id")).select("src", "dst", F.col("rk").cast("long").alias("rank"), F.col("c").cast("long").alias("code"))
+
+
 def xvec_round_trip(spark, sf_dir):
     """Base vectors written to a vector file and read back by ranges."""
     rows = get(spark, sf_dir, "vectors").orderBy("vec_id").select(F.col("e").cast("array<float>").alias("e")).toPandas()
@@ -88,9 +103,11 @@ def streaming_refinement(spark, sf_dir):
     return spark.read.parquet(f"{root}/out").select("query_id", "rank", "base_id", "refined")
 
 
-QUERIES = {f.__name__: f for f in (beam_search, beam_search_quantized, native_heap, pq_lloyd, gaussian_matrix, seeded_permutations, xvec_round_trip, csr_round_trip, json_round_trip, streaming_refinement)}
+QUERIES = {f.__name__: f for f in (beam_search, beam_search_quantized, native_heap, pq_lloyd, gaussian_matrix, seeded_permutations, orthogonal_rotation, index_round_trip, xvec_round_trip, csr_round_trip, json_round_trip, streaming_refinement)}
 #: SQL where a round trip gives a relation back.
 SQL = {
-    "csr_round_trip": ("scored", "SELECT query_id, pos, base_id, round(score, 9) AS score FROM pl_scored WHERE model = 'coarse'"),
-    "json_round_trip": ("perq", "SELECT query_id, model, loss_hits, class FROM pl_perq"),
+    "orthogonal_rotation": (("gt",), "SELECT query_id, rk AS rank, base_id, round(d, 6) AS dist FROM pl_gt WHERE rk <= 10"),
+    "index_round_trip": (("edges", "codes"), "SELECT src, dst, CAST(rk AS BIGINT) AS rank, CAST(c AS BIGINT) AS code FROM pl_edges JOIN pl_codes ON src = base_id WHERE m = 0"),
+    "csr_round_trip": (("scored",), "SELECT query_id, pos, base_id, round(score, 9) AS score FROM pl_scored WHERE model = 'coarse'"),
+    "json_round_trip": (("perq",), "SELECT query_id, model, loss_hits, class FROM pl_perq"),
 }

@@ -204,3 +204,20 @@ def set_operations(d):
     a, b = f"SELECT query_id, base_id FROM pl_ranked WHERE model = 'coarse' AND sr <= {K}", f"SELECT query_id, base_id FROM pl_ranked WHERE model = 'fine' AND sr <= {K}"
     return f"""SELECT kind, CAST(count(*) AS BIGINT) AS n FROM (SELECT 'intersect' AS kind, query_id, base_id FROM ({a} INTERSECT {b}) AS i_ UNION ALL SELECT 'union', query_id, base_id FROM ({a} UNION {b}) AS u_
       UNION ALL SELECT 'except', query_id, base_id FROM ({a} EXCEPT {b}) AS e_ UNION ALL SELECT 'reverse except', query_id, base_id FROM ({b} EXCEPT {a}) AS r_) AS x_ GROUP BY kind"""
+
+
+@plan("I14", "perq")
+def conditional_overlap(d):
+    """Harmful under the fine model given harmful under the coarse one, and their Jaccard."""
+    return """SELECT CAST(sum(c) AS BIGINT) AS coarse, CAST(sum(f) AS BIGINT) AS fine, CAST(sum(c * f) AS BIGINT) AS both, CASE WHEN sum(c) > 0 THEN round(sum(c * f) / CAST(sum(c) AS DOUBLE), 9) END AS fine_given_coarse,
+      CASE WHEN sum(greatest(c, f)) > 0 THEN round(sum(c * f) / CAST(sum(greatest(c, f)) AS DOUBLE), 9) END AS jaccard
+      FROM (SELECT query_id, max(CASE WHEN model = 'coarse' AND loss_hits > 0 THEN 1 ELSE 0 END) AS c, max(CASE WHEN model = 'fine' AND loss_hits > 0 THEN 1 ELSE 0 END) AS f FROM pl_perq GROUP BY query_id) AS x_"""
+
+
+@plan("K14", "base")
+def sample_overlap(d):
+    """Three hashed training subsets of a third each: overlaps against n * m / N."""
+    half = f"SELECT s, base_id, row_number() OVER (PARTITION BY s ORDER BY {d.hash_order('s', 'base_id')}, base_id) AS r, count(*) OVER (PARTITION BY s) AS n FROM pl_base CROSS JOIN {d.series(0, 2, 's')} AS s_"
+    return f"""WITH m AS (SELECT s, base_id, n FROM ({half}) AS h_ WHERE r <= floor(n / 3)), z AS (SELECT s, count(*) AS size, max(n) AS n FROM m GROUP BY s),
+      x AS (SELECT a.s AS first, b.s AS second, count(*) AS shared FROM m a JOIN m b ON a.base_id = b.base_id WHERE a.s < b.s GROUP BY a.s, b.s)
+      SELECT first, second, CAST(shared AS BIGINT) AS shared, round(shared / CAST(p.size + q.size - shared AS DOUBLE), 9) AS jaccard, round(p.size * q.size / CAST(p.n AS DOUBLE), 9) AS expected FROM x JOIN z p ON x.first = p.s JOIN z q ON x.second = q.s"""

@@ -10,4 +10,4 @@ def queries():
 
 
 def oracle_sql():
-    return {name: core.oracle(name) for name in core.PLANS} | {name: core.rendered(sql, (need,)) for name, (need, sql) in extra.SQL.items()}
+    return {name: core.oracle(name) for name in core.PLANS} | {name: core.rendered(sql, needs) for name, (needs, sql) in extra.SQL.items()}
