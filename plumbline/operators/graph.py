@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import heapq
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,6 +14,8 @@ from .knn import blocked_top_k
 #: Base vectors up to which a graph is given to every task; a beam search needs
 #: random access to all of it. Larger bases are cut into shards of this size.
 SHARD = 200_000
+#: Queries that a task searches for at a time.
+TOGETHER = 128
 
 
 def knn_graph(base: DataFrame, degree: int) -> DataFrame:
@@ -35,56 +36,89 @@ def expand(seeds: DataFrame, edges: DataFrame, hops: int) -> DataFrame:
 
 
 class Graph:
-    """One level of a neighbour graph with its vectors (or any distance source)."""
+    """A neighbour graph of two levels, searched for many queries at a time."""
 
-    def __init__(self, ids: np.ndarray, vectors: np.ndarray, src: np.ndarray, dst: np.ndarray, levels: int = 2, seed: int = 5):
+    def __init__(self, ids: np.ndarray, vectors: np.ndarray, src: np.ndarray, dst: np.ndarray, seed: int = 5):
         order = np.argsort(ids)
         self.ids, self.vectors = ids[order], vectors[order]
-        self.near: list[list[int]] = [[] for _ in ids]
-        for a, b in zip(np.searchsorted(self.ids, src), np.searchsorted(self.ids, dst), strict=True):
-            self.near[a].append(int(b))
-            self.near[b].append(int(a))
-        self.near = [sorted(set(x)) for x in self.near]
-        # upper level: a hashed sixteenth, fully linked to its nearest eight
+        a, b = np.searchsorted(self.ids, src), np.searchsorted(self.ids, dst)
+        both = np.unique(np.column_stack([np.concatenate([a, b]), np.concatenate([b, a])]), axis=0)
+        self.near = self._padded(both[:, 0], both[:, 1], np.arange(len(ids)))
+        # upper level: a hashed sixteenth, linked to its nearest eight
         mixed = (self.ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(seed)) >> np.uint64(60)
-        self.upper = np.flatnonzero(mixed == 0) if levels > 1 else np.zeros(0, dtype=np.int64)
-        self.links: dict[int, list[int]] = {}
-        for k in self.upper:
-            d = ((self.vectors[self.upper] - self.vectors[k]) ** 2).sum(axis=1)
-            self.links[int(k)] = [int(x) for x in self.upper[np.lexsort((self.upper, d))[1:9]]]
+        self.upper = np.flatnonzero(mixed == 0)
+        self.links = np.full((len(ids), 8), -1)
+        points = self.vectors[self.upper]
+        for k, node in enumerate(self.upper):
+            near = self.upper[np.lexsort((self.upper, ((points - points[k]) ** 2).sum(axis=1)))]
+            near = near[near != node][:8]
+            self.links[node, : len(near)] = near
         self.entry = int(self.upper[0]) if len(self.upper) else 0
 
-    def search(self, distance, width: int, k: int) -> tuple[list[tuple[float, int]], list[tuple[int, str]]]:
-        """Best ``k`` of a beam of ``width``, and what was evaluated, in order, by phase."""
-        seen: list[tuple[int, str]] = []
-        at, best = self.entry, distance(self.entry)
-        seen.append((at, "upper"))
-        moved = True
-        while moved:
-            moved = False
-            for n in self.links.get(at, ()):
-                d = distance(n)
-                seen.append((n, "upper"))
-                if d < best:
-                    at, best, moved = n, d, True
-        visited, todo, held = {at}, [(best, at)], [(-best, -at)]
-        seen.append((at, "level0"))
-        while todo:
-            d, node = heapq.heappop(todo)
-            if d > -held[0][0] and len(held) >= width:
+    @staticmethod
+    def _padded(row: np.ndarray, value: np.ndarray, keys: np.ndarray) -> np.ndarray:
+        """Values of each row (sorted by row), filled up with -1."""
+        first, last = np.searchsorted(row, keys), np.searchsorted(row, keys, side="right")
+        out = np.full((len(keys), max(1, int((last - first).max(initial=0)))), -1)
+        out[row, np.arange(len(row)) - first[row]] = value
+        return out
+
+    @staticmethod
+    def _distances(stored: np.ndarray, queries: np.ndarray, nodes: np.ndarray) -> np.ndarray:
+        d = stored[np.maximum(nodes, 0)] - queries[:, None, :]
+        return np.where(nodes >= 0, np.einsum("qnj,qnj->qn", d, d), np.inf)
+
+    def search(self, stored: np.ndarray, queries: np.ndarray, width: int, k: int):
+        """``(query, rank, node)`` of results, and ``(query, upper, node)`` of evaluations in order.
+
+        ``stored`` is the distance source, row by row that of ``vectors``. A
+        beam's worst entry gives way to a strictly closer one only; results are
+        by (distance, id).
+        """
+        n, everyone = len(queries), np.arange(len(queries))
+        at = np.full((n, 1), self.entry)
+        best = self._distances(stored, queries, at)[:, 0]
+        seen = [(everyone, True, at)]
+        at, moving = at[:, 0], everyone
+        while len(moving):
+            nodes = self.links[at[moving]]
+            d = self._distances(stored, queries[moving], nodes)
+            seen.append((moving, True, nodes))
+            j = d.argmin(axis=1)
+            closer = d[np.arange(len(moving)), j] < best[moving]
+            moving, nodes, d, j = moving[closer], nodes[closer], d[closer], j[closer]
+            at[moving], best[moving] = nodes[np.arange(len(moving)), j], d[np.arange(len(moving)), j]
+        visited = np.zeros((n, len(self.ids)), dtype=bool)
+        visited[everyone, at] = True
+        seen.append((everyone, False, at[:, None]))
+        held, node, done = np.full((n, width), np.inf), np.full((n, width), -1), np.ones((n, width), dtype=bool)
+        held[:, 0], node[:, 0], done[:, 0] = best, at, False
+        active = everyone
+        while len(active):
+            open_ = np.where(done[active], np.inf, held[active])
+            j = open_.argmin(axis=1)
+            live = np.isfinite(open_[np.arange(len(active)), j])
+            active, j = active[live], j[live]
+            if not len(active):
                 break
-            for n in self.near[node]:
-                if n in visited:
-                    continue
-                visited.add(n)
-                e = distance(n)
-                seen.append((n, "level0"))
-                if len(held) < width or e < -held[0][0]:
-                    heapq.heappush(todo, (e, n))
-                    heapq.heappush(held, (-e, -n))
-                    if len(held) > width:
-                        heapq.heappop(held)
-        return sorted((-d, -n) for d, n in held)[:k], seen
+            done[active, j] = True
+            nodes = self.near[node[active, j]]
+            nodes = np.where((nodes >= 0) & ~visited[active[:, None], np.maximum(nodes, 0)], nodes, -1)
+            rows, cols = np.nonzero(nodes >= 0)
+            visited[active[rows], nodes[rows, cols]] = True
+            seen.append((active, False, nodes))
+            d = np.concatenate([held[active], self._distances(stored, queries[active], nodes)], axis=1)
+            order = np.argsort(d, axis=1, kind="stable")[:, :width]
+            pick = lambda x: np.take_along_axis(x, order, axis=1)
+            held[active], node[active] = pick(d), pick(np.concatenate([node[active], nodes], axis=1))
+            done[active] = pick(np.concatenate([done[active], nodes < 0], axis=1))
+        order = np.lexsort((node, held), axis=1)[:, :k]
+        final = np.take_along_axis(node, order, axis=1)
+        q, r = np.nonzero(final >= 0)
+        parts = [(np.repeat(who, nodes.shape[1]), np.full(nodes.size, upper), nodes.ravel()) for who, upper, nodes in seen]
+        who, upper, what = (np.concatenate(x) for x in zip(*parts, strict=True))
+        real = what >= 0
+        return (q, r + 1, final[q, r]), (who[real], upper[real], what[real])
 
 
 def native_heap(ids: list[int], scores: list[float], k: int) -> list[int]:
@@ -130,18 +164,24 @@ def beam_search(queries: DataFrame, base: DataFrame, edges: DataFrame, width: in
     graph = spark.sparkContext.broadcast((b["base_id"].to_numpy(), np.stack(b["be"].to_numpy()), e["src"].to_numpy(), e["dst"].to_numpy()))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        g = Graph(*graph.value)
-        stored = g.vectors if step is None else np.floor(g.vectors / step + 0.5) * step
+        g = None
         for rows in batches:
-            for key, q in zip(rows["query_id"], rows["qe"], strict=True):
-                q = np.asarray(q)
-                best, seen = g.search(lambda i, q=q: float(((stored[i] - q) ** 2).sum()), width, k)
-                rank = {i: r for r, (_, i) in enumerate(best, 1)}
-                got, first = [], set()
-                for i, phase in seen:
-                    if (i, phase) not in first:
-                        first.add((i, phase))
-                        got.append((key, width, phase, len(got), int(g.ids[i]), rank.get(i) if phase == "level0" else None))
-                yield pd.DataFrame(got, columns=["query_id", "width", "phase", "pos", "base_id", "rank"]).astype({"rank": "Int64"})
+            g = g or Graph(*graph.value)
+            stored = g.vectors if step is None else np.floor(g.vectors / step + 0.5) * step
+            for a in range(0, len(rows), TOGETHER):
+                key = rows["query_id"].to_numpy()[a : a + TOGETHER]
+                (q, rank, node), (who, upper, what) = g.search(stored, np.stack(rows["qe"].iloc[a : a + TOGETHER].to_numpy()), width, k)
+                out = pd.DataFrame({"who": who, "upper": upper, "what": what}).drop_duplicates().sort_values("who", kind="stable")
+                out = out.merge(pd.DataFrame({"who": q, "upper": False, "what": node, "rank": rank}), how="left", on=["who", "upper", "what"])
+                yield pd.DataFrame(
+                    {
+                        "query_id": key[out["who"]],
+                        "width": width,
+                        "phase": np.where(out["upper"], "upper", "level0"),
+                        "pos": out.groupby("who").cumcount(),
+                        "base_id": g.ids[out["what"]],
+                        "rank": out["rank"].astype("Int64"),
+                    }
+                )
 
     return queries.select("query_id", "qe").mapInPandas(run, "query_id long, width long, phase string, pos long, base_id long, rank long")
