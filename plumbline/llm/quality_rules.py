@@ -23,7 +23,7 @@ from .common import WORD, broadcast_if_small, materialize
 SPACE = r"[\x20\x09-\x0D]"
 SYMBOLS = r"[#*$%&|<>]"
 #: What a signal may exceed its group's quartile fence by, in thousandths.
-SLACK = {"symbols_per_word": 100, "chars_per_word": 2000, "dup_line_share": 150, "repeat_share": 50}
+SLACK = {"symbols_per_word": 100, "chars_per_word": 2000, "dup_line_share": 500, "repeat_share": 300}
 
 
 def _bind(value: Column, body) -> Column:

@@ -120,7 +120,7 @@ WITH d AS (
 ), fence AS MATERIALIZED (
   SELECT g.lang, g.source, g.sig,
          CASE WHEN g.n >= 200 THEN g.q3 + 3 * (g.q3 - g.q1) WHEN gl.n >= 200 THEN gl.q3 + 3 * (gl.q3 - gl.q1) ELSE ge.q3 + 3 * (ge.q3 - ge.q1) END
-           + ([100, 2000, 150, 50])[g.sig] AS limit_
+           + ([100, 2000, 500, 300])[g.sig] AS limit_
   FROM g JOIN gl ON g.lang IS NOT DISTINCT FROM gl.lang AND g.sig = gl.sig JOIN ge ON g.sig = ge.sig
 ), wide AS MATERIALIZED (
   SELECT lang, source, max(limit_) FILTER (sig = 1) AS f1, max(limit_) FILTER (sig = 2) AS f2, max(limit_) FILTER (sig = 3) AS f3, max(limit_) FILTER (sig = 4) AS f4
