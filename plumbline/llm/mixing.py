@@ -51,22 +51,12 @@ def source_targets(sizes: DataFrame, weights: Sequence[int], total_share: float,
     )
 
 
-def mix(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), total_share: float = 1.5, cap: float = 2.0, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """``doc_id, size, source_size, target, taken`` for every row of ``docs``.
+def thresholds(rows: DataFrame, weights: Sequence[int], total_share: float, cap: float) -> tuple[DataFrame, int]:
+    """``s, source_size, target, whole, threshold`` of each source of ``rows(source, size, h)``, and their number.
 
-    ``taken`` is a multiple of ``size``: all rows are taken as often as the
-    target holds the whole source, and those below the source's threshold once
-    more. The threshold is the largest that keeps the sum within the target.
+    A row is taken ``whole`` times, and once more if its hash is below the
+    threshold: the largest for which the sum stays within the target.
     """
-    text = F.col(f"`{text_col}`")
-    rows = materialize(
-        docs.select(
-            F.col(f"`{id_col}`").alias("doc_id"),
-            F.col(f"`{source_col}`").alias("source"),
-            F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
-            hash60(F.col(f"`{id_col}`")).alias("h"),
-        )
-    )
     sizes = rows.groupBy("source").agg(F.sum("size").alias("source_size"))
     targets = materialize(source_targets(sizes, weights, total_share, cap))
     n_sources = targets.count()
@@ -90,7 +80,26 @@ def mix(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), total_share: float
                 "source", "source_size", "target", "whole", "budget", F.coalesce("edge", F.lit(1 << (BITS * level)).cast("long")).alias("prefix"), F.coalesce("edge_used", "used").alias("used")
             )
         )
-    chosen = broadcast_if_small(plan.select(F.col("source").alias("s"), "source_size", "target", "whole", F.col("prefix").alias("threshold")), n_sources)
+    return plan.select(F.col("source").alias("s"), "source_size", "target", "whole", F.col("prefix").alias("threshold")), n_sources
+
+
+def _measured(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> DataFrame:
+    return docs.select(
+        F.col(f"`{id_col}`").alias("doc_id"),
+        F.col(f"`{source_col}`").alias("source"),
+        F.coalesce(F.regexp_count(F.col(f"`{text_col}`"), F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
+        hash60(F.col(f"`{id_col}`")).alias("h"),
+    )
+
+
+def mix(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), total_share: float = 1.5, cap: float = 2.0, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """``doc_id, size, source_size, target, taken, source`` for every row of ``docs``.
+
+    ``taken`` is a multiple of ``size``.
+    """
+    rows = materialize(_measured(docs, id_col, text_col, source_col))
+    plan, n_sources = thresholds(rows, weights, total_share, cap)
+    chosen = broadcast_if_small(plan, n_sources)
     return rows.join(chosen, rows["source"].eqNullSafe(chosen["s"])).select(
         "doc_id", "size", "source_size", "target", (F.col("size") * (F.col("whole") + F.when(F.col("h") < F.col("threshold"), 1).otherwise(0))).alias("taken"), "source"
     )
@@ -99,8 +108,13 @@ def mix(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), total_share: float
 def apply_mix(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), total_share: float = 1.5, cap: float = 2.0) -> DataFrame:
     """``docs`` with every row as often as the mix takes it; columns as they are.
 
-    Ids are taken as keys: rows that share an id share a decision.
+    The thresholds go to the rows, so no text is shuffled. Rows without a word
+    weigh nothing and stay as they are.
     """
-    mixed = mix(docs, weights, total_share, cap).select(F.col("doc_id").alias("__plumbline_id"), F.when(F.col("size") > 0, F.col("taken") / F.col("size")).otherwise(F.lit(1)).cast("int").alias("__plumbline_copies")).groupBy("__plumbline_id").agg(F.max("__plumbline_copies").alias("__plumbline_copies"))
-    kept = docs.join(mixed, docs["doc_id"].eqNullSafe(mixed["__plumbline_id"])).filter("__plumbline_copies > 0")
-    return kept.withColumn("__plumbline_copy", F.explode(F.expr("sequence(1, __plumbline_copies)"))).select(*[kept[c] for c in docs.columns])
+    rows = materialize(_measured(docs, "doc_id", "text", "source"))
+    plan, n_sources = thresholds(rows, weights, total_share, cap)
+    chosen = broadcast_if_small(plan.select(F.col("s").alias("__plumbline_source"), F.struct("whole", "threshold").alias("__plumbline_plan")), n_sources)
+    extra = F.when(hash60(docs["doc_id"]) < F.col("__plumbline_plan.threshold"), 1).otherwise(0)
+    copies = F.when(F.coalesce(docs["text"].rlike(WORD), F.lit(False)), (F.col("__plumbline_plan.whole") + extra).cast("int")).otherwise(F.lit(1))
+    joined = docs.join(chosen, docs["source"].eqNullSafe(F.col("__plumbline_source"))).withColumn("__plumbline_copies", copies).filter("__plumbline_copies > 0")
+    return joined.withColumn("__plumbline_copy", F.explode(F.expr("sequence(1, __plumbline_copies)"))).select(*[joined[c] for c in docs.columns])
