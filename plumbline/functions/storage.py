@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -13,9 +14,14 @@ BROADCAST_ROWS = 200_000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A new folder below the one that the cluster shares; a local one where none is set."""
+    """A new folder below the one that the cluster shares; a local one where none is set.
+
+    The name has its scheme, so that Spark and Python workers find the same place.
+    """
     root = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.gettempdir()}/plumbline-shared"
-    return f"{root.rstrip('/')}/plumbline-{uuid.uuid4().hex}"
+    path = spark._jvm.org.apache.hadoop.fs.Path(root.rstrip("/"))
+    root = path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString()
+    return f"{re.sub('^file:/+', 'file:///', root)}/plumbline-{uuid.uuid4().hex}"
 
 
 def materialize(df: DataFrame) -> DataFrame:
