@@ -9,10 +9,10 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .knn import blocked_top_k
+from .knn import BATCH, blocked_top_k, rough_squared_distances
 
 #: Base vectors up to which a graph is given to every task; a beam search needs
-#: random access to all of it. Larger bases are cut into shards of this size.
+#: random access to all of it. ``sharded_beam_search`` takes larger bases.
 SHARD = 200_000
 #: Queries that a task searches for at a time.
 TOGETHER = 128
@@ -153,13 +153,12 @@ def beam_search(queries: DataFrame, base: DataFrame, edges: DataFrame, width: in
     """``query_id, width, phase, pos, base_id, rank``: every evaluation, and the rank of results.
 
     ``step`` swaps the distance source: the same graph is searched over base
-    vectors rounded to multiples of it. Base vectors are dealt into shards of at
-    most ``SHARD`` by hash; every query searches every shard.
+    vectors rounded to multiples of it.
     """
     spark = queries.sparkSession
     n = base.count()
     if n > SHARD:
-        raise ValueError(f"deal the base into shards of at most {SHARD} vectors and merge their results")
+        raise ValueError(f"a graph of over {SHARD} vectors is too large for a task: use sharded_beam_search")
     b, e = base.orderBy("base_id").select("base_id", "be").toPandas(), edges.toPandas()
     graph = spark.sparkContext.broadcast((b["base_id"].to_numpy(), np.stack(b["be"].to_numpy()), e["src"].to_numpy(), e["dst"].to_numpy()))
 
@@ -185,3 +184,48 @@ def beam_search(queries: DataFrame, base: DataFrame, edges: DataFrame, width: in
                 )
 
     return queries.select("query_id", "qe").mapInPandas(run, "query_id long, width long, phase string, pos long, base_id long, rank long")
+
+
+def sharded_beam_search(queries: DataFrame, base: DataFrame, degree: int, width: int, k: int, shard: int = 16_384) -> DataFrame:
+    """``query_id, rank, base_id, d`` over a base of any size.
+
+    Base vectors are dealt into shards by hash. A task links its shard's vectors
+    to their ``degree`` nearest, every query searches every shard, and the best of
+    all shards are merged.
+    """
+    shards = max(1, -(-base.count() // shard))
+    dealt = base.select(F.pmod(F.xxhash64("base_id", F.lit(3)), F.lit(shards)).cast("int").alias("block"), F.lit(0).alias("asks"), F.col("base_id").alias("id"), F.col("be").alias("vector"))
+    asked = queries.select(F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("block"), F.lit(1).alias("asks"), F.col("query_id").alias("id"), F.col("qe").alias("vector"))
+
+    def build(ids: np.ndarray, vectors: np.ndarray) -> Graph:
+        src, dst, near = [], [], min(degree + 1, len(ids))
+        for a in range(0, len(ids), BATCH):
+            d = rough_squared_distances(vectors[a : a + BATCH], vectors)
+            close = np.argpartition(d, near - 1, axis=1)[:, :near]
+            rows = np.repeat(np.arange(a, a + len(close)), near)
+            other = close.ravel() != rows
+            src.append(ids[rows[other]])
+            dst.append(ids[close.ravel()[other]])
+        return Graph(ids, vectors, np.concatenate(src), np.concatenate(dst))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        block, ids, parts, g = None, [], [], None
+        for rows in batches:
+            for (b, asks), part in rows.groupby(["block", "asks"], sort=True):
+                key, vectors = part["id"].to_numpy(), np.stack(part["vector"].to_numpy()).astype(np.float64)
+                if b != block:
+                    block, ids, parts, g = b, [], [], None
+                if not asks:
+                    ids.append(key)
+                    parts.append(vectors)
+                elif ids:
+                    g = g or build(np.concatenate(ids), np.concatenate(parts))
+                    for a in range(0, len(key), TOGETHER):
+                        asked_now = vectors[a : a + TOGETHER]
+                        (q, _, node), _ = g.search(g.vectors, asked_now, width, k)
+                        d = g.vectors[node] - asked_now[q]
+                        yield pd.DataFrame({"query_id": key[a : a + TOGETHER][q], "base_id": g.ids[node], "d": np.einsum("nj,nj->n", d, d)})
+
+    laid = dealt.union(asked).repartitionById(shards, F.col("block")).sortWithinPartitions("block", "asks", "id")
+    found = laid.mapInPandas(run, "query_id long, base_id long, d double")
+    return found.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("d", "base_id")).cast("long")).filter(F.col("rank") <= k).select("query_id", "rank", "base_id", "d")

@@ -23,6 +23,11 @@ def beam_search_quantized(spark, sf_dir):
     return graph.beam_search(get(spark, sf_dir, "queries"), get(spark, sf_dir, "base"), get(spark, sf_dir, "edges"), 64, 10, step=1 / 16)
 
 
+def sharded_beam_search(spark, sf_dir):
+    """Shards with graphs of their own, results merged."""
+    return graph.sharded_beam_search(get(spark, sf_dir, "queries"), get(spark, sf_dir, "base"), 16, 64, 10, shard=256)
+
+
 def native_heap(spark, sf_dir):
     """Results of the order-dependent heap."""
     return graph.native_top_k(get(spark, sf_dir, "scored"), 10)
@@ -103,7 +108,7 @@ def streaming_refinement(spark, sf_dir):
     return spark.read.parquet(f"{root}/out").select("query_id", "rank", "base_id", "refined")
 
 
-QUERIES = {f.__name__: f for f in (beam_search, beam_search_quantized, native_heap, pq_lloyd, gaussian_matrix, seeded_permutations, orthogonal_rotation, index_round_trip, xvec_round_trip, csr_round_trip, json_round_trip, streaming_refinement)}
+QUERIES = {f.__name__: f for f in (beam_search, beam_search_quantized, sharded_beam_search, native_heap, pq_lloyd, gaussian_matrix, seeded_permutations, orthogonal_rotation, index_round_trip, xvec_round_trip, csr_round_trip, json_round_trip, streaming_refinement)}
 #: SQL where a round trip gives a relation back.
 SQL = {
     "orthogonal_rotation": (("gt",), "SELECT query_id, rk AS rank, base_id, round(d, 6) AS dist FROM pl_gt WHERE rk <= 10"),

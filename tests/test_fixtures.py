@@ -132,6 +132,8 @@ def test_beam_finds_what_is_near(spark):
     results = {(r["query_id"], r["base_id"]) for r in got if r["rank"] is not None}
     pool = [(r["query_id"], r["base_id"]) for r in got if r["phase"] == "level0"]
     assert len(pool) == len(set(pool)) and results <= set(pool) and len(results & truth) / len(truth) > 0.8
+    merged = {(r["query_id"], r["base_id"]) for r in graph.sharded_beam_search(queries, base, 8, 64, 10, shard=150).collect()}
+    assert len(merged) == 50 and len(merged & truth) / len(truth) > 0.9
     hops = graph.expand(queries.selectExpr("query_id", "CAST(0 AS LONG) AS base_id"), edges, 2).collect()
     assert len({(r["query_id"], r["base_id"]) for r in hops}) == len(hops) and {r["hop"] for r in hops} == {0, 1, 2}
 
