@@ -38,6 +38,8 @@ SHINGLE = 3
 BUCKET = 64
 #: Shingles whose bits are counted at a time.
 BLOCK = 1 << 16
+#: Ids of rows to be dropped up to which they are broadcast.
+GONE_BROADCAST = 1_000_000
 #: Cost of making and shuffling a probe, in verified candidates.
 PROBE_COST = 40.0
 
@@ -242,12 +244,15 @@ def near_duplicates(docs: DataFrame, width: int = SHINGLE, distance: int = DISTA
 def drop_near_duplicates(docs: DataFrame, width: int = SHINGLE, distance: int = DISTANCE) -> DataFrame:
     """The rows of ``docs`` with the smallest id of their component.
 
-    Rows without an id stay only if their whole component has none; of repeated
-    rows of a kept id one stays.
+    Rows without an id stay: nothing tells them apart. An id that several rows
+    share goes if all of them would go, and of rows with one kept id one stays.
+    Ids that go are broadcast up to ``GONE_BROADCAST``; beyond, texts are shuffled.
     """
-    marked = materialize(near_duplicates(docs, width, distance))
-    keep = marked.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
-    keep = materialize(keep.withColumnRenamed("doc_id", "__plumbline_keep"))
-    kept = docs.join(keep.select("__plumbline_keep"), docs["doc_id"].eqNullSafe(keep["__plumbline_keep"])).select(*[docs[c] for c in docs.columns])
-    repeated = keep.filter(F.col("__plumbline_keep").isNotNull() & (F.col("n") > 1)).limit(1).count()
-    return kept.dropDuplicates(["doc_id"]) if repeated else kept
+    marked = near_duplicates(docs, width, distance).filter("doc_id IS NOT NULL")
+    by_id = materialize(marked.groupBy(F.col("doc_id").alias("__plumbline_id")).agg(F.bool_and(F.col("doc_id") != F.col("component_id")).alias("gone"), F.count(F.lit(1)).alias("n")))
+    gone = by_id.filter("gone").select("__plumbline_id")
+    near = F.broadcast(gone) if gone.count() <= GONE_BROADCAST else gone
+    kept = docs.join(near, docs["doc_id"] == near["__plumbline_id"], "left_anti")
+    if not by_id.filter("n > 1 AND NOT gone").limit(1).count():
+        return kept
+    return kept.filter("doc_id IS NOT NULL").dropDuplicates(["doc_id"]).union(kept.filter("doc_id IS NULL"))
