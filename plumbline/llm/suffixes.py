@@ -407,7 +407,8 @@ def remove_repeats(docs: DataFrame, with_text: bool = True) -> DataFrame:
     system.create_dir(at, recursive=True)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     files = materialize(rows.mapInPandas(_write(folder), "file string"))
-    dealt = files.repartition(max(1, min(files.count(), 100_000)))
+    tasks = max(1, min(files.count(), 100_000))  # a chunk is a row of a small table: deal them out one by one
+    dealt = files.repartition(tasks)
     sample = files.orderBy(F.xxhash64("file"), "file").limit(SAMPLE_CHUNKS).repartition(SAMPLE_CHUNKS).mapInPandas(_sample(folder), "leading binary").collect()
     leading = np.sort(np.array([bytes(x[0]) for x in sample], dtype="S16"))
     splitters = np.unique(leading[np.arange(1, parts) * len(leading) // parts]) if len(leading) else leading
@@ -415,11 +416,11 @@ def remove_repeats(docs: DataFrame, with_text: bool = True) -> DataFrame:
     marks = sent.repartitionById(parts, F.col("part")).mapInPandas(_shared_hashes, "file string, part int, marks binary")
     marks = materialize(marks.groupBy("file").agg(F.collect_list(F.struct("part", "marks")).alias("marks")))
     whole = files.join(marks.withColumnRenamed("file", "f"), F.col("file") == F.col("f"), "left").select("file", F.coalesce("marks", F.array().cast("array<struct<part:int,marks:binary>>")).alias("marks"))
-    whole = materialize(whole.repartition(max(1, min(files.count(), 100_000))))
-    suffixes = whole.mapInPandas(_send_suffixes(folder, parts, splitters), "part int, file string, n long, blob binary")
+    whole = materialize(whole)
+    suffixes = whole.repartition(tasks).mapInPandas(_send_suffixes(folder, parts, splitters), "part int, file string, n long, blob binary")
     lows = suffixes.repartitionById(parts, F.col("part")).mapInPandas(_compare, "file string, part int, low binary")
     lows = materialize(lows.groupBy("file").agg(F.collect_list(F.struct("part", "low")).alias("lows")).withColumnRenamed("file", "f"))
     last = whole.join(lows, F.col("file") == F.col("f"), "left").select("file", "marks", F.coalesce("lows", F.array().cast("array<struct<part:int,low:binary>>")).alias("lows"))
-    last = last.repartition(max(1, min(files.count(), 100_000)))
+    last = last.repartition(tasks)
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept string" * with_text
     return last.mapInPandas(_remove(folder, parts, splitters, with_text), schema)
