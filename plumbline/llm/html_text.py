@@ -44,7 +44,7 @@ DROP_ROLES = frozenset("navigation banner contentinfo complementary search form
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 SCOPE = frozenset("table ul ol dl article section div body main".split())
 #: Templates up to which their set is broadcast.
-TEMPLATE_BROADCAST = 1_000_000
+TEMPLATE_BROADCAST = 200_000
 
 _OPEN = re.compile(r"<(?:(!--)|([!?])|(/?)([a-zA-Z][^\s/>]*))")
 _STOP = re.compile(r"[>\"']")
