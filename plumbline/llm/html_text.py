@@ -172,21 +172,36 @@ class Page:
     def text(self, gone: set[int] | frozenset[int] = frozenset()) -> str:
         """The main text without what is dropped, and without subtrees in ``gone``."""
         inside, n = self.under(), len(self.names)
-        dropped, heading = [False] * n, [False] * n
+        own, heading = [False] * n, [False] * n
         for k in range(1, n):
             up, name = self.parents[k], self.names[k]
             template = self.hashes[k] in gone and name in BLOCK and not (inside[k] and name in PROSE) and name not in ("html", "body", "article", "main")
             titled = name == "header" and inside[up] and not template
             heading[k] = name in HEADINGS or heading[up]
-            dropped[k] = dropped[up] or template or ((self.drops[k]) and not titled)
+            own[k] = template or (self.drops[k] and not titled)
         header = [False] * n
         for k in range(1, n):
             header[k] = header[self.parents[k]] or (self.names[k] == "header" and bool(inside[k]))
-        size: dict[int, int] = {}
-        tops = {}
-        for k in self.main:
-            top = inside[self.parents[k]]
-            tops[k] = k if not top else tops.get(top, top)
+
+        def fall(root: int) -> list[bool]:
+            """What is dropped below ``root``."""
+            out = [False] * n
+            for k in range(root + 1, n):
+                out[k] = own[k] or out[self.parents[k]]
+            return out
+
+        dropped, size = fall(0), {}
+        hidden = [k for k in self.main if not self.drops[k]]
+        if hidden and all(dropped[k] for k in self.main):
+            # a wrapper with a misleading class: what is around the article doesn't count
+            length = dict.fromkeys(hidden, 0)
+            for node, _, text in self.pieces:
+                k = inside[node]
+                while k:
+                    if k in length:
+                        length[k] += len(text)
+                    k = inside[self.parents[k]]
+            dropped = fall(max(hidden, key=lambda k: (length[k], -k)))
         kept = [(node, block, text) for node, block, text in self.pieces if not dropped[node] and (not header[node] or heading[node])]
         articles = {k for k in self.main if self.names[k] == "article" and not dropped[k]}
         for node, _, text in kept:

@@ -186,6 +186,10 @@ PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>v
 def test_page():
     assert html_text.Page(PAGE).text() == "Big & bold First paragraph here. Next line Second one stays"
     assert html_text.Page("no markup &lt;at&gt; all").text() == "no markup <at> all"
+    wrapped = '<div class="page with-sidebar"><article><p>Inside</p><aside>no</aside></article><aside>Out</aside></div>'
+    assert html_text.Page(wrapped).text() == "Inside"
+    assert html_text.Page("<div id='x'><main><p>One</p></main><footer>Two</footer></div>").text() == "One"
+    assert html_text.Page("<article><header>By me<h1>Title</h1></header><p>Text</p></article>").text() == "Title Text"
     for broken in ("<", "<p", "<p class=", '<p class="x', "<!-- open", "</p></p>", "<script>never closed", "<a href='x>y", "&#x;", "<p><b><p></b>text</p>"):
         html_text.Page(broken).text()
 
