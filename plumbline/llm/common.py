@@ -7,6 +7,8 @@ executor and later jobs read them without the work above.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import sys
 from collections.abc import Callable
 
@@ -37,8 +39,15 @@ def bound_batches(spark: SparkSession) -> None:
 
 
 def release() -> None:
-    """Drops what :func:`held` keeps, for stages that need none of it."""
-    sys.__dict__.get("_plumbline_held", {}).clear()
+    """Drops what :func:`held` keeps, for stages that need none of it.
+
+    Freed memory goes back to the system where the C library can do that.
+    """
+    kept = sys.__dict__.get("_plumbline_held")
+    if kept:
+        kept.clear()
+        with contextlib.suppress(OSError, AttributeError):
+            ctypes.CDLL(None).malloc_trim(0)
 
 
 def held(key: tuple, build: Callable):
@@ -49,6 +58,6 @@ def held(key: tuple, build: Callable):
     """
     kept = sys.__dict__.setdefault("_plumbline_held", {})
     if key not in kept:
-        kept.clear()
+        release()
         kept[key] = build()
     return kept[key]

@@ -110,7 +110,7 @@ def test_model_sums_to_one(spark):
     docs = spark.createDataFrame([(data.prose(k, 50),) for k in range(20)], "text string")
     common = docs.mapInPandas(ngram_quality._symbol_counts, "code int, n long").groupBy("code").sum("n").orderBy("code").collect()
     tables = [(a.toPandas(), b.toPandas()) for a, b in ngram_quality.train(docs, [int(c) for c, _ in common])]
-    cost = ngram_quality.dense([(a["code"].to_numpy(), a["p"].to_numpy(np.float32), b["context"].to_numpy(), b["gamma"].to_numpy()) for a, b in tables])
+    cost = ngram_quality.dense([(a["code"].to_numpy(), a["p"].to_numpy(np.float32), b["context"].to_numpy(), b["gamma"].to_numpy()) for a, b in tables], np.float32)
     total = np.exp(-cost).reshape(-1, ngram_quality.SYMBOLS).sum(axis=1)
     assert abs(total - 1).max() < 1e-3
 
