@@ -20,7 +20,7 @@ from .common import held
 
 #: Pieces of a generation. A worker process keeps two: the one it fills, and the
 #: one before, from which what is used again is taken over.
-CACHE = 200_000
+CACHE = 300_000
 #: Pieces longer than this aren't kept.
 PIECE = 64
 
@@ -98,7 +98,7 @@ def encoder(path: str, dtype: str = "<u2") -> Encoder:
     return held(("encoder", path, dtype), lambda: Encoder(path, dtype))
 
 
-def blocks(texts: list[str], most: int = 500_000):
+def blocks(texts: list[str], most: int = 4_000_000):
     """Ranges of rows of about ``most`` characters."""
     start = size = 0
     for k, t in enumerate(texts):
