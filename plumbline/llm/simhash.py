@@ -242,13 +242,18 @@ def near_duplicates(docs: DataFrame, width: int = SHINGLE, distance: int = DISTA
 
 
 def drop_near_duplicates(docs: DataFrame, width: int = SHINGLE, distance: int = DISTANCE) -> DataFrame:
-    """The rows of ``docs`` with the smallest id of their component.
+    """The rows of ``docs`` with the smallest id of their component."""
+    return keep_first(docs, near_duplicates(docs, width, distance))
+
+
+def keep_first(docs: DataFrame, marks: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that name their component in ``marks(doc_id, component_id)``.
 
     Rows without an id stay: nothing tells them apart. An id that several rows
     share goes if all of them would go, and of rows with one kept id one stays.
     Ids that go are broadcast up to ``GONE_BROADCAST``; beyond, texts are shuffled.
     """
-    marked = near_duplicates(docs, width, distance).filter("doc_id IS NOT NULL")
+    marked = marks.filter("doc_id IS NOT NULL")
     by_id = materialize(marked.groupBy(F.col("doc_id").alias("__plumbline_id")).agg(F.bool_and(F.col("doc_id") != F.col("component_id")).alias("gone"), F.count(F.lit(1)).alias("n")))
     gone = by_id.filter("gone").select("__plumbline_id")
     near = F.broadcast(gone) if gone.count() <= GONE_BROADCAST else gone
