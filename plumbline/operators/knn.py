@@ -92,3 +92,50 @@ def exact_top_k(queries: DataFrame, base: DataFrame, k: int) -> DataFrame:
     q = queries.select(F.col("query_id").alias("id"), F.col("qe").alias("vector"))
     b = base.select(F.col("base_id").alias("id"), F.col("be").alias("vector"))
     return blocked_top_k(q, b, k, ("query_id", "base_id", "d"))
+
+
+def identity_distances(queries: np.ndarray, base: np.ndarray) -> np.ndarray:
+    """Squared distances by the norm identity, summed from the first dimension to the last, to 9 places."""
+    qq, bb, qb = np.zeros(len(queries)), np.zeros(len(base)), np.zeros((len(queries), len(base)))
+    for j in range(queries.shape[1]):
+        q, b = queries[:, j], base[:, j]
+        qq += q * q
+        bb += b * b
+        qb += q[:, None] * b[None, :]
+    return np.round(qq[:, None] + bb[None, :] - 2 * qb, 9)
+
+
+def _within(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    block, parts, base = None, [], None
+    for rows in batches:
+        for (b, asks), part in rows.groupby(["block", "asks"], sort=True):
+            vectors = np.stack(part["vector"].to_numpy()).astype(np.float64)
+            if b != block:
+                block, parts, base = b, [], None
+            if not asks:
+                parts.append(vectors)
+            elif parts:
+                if base is None:
+                    base = np.concatenate(parts)
+                    largest = float((base * base).sum(axis=1).max())
+                key, bound = part["id"].to_numpy(), part["bound"].to_numpy()
+                for a in range(0, len(key), BATCH):
+                    asked, d10 = vectors[a : a + BATCH], bound[a : a + BATCH]
+                    slack = 1e-9 * (largest + float((asked * asked).sum(axis=1).max()) + 1e-300)
+                    rough = rough_squared_distances(asked, base) - d10[:, None]
+                    closer = (rough < -slack).sum(axis=1)
+                    q, at = np.nonzero(np.abs(rough) <= slack)
+                    d = _pairs(asked, base, q, at)
+                    closer += np.bincount(q[d < d10[q]], minlength=len(asked))
+                    tied = np.bincount(q[d == d10[q]], minlength=len(asked))
+                    yield pd.DataFrame({"query_id": key[a : a + BATCH], "bound": d10, "closer": closer, "tied": tied})
+
+
+def count_within(queries: DataFrame, base: DataFrame, block: int = BLOCK) -> DataFrame:
+    """``queries(id, vector, bound)``, ``base(id, vector)`` -> ``query_id, bound, closer, tied`` over all of ``base``."""
+    blocks = max(1, -(-base.count() // block))
+    dealt = base.select(F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("block"), F.lit(0).alias("asks"), "id", "vector", F.lit(None).cast("double").alias("bound"))
+    asked = queries.select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), F.lit(1).alias("asks"), "id", "vector", "bound")
+    laid = dealt.union(asked).repartitionById(blocks, F.col("block")).sortWithinPartitions("block", "asks")
+    found = laid.mapInPandas(_within, "query_id long, bound double, closer long, tied long")
+    return found.groupBy("query_id", "bound").agg(F.sum("closer").alias("closer"), F.sum("tied").alias("tied"))

@@ -93,6 +93,8 @@ class Plan:
     needs: tuple[str, ...]
     body: Body
     tables: tuple[str, ...] = field(default_factory=tuple)
+    #: Spark's own way, from the inputs by name; None: the body.
+    build: Callable | None = None
 
 
 RELATIONS: dict[str, Relation] = {}
@@ -108,9 +110,9 @@ def relation(name: str, *needs: str, build=None, keep: bool = False):
     return add
 
 
-def plan(ids: str, *needs: str, tables: tuple[str, ...] = ()):
+def plan(ids: str, *needs: str, tables: tuple[str, ...] = (), build: Callable | None = None):
     def add(body: Body) -> Body:
-        PLANS[body.__name__] = Plan(body.__name__, ids, needs, body, tables)
+        PLANS[body.__name__] = Plan(body.__name__, ids, needs, body, tables, build)
         return body
 
     return add
@@ -139,7 +141,8 @@ def over(spark: SparkSession, sql: str, inputs: dict[str, DataFrame]) -> DataFra
 
 def run(spark: SparkSession, name: str, **inputs: DataFrame) -> DataFrame:
     """A plan over the caller's own relations."""
-    return over(spark, PLANS[name].body(SPARK), inputs)
+    p = PLANS[name]
+    return p.build(inputs) if p.build else over(spark, p.body(SPARK), inputs)
 
 
 def query(name: str):
@@ -148,7 +151,7 @@ def query(name: str):
     def call(spark: SparkSession, sf_dir: str) -> DataFrame:
         inputs = {n: get(spark, sf_dir, n) for n in p.needs}
         inputs |= {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in p.tables}
-        return over(spark, p.body(SPARK), inputs)
+        return p.build(inputs) if p.build else over(spark, p.body(SPARK), inputs)
 
     return call
 

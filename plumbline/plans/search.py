@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from .core import plan
+from pyspark.sql import functions as F
+
+from ..operators import knn
+from .core import SPARK, plan
 from .relations import CODES, DIMS, K, PARTS, POOL
 
 W = DIMS // PARTS
@@ -18,7 +21,15 @@ def first_neighbors(d):
     return f"SELECT query_id, {d.names('base_id', 'rk')} AS ids FROM pl_gt WHERE rk <= 5 GROUP BY query_id"
 
 
-@plan("E13", "gt", "queries", "base")
+def _range_neighbors(rel):
+    """Every tenth distance against the whole base; the SQL sees the first 11 rows of a query only."""
+    bound = rel["gt"].filter(F.col("rk") == K).select(F.col("query_id").alias("id"), F.col("d").alias("bound"))
+    asked = rel["queries"].select(F.col("query_id").alias("id"), F.col("qe").alias("vector")).join(bound, "id")
+    found = knn.count_within(asked, rel["base"].select(F.col("base_id").alias("id"), F.col("be").alias("vector")))
+    return found.select("query_id", F.round("bound", 9).alias("d10"), "closer", "tied")
+
+
+@plan("E13", "gt", "queries", "base", build=_range_neighbors)
 def range_neighbors(d):
     return f"""SELECT g.query_id, round(g.d, 9) AS d10, CAST(sum(CASE WHEN p.d < g.d THEN 1 ELSE 0 END) AS BIGINT) AS closer, CAST(sum(CASE WHEN p.d = g.d THEN 1 ELSE 0 END) AS BIGINT) AS tied
       FROM (SELECT query_id, d FROM pl_gt WHERE rk = {K}) g JOIN pl_gt p ON g.query_id = p.query_id WHERE p.d <= g.d GROUP BY g.query_id, g.d"""
@@ -249,7 +260,20 @@ def criterion_gates(d):
       SELECT model, query_id % 4 AS shard, avg(ranking_loss) AS s, avg(ranking_loss) AS ranking_loss FROM pl_decomposed GROUP BY model, query_id % 4) AS x_ GROUP BY model"""
 
 
-@plan("G12 C6", "gt", "queries", "base")
+def _gt_disagreement(rel):
+    """The second ground truth is a search of its own over the whole base; the SQL ranks the first one's rows again."""
+    q, b = rel["queries"], rel["base"]
+    second = knn.blocked_top_k(q.select(F.col("query_id").alias("id"), F.col("qe").alias("vector")), b.select(F.col("base_id").alias("id"), F.col("be").alias("vector")), K, ("query_id", "base_id", "i"), knn.identity_distances)
+    mark = lambda df, one, two: df.select("query_id", "base_id", one.cast("int").alias("one"), two.cast("int").alias("two"))
+    both = mark(rel["gt"], F.col("rk") <= K, F.lit(False)).union(mark(second, F.lit(False), F.lit(True)))
+    both = both.groupBy("query_id", "base_id").agg(F.max("one").alias("one"), F.max("two").alias("two"))
+    spread = F.abs(F.expr(SPARK.l2("qe", "be")) - F.round(F.expr(f"{SPARK.dot('qe', 'qe')} + {SPARK.dot('be', 'be')} - 2 * {SPARK.dot('qe', 'be')}"), 9))
+    rows = both.join(q, "query_id").join(b, "base_id").withColumn("spread", spread)
+    only = lambda x, y: F.sum((F.col(x) > F.col(y)).cast("long"))
+    return rows.groupBy("query_id").agg(only("one", "two").alias("missing"), only("two", "one").alias("extra"), (F.max("spread") <= 2e-5).alias("within"))
+
+
+@plan("G12 C6", "gt", "queries", "base", build=_gt_disagreement)
 def gt_disagreement(d):
     """Ground truth against one by the norm identity: missing, extra, spread."""
     return f"""WITH p AS (SELECT g.query_id, g.base_id, g.rk, g.d, round({d.dot('qe', 'qe')} + {d.dot('be', 'be')} - 2 * {d.dot('qe', 'be')}, 9) AS i FROM pl_gt g JOIN pl_queries q ON g.query_id = q.query_id JOIN pl_base b ON g.base_id = b.base_id),
