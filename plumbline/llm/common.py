@@ -7,8 +7,6 @@ executor and later jobs read them without the work above.
 
 from __future__ import annotations
 
-import contextlib
-import ctypes
 import sys
 from collections.abc import Callable
 
@@ -39,25 +37,19 @@ def bound_batches(spark: SparkSession) -> None:
 
 
 def release() -> None:
-    """Drops what :func:`held` keeps, for stages that need none of it.
-
-    Freed memory goes back to the system where the C library can do that.
-    """
-    kept = sys.__dict__.get("_plumbline_held")
-    if kept:
-        kept.clear()
-        with contextlib.suppress(OSError, AttributeError):
-            ctypes.CDLL(None).malloc_trim(0)
+    """Drops what :func:`held` keeps, for stages that need none of it."""
+    sys.__dict__.setdefault("_plumbline_held", {}).clear()
 
 
 def held(key: tuple, build: Callable):
     """What a worker process keeps between tasks: one thing at a time.
 
-    Workers serve all stages of a job, so the tables of one stage make room for
-    those of the next.
+    Functions travel by value, so a module's own variables are new in each task;
+    the interpreter's dictionary isn't. Workers serve all stages of a job, so the
+    tables of one stage make room for those of the next.
     """
     kept = sys.__dict__.setdefault("_plumbline_held", {})
     if key not in kept:
-        release()
+        kept.clear()
         kept[key] = build()
     return kept[key]

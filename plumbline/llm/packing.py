@@ -3,10 +3,14 @@
 A document's token counts are hashed to 1024 dimensions, scaled to length 1 and
 projected to three; the cell of a 2^13 grid gives a 39-bit Hilbert key. 24 bits
 of a hash of the id follow, so that a key shared by many documents can be cut.
-A bounded sample gives splitters; every partition holds a range of the curve,
-sorts it, and lays its documents end to end, cut every 1024 tokens. What is left
-at a partition's end becomes sequences whose lengths are powers of two, so
-nothing is padded at all.
+Keys and ids are made once and written to the shared folder; Spark takes the
+ranges of the curve from the written keys, as many as keep a range at about
+``RANGE_BYTES``. Every range is sorted, and its documents are laid end to end,
+cut every 1024 tokens. What is left at a range's end becomes sequences whose
+lengths are powers of two, so nothing is padded at all.
+
+The projection has whole numbers, so that sums are exact and keys the same
+wherever and in whatever block a document is looked at.
 
 Defined results: a null text is empty and has its end id only; rows with a null
 id are packed as well; repeated rows are packed as often as they occur; an empty
@@ -20,16 +24,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound_batches, shuffle_partitions
+from .common import bound_batches, materialize, shuffle_partitions
 from .tokens import blocks, encoder
 
 LENGTH = 1024
 DIMENSIONS, BITS, HASHED = 3, 13, 1024
-#: Documents of the sample for each splitter.
-SAMPLE = 64
+#: Bytes of ids in a range, and documents whose counts are held at a time.
+RANGE_BYTES, DOCUMENTS = 32 << 20, 512
 
 
 def hilbert(cells: np.ndarray, bits: int = BITS) -> np.ndarray:
@@ -58,16 +63,20 @@ def hilbert(cells: np.ndarray, bits: int = BITS) -> np.ndarray:
 
 
 def _projection() -> np.ndarray:
-    return np.random.default_rng(20040707).standard_normal((HASHED, DIMENSIONS))
-
-
-def curve_keys(ids: list[np.ndarray]) -> np.ndarray:
-    """Hilbert keys of documents given as token ids."""
-    plane, points = _projection(), np.zeros((len(ids), DIMENSIONS))
-    for k, x in enumerate(ids):
-        if len(x):
-            counts = np.bincount(((x.astype(np.uint32) * np.uint32(2654435761)) >> np.uint32(22)), minlength=HASHED)
-            points[k] = counts @ plane / np.sqrt(float(counts @ counts))
+    return np.round(np.random.default_rng(20040707).standard_normal((HASHED, DIMENSIONS)) * 65536)
+
+
+def curve_keys(ids: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Hilbert keys of documents whose token ids lie in a row."""
+    plane, points, upto = _projection(), np.zeros((len(lengths), DIMENSIONS)), np.concatenate([[0], np.cumsum(lengths)])
+    place = ((np.arange(1 << 16, dtype=np.uint32) * np.uint32(2654435761)) >> np.uint32(22)).astype(np.int32)
+    for a in range(0, len(lengths), DOCUMENTS):
+        b = min(a + DOCUMENTS, len(lengths))
+        at = place[ids[upto[a] : upto[b]]]
+        at += np.repeat(np.arange(b - a, dtype=np.int32) * np.int32(HASHED), lengths[a:b])
+        counts = np.bincount(at, minlength=(b - a) * HASHED).reshape(b - a, HASHED).astype(np.float64)
+        size = np.sqrt(np.einsum("ij,ij->i", counts, counts))
+        points[a:b] = counts @ plane / (65536 * np.maximum(size, 1.0))[:, None]
     cells = np.clip((points + 4) / 8 * (1 << BITS), 0, (1 << BITS) - 1).astype(np.uint64)
     return hilbert(cells)
 
@@ -80,21 +89,18 @@ def _mixed(keys: np.ndarray) -> np.ndarray:
     return (h >> np.uint64(40)).astype(np.int64)
 
 
-def _encode(path: str, end_id: int, splitters: list[int] | None):
+def _encode(path: str, end_id: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        codec, end = encoder(path), np.array([end_id], dtype="<u2").tobytes()
+        codec = encoder(path, end_id)
         for rows in batches:
             texts = [t or "" for t in rows["text"]]
             for a, b in blocks(texts):
-                coded = codec.encode(texts[a:b])
+                ids, lengths = codec.encode(texts[a:b])
                 known = rows["doc_id"].iloc[a:b]
-                key = curve_keys([np.frombuffer(c, dtype="<u2") for c in coded]) << 24
+                key = curve_keys(ids, lengths) << 24
                 key |= _mixed(known.fillna(-1).astype("int64").to_numpy())
-                if splitters is None:
-                    yield pd.DataFrame({"key": key})
-                else:
-                    part = np.searchsorted(np.array(splitters, dtype=np.int64), key, side="right").astype(np.int32)
-                    yield pd.DataFrame({"part": part, "key": key, "doc_id": known.astype("Int64"), "ids": [c + end for c in coded]})
+                ends = np.cumsum(lengths)
+                yield pd.DataFrame({"key": key, "doc_id": known.astype("Int64"), "ids": [ids[x:y].tobytes() for x, y in zip(ends - lengths, ends, strict=True)]})
 
     return run
 
@@ -106,7 +112,7 @@ def _pack(length: int):
         return (doc, start, len(ids), zlib.crc32(ids.astype("<u4").tobytes()), total, sequence, offset)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        part, sequence, fill, open_ = None, 0, 0, []  # open_: pieces of the sequence that isn't full
+        part, sequence, fill, open_ = TaskContext.get().partitionId(), 0, 0, []  # open_: pieces of the sequence that isn't full
 
         def close():
             nonlocal sequence
@@ -124,10 +130,7 @@ def _pack(length: int):
 
         for rows in batches:
             out = []
-            for p, doc, coded in zip(rows["part"], rows["doc_id"].astype(object), rows["ids"], strict=True):
-                if p != part:
-                    out += close()
-                    part, sequence, fill, open_ = int(p), 0, 0, []
+            for doc, coded in zip(rows["doc_id"].astype(object), rows["ids"], strict=True):
                 ids, start = np.frombuffer(coded, dtype="<u2"), 0
                 doc, total = None if pd.isna(doc) else int(doc), len(ids)
                 while start < total:
@@ -157,11 +160,8 @@ def pack(docs: DataFrame, path: str, end_id: int = 0, length: int = LENGTH) -> D
     spark = docs.sparkSession
     bound_batches(spark)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    parts = shuffle_partitions(spark)
-    fraction = min(1.0, SAMPLE * parts / max(1, rows.count()))
-    quantiles = [k / parts for k in range(1, parts)]
-    keys = rows.sample(fraction, seed=7).mapInPandas(_encode(path, end_id, None), "key long")
-    found = keys.agg(F.percentile_approx("key", quantiles, 10_000)).first()[0] if quantiles else []
-    coded = rows.mapInPandas(_encode(path, end_id, sorted(found or [])), "part int, key long, doc_id long, ids binary")
-    laid = coded.repartitionById(parts, F.col("part")).sortWithinPartitions("part", "key", "doc_id")
-    return laid.select("part", "doc_id", "ids").mapInPandas(_pack(length), "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
+    coded = materialize(rows.mapInPandas(_encode(path, end_id), "key long, doc_id long, ids binary"))
+    size = coded.agg(F.sum(F.octet_length("ids"))).first()[0] or 0
+    parts = max(shuffle_partitions(spark), -(-size // RANGE_BYTES))
+    laid = coded.repartitionByRange(parts, "key").sortWithinPartitions("key", "doc_id", "ids")
+    return laid.select("doc_id", "ids").mapInPandas(_pack(length), "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")

@@ -2,17 +2,19 @@
 
 A shard holds a run of documents in ascending id order::
 
-    8 bytes   magic "PLTOKEF1"
-    8 x u64   documents, ids, bytes an id, words of each of the four bit arrays,
+    8 bytes   magic "PLTOKEF2"
+    10 x u64  documents, ids, bytes an id, words of each of the six arrays,
               number of null document ids (they come first)
-    u64s      boundaries: low bits, high bits; document ids: low bits, high bits
+    u64s      boundaries: low bits, high bits, samples; document ids: the same
+    2 x u64   least document id (signed), span of document ids
     ids       in a row, little-endian
 
 Elias-Fano keeps n ascending numbers below u in about n * (2 + log2(u / n))
 bits: ``l = floor(log2(u / n))`` low bits of each in one array, the rest as
 unary gaps in another. ``select1`` on the high bits finds a number without the
-others; a sample of one position in every 256 set bits makes it a scan of a few
-words.
+others; the file also has the position of every 256th set bit, so it is a scan
+of a few words. ``window`` answers for numbers in a row from the words that hold
+them; nothing makes a table of all boundaries.
 
 Shards are written under a name of their own by each attempt, then listed in a
 manifest; only listed files are read, so a repeated task does no harm.
@@ -30,16 +32,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import bound_batches, materialize, shared_dir
 from .tokens import blocks, encoder
 
-MAGIC = b"PLTOKEF1"
+MAGIC = b"PLTOKEF2"
 #: Ids after which a shard is closed at the next document.
 SHARD_IDS = 8_000_000
 SAMPLE = 256
+#: Documents that are read at a time.
+ROWS = 4096
 
 
 def _pack(values: np.ndarray, width: int) -> np.ndarray:
@@ -53,12 +58,13 @@ def _pack(values: np.ndarray, width: int) -> np.ndarray:
 class EliasFano:
     """Ascending non-negative numbers in near-minimal space, with ``select``."""
 
-    def __init__(self, n: int, universe: int, low: np.ndarray, high: np.ndarray):
-        self.n, self.universe, self.low, self.high = n, universe, low, high
+    def __init__(self, n: int, universe: int, low: np.ndarray, high: np.ndarray, samples: np.ndarray):
+        self.n, self.universe, self.low, self.high, self.samples = n, universe, low, high, samples
         self.width = self.low_bits(n, universe)
-        counts = np.cumsum(np.bitwise_count(high).astype(np.int64))
-        self._word = np.searchsorted(counts, np.arange(0, n, SAMPLE) + 1)
-        self._before = np.concatenate([[0], counts])[self._word] if n else np.zeros(0, dtype=np.int64)
+
+    @property
+    def arrays(self) -> list[np.ndarray]:
+        return [self.low, self.high, self.samples]
 
     @staticmethod
     def low_bits(n: int, universe: int) -> int:
@@ -71,7 +77,7 @@ class EliasFano:
         ones = (values >> width).astype(np.int64) + np.arange(len(values))
         bits = np.zeros(-(-(int(ones[-1]) + 1 if len(ones) else 0) // 64) * 64, dtype=np.uint8)
         bits[ones] = 1
-        return cls(len(values), universe, _pack(values, int(width)), np.packbits(bits, bitorder="little").view("<u8"))
+        return cls(len(values), universe, _pack(values, int(width)), np.packbits(bits, bitorder="little").view("<u8"), ones[::SAMPLE].astype("<u8"))
 
     def _low(self, k: np.ndarray) -> np.ndarray:
         if not self.width:
@@ -83,21 +89,33 @@ class EliasFano:
         return value & np.uint64((1 << self.width) - 1)
 
     def select(self, k: int) -> int:
-        """The k-th number, from the sampled word onwards."""
+        """The k-th number, from the sampled bit onwards."""
         if not 0 <= k < self.n:
             raise IndexError(k)
-        word, left = int(self._word[k // SAMPLE]), k - int(self._before[k // SAMPLE])
-        while (ones := int(self.high[word]).bit_count()) <= left:
+        at, left = int(self.samples[k // SAMPLE]), k % SAMPLE
+        word = at >> 6
+        value = int(self.high[word]) >> (at & 63) << (at & 63)
+        while (ones := value.bit_count()) <= left:
             word, left = word + 1, left - ones
-        value = int(self.high[word])
+            value = int(self.high[word])
         for _ in range(left):
             value &= value - 1
         high = word * 64 + (value & -value).bit_length() - 1 - k
         return high << self.width | int(self._low(np.array([k]))[0])
 
-    def all(self) -> np.ndarray:
-        ones = np.flatnonzero(np.unpackbits(self.high.view(np.uint8), bitorder="little"))[: self.n]
-        k = np.arange(self.n)
+    def window(self, a: int, b: int) -> np.ndarray:
+        """Numbers ``a`` to ``b - 1``, from the words between the samples around them."""
+        if not 0 <= a <= b <= self.n:
+            raise IndexError((a, b))
+        if a == b:
+            return np.zeros(0, dtype=np.int64)
+        first, after = a // SAMPLE, -(-b // SAMPLE)
+        at = int(self.samples[first])
+        end = (int(self.samples[after]) >> 6) + 1 if after < len(self.samples) else len(self.high)
+        base = (at >> 6) * 64
+        ones = np.flatnonzero(np.unpackbits(self.high[at >> 6 : end].view(np.uint8), bitorder="little")) + base
+        ones = ones[np.searchsorted(ones, at) + a - first * SAMPLE :][: b - a]
+        k = np.arange(a, b)
         return (((ones - k).astype(np.uint64) << np.uint64(self.width)) | self._low(k)).astype(np.int64)
 
 
@@ -107,16 +125,16 @@ class Shard:
     def __init__(self, data: bytes):
         if data[:8] != MAGIC:
             raise ValueError("not a token shard")
-        head = np.frombuffer(data, "<u8", 8, 8).astype(object)
+        head = np.frombuffer(data, "<u8", 10, 8).astype(object)
         self.documents, self.n_ids, width, *words, self.nulls = (int(x) for x in head)
-        parts, at = [], 72
+        parts, at = [], 88
         for n in words:
             parts.append(np.frombuffer(data, "<u8", n, at))
             at += 8 * n
         base = int(np.frombuffer(data, "<i8", 1, at)[0])
         span = int(np.frombuffer(data, "<u8", 1, at + 8)[0])
-        self.bounds = EliasFano(self.documents + 1, self.n_ids + 1, *parts[:2])
-        self.doc_ids = EliasFano(self.documents - self.nulls, span, *parts[2:])
+        self.bounds = EliasFano(self.documents + 1, self.n_ids + 1, *parts[:3])
+        self.doc_ids = EliasFano(self.documents - self.nulls, span, *parts[3:])
         self.base, self.tokens = base, np.frombuffer(data, f"<u{width}", self.n_ids, at + 16)
 
     @staticmethod
@@ -126,7 +144,7 @@ class Shard:
         span = int(known[-1]) - base + 1 if len(known) else 1
         bounds = EliasFano.build(np.concatenate([[0], np.cumsum(lengths, dtype=np.int64)]), n_ids + 1)
         ids = EliasFano.build(known.astype(np.uint64) - np.uint64(base & (1 << 64) - 1), span)
-        parts = [bounds.low, bounds.high, ids.low, ids.high]
+        parts = [*bounds.arrays, *ids.arrays]
         head = np.array([len(doc_ids), n_ids, width, *map(len, parts), len(doc_ids) - len(known)], dtype="<u8")
         return b"".join([MAGIC, head.tobytes(), *(p.tobytes() for p in parts), np.array([base], dtype="<i8").tobytes(), np.array([span], dtype="<u8").tobytes(), tokens])
 
@@ -136,8 +154,11 @@ class Shard:
     def ids(self, k: int) -> np.ndarray:
         return self.tokens[self.offset(k) : self.offset(k + 1)]
 
-    def documents_ids(self) -> list[int | None]:
-        return [None] * self.nulls + [int(x) + self.base for x in self.doc_ids.all()]
+    def documents_ids(self, a: int, b: int) -> list[int | None]:
+        """Ids of documents ``a`` to ``b - 1``."""
+        nulls = max(0, min(b, self.nulls) - a)
+        known = self.doc_ids.window(max(0, a - self.nulls), max(0, b - self.nulls))
+        return [None] * nulls + [int(x) + self.base for x in known]
 
 
 def _file(uri: str):
@@ -150,33 +171,38 @@ def _write(folder: str, path: str, end_id: int):
     width = 2
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        codec, end = encoder(path, f"<u{width}"), np.array([end_id], dtype=f"<u{width}").tobytes()
+        codec = encoder(path, end_id, f"<u{width}")
         ids: list[int | None] = []
         lengths: list[int] = []
         parts: list[bytes] = []
-        total = 0
+        total, part, place = 0, TaskContext.get().partitionId(), 0
 
         def close() -> pd.DataFrame:
+            nonlocal total, place
             system, at = _file(folder)
             name = f"{at.rstrip('/')}/{uuid.uuid4().hex}.tok"
             with system.open_output_stream(name) as out:
                 out.write(Shard.build(ids, lengths, b"".join(parts), width))
-            row = pd.DataFrame({"file": [name.rsplit("/", 1)[1]], "first_id": pd.array([next((x for x in ids if x is not None), None)], dtype="Int64"), "last_id": pd.array([ids[-1]], dtype="Int64"), "n_ids": [total]})
+            row = pd.DataFrame({"file": [name.rsplit("/", 1)[1]], "part": [part], "place": [place], "first_id": pd.array([next((x for x in ids if x is not None), None)], dtype="Int64"), "last_id": pd.array([ids[-1]], dtype="Int64"), "n_ids": [total]})
             ids.clear(), lengths.clear(), parts.clear()
+            total, place = 0, place + 1
             return row
 
         for rows in batches:
             texts = [t or "" for t in rows["text"]]
             keys = [None if pd.isna(x) else int(x) for x in rows["doc_id"]]
             for a, b in blocks(texts):
-                for key, coded in zip(keys[a:b], codec.encode(texts[a:b]), strict=True):
-                    ids.append(key)
-                    parts += [coded, end]
-                    lengths.append(len(coded) // width + 1)
-                    total += lengths[-1]
+                coded, sizes = codec.encode(texts[a:b])
+                ends, done = np.cumsum(sizes), 0
+                while done < b - a:
+                    before = int(ends[done - 1]) if done else 0
+                    upto = min(b - a, int(np.searchsorted(ends, before + SHARD_IDS - total)) + 1)
+                    ids += keys[a + done : a + upto]
+                    lengths += sizes[done:upto].tolist()
+                    parts.append(coded[before : ends[upto - 1]].tobytes())
+                    total, done = total + int(ends[upto - 1]) - before, upto
                     if total >= SHARD_IDS:
                         yield close()
-                        total = 0
         if ids:
             yield close()
 
@@ -186,7 +212,8 @@ def _write(folder: str, path: str, end_id: int):
 def write(docs: DataFrame, path: str, end_id: int, folder: str | None = None) -> tuple[str, DataFrame]:
     """Writes all of ``docs(doc_id, text)``; the folder and its manifest.
 
-    The manifest has a row for each file, ``start`` being the ids before it.
+    The manifest has a row for each file: its range and place in it, ``start``
+    being the ids before it.
     """
     spark = docs.sparkSession
     bound_batches(spark)
@@ -194,10 +221,15 @@ def write(docs: DataFrame, path: str, end_id: int, folder: str | None = None) ->
     system, at = _file(folder)
     system.create_dir(at, recursive=True)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    ordered = rows.repartitionByRange(F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first())
-    files = materialize(ordered.mapInPandas(_write(folder, path, end_id), "file string, first_id long, last_id long, n_ids long"))
-    before = Window.orderBy(F.col("first_id").asc_nulls_first(), F.col("last_id").asc_nulls_first(), "file").rowsBetween(Window.unboundedPreceding, -1)
-    return folder, materialize(files.withColumn("start", F.coalesce(F.sum("n_ids").over(before), F.lit(0)).cast("long")))
+    # the second column deals out a null or repeated id that many rows have
+    tied = rows.withColumn("tie", F.rand(20040707))
+    ordered = tied.repartitionByRange(F.col("doc_id").asc_nulls_first(), "tie").sortWithinPartitions(F.col("doc_id").asc_nulls_first()).select("doc_id", "text")
+    files = materialize(ordered.mapInPandas(_write(folder, path, end_id), "file string, part int, place int, first_id long, last_id long, n_ids long"))
+    # two levels: this window has a row a range, the next one a row a file of its range
+    ranges = files.groupBy("part").agg(F.sum("n_ids").alias("of")).select(F.col("part").alias("p"), (F.sum("of").over(Window.orderBy("part")) - F.col("of")).alias("ranges_before"))
+    within = F.sum("n_ids").over(Window.partitionBy("part").orderBy("place")) - F.col("n_ids")
+    started = files.withColumn("within", within).join(F.broadcast(ranges), F.col("part") == F.col("p"))
+    return folder, materialize(started.select(*files.columns, (F.col("ranges_before") + F.col("within")).cast("long").alias("start")))
 
 
 def _read(folder: str):
@@ -207,11 +239,11 @@ def _read(folder: str):
             for name, start in zip(rows["file"], rows["start"], strict=True):
                 with system.open_input_file(f"{at.rstrip('/')}/{name}") as file:
                     shard = Shard(file.read())
-                bounds, doc_ids = shard.bounds.all(), shard.documents_ids()
-                for a in range(0, shard.documents, 4096):
-                    b = min(a + 4096, shard.documents)
-                    crc = [zlib.crc32(shard.tokens[bounds[k] : bounds[k + 1]].astype("<u4").tobytes()) for k in range(a, b)]
-                    yield pd.DataFrame({"doc_id": pd.array(doc_ids[a:b], dtype="Int64"), "start": bounds[a:b] + start, "n_tokens": np.diff(bounds[a : b + 1]), "ids_crc32": np.array(crc, dtype=np.int64)})
+                for a in range(0, shard.documents, ROWS):
+                    b = min(a + ROWS, shard.documents)
+                    bounds = shard.bounds.window(a, b + 1)
+                    crc = [zlib.crc32(shard.tokens[x:y].astype("<u4").tobytes()) for x, y in zip(bounds[:-1], bounds[1:], strict=True)]
+                    yield pd.DataFrame({"doc_id": pd.array(shard.documents_ids(a, b), dtype="Int64"), "start": bounds[:-1] + start, "n_tokens": np.diff(bounds), "ids_crc32": np.array(crc, dtype=np.int64)})
 
     return run
 

@@ -25,21 +25,62 @@ def test_pieces_give_the_library_ids(text):
     for path in (WORDS, BYTES):
         codec = tokens.encoder(path)
         want = codec.tokenizer.encode(text, add_special_tokens=False).ids
-        assert np.frombuffer(codec.encode([text])[0], "<u2").tolist() == want
+        assert codec.encode([text])[0].tolist() == want
+
+
+def _same(codec, texts):
+    want = [e.ids + [] if codec.end_id is None else [*e.ids, codec.end_id] for e in codec.tokenizer.encode_batch(texts, add_special_tokens=False)]
+    ids, lengths = codec.encode(texts)
+    ends = np.cumsum(lengths)
+    assert [ids[a:b].tolist() for a, b in zip(ends - lengths, ends)] == want and len(ids) == lengths.sum()
 
 
 def test_encoder_on_awkward_texts(encoders):
     texts = [t or "" for _, t, *_ in data.rows()]
-    for codec in encoders.values():
-        want = [e.ids for e in codec.tokenizer.encode_batch(texts, add_special_tokens=False)]
-        assert [np.frombuffer(x, "<u2").tolist() for x in codec.encode(texts)] == want
+    for path, codec in encoders.items():
+        _same(codec, texts)
+        _same(tokens.Encoder(path, 2), texts)
+        _same(codec, [])
+
+
+def test_encoder_cuts_long_and_odd_texts(monkeypatch):
+    """Small blocks, a table that begins anew, marks and odd letters in the midst."""
+    monkeypatch.setattr(tokens, "BLOCK", 5000)
+    monkeypatch.setattr(tokens, "PIECES", 300)
+    odd = ["\x00", "\x01x", "don\u2019t", " \u6f22\u5b57 ", "e\u0301", "\u00a0", "<|endoftext|>", "a<|b", "\x1c", "\U0001f600", "1\u00b2"]
+    rng = np.random.default_rng(3)
+    texts = []
+    for k in range(12):
+        words = data.prose(k, 3000).split(" ")
+        for at in rng.integers(0, len(words), 40 * (k % 3)):
+            words[at] += str(rng.choice(odd))
+        texts.append(" ".join(words))
+    texts += ["x" * 20_000, " " * 12_000, "a b " * 4000, "it's 'S 'tis we'll''ve l'll 'd's 12's .'s \n's  't\t'm", "", "\x00\x01", "\u6f22" * 6000]
+    for path in (WORDS, BYTES):
+        codec = tokens.Encoder(path, 3)
+        _same(codec, texts)
+        _same(codec, texts[::-1])
+
+
+def test_table_of_pieces():
+    table, rng = tokens.Pieces("<u2"), np.random.default_rng(5)
+    low = rng.integers(1, 1 << 63, 60_000).astype(np.uint64)
+    high = np.where(rng.random(60_000) < 0.5, 0, rng.integers(1, 50, 60_000)).astype(np.uint64)
+    for a in range(0, 60_000, 7000):
+        new = table.add([np.array([k & 0xFFFF, 1], dtype="<u2") for k in range(a, min(a + 7000, 60_000))])
+        table.insert(low[a : a + 7000], high[a : a + 7000], new)
+    assert (table.find(low, high) == np.arange(60_000)).all()
+    assert (table.find(low, high + np.uint64(100)) == -1).all()
+    assert (table.pool[table.offset[: table.n]] == np.arange(60_000) % 65536).all()
 
 
 @pytest.mark.parametrize("n,universe", [(0, 1), (1, 1), (1, 10**12), (1000, 1001), (5000, 10**9), (3000, 2000), (10, 2**62)])
 def test_elias_fano(n, universe):
     values = np.sort(np.random.default_rng(1).integers(0, universe, n))
     coded = token_store.EliasFano.build(values, universe)
-    assert (coded.all() == values).all()
+    assert (coded.window(0, n) == values).all()
+    for a, b in np.sort(np.random.default_rng(2).integers(0, n + 1, (30, 2)), axis=1):
+        assert (coded.window(a, b) == values[a:b]).all()
     assert [coded.select(k) for k in range(n)] == values.tolist()
     with pytest.raises(IndexError):
         coded.select(n)
@@ -48,13 +89,13 @@ def test_elias_fano(n, universe):
 def test_elias_fano_is_small():
     values = np.cumsum(np.random.default_rng(2).integers(1, 3000, 20_000))
     coded = token_store.EliasFano.build(values, int(values[-1]) + 1)
-    assert 64 * (len(coded.low) + len(coded.high)) < 20_000 * (2.2 + np.log2(values[-1] / 20_000) + 1)
+    assert 64 * sum(map(len, coded.arrays)) < 20_000 * (2.2 + np.log2(values[-1] / 20_000) + 1)
 
 
 def test_shard():
     ids, sizes = [None, -5, -5, 7], [3, 1, 2, 4]
     shard = token_store.Shard(token_store.Shard.build(ids, sizes, np.arange(10, dtype="<u2").tobytes(), 2))
-    assert shard.documents_ids() == ids
+    assert shard.documents_ids(0, 4) == ids and shard.documents_ids(1, 3) == ids[1:3] and shard.documents_ids(0, 1) == [None]
     assert [shard.ids(k).tolist() for k in range(4)] == [[0, 1, 2], [3], [4, 5], [6, 7, 8, 9]]
 
 
@@ -119,6 +160,41 @@ def test_pack(spark, encoders):
     _check_pieces(packing.pack(data.table(spark, rows), BYTES).collect(), texts)
 
 
+def test_neighbours_on_the_curve_share_sequences(spark):
+    """Documents of two kinds: most sequences hold one kind only, though ids alternate."""
+    rows = [(k, ("alpha beta gamma delta " if k % 2 else "one two three four ") * (20 + k % 7), "en", "a", 0, *[None] * 10) for k in range(200)]
+    kinds = {}
+    for r in packing.pack(data.table(spark, rows), BYTES).collect():
+        kinds.setdefault(r["sequence_id"], set()).add(r["doc_id"] % 2)
+    assert len(kinds) > 10 and sum(len(k) == 2 for k in kinds.values()) <= 2
+
+
+def test_keys_don_t_depend_on_the_block():
+    rng = np.random.default_rng(1)
+    lengths = rng.integers(1, 400, 1200)
+    ids = rng.integers(0, 50_000, lengths.sum()).astype("<u2")
+    ends = np.cumsum(lengths)
+    whole = packing.curve_keys(ids, lengths)
+    alone = [packing.curve_keys(ids[e - n : e], np.array([n]))[0] for n, e in zip(lengths, ends)]
+    assert whole.tolist() == alone
+
+
+def test_many_rows_with_one_id(spark):
+    rows = [(None if k % 3 else 5, data.prose(k, 40), "en", "a", 0, *[None] * 10) for k in range(300)]
+    key = "spark.sql.adaptive.coalescePartitions.enabled"  # small tables come in one range otherwise
+    spark.conf.set(key, "false")
+    try:
+        folder, manifest = token_store.write(data.table(spark, rows), WORDS, 2)
+        got = token_store.read(folder, manifest).collect()
+    finally:
+        spark.conf.unset(key)
+    assert len(got) == 300 and manifest.count() > 1
+    at = 0
+    for k, r in enumerate(sorted(got, key=lambda r: r["start"])):
+        assert r["start"] == at and r["doc_id"] == (None if k < 200 else 5)
+        at += r["n_tokens"]
+
+
 def test_pack_counts_repeats_and_null_ids(spark, encoders):
     got = packing.pack(data.table(spark), BYTES).collect()
     want = sum(len(encoders[BYTES].tokenizer.encode(t or "", add_special_tokens=False).ids) + 1 for _, t, *_ in data.rows())
