@@ -3,10 +3,17 @@
 DataFrame functions only. Every signal of a row is an integer in thousandths;
 its sketch is a log-linear histogram (32 to 63 steps for each power of two), a
 mergeable quantile summary with a relative error of 1/32: counts of a bucket
-add up whatever the order of rows or partitions. A group's sketch gives its
-quartiles; the fence is ``q3 + 3 * (q3 - q1) + slack``. Groups with fewer than
-``min_group`` rows use the sum of the sketches of their language, and that
-failing, of all rows.
+add up whatever the order of rows or partitions. Rows that fail the fixed base
+rule are left out of the sketches, so that junk doesn't set its own limits.
+
+No threshold is a number of its own; all are read off the sketches. A limit lies
+as far beyond a percentile as that is from the median: for characters per word,
+which is odd on both sides, beyond the ``LOW``-th and the ``HIGH``-th; for shares
+(symbols, repeated lines, repeated words), which are 0 on most rows, beyond the
+``TOP``-th. A value is compared by its step of the sketch.
+
+A group with fewer than ``min_group`` rows in the sketch uses the sum of the
+sketches of its language, and that failing, of all rows.
 
 Defined results: a null text has no words; a null language or source is a group
 of its own; an empty table gives no rows; repeated rows count as often as they
@@ -22,8 +29,9 @@ from .common import WORD, broadcast_if_small, materialize
 
 SPACE = r"[\x20\x09-\x0D]"
 SYMBOLS = r"[#*$%&|<>]"
-#: What a signal may exceed its group's quartile fence by, in thousandths.
-SLACK = {"symbols_per_word": 100, "chars_per_word": 2000, "dup_line_share": 500, "repeat_share": 300}
+SHARES = ["symbols_per_word", "dup_line_share", "repeat_share"]
+LEVEL = "chars_per_word"
+LOW, HIGH, TOP = 5, 95, 99
 
 
 def _bind(value: Column, body) -> Column:
@@ -43,7 +51,7 @@ def _covered(hashes: Column) -> Column:
 def repeat_words(words: Column) -> Column:
     hashes = _bind(words, lambda w: F.transform(F.sequence(F.lit(1), F.size(w) - 7), lambda i: F.xxhash64(F.slice(w, i, 8))))
     counted = _bind(hashes, lambda h: F.when(F.size(F.array_distinct(h)) == F.size(h), F.lit(0).cast("long")).otherwise(_covered(h)))
-    return F.when(F.size(words) >= 16, counted).when(F.size(words) > 8, counted).otherwise(F.lit(0).cast("long"))
+    return F.when(F.size(words) > 8, counted).otherwise(F.lit(0).cast("long"))
 
 
 def signals(docs: DataFrame) -> DataFrame:
@@ -69,55 +77,64 @@ def _thousandths(part: str, whole: str) -> Column:
     return F.when(F.col(whole) > 0, F.expr(f"({part} * 1000) div {whole}")).otherwise(F.lit(0)).cast("long")
 
 
-def _bucket(value: Column) -> Column:
+def _bucket(value: str) -> Column:
     """The lower end of a value's histogram step: its six leading bits stay."""
-    return F.expr("shiftleft(shiftright(value, greatest(length(bin(value)) - 6, 0)), greatest(length(bin(value)) - 6, 0))")
+    cut = f"greatest(length(bin({value})) - 6, 0)"
+    return F.expr(f"shiftleft(shiftright({value}, {cut}), {cut})")
 
 
-def quantile_fences(measured: DataFrame, min_group: int) -> DataFrame:
-    """``lang, source, fence_<signal>`` of every group that occurs."""
-    stacked = ", ".join(f"'{s}', {s}" for s in SLACK)
-    sketches = (
-        measured.select("lang", "source", F.expr(f"stack({len(SLACK)}, {stacked}) as (signal, value)"))
-        .groupBy("lang", "source", "signal", _bucket(F.col("value")).alias("bucket"))
-        .agg(F.count(F.lit(1)).alias("n"))
-    )
-    sketches = materialize(sketches)
+def sketch(measured: DataFrame) -> DataFrame:
+    """``lang, source, signal, bucket, n`` of the rows that pass the base rule."""
+    names = [*SHARES, LEVEL]
+    stacked = ", ".join(f"'{s}', {s}" for s in names)
+    rows = measured.filter("NOT base_failed").select("lang", "source", F.expr(f"stack({len(names)}, {stacked}) as (signal, value)"))
+    return rows.groupBy("lang", "source", "signal", _bucket("value").alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def _percentiles(sketches: DataFrame, by: list[str]) -> DataFrame:
+    """A row a group: how many rows its sketch has, and the limits of each signal."""
+    merged = sketches.groupBy(*by, "signal", "bucket").agg(F.sum("n").alias("n"))
+    part = Window.partitionBy(*by, "signal")
+    run = merged.withColumn("upto", F.sum("n").over(part.orderBy("bucket"))).withColumn("of", F.sum("n").over(part))
+    at = lambda s, q: F.min(F.when((F.col("signal") == s) & (F.col("upto") * 100 >= F.col("of") * q), F.col("bucket")))
+    beyond = lambda s, q: 2 * at(s, q) - at(s, 50)
+    limits = [beyond(LEVEL, LOW).alias("least"), beyond(LEVEL, HIGH).alias(f"most_{LEVEL}"), *[beyond(s, TOP).alias(f"most_{s}") for s in SHARES]]
+    return run.groupBy(*by).agg(F.max("of").alias("of"), *limits)
 
-    def fences(by: list[str]) -> DataFrame:
-        merged = sketches.groupBy(*by, "signal", "bucket").agg(F.sum("n").alias("n"))
-        part = Window.partitionBy(*by, "signal")
-        run = merged.withColumn("upto", F.sum("n").over(part.orderBy("bucket"))).withColumn("of", F.sum("n").over(part))
-        quartile = lambda q: F.min(F.when(F.col("upto") * 4 >= F.col("of") * q, F.col("bucket")))
-        slack = F.element_at(F.create_map(*[x for s, v in SLACK.items() for x in (F.lit(s), F.lit(v))]), F.col("signal"))
-        found = run.groupBy(*by, "signal").agg(quartile(1).alias("q1"), quartile(3).alias("q3"), F.max("of").alias("of"))
-        return found.withColumn("fence", F.col("q3") + 3 * (F.col("q3") - F.col("q1")) + slack)
 
-    groups = fences(["lang", "source"])
-    langs = fences(["lang"]).select(F.col("lang").alias("l"), F.col("signal").alias("ls"), F.col("of").alias("l_of"), F.col("fence").alias("l_fence"))
-    every = fences([]).select(F.col("signal").alias("es"), F.col("fence").alias("e_fence"))
-    joined = groups.join(langs, F.col("lang").eqNullSafe(F.col("l")) & (F.col("signal") == F.col("ls"))).join(F.broadcast(every), F.col("signal") == F.col("es"))
-    fence = F.when(F.col("of") >= min_group, F.col("fence")).when(F.col("l_of") >= min_group, F.col("l_fence")).otherwise(F.col("e_fence"))
-    return joined.groupBy("lang", "source").agg(*[F.max(F.when(F.col("signal") == s, fence)).alias(f"fence_{s}") for s in SLACK])
+def fences(sketches: DataFrame, groups: DataFrame, min_group: int) -> DataFrame:
+    """``lang, source, least, most_<signal>`` of every group in ``groups(lang, source)``."""
+    every = _percentiles(sketches, []).first()
+    own, langs = _percentiles(sketches, ["lang", "source"]), _percentiles(sketches, ["lang"])
+    own = own.withColumnsRenamed({c: f"g_{c}" for c in own.columns})
+    langs = langs.withColumnsRenamed({c: f"l_{c}" for c in langs.columns})
+    joined = groups.join(own, F.col("lang").eqNullSafe(F.col("g_lang")) & F.col("source").eqNullSafe(F.col("g_source")), "left").join(langs, F.col("lang").eqNullSafe(F.col("l_lang")), "left")
+
+    def pick(limit: str) -> Column:
+        of_all = F.lit(every[limit] if every else None).cast("long")
+        return F.when(F.col("g_of") >= min_group, F.col(f"g_{limit}")).when(F.col("l_of") >= min_group, F.col(f"l_{limit}")).otherwise(of_all).alias(limit)
+
+    return joined.select("lang", "source", pick("least"), *[pick(f"most_{s}") for s in [LEVEL, *SHARES]])
 
 
 def apply_rules(docs: DataFrame, min_group: int = 200, min_words: int = 20, max_repeat_percent: int = 30) -> DataFrame:
     """Counts, ``base_failed`` and ``kept`` for every row of ``docs``."""
+    failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat_percent * F.col("n_words"))
     measured = materialize(
         signals(docs).select(
             "*",
+            failed.alias("base_failed"),
             _thousandths("n_symbols", "n_words").alias("symbols_per_word"),
             _thousandths("word_chars", "n_words").alias("chars_per_word"),
             _thousandths("n_dup_lines", "n_lines").alias("dup_line_share"),
             _thousandths("n_repeat_words", "n_words").alias("repeat_share"),
         )
     )
-    fences = materialize(quantile_fences(measured, min_group))
-    limits = broadcast_if_small(fences.withColumnsRenamed({"lang": "f_lang", "source": "f_source"}), fences.count())
-    failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat_percent * F.col("n_words"))
-    inside = F.lit(True)
-    for s in SLACK:
-        inside = inside & (F.col(s) <= F.col(f"fence_{s}"))
+    found = materialize(fences(materialize(sketch(measured)), measured.select("lang", "source").distinct(), min_group))
+    limits = broadcast_if_small(found.withColumnsRenamed({"lang": "f_lang", "source": "f_source"}), found.count())
+    inside = _bucket(LEVEL) >= F.col("least")
+    for s in [LEVEL, *SHARES]:
+        inside = inside & (_bucket(s) <= F.col(f"most_{s}"))
     return measured.join(limits, F.col("lang").eqNullSafe(F.col("f_lang")) & F.col("source").eqNullSafe(F.col("f_source"))).select(
-        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), (~failed & inside).alias("kept")
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & inside).alias("kept")
     )

@@ -105,28 +105,37 @@ WITH d AS (
   SELECT *, CASE WHEN n_words > 0 THEN n_symbols * 1000 // n_words ELSE 0 END AS s1,
          CASE WHEN n_words > 0 THEN word_chars * 1000 // n_words ELSE 0 END AS s2,
          CASE WHEN n_lines > 0 THEN n_dup_lines * 1000 // n_lines ELSE 0 END AS s3,
-         CASE WHEN n_words > 0 THEN n_repeat_words * 1000 // n_words ELSE 0 END AS s4
+         CASE WHEN n_words > 0 THEN n_repeat_words * 1000 // n_words ELSE 0 END AS s4,
+         (n_words < 20 OR 100 * n_repeat_words > 30 * n_words) AS base_failed
   FROM m
 ), v AS (
-  SELECT lang, source, unnest([1, 2, 3, 4]) AS sig, unnest([s1, s2, s3, s4]) AS x FROM f
+  SELECT lang, source, unnest([1, 2, 3, 4]) AS sig, unnest([s1, s2, s3, s4]) AS x FROM f WHERE NOT base_failed
 ), k AS MATERIALIZED (
-  SELECT lang, source, sig, (x >> greatest(length(bin(x)) - 6, 0)) << greatest(length(bin(x)) - 6, 0) AS b FROM v
-), g AS MATERIALIZED (
-  SELECT lang, source, sig, count(*) AS n, quantile_disc(b, 0.25) AS q1, quantile_disc(b, 0.75) AS q3 FROM k GROUP BY ALL
-), gl AS MATERIALIZED (
-  SELECT lang, sig, count(*) AS n, quantile_disc(b, 0.25) AS q1, quantile_disc(b, 0.75) AS q3 FROM k GROUP BY ALL
-), ge AS MATERIALIZED (
-  SELECT sig, quantile_disc(b, 0.25) AS q1, quantile_disc(b, 0.75) AS q3 FROM k GROUP BY ALL
+  SELECT lang, source, sig, (x >> greatest(length(bin(x)) - 6, 0)) << greatest(length(bin(x)) - 6, 0) AS b, count(*) AS n FROM v GROUP BY ALL
+), u AS (
+  SELECT 1 AS level, lang, source, sig, b, n FROM k
+  UNION ALL SELECT 2, lang, NULL, sig, b, sum(n) FROM k GROUP BY lang, sig, b
+  UNION ALL SELECT 3, NULL, NULL, sig, b, sum(n) FROM k GROUP BY sig, b
+), q AS MATERIALIZED (
+  SELECT level, lang, source, sig, any_value(n) AS n, 2 * min(b) FILTER (upto * 100 >= n * 5) - min(b) FILTER (upto * 100 >= n * 50) AS least,
+         2 * min(b) FILTER (upto * 100 >= n * CASE WHEN sig = 2 THEN 95 ELSE 99 END) - min(b) FILTER (upto * 100 >= n * 50) AS most
+  FROM (SELECT level, lang, source, sig, b, sum(n) OVER (PARTITION BY level, lang, source, sig ORDER BY b) AS upto, sum(n) OVER (PARTITION BY level, lang, source, sig) AS n FROM u)
+  GROUP BY level, lang, source, sig
 ), fence AS MATERIALIZED (
-  SELECT g.lang, g.source, g.sig,
-         CASE WHEN g.n >= 200 THEN g.q3 + 3 * (g.q3 - g.q1) WHEN gl.n >= 200 THEN gl.q3 + 3 * (gl.q3 - gl.q1) ELSE ge.q3 + 3 * (ge.q3 - ge.q1) END
-           + ([100, 2000, 500, 300])[g.sig] AS limit_
-  FROM g JOIN gl ON g.lang IS NOT DISTINCT FROM gl.lang AND g.sig = gl.sig JOIN ge ON g.sig = ge.sig
+  SELECT p.lang, p.source, s.sig, CASE WHEN g.n >= 200 THEN g.least WHEN gl.n >= 200 THEN gl.least ELSE ge.least END AS least,
+         CASE WHEN g.n >= 200 THEN g.most WHEN gl.n >= 200 THEN gl.most ELSE ge.most END AS most
+  FROM (SELECT DISTINCT lang, source FROM f) AS p CROSS JOIN (SELECT unnest([1, 2, 3, 4]) AS sig) AS s
+  LEFT JOIN q AS g ON g.level = 1 AND g.lang IS NOT DISTINCT FROM p.lang AND g.source IS NOT DISTINCT FROM p.source AND g.sig = s.sig
+  LEFT JOIN q AS gl ON gl.level = 2 AND gl.lang IS NOT DISTINCT FROM p.lang AND gl.sig = s.sig LEFT JOIN q AS ge ON ge.level = 3 AND ge.sig = s.sig
 ), wide AS MATERIALIZED (
-  SELECT lang, source, max(limit_) FILTER (sig = 1) AS f1, max(limit_) FILTER (sig = 2) AS f2, max(limit_) FILTER (sig = 3) AS f3, max(limit_) FILTER (sig = 4) AS f4
+  SELECT lang, source, max(least) FILTER (sig = 2) AS least, max(most) FILTER (sig = 1) AS f1, max(most) FILTER (sig = 2) AS f2,
+         max(most) FILTER (sig = 3) AS f3, max(most) FILTER (sig = 4) AS f4
   FROM fence GROUP BY ALL
 ), o AS (
-  SELECT f.*, (n_words < 20 OR 100 * n_repeat_words > 30 * n_words) AS base_failed, s1 <= f1 AND s2 <= f2 AND s3 <= f3 AND s4 <= f4 AS inside
+  SELECT f.*, (s1 >> greatest(length(bin(s1)) - 6, 0)) << greatest(length(bin(s1)) - 6, 0) <= f1
+              AND (s2 >> greatest(length(bin(s2)) - 6, 0)) << greatest(length(bin(s2)) - 6, 0) BETWEEN least AND f2
+              AND (s3 >> greatest(length(bin(s3)) - 6, 0)) << greatest(length(bin(s3)) - 6, 0) <= f3
+              AND (s4 >> greatest(length(bin(s4)) - 6, 0)) << greatest(length(bin(s4)) - 6, 0) <= f4 AS inside
   FROM f JOIN wide ON f.lang IS NOT DISTINCT FROM wide.lang AND f.source IS NOT DISTINCT FROM wide.source
 )
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, (NOT base_failed AND inside) AS kept FROM o
