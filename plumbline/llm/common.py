@@ -25,7 +25,7 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 #: Bytes of text that go to a Python worker at a time.
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 2 << 20
 
 
 def bound_batches(spark: SparkSession) -> None:

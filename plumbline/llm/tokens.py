@@ -29,7 +29,7 @@ PIECES, POOL = 1 << 20, 1 << 23
 #: Pieces longer than this aren't kept.
 KEPT = 64
 #: Characters that are cut at a time, and the pieces that the library gets in one text.
-BLOCK, JOINED = 1_000_000, 64
+BLOCK, JOINED = 250_000, 64
 
 _L = "A-Za-zÀ-ÖØ-öø-ÿ"
 #: What the cuts below aren't proved for; the first two code points are marks of a block.
@@ -349,7 +349,7 @@ def encoder(path: str, end_id: int | None = None, dtype: str = "<u2") -> Encoder
     return held(("encoder", path, end_id, dtype), lambda: Encoder(path, end_id, dtype))
 
 
-def blocks(texts: list[str], most: int = 4_000_000):
+def blocks(texts: list[str], most: int = 1_000_000):
     """Ranges of rows of about ``most`` characters."""
     start = size = 0
     for k, t in enumerate(texts):

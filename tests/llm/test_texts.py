@@ -115,6 +115,57 @@ def test_model_sums_to_one(spark):
     assert abs(total - 1).max() < 1e-3
 
 
+def slow_kneser_ney(texts, table):
+    """-log p of a 4-gram by the textbook formulas, with dictionaries and recursion."""
+    from collections import Counter, defaultdict
+
+    counts = Counter()
+    for t in texts:
+        codes, _ = ngram_quality.marked_codes([t])
+        s = [int(table[c]) for c in codes]
+        counts.update(tuple(s[k - 3 : k + 1]) for k in range(3, len(s)) if codes[k] != ngram_quality.START)
+    orders = {4: counts}
+    for k in (3, 2, 1):
+        orders[k] = Counter(g[1:] for g in orders[k + 1])
+    off, total, saved = {}, defaultdict(int), defaultdict(float)
+    for k, of in orders.items():
+        n = Counter(of.values())
+        d = ngram_quality.discounts(*[n[i] for i in (1, 2, 3, 4)])
+        for g, c in of.items():
+            off[g] = min(d[min(c, 3) - 1], c)
+            total[g[:-1]] += c
+            saved[g[:-1]] += off[g]
+
+    def p(g):
+        below = p(g[1:]) if len(g) > 1 else 1 / ngram_quality.SYMBOLS
+        context = g[:-1]
+        if not total[context]:
+            return below
+        own = (orders[len(g)][g] - off[g]) / total[context] if g in off else 0.0
+        return own + saved[context] / total[context] * below
+
+    return p
+
+
+def test_perplexity_by_brute_force(spark):
+    """Every row's mean cost against a model of dictionaries over the whole of the same trusted texts."""
+    rows = [(k, data.prose(k, 25 + k % 9) if k % 7 else "Ünïcödé " + data.prose(k, 5), "en", "a", 0, *[None] * 10) for k in range(60)] + [(100, "zzz qqq 漢字 ###", "en", "a", 0, *[None] * 10), (101, "the the the", "de", "a", 0, *[None] * 10)]
+    trusted = [t for k, t, *_ in rows if k < 40]
+    docs = spark.createDataFrame([(t,) for t in trusted], "text string")
+    common = docs.mapInPandas(ngram_quality._symbol_counts, "code int, n long").groupBy("code").sum("n").collect()
+    frequent = [int(c) for c, _ in sorted(common, key=lambda r: (-r[1], r[0]))]
+    table = ngram_quality.alphabet_table(frequent[: ngram_quality.SYMBOLS])
+    p = slow_kneser_ney(trusted, table)
+    labels = spark.createDataFrame([(k, 1) for k in range(40)], "doc_id long, quality int")
+    got = {r["doc_id"]: r for r in ngram_quality.classify(data.table(spark, rows), labels, prior=0).collect()}
+    for k, t, *_ in rows:
+        codes, _ = ngram_quality.marked_codes([t])
+        s = [int(table[c]) for c in codes]
+        cost = [-np.log(p(tuple(s[j - 3 : j + 1]))) for j in range(3, len(s))]
+        assert got[k]["n_symbols"] == len(cost)
+        assert np.log(got[k]["perplexity"]) == pytest.approx(np.mean(cost), abs=1e-4)
+
+
 def test_marks():
     codes, doc = ngram_quality.marked_codes(["The the\nTHE cat cat cat", "", "cat"])
     S, R, U = ngram_quality.START, ngram_quality.REPEAT, ngram_quality.SHIFT
