@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import re
 import tempfile
 import uuid
+import warnings
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,15 +16,56 @@ from pyspark.sql import functions as F
 BROADCAST_ROWS = 200_000
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """A new folder below the one that the cluster shares; a local one where none is set.
+#: Folders of this process's sessions, deleted when it ends.
+_roots: set[str] = set()
+
+
+def _delete(root: str) -> None:
+    from pyarrow import fs
+
+    with contextlib.suppress(OSError, ValueError):
+        system, at = fs.FileSystem.from_uri(root)
+        system.delete_dir(at)
+
+
+@atexit.register
+def _delete_all() -> None:
+    for root in _roots:
+        _delete(root)
+
+
+def shared_root(spark: SparkSession) -> str:
+    """The folder of this application below the one that the cluster shares.
 
+    Where none is set, a local session takes the machine's temporary folder, with
+    a warning; a cluster is an error, since executors wouldn't see one another's files.
     The name has its scheme, so that Spark and Python workers find the same place.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.gettempdir()}/plumbline-shared"
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        master = spark.sparkContext.master
+        if not (master.startswith("local") and not master.startswith("local-cluster")):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        root = f"file://{tempfile.gettempdir()}/plumbline-shared"
+        warnings.warn(f"spark.checkpoint.dir isn't set: {root} is used", stacklevel=3)
     path = spark._jvm.org.apache.hadoop.fs.Path(root.rstrip("/"))
     root = path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString()
-    return f"{re.sub('^file:/+', 'file:///', root)}/plumbline-{uuid.uuid4().hex}"
+    root = f"{re.sub('^file:/+', 'file:///', root)}/plumbline-{spark.sparkContext.applicationId}"
+    _roots.add(root)
+    return root
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """A new folder below :func:`shared_root`."""
+    return f"{shared_root(spark)}/{uuid.uuid4().hex}"
+
+
+def clean(spark: SparkSession) -> None:
+    """Deletes all that this application has written to the shared folder.
+
+    DataFrames made before can't be read any more. The end of the process does the same.
+    """
+    _delete(shared_root(spark))
 
 
 def materialize(df: DataFrame) -> DataFrame:

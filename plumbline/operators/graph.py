@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import vectors as V
+from ..functions.storage import materialize
 from .knn import BATCH, blocked_top_k, rough_squared_distances
 
 #: Base vectors up to which a graph is given to every task; a beam search needs
@@ -121,6 +123,36 @@ class Graph:
         return (q, r + 1, final[q, r]), (who[real], upper[real], what[real])
 
 
+def walk(queries: DataFrame, base: DataFrame, edges: DataFrame, steps: dict[str, float], rounds: int, width: int, degree: int, entries: int) -> DataFrame:
+    """``query_id, model, base_id, exact, dist``: all that a search evaluates, by DataFrame operations.
+
+    Every query starts at the ``entries`` base vectors with the least MD5 of their
+    ids. In each round the neighbours (the first ``degree`` edges) of its ``width``
+    best are evaluated. ``steps`` names the distance sources of one and the same
+    graph: 0 is exact, else base vectors are rounded to multiples. A query's own
+    row takes no part. Rounds are written, so none is computed twice.
+    """
+    key = F.md5(F.concat_ws(":", F.lit("13"), F.col("base_id").cast("string")))
+    first = [r[0] for r in base.select("base_id", key.alias("k")).orderBy("k", "base_id").limit(entries).collect()]
+    source = F.array(*[F.struct(F.lit(m).alias("model"), F.lit(float(x)).alias("step")) for m, x in steps.items()])
+    near = edges.filter(F.col("rk") <= degree).select("src", "dst")
+
+    def evaluated(rows: DataFrame) -> DataFrame:
+        at = rows.filter("query_id <> base_id").join(base.select("base_id", "be"), "base_id").join(queries.select("query_id", "qe"), "query_id")
+        rounded = F.transform("be", lambda v: F.floor(v / F.col("step") + 0.5) * F.col("step"))
+        exact = V.squared_l2(F.col("qe"), F.col("be"))
+        dist = F.when(F.col("step") == 0, exact).otherwise(V.squared_l2(F.col("qe"), rounded))
+        return at.select("query_id", "model", "step", "base_id", exact.alias("exact"), dist.alias("dist"))
+
+    found = materialize(evaluated(queries.select("query_id", F.inline(source)).withColumn("base_id", F.explode(F.array(*[F.lit(x).cast("long") for x in first])))))
+    best = Window.partitionBy("query_id", "model").orderBy("dist", "base_id")
+    for _ in range(rounds):
+        beam = found.withColumn("r", F.row_number().over(best)).filter(F.col("r") <= width)
+        new = beam.join(near, F.col("base_id") == F.col("src")).select("query_id", "model", "step", F.col("dst").alias("base_id")).distinct()
+        found = materialize(found.unionByName(evaluated(new.join(found.select("query_id", "model", "base_id"), ["query_id", "model", "base_id"], "left_anti"))))
+    return found.select("query_id", "model", "base_id", "exact", "dist")
+
+
 def native_heap(ids: list[int], scores: list[float], k: int) -> list[int]:
     """A new item enters only if strictly closer than the worst, which (distance, id) names."""
     held: list[tuple[float, int]] = []
@@ -149,14 +181,21 @@ def native_top_k(scored: DataFrame, k: int) -> DataFrame:
     return scored.groupBy("query_id", "model").applyInPandas(fold, "query_id long, model string, rank long, base_id long")
 
 
-def beam_search(queries: DataFrame, base: DataFrame, edges: DataFrame, width: int, k: int, step: float | None = None) -> DataFrame:
+def beam_search(queries: DataFrame, base: DataFrame, edges: DataFrame, width: int, k: int, step: float | None = None, same: bool = False) -> DataFrame:
     """``query_id, width, phase, pos, base_id, rank``: every evaluation, and the rank of results.
 
     ``step`` swaps the distance source: the same graph is searched over base
-    vectors rounded to multiples of it.
+    vectors rounded to multiples of it. ``same``: a query's own row is no result.
+    Edges between vectors that aren't there, and vectors of another length, are errors.
     """
     spark = queries.sparkSession
     n = base.count()
+    lengths = {r[0] for df, c in ((queries, "qe"), (base, "be")) for r in df.select(F.size(c)).distinct().limit(2).collect()}
+    if len(lengths) > 1:
+        raise ValueError("queries and base vectors differ in length")
+    ends = edges.select(F.col("src").alias("id")).union(edges.select("dst")).distinct()
+    if not ends.join(base.select(F.col("base_id").alias("id")), "id", "left_anti").isEmpty():
+        raise ValueError("the graph has nodes that are no base vectors")
     if n > SHARD:
         raise ValueError(f"a graph of over {SHARD} vectors is too large for a task: use sharded_beam_search")
     b, e = base.orderBy("base_id").select("base_id", "be").toPandas(), edges.toPandas()
@@ -169,7 +208,12 @@ def beam_search(queries: DataFrame, base: DataFrame, edges: DataFrame, width: in
             stored = g.vectors if step is None else np.floor(g.vectors / step + 0.5) * step
             for a in range(0, len(rows), TOGETHER):
                 key = rows["query_id"].to_numpy()[a : a + TOGETHER]
-                (q, rank, node), (who, upper, what) = g.search(stored, np.stack(rows["qe"].iloc[a : a + TOGETHER].to_numpy()), width, k)
+                (q, rank, node), (who, upper, what) = g.search(stored, np.stack(rows["qe"].iloc[a : a + TOGETHER].to_numpy()), width, k + 1)
+                own = (key[q] == g.ids[node]) & same  # a query's own row is walked over but no result
+                place = np.full(len(key), k + 2)
+                place[q[own]] = rank[own]
+                rank = rank - (rank > place[q])
+                q, rank, node = (x[~own & (rank <= k)] for x in (q, rank, node))
                 out = pd.DataFrame({"who": who, "upper": upper, "what": what}).drop_duplicates().sort_values("who", kind="stable")
                 out = out.merge(pd.DataFrame({"who": q, "upper": False, "what": node, "rank": rank}), how="left", on=["who", "upper", "what"])
                 yield pd.DataFrame(
@@ -186,7 +230,7 @@ def beam_search(queries: DataFrame, base: DataFrame, edges: DataFrame, width: in
     return queries.select("query_id", "qe").mapInPandas(run, "query_id long, width long, phase string, pos long, base_id long, rank long")
 
 
-def sharded_beam_search(queries: DataFrame, base: DataFrame, degree: int, width: int, k: int, shard: int = 16_384) -> DataFrame:
+def sharded_beam_search(queries: DataFrame, base: DataFrame, degree: int, width: int, k: int, shard: int = 16_384, same: bool = False) -> DataFrame:
     """``query_id, rank, base_id, d`` over a base of any size.
 
     Base vectors are dealt into shards by hash. A task links its shard's vectors
@@ -222,10 +266,11 @@ def sharded_beam_search(queries: DataFrame, base: DataFrame, degree: int, width:
                     g = g or build(np.concatenate(ids), np.concatenate(parts))
                     for a in range(0, len(key), TOGETHER):
                         asked_now = vectors[a : a + TOGETHER]
-                        (q, _, node), _ = g.search(g.vectors, asked_now, width, k)
+                        (q, _, node), _ = g.search(g.vectors, asked_now, width, k + 1)
                         d = g.vectors[node] - asked_now[q]
                         yield pd.DataFrame({"query_id": key[a : a + TOGETHER][q], "base_id": g.ids[node], "d": np.einsum("nj,nj->n", d, d)})
 
     laid = dealt.union(asked).repartitionById(shards, F.col("block")).sortWithinPartitions("block", "asks", "id")
     found = laid.mapInPandas(run, "query_id long, base_id long, d double")
+    found = found.filter("query_id <> base_id") if same else found
     return found.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("d", "base_id")).cast("long")).filter(F.col("rank") <= k).select("query_id", "rank", "base_id", "d")

@@ -87,11 +87,21 @@ def blocked_top_k(queries: DataFrame, base: DataFrame, k: int, names: tuple[str,
     return found.withColumn("rk", F.row_number().over(best)).filter(F.col("rk") <= k)
 
 
-def exact_top_k(queries: DataFrame, base: DataFrame, k: int) -> DataFrame:
-    """Ground truth ``query_id, base_id, d, rk`` by squared Euclidean distance."""
+def others(found: DataFrame, k: int, by: str) -> DataFrame:
+    """The ``k`` nearest without a query's own row, from ``k + 1`` that may hold it."""
+    best = Window.partitionBy("query_id").orderBy(by, "base_id")
+    return found.filter("query_id <> base_id").withColumn("rk", F.row_number().over(best)).filter(F.col("rk") <= k)
+
+
+def exact_top_k(queries: DataFrame, base: DataFrame, k: int, same: bool = False) -> DataFrame:
+    """Ground truth ``query_id, base_id, d, rk`` by squared Euclidean distance.
+
+    ``same``: queries are rows of ``base``, and a query's own row is no neighbour.
+    """
     q = queries.select(F.col("query_id").alias("id"), F.col("qe").alias("vector"))
     b = base.select(F.col("base_id").alias("id"), F.col("be").alias("vector"))
-    return blocked_top_k(q, b, k, ("query_id", "base_id", "d"))
+    names = ("query_id", "base_id", "d")
+    return others(blocked_top_k(q, b, k + 1, names), k, "d") if same else blocked_top_k(q, b, k, names)
 
 
 def identity_distances(queries: np.ndarray, base: np.ndarray) -> np.ndarray:
@@ -99,24 +109,27 @@ def identity_distances(queries: np.ndarray, base: np.ndarray) -> np.ndarray:
     return np.round(rough_squared_distances(queries, base), 9)
 
 
-def _within(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    block, parts, base = None, [], None
+def _within(batches: Iterator[pd.DataFrame], same: bool = False) -> Iterator[pd.DataFrame]:
+    block, ids, parts, base = None, [], [], None
     for rows in batches:
         for (b, asks), part in rows.groupby(["block", "asks"], sort=True):
             vectors = np.stack(part["vector"].to_numpy()).astype(np.float64)
             if b != block:
-                block, parts, base = b, [], None
+                block, ids, parts, base = b, [], [], None
             if not asks:
+                ids.append(part["id"].to_numpy())
                 parts.append(vectors)
             elif parts:
                 if base is None:
-                    base = np.concatenate(parts)
+                    base, known = np.concatenate(parts), np.concatenate(ids)
                     largest = float((base * base).sum(axis=1).max())
                 key, bound = part["id"].to_numpy(), part["bound"].to_numpy()
                 for a in range(0, len(key), BATCH):
                     asked, d10 = vectors[a : a + BATCH], bound[a : a + BATCH]
                     slack = 1e-9 * (largest + float((asked * asked).sum(axis=1).max()) + 1e-300)
                     rough = rough_squared_distances(asked, base) - d10[:, None]
+                    if same:
+                        rough[known[None, :] == key[a : a + BATCH, None]] = np.inf
                     closer = (rough < -slack).sum(axis=1)
                     q, at = np.nonzero(np.abs(rough) <= slack)
                     d = _pairs(asked, base, q, at)
@@ -125,11 +138,11 @@ def _within(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                     yield pd.DataFrame({"query_id": key[a : a + BATCH], "bound": d10, "closer": closer, "tied": tied})
 
 
-def count_within(queries: DataFrame, base: DataFrame, block: int = BLOCK) -> DataFrame:
-    """``queries(id, vector, bound)``, ``base(id, vector)`` -> ``query_id, bound, closer, tied`` over all of ``base``."""
+def count_within(queries: DataFrame, base: DataFrame, block: int = BLOCK, same: bool = False) -> DataFrame:
+    """``queries(id, vector, bound)``, ``base(id, vector)`` -> ``query_id, bound, closer, tied`` over all of ``base``, or all but the own row."""
     blocks = max(1, -(-base.count() // block))
     dealt = base.select(F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("block"), F.lit(0).alias("asks"), "id", "vector", F.lit(None).cast("double").alias("bound"))
     asked = queries.select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), F.lit(1).alias("asks"), "id", "vector", "bound")
     laid = dealt.union(asked).repartitionById(blocks, F.col("block")).sortWithinPartitions("block", "asks")
-    found = laid.mapInPandas(_within, "query_id long, bound double, closer long, tied long")
+    found = laid.mapInPandas(lambda batches: _within(batches, same), "query_id long, bound double, closer long, tied long")
     return found.groupBy("query_id", "bound").agg(F.sum("closer").alias("closer"), F.sum("tied").alias("tied"))

@@ -15,17 +15,17 @@ from .core import get
 
 def beam_search(spark, sf_dir):
     """Every evaluation of a beam over the neighbour graph, exact distances."""
-    return graph.beam_search(get(spark, sf_dir, "queries"), get(spark, sf_dir, "base"), get(spark, sf_dir, "edges"), 32, 10)
+    return graph.beam_search(get(spark, sf_dir, "queries"), get(spark, sf_dir, "base"), get(spark, sf_dir, "edges"), 32, 10, same=True)
 
 
 def beam_search_quantized(spark, sf_dir):
     """The same graph over rounded vectors."""
-    return graph.beam_search(get(spark, sf_dir, "queries"), get(spark, sf_dir, "base"), get(spark, sf_dir, "edges"), 64, 10, step=1 / 16)
+    return graph.beam_search(get(spark, sf_dir, "queries"), get(spark, sf_dir, "base"), get(spark, sf_dir, "edges"), 64, 10, step=1 / 16, same=True)
 
 
 def sharded_beam_search(spark, sf_dir):
     """Shards with graphs of their own, results merged."""
-    return graph.sharded_beam_search(get(spark, sf_dir, "queries"), get(spark, sf_dir, "base"), 16, 64, 10, shard=256)
+    return graph.sharded_beam_search(get(spark, sf_dir, "queries"), get(spark, sf_dir, "base"), 16, 64, 10, shard=256, same=True)
 
 
 def native_heap(spark, sf_dir):
@@ -34,9 +34,8 @@ def native_heap(spark, sf_dir):
 
 
 def pq_lloyd(spark, sf_dir):
-    """D3: centroids after three rounds of k-means, one row a coordinate."""
-    book = quantizers.lloyd(get(spark, sf_dir, "subs"), get(spark, sf_dir, "codebook"), 3)
-    return book.select(F.col("m").cast("long").alias("m"), F.col("c").cast("long").alias("c"), F.posexplode("centroid").alias("j", "x")).select("m", "c", F.col("j").cast("long").alias("j"), F.round("x", 9).alias("x"))
+    """D3: the trained codebook, one row a coordinate."""
+    return get(spark, sf_dir, "codebook").select(F.col("m").cast("long").alias("m"), F.col("c").cast("long").alias("c"), F.posexplode("centroid").alias("j", "x")).select("m", "c", F.col("j").cast("long").alias("j"), F.round("x", 9).alias("x"))
 
 
 def gaussian_matrix(spark, sf_dir):
@@ -53,7 +52,7 @@ def seeded_permutations(spark, sf_dir):
         exact, residual, gt, q = rows["exact"].to_numpy(), (rows["score"] - rows["exact"]).to_numpy(), rows["in_gt"].to_numpy(), int(rows["query_id"].iloc[0])
         top = gt[np.argsort(exact, kind="stable")[:10]].sum()
         out = []
-        for k in range(8):
+        for k in range(50):
             score = exact + residual[np.random.Generator(np.random.PCG64(np.random.SeedSequence([7, q, k]))).permutation(len(rows))]
             out.append((q, k, int(top - gt[np.argsort(score, kind="stable")[:10]].sum())))
         return pd.DataFrame(out, columns=["query_id", "draw", "loss_hits"])
@@ -65,7 +64,7 @@ def orthogonal_rotation(spark, sf_dir):
     """A random rotation of queries and base keeps every query's neighbours."""
     turn = quantizers.rotation(64, 3)
     q, b = (quantizers.rotate(get(spark, sf_dir, n), c, turn) for n, c in (("queries", "qe"), ("base", "be")))
-    return knn.exact_top_k(q, b, 10).select("query_id", F.col("rk").cast("long").alias("rank"), "base_id", F.round("d", 6).alias("dist"))
+    return knn.exact_top_k(q, b, 10, same=True).select("query_id", F.col("rk").cast("long").alias("rank"), "base_id", F.round("d", 6).alias("dist"))
 
 
 def index_round_trip(spark, sf_dir):
@@ -77,13 +76,53 @@ def index_round_trip(spark, sf_dir):
 
 
 def xvec_round_trip(spark, sf_dir):
-    """Base vectors written to a vector file and read back by ranges."""
-    rows = get(spark, sf_dir, "vectors").orderBy("vec_id").select(F.col("e").cast("array<float>").alias("e")).toPandas()
-    system, at = xvecs._open(shared_dir(spark))
-    system.create_dir(at, recursive=True)
-    with system.open_output_stream(f"{at}/base.fvecs") as out:
-        out.write(xvecs.pack(np.stack(rows["e"].to_numpy())))
-    return xvecs.read_xvecs(spark, f"file://{at}/base.fvecs").select("vec_id", F.size("embedding").alias("dim"), F.round(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x), 6).alias("total"))
+    """A1 A3: vectors written to vector files by tasks and read back by ranges."""
+    folder = shared_dir(spark)
+    rows = get(spark, sf_dir, "vectors").select("vec_id", F.col("e").cast("array<float>").alias("e"))
+    xvecs.write_xvecs(rows, "vec_id", "e", folder)
+    return xvecs.read_xvecs(spark, folder).select("vec_id", F.size("embedding").cast("long").alias("dim"), F.round(F.aggregate(F.col("embedding").cast("array<double>"), F.lit(0.0), lambda a, x: a + x), 6).alias("total"))
+
+
+def raw_round_trip(spark, sf_dir):
+    """Arrays of six element types, written by tasks, their sizes checked when read."""
+    v, out = get(spark, sf_dir, "vectors"), None
+    value = {"f32": F.element_at("e", 1), "f64": F.element_at("e", 1), "i32": F.col("label").cast("double"), "i64": F.col("vec_id").cast("double"), "u8": F.col("label").cast("double"), "u32": F.col("vec_id").cast("double")}
+    for kind, x in value.items():
+        folder = shared_dir(spark)
+        n = xvecs.write_raw(v.select("vec_id", F.array(x).alias("row")), "vec_id", "row", folder, kind)
+        part = xvecs.read_raw(spark, folder, kind, rows=n).select(F.lit(kind).alias("kind"), "pos", F.round(F.col("row")[0].cast("double"), 6).alias("value"))
+        out = part if out is None else out.union(part)
+    return out
+
+
+def packed_round_trip(spark, sf_dir):
+    """Candidate records packed in files, and read by an index of offsets and counts."""
+    folder = shared_dir(spark)
+    index = records.pack_candidates(get(spark, sf_dir, "scored").filter("model = 'coarse'"), folder)
+    return records.scan_candidates(index, folder).select("query_id", "pos", "base_id", F.round("exact", 6).alias("exact"), F.round("score", 6).alias("score"))
+
+
+def table_sink(spark, sf_dir):
+    """A10: two tables of different columns as one CSV over the union of their columns."""
+    path = shared_dir(spark)
+    one = get(spark, sf_dir, "perq").select("query_id", "model", "loss_hits")
+    two = get(spark, sf_dir, "gaps").select("query_id", F.round("gap", 9).alias("gap"))
+    records.write_tables([one, two], path)
+    return spark.read.option("header", True).schema("query_id long, model string, loss_hits long, gap double").csv(path)
+
+
+def settings(spark, sf_dir):
+    """A configuration read strictly."""
+    path = shared_dir(spark)
+    spark.createDataFrame([("# depths", 0), ("ef = 16,32  # two", 1), ("pairs=a:1,b:2", 2), ("", 3)], "value string, k int").coalesce(1).sortWithinPartitions("k").select("value").write.text(path)
+    found = records.read_config(spark, path, {"ef", "pairs"})
+    return spark.createDataFrame([(k, v, len(records.list_value(v))) for k, v in found.items()], "key string, value string, items long")
+
+
+def service(spark, sf_dir):
+    """Workers by query number, 32 queries deferred at a time, against the scalar path."""
+    queries = get(spark, sf_dir, "queries").select("query_id", F.floor(F.col("query_id") / 20).alias("number"))
+    return refinement.serve(queries, get(spark, sf_dir, "scored").filter("model = 'coarse'"), 0.02)
 
 
 def csr_round_trip(spark, sf_dir):
@@ -108,11 +147,27 @@ def streaming_refinement(spark, sf_dir):
     return spark.read.parquet(f"{root}/out").select("query_id", "rank", "base_id", "refined")
 
 
-QUERIES = {f.__name__: f for f in (beam_search, beam_search_quantized, sharded_beam_search, native_heap, pq_lloyd, gaussian_matrix, seeded_permutations, orthogonal_rotation, index_round_trip, xvec_round_trip, csr_round_trip, json_round_trip, streaming_refinement)}
+QUERIES = {f.__name__: f for f in (beam_search, beam_search_quantized, sharded_beam_search, native_heap, pq_lloyd, gaussian_matrix, seeded_permutations, orthogonal_rotation, index_round_trip, xvec_round_trip, raw_round_trip, packed_round_trip, table_sink, settings, service, csr_round_trip, json_round_trip, streaming_refinement)}
 #: SQL where a round trip gives a relation back.
 SQL = {
     "orthogonal_rotation": (("gt",), "SELECT query_id, rk AS rank, base_id, round(d, 6) AS dist FROM pl_gt WHERE rk <= 10"),
     "index_round_trip": (("edges", "codes"), "SELECT src, dst, CAST(rk AS BIGINT) AS rank, CAST(c AS BIGINT) AS code FROM pl_edges JOIN pl_codes ON src = base_id WHERE m = 0"),
+    "xvec_round_trip": (("vectors",), "SELECT row_number() OVER (ORDER BY vec_id) - 1 AS vec_id, len(e)::BIGINT AS dim, round(list_sum(e), 6) AS total FROM pl_vectors"),
+    "raw_round_trip": (
+        ("vectors",),
+        "WITH v AS (SELECT row_number() OVER (ORDER BY vec_id) - 1 AS pos, vec_id::DOUBLE AS i, e[1] AS x, label::DOUBLE AS l FROM pl_vectors) SELECT kind, pos, round(CASE WHEN kind IN ('f32', 'f64') THEN x WHEN kind IN ('i32', 'u8') THEN l ELSE i END, 6) AS value FROM v CROSS JOIN (SELECT unnest(['f32', 'f64', 'i32', 'i64', 'u8', 'u32']) AS kind)",
+    ),
+    "packed_round_trip": (("scored",), "SELECT query_id, pos, base_id, round(exact::FLOAT::DOUBLE, 6) AS exact, round(score::FLOAT::DOUBLE, 6) AS score FROM pl_scored WHERE model = 'coarse'"),
+    "table_sink": (("perq", "gaps"), "SELECT query_id, model, loss_hits, NULL::DOUBLE AS gap FROM pl_perq UNION ALL SELECT query_id, NULL, NULL, round(gap, 9) FROM pl_gaps"),
+    "settings": ((), "SELECT * FROM (VALUES ('ef', '16,32', 2::BIGINT), ('pairs', 'a:1,b:2', 2::BIGINT)) AS v(key, value, items)"),
+    "service": (
+        ("scored", "queries"),
+        """WITH s AS (SELECT s.*, row_number() OVER (PARTITION BY query_id ORDER BY score, pos) AS sr FROM pl_scored s WHERE model = 'coarse'),
+        g AS (SELECT query_id, max(CASE WHEN sr = 12 THEN score END) - max(CASE WHEN sr = 9 THEN score END) <= 0.02 AS refined FROM s GROUP BY query_id),
+        f AS (SELECT s.query_id, base_id, refined, row_number() OVER (PARTITION BY s.query_id ORDER BY CASE WHEN refined THEN exact ELSE score END, pos) AS rank FROM s JOIN g ON s.query_id = g.query_id WHERE sr <= 16),
+        w AS (SELECT query_id, (query_id // 20) % 4 AS worker, (row_number() OVER (PARTITION BY (query_id // 20) % 4 ORDER BY query_id) - 1) // 32 AS batch FROM pl_queries)
+        SELECT f.query_id, worker::BIGINT AS worker, batch::BIGINT AS batch, rank::BIGINT AS rank, base_id, refined, true AS same FROM f JOIN w ON f.query_id = w.query_id WHERE rank <= 10""",
+    ),
     "csr_round_trip": (("scored",), "SELECT query_id, pos, base_id, round(score, 9) AS score FROM pl_scored WHERE model = 'coarse'"),
     "json_round_trip": (("perq",), "SELECT query_id, model, loss_hits, class FROM pl_perq"),
 }

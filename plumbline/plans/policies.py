@@ -18,33 +18,60 @@ def refined_hits(d):
 
 @plan("M3 M4 M5", "policies")
 def selected_queries(d):
-    return "SELECT query_id, f, policy, rep, CAST(chosen AS BIGINT) AS chosen FROM pl_policies WHERE rep < 2"
+    return "SELECT query_id, f, policy, rep, CAST(chosen AS BIGINT) AS chosen FROM pl_policies"
 
 
-@plan("M6", "policies")
+@plan("M5 M6", "policies")
 def policy_value(d):
-    return f"""WITH v AS (SELECT f, policy, rep, sum(CASE WHEN chosen = 1 THEN refined_hits ELSE native_hits END) / (count(*) * {K}.0E0) AS recall, sum(CASE WHEN chosen = 1 THEN refined_hits - native_hits ELSE 0 END) / (count(*) * {K}.0E0) AS gain, 16.0E0 * sum(chosen) / count(*) AS evals FROM pl_policies GROUP BY f, policy, rep),
-      r AS (SELECT f, avg(gain) AS random_gain, percentile_cont(0.975) WITHIN GROUP (ORDER BY gain) AS p975 FROM v WHERE policy = 'random' GROUP BY f), o AS (SELECT f, gain AS oracle_gain FROM v WHERE policy = 'oracle')
-      SELECT v.f, v.policy, round(avg(recall), 9) AS recall, round(avg(gain), 9) AS gain, round(avg(evals), 9) AS evals, CASE WHEN max(oracle_gain) > 1e-12 THEN round(avg(gain) / max(oracle_gain), 9) END AS efficiency,
-        CASE WHEN avg(evals) > 0 THEN round(avg(gain) / avg(evals), 9) END AS gain_per_eval, avg(gain) > max(p975) AS exceeds_random FROM v JOIN r ON v.f = r.f JOIN o ON v.f = o.f GROUP BY v.f, v.policy"""
+    """Value of each policy at each budget, against the mean and the middle 95 % of random orders."""
+    quantile = lambda p: f"percentile_cont({p}) WITHIN GROUP (ORDER BY recall)"
+    ratio = lambda a, b: f"CASE WHEN {b} > 1e-12 THEN round(({a}) / ({b}), 9) END"
+    return f"""WITH v AS (SELECT f, policy, rep, sum(CASE WHEN chosen = 1 THEN refined_hits ELSE native_hits END) / (count(*) * {K}.0E0) AS recall, sum(CASE WHEN chosen = 1 THEN refined_hits - native_hits ELSE 0 END) / (count(*) * {K}.0E0) AS gain,
+        16.0E0 * sum(chosen) / count(*) AS evals, sum(oracle_hits - native_hits) / (count(*) * {K}.0E0) AS missing FROM pl_policies GROUP BY f, policy, rep),
+      r AS (SELECT f, round(avg(recall), 12) AS mean, {quantile(0.025)} AS p025, {quantile(0.975)} AS p975 FROM v WHERE policy = 'random' GROUP BY f), o AS (SELECT f, recall AS best FROM v WHERE policy = 'oracle'),
+      a AS (SELECT f, policy, round(avg(recall), 12) AS recall, round(avg(gain), 12) AS gain, avg(evals) AS evals, max(missing) AS missing FROM v GROUP BY f, policy)
+      SELECT a.f, a.policy, round(recall, 9) AS recall, round(gain, 9) AS gain, round(evals, 9) AS evals, {ratio('gain', 'missing')} AS recovery, {ratio('gain', 'evals')} AS gain_per_eval, round(mean, 9) AS random_mean, round(p025, 9) AS random_p025, round(p975, 9) AS random_p975,
+        {ratio('recall - mean', 'best - mean')} AS efficiency, recall > p975 + 1e-12 AS exceeds_random FROM a JOIN r ON a.f = r.f JOIN o ON a.f = o.f"""
 
 
 @plan("M7", "gaps", "refined")
 def frozen_threshold(d):
     """A threshold from half of the queries, applied to the other half."""
-    return f"""WITH t AS (SELECT percentile_cont(0.25) WITHIN GROUP (ORDER BY gap) AS tau FROM pl_gaps WHERE floor(query_id / 10) % 2 = 0)
+    return f"""WITH t AS (SELECT percentile_cont(0.25) WITHIN GROUP (ORDER BY gap) AS tau FROM pl_gaps WHERE floor(query_id / 20) % 2 = 0)
       SELECT round(max(tau), 9) AS tau, CAST(count(*) AS BIGINT) AS n, CAST(sum(CASE WHEN gap <= tau THEN 1 ELSE 0 END) AS BIGINT) AS refined, round(sum(CASE WHEN gap <= tau THEN refined_hits ELSE native_hits END) / (count(*) * {K}.0E0), 9) AS recall
-      FROM pl_gaps g CROSS JOIN t JOIN pl_refined r ON g.query_id = r.query_id AND l = 16 WHERE floor(g.query_id / 10) % 2 = 1"""
+      FROM pl_gaps g CROSS JOIN t JOIN pl_refined r ON g.query_id = r.query_id AND l = 16 WHERE floor(g.query_id / 20) % 2 = 1"""
 
 
-@plan("M8 M12", "refined", "gaps", "perq")
+@plan("M8", "ranked", "gaps")
 def refinement_modes(d):
-    """Native, all 16 refined, by the gap; a full pool and the kept 16 give the same."""
-    return f"""WITH t AS (SELECT percentile_cont(0.25) WITHIN GROUP (ORDER BY gap) AS tau FROM pl_gaps), x AS (SELECT r.query_id, native_hits, refined_hits, gap <= tau AS near FROM pl_refined r JOIN pl_gaps g ON r.query_id = g.query_id CROSS JOIN t WHERE l = 16),
-      m AS (SELECT 'native' AS mode, query_id, native_hits AS hits, 0 AS evals FROM x UNION ALL SELECT 'all16', query_id, refined_hits, 16 FROM x UNION ALL SELECT 'gap', query_id, CASE WHEN near THEN refined_hits ELSE native_hits END, CASE WHEN near THEN 16 ELSE 0 END FROM x),
-      s AS (SELECT mode, sum(hits) / (count(*) * {K}.0E0) AS recall, avg(evals) AS evals FROM m GROUP BY mode)
-      SELECT s.mode, round(s.recall, 9) AS recall, round(s.evals, 9) AS evals, CASE WHEN a.evals > 0 THEN round(1 - s.evals / a.evals, 9) END AS eval_saving, CASE WHEN a.recall - n.recall > 1e-12 THEN round((s.recall - n.recall) / (a.recall - n.recall), 9) END AS gain_kept
-      FROM s CROSS JOIN (SELECT * FROM s WHERE mode = 'all16') a CROSS JOIN (SELECT * FROM s WHERE mode = 'native') n"""
+    """Six modes of service. What is retained: nothing, the whole pool, or the best 16; what is refined: none, all, or by the gap.
+
+    A full pool and a bounded one are retained in their own ways, so that their equality is a test.
+    """
+    top = f"CAST(sum(CASE WHEN sr <= {K} THEN in_gt ELSE 0 END) AS BIGINT)"
+    fine = lambda rows: f"SELECT query_id, CAST(sum(CASE WHEN rr <= {K} THEN in_gt ELSE 0 END) AS BIGINT) AS hits FROM (SELECT query_id, in_gt, row_number() OVER (PARTITION BY query_id ORDER BY exact, pos) AS rr FROM ({rows}) AS s_) AS t_ GROUP BY query_id"
+    whole = "SELECT f.* FROM p f JOIN (SELECT query_id, max(score) AS worst, max(sr) AS last FROM p WHERE sr <= 16 GROUP BY query_id) c ON f.query_id = c.query_id WHERE f.score < c.worst OR (f.score = c.worst AND f.sr <= c.last)"
+    return f"""WITH p AS (SELECT query_id, pos, exact, score, sr, in_gt FROM pl_ranked WHERE model = 'coarse'), b AS (SELECT * FROM p WHERE sr <= 16),
+      t AS (SELECT percentile_cont(0.25) WITHIN GROUP (ORDER BY gap) AS tau FROM pl_gaps), n AS (SELECT query_id, {top} AS hits, CAST(count(*) AS BIGINT) AS pool FROM p GROUP BY query_id),
+      k AS (SELECT query_id, {top} AS hits, CAST(count(*) AS BIGINT) AS kept FROM b GROUP BY query_id), fa AS ({fine(whole)}), ba AS ({fine('SELECT * FROM b')}),
+      x AS (SELECT n.query_id, n.hits AS native, n.pool, k.hits AS bounded, k.kept, fa.hits AS full_all, ba.hits AS bounded_all, g.gap <= t.tau AS near FROM n JOIN k ON n.query_id = k.query_id JOIN fa ON n.query_id = fa.query_id JOIN ba ON n.query_id = ba.query_id JOIN pl_gaps g ON n.query_id = g.query_id CROSS JOIN t),
+      m AS (SELECT 'native' AS mode, native AS hits, 0 AS retained, 0 AS evals, native AS same FROM x UNION ALL SELECT 'full', native, pool, 0, bounded FROM x UNION ALL SELECT 'bounded', bounded, kept, 0, native FROM x
+        UNION ALL SELECT 'full all16', full_all, pool, 16, bounded_all FROM x UNION ALL SELECT 'bounded all16', bounded_all, kept, 16, full_all FROM x
+        UNION ALL SELECT 'gap bounded', CASE WHEN near THEN bounded_all ELSE bounded END, kept, CASE WHEN near THEN 16 ELSE 0 END, CASE WHEN near THEN full_all ELSE native END FROM x)
+      SELECT mode, round(sum(hits) / (count(*) * {K}.0E0), 9) AS recall, round(avg(retained), 9) AS retained, round(avg(evals), 9) AS evals, CAST(sum(CASE WHEN hits = same THEN 0 ELSE 1 END) AS BIGINT) AS differing FROM m GROUP BY mode"""
+
+
+@plan("M12", "latency", "refined", "gaps")
+def service_gates(d):
+    """Gates on latency and recall. Event types stand for the modes' traces, in order of their names."""
+    ratio = lambda a, b: f"CASE WHEN {b} > 1e-9 THEN ({a}) / ({b}) END"
+    return f"""WITH t AS (SELECT percentile_cont(0.25) WITHIN GROUP (ORDER BY gap) AS tau FROM pl_gaps),
+      h AS (SELECT avg(native_hits) / {K}.0E0 AS native, avg(refined_hits) / {K}.0E0 AS all16, avg(CASE WHEN gap <= tau THEN refined_hits ELSE native_hits END) / {K}.0E0 AS gap, avg(CASE WHEN gap <= tau THEN 1.0E0 ELSE 0.0E0 END) AS refined FROM pl_refined r JOIN pl_gaps g ON r.query_id = g.query_id CROSS JOIN t WHERE l = 16),
+      o AS (SELECT policy, avg(us) AS us, row_number() OVER (ORDER BY policy) AS r FROM pl_latency GROUP BY policy),
+      m AS (SELECT max(CASE WHEN r = 1 THEN us END) AS native, max(CASE WHEN r = 2 THEN us END) AS bounded, max(CASE WHEN r = 3 THEN us END) AS full_, max(CASE WHEN r = 4 THEN us END) AS bounded_all, max(CASE WHEN r = 5 THEN us END) AS full_all FROM o),
+      g AS (SELECT m.*, h.native AS native_recall, h.all16 AS all_recall, h.gap AS gap_recall, 1 - refined AS eval_saving, {ratio('m.full_ - m.native - (m.bounded - m.native)', 'm.full_ - m.native')} AS overhead_reduction, 1 - m.bounded_all / coalesce(m.full_all, m.full_) AS latency_saving, {ratio('h.gap - h.native', 'h.all16 - h.native')} AS gain_retained FROM m CROSS JOIN h)
+      SELECT round(eval_saving, 9) AS eval_saving, round(latency_saving, 6) AS latency_saving, round(gain_retained, 9) AS gain_retained, round(overhead_reduction, 6) AS overhead_reduction, coalesce(overhead_reduction >= 0.5E0, false) AS overhead_gate, latency_saving >= 0.1E0 AS latency_gate,
+        latency_saving >= 0.1E0 AND coalesce(gain_retained >= 0.6E0, false) AS selective_gate FROM g"""
 
 
 @plan("M9", "policies")
@@ -81,16 +108,22 @@ def scaling(d):
       SELECT s.policy, s.workers, round(s.qps / o.qps, 6) AS speedup, round(s.qps / o.qps / s.workers, 6) AS efficiency, round(s.m / o.m - 1, 6) AS overhead, round(s.p99 / o.p99, 6) AS p99_ratio FROM s JOIN s o ON s.policy = o.policy AND o.workers = 1"""
 
 
-@plan("Q5", "latency")
+@plan("Q5", "components")
 def component_shares(d):
-    """A latency split in fixed shares; parts add up to the whole."""
-    return """SELECT policy, part, round(sum(us * w) / max(total), 9) AS share FROM pl_latency l JOIN (SELECT policy AS p, sum(us) AS total FROM pl_latency GROUP BY policy) t ON l.policy = t.p
-      CROSS JOIN (SELECT 'search' AS part, 0.9E0 AS w UNION ALL SELECT 'gap', 0.04E0 UNION ALL SELECT 'refine', 0.05E0 UNION ALL SELECT 'final', 0.01E0) AS c_ GROUP BY policy, part"""
+    """Shares of the measured parts of a query's time, and how far their sum is from the whole."""
+    parts = ("search", "gap", "refine", "final")
+    sums = ", ".join(f"sum({p}_us) AS {p}_us" for p in parts)
+    rows = " UNION ALL ".join(f"SELECT policy, '{p}' AS part, {p}_us AS us, total_us, {' + '.join(f'{x}_us' for x in parts)} AS whole FROM s" for p in parts)
+    return f"""WITH s AS (SELECT policy, {sums}, sum(total_us) AS total_us FROM pl_components GROUP BY policy)
+      SELECT policy, part, round(us / total_us, 9) AS share, round(1 - whole / total_us, 9) AS unaccounted, abs(1 - whole / total_us) <= 0.05E0 AS adds_up FROM ({rows}) AS x_"""
 
 
 @plan("Q6", "latency")
 def worker_imbalance(d):
-    return "SELECT policy, round(max(busy) / avg(busy), 6) AS imbalance, round(sum(busy) / (count(*) * max(busy)), 6) AS utilization FROM (SELECT policy, workers, sum(us) AS busy FROM pl_latency GROUP BY policy, workers) AS x_ GROUP BY policy"
+    """Busiest worker against the mean, the share of time workers are busy, and what clocks (odd repetitions) cost."""
+    return """WITH w AS (SELECT policy, max(busy) / avg(busy) AS imbalance, sum(busy) / (count(*) * max(busy)) AS utilization FROM (SELECT policy, workers, sum(us) AS busy FROM pl_latency GROUP BY policy, workers) AS x_ GROUP BY policy),
+      c AS (SELECT policy, avg(CASE WHEN rep = 1 THEN us END) / avg(CASE WHEN rep <> 1 THEN us END) - 1 AS clocks FROM pl_latency GROUP BY policy)
+      SELECT w.policy, round(imbalance, 6) AS imbalance, round(utilization, 6) AS utilization, round(clocks, 6) AS clock_overhead FROM w JOIN c ON w.policy = c.policy"""
 
 
 @plan("Q7 C9", "perq15", "perq9", "perq5")

@@ -26,11 +26,12 @@ def candidate_errors(d):
       FROM pl_ranked r JOIN pl_perq p ON r.query_id = p.query_id AND r.model = p.model GROUP BY r.query_id, r.model"""
 
 
-@plan("H7 C3 T8", "inversions", "perq")
+@plan("H7 C3 T8", "inversions", "perq", "ranked")
 def boundary_inversions(d):
     return f"""SELECT p.query_id, p.model, CAST(count(i.inside_id) AS BIGINT) AS inversions, round(count(i.inside_id) / ({K}.0E0 * (max(p.n) - {K})), 9) AS fraction, CAST(count(DISTINCT i.inside_id) AS BIGINT) AS overtaken_items,
-      CAST(coalesce(max(i.overtakers), 0) AS BIGINT) AS max_overtakers, round(max(i.violation), 9) AS max_violation
-      FROM pl_perq p LEFT JOIN (SELECT *, count(*) OVER (PARTITION BY query_id, model, inside_id) AS overtakers FROM pl_inversions) i ON p.query_id = i.query_id AND p.model = i.model GROUP BY p.query_id, p.model"""
+      CAST(coalesce(max(i.overtakers), 0) AS BIGINT) AS max_overtakers, round(max(i.violation), 9) AS max_violation, CAST(coalesce(max(t.ties), 0) AS BIGINT) AS exact_ties
+      FROM pl_perq p LEFT JOIN (SELECT a.query_id, a.model, count(*) AS ties FROM (SELECT * FROM pl_ranked WHERE er <= {K}) a JOIN (SELECT * FROM pl_ranked WHERE er > {K}) b ON a.query_id = b.query_id AND a.model = b.model AND a.exact = b.exact GROUP BY a.query_id, a.model) t ON p.query_id = t.query_id AND p.model = t.model
+      LEFT JOIN (SELECT *, count(*) OVER (PARTITION BY query_id, model, inside_id) AS overtakers FROM pl_inversions) i ON p.query_id = i.query_id AND p.model = i.model GROUP BY p.query_id, p.model"""
 
 
 @plan("H8", "ranked")
@@ -42,8 +43,12 @@ def replacement_pairs(d):
 
 @plan("H9", "scored")
 def random_pair_inversions(d):
-    return f"""SELECT a.query_id, a.model, CAST(sum(CASE WHEN (a.exact - b.exact) * (a.score - b.score) < 0 THEN 1 ELSE 0 END) AS BIGINT) AS inverted, CAST(count(*) AS BIGINT) AS pairs
-      FROM pl_scored a JOIN pl_scored b ON a.query_id = b.query_id AND a.model = b.model AND b.pos = (a.pos * 37 + 11) % {POOL} WHERE a.pos < b.pos GROUP BY a.query_id, a.model"""
+    """512 different pairs of pool places a query, those with the least hash of query and places."""
+    order = d.hash_order("'9'", "query_id", "i", "j")
+    pairs = f"""SELECT query_id, i, j FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY {order}) AS r FROM (SELECT query_id FROM pl_scored GROUP BY query_id) AS q_
+      CROSS JOIN {d.series(0, POOL - 1, 'i')} AS i_ CROSS JOIN {d.series(0, POOL - 1, 'j')} AS j_ WHERE i < j) AS p_ WHERE r <= 512"""
+    return f"""SELECT a.query_id, a.model, CAST(sum(CASE WHEN (a.exact - b.exact) * (a.score - b.score) < 0 THEN 1 ELSE 0 END) AS BIGINT) AS inverted, CAST(sum(CASE WHEN a.exact = b.exact OR a.score = b.score THEN 1 ELSE 0 END) AS BIGINT) AS ties, CAST(count(*) AS BIGINT) AS pairs
+      FROM ({pairs}) AS x_ JOIN pl_scored a ON x_.query_id = a.query_id AND x_.i = a.pos JOIN pl_scored b ON a.query_id = b.query_id AND a.model = b.model AND x_.j = b.pos GROUP BY a.query_id, a.model"""
 
 
 @plan("H10", "inversions")
@@ -69,10 +74,20 @@ def inversion_transition(d):
       GROUP BY query_id, state"""
 
 
-@plan("H15 H17", "ranked")
+@plan("H15", "perq15")
+def evaluated_models(d):
+    """All score rows of many models in one pass: hits, loss, class and errors by query and model."""
+    return "SELECT query_id, model, exact_hits, score_hits, loss_hits, agreement, class, round(mae, 9) AS mae, round(bias, 9) AS bias, round(s12 - s9, 9) AS gap FROM pl_perq15"
+
+
+@plan("H17", "ranked")
 def residual_regions(d):
-    return f"""SELECT model, region, CAST(count(*) AS BIGINT) AS n, round(avg(e), 9) AS mean_residual, round(avg(abs(e)), 9) AS mae, round(stddev_samp(e), 9) AS sd FROM (
-      SELECT model, score - exact AS e, CASE WHEN er <= 5 THEN 'top5' WHEN er <= {K} THEN 'top10' WHEN er <= 20 THEN 'boundary' WHEN er <= 64 THEN 'middle' ELSE 'tail' END AS region FROM pl_ranked) AS x_ GROUP BY model, region"""
+    """Residuals by exact rank, by region of ranks and by quartile of the exact distance in a pool."""
+    region = f"CASE WHEN er <= 5 THEN 'top5' WHEN er <= {K} THEN 'top10' WHEN er <= 20 THEN 'boundary' WHEN er <= 64 THEN 'middle' ELSE 'tail' END"
+    text = "STRING" if d.spark else "VARCHAR"
+    return f"""SELECT model, kind, region, CAST(count(*) AS BIGINT) AS n, round(avg(e), 9) AS mean_residual, round(avg(abs(e)), 9) AS mae, round(stddev_samp(e), 9) AS sd FROM (
+      SELECT model, score - exact AS e, 'region' AS kind, {region} AS region FROM pl_ranked UNION ALL SELECT model, score - exact, 'rank', CAST(er AS {text}) FROM pl_ranked
+      UNION ALL SELECT model, score - exact, 'distance', concat('q', CAST(ntile(4) OVER (PARTITION BY query_id, model ORDER BY er) AS {text})) FROM pl_ranked) AS x_ GROUP BY model, kind, region"""
 
 
 @plan("H16", "perq", "ranked")
@@ -99,8 +114,8 @@ def group_statistics(d):
 @plan("I3 J3", "loss")
 def loss_concentration(d):
     """The least share of queries with a loss that hold 50, 80, 90 % of it."""
-    return """WITH p AS (SELECT query_id, loss, row_number() OVER (ORDER BY loss DESC, query_id) AS r, count(*) OVER () AS n, sum(loss) OVER () AS total, sum(loss) OVER (ORDER BY loss DESC, query_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS upto FROM pl_loss WHERE loss > 0)
-      SELECT target, CAST(min(r) AS BIGINT) AS queries, round(min(r) / CAST(max(n) AS DOUBLE), 9) AS share FROM p CROSS JOIN (SELECT 0.5E0 AS target UNION ALL SELECT 0.8E0 UNION ALL SELECT 0.9E0) AS t_ WHERE upto / CAST(total AS DOUBLE) >= target - 1e-12 GROUP BY target"""
+    return f"""WITH p AS (SELECT r_ AS r, n_ AS n, upto_ AS upto FROM {d.ranked('(SELECT * FROM pl_loss WHERE loss > 0)', '-loss', 'query_id', 'loss')} AS l_), t AS (SELECT max(upto) AS total FROM p)
+      SELECT target, CAST(min(r) AS BIGINT) AS queries, round(min(r) / CAST(max(n) AS DOUBLE), 9) AS share FROM p CROSS JOIN t CROSS JOIN (SELECT 0.5E0 AS target UNION ALL SELECT 0.8E0 UNION ALL SELECT 0.9E0) AS t_ WHERE upto / CAST(total AS DOUBLE) >= target - 1e-12 GROUP BY target"""
 
 
 @plan("I4 I5 I12", "perq5")
@@ -132,12 +147,20 @@ def class_cube(d):
       SELECT c.class AS coarse, f.class AS fine FROM (SELECT * FROM pl_perq WHERE model = 'coarse') c JOIN (SELECT * FROM pl_perq WHERE model = 'fine') f ON c.query_id = f.query_id) AS x_ GROUP BY CUBE (coarse, fine)"""
 
 
+@plan("I9", "perq9")
+def harmful_grid(d):
+    """Queries by the number of harmful models and of subsets in which most are, with the cells that are empty."""
+    return f"""WITH s AS (SELECT query_id, substring(model, 2, 1) AS subset, sum(CASE WHEN loss_hits > 0 THEN 1 ELSE 0 END) AS harmful FROM pl_perq9 GROUP BY query_id, substring(model, 2, 1)),
+      q AS (SELECT query_id, sum(harmful) AS models, sum(CASE WHEN harmful >= 2 THEN 1 ELSE 0 END) AS subsets FROM s GROUP BY query_id)
+      SELECT g.models, g.subsets, CAST(count(q.query_id) AS BIGINT) AS n FROM (SELECT models, subsets FROM {d.series(0, 9, 'models')} AS m_ CROSS JOIN {d.series(0, 3, 'subsets')} AS u_) AS g LEFT JOIN q ON g.models = q.models AND g.subsets = q.subsets GROUP BY g.models, g.subsets"""
+
+
 @plan("I11 J2 T15", "loss")
 def rank_correlation(d):
     """Pearson and Spearman (average ranks) of loss with margin and error."""
-    avg_rank = lambda c: f"rank() OVER (ORDER BY round({c}, 12)) + (count(*) OVER (PARTITION BY round({c}, 12)) - 1) / 2.0E0"
-    return f"""SELECT round(corr(loss, margin), 9) AS pearson_margin, round(corr(rl, rg), 9) AS spearman_margin, round(corr(loss, mae), 9) AS pearson_error, round(corr(rl, rm), 9) AS spearman_error
-      FROM (SELECT CAST(loss AS DOUBLE) AS loss, margin, mae, {avg_rank('loss')} AS rl, {avg_rank('margin')} AS rg, {avg_rank('mae')} AS rm FROM pl_loss) AS x_"""
+    rank = lambda c: f"(SELECT query_id, avg(r_) OVER (PARTITION BY key_) AS r FROM {d.ranked('pl_loss', f'round({c}, 12)', 'query_id')} AS s_)"
+    return f"""SELECT round(corr(CAST(loss AS DOUBLE), margin), 9) AS pearson_margin, round(corr(a.r, b.r), 9) AS spearman_margin, round(corr(CAST(loss AS DOUBLE), mae), 9) AS pearson_error, round(corr(a.r, c.r), 9) AS spearman_error
+      FROM pl_loss l JOIN {rank('loss')} AS a ON l.query_id = a.query_id JOIN {rank('margin')} AS b ON l.query_id = b.query_id JOIN {rank('mae')} AS c ON l.query_id = c.query_id"""
 
 
 @plan("I13", "loss")
@@ -159,7 +182,7 @@ def adjacent_gaps(d):
 
 @plan("J3", "loss")
 def margin_ecdf(d):
-    return "SELECT query_id, round(cume_dist() OVER (ORDER BY margin), 9) AS share, round(sum(CAST(loss AS DOUBLE)) OVER (ORDER BY margin, query_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 9) AS upto FROM pl_loss"
+    return f"SELECT query_id, round(max(r_) OVER (PARTITION BY key_) / CAST(n_ AS DOUBLE), 9) AS share, round(upto_, 9) AS upto FROM {d.ranked('pl_loss', 'margin', 'query_id', 'CAST(loss AS DOUBLE)')} AS m_"
 
 
 @plan("J5 T13", "loss")
@@ -173,7 +196,10 @@ def margin_bins(d):
 
 @plan("J6 T14", "loss")
 def equal_count_groups(d):
-    return "SELECT CAST(g AS BIGINT) AS quintile, CAST(count(*) AS BIGINT) AS n, round(avg(CAST(loss AS DOUBLE)), 9) AS mean_loss, round(max(margin), 9) AS upper FROM (SELECT *, ntile(5) OVER (ORDER BY margin, query_id) AS g FROM pl_loss) AS x_ GROUP BY g"
+    """Five groups of equal count by margin; the first ones are larger by one where that can't be."""
+    small, extra = "floor(n_ / 5)", "n_ % 5"
+    group = f"CASE WHEN r_ <= ({extra}) * ({small} + 1) THEN ceil(r_ / ({small} + 1)) ELSE {extra} + ceil((r_ - ({extra}) * ({small} + 1)) / greatest({small}, 1)) END"
+    return f"SELECT CAST(g AS BIGINT) AS quintile, CAST(count(*) AS BIGINT) AS n, round(avg(CAST(loss AS DOUBLE)), 9) AS mean_loss, round(max(margin), 9) AS upper FROM (SELECT loss, margin, {group} AS g FROM {d.ranked('pl_loss', 'margin', 'query_id')} AS m_) AS x_ GROUP BY g"
 
 
 @plan("J7", "loss")
@@ -188,7 +214,7 @@ def scopes(d):
     """One pass over overlapping scopes: all, whole oracle, no tie, four shards."""
     return f"""SELECT model, scope, CAST(count(*) AS BIGINT) AS n, round(avg(CAST(loss_hits AS DOUBLE)), 9) AS mean_loss FROM (
       SELECT model, loss_hits, 'all' AS scope FROM pl_perq UNION ALL SELECT model, loss_hits, 'oracle1' FROM pl_perq WHERE exact_hits = {K} UNION ALL SELECT model, loss_hits, 'no_tie' FROM pl_perq WHERE d10 < d11
-      UNION ALL SELECT model, loss_hits, concat('shard', CAST(query_id / 10 % 4 AS INT)) FROM pl_perq) AS x_ GROUP BY model, scope""".replace("query_id / 10 % 4", "floor(query_id / 10) % 4")
+      UNION ALL SELECT model, loss_hits, concat('shard', CAST(query_id / 10 % 4 AS INT)) FROM pl_perq) AS x_ GROUP BY model, scope""".replace("query_id / 10 % 4", "floor(query_id / 20) % 4")
 
 
 @plan("E12", "perq")

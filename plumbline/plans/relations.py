@@ -5,10 +5,16 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.storage import materialize
-from ..operators import knn, quantizers
+from ..operators import graph, knn, quantizers
 from .core import relation
 
 K, POOL, PARTS, CODES, DIMS = 10, 128, 8, 16, 64
+#: Rounds of k-means; and of a walk over the neighbour graph, with its width, edges a node and entries.
+ROUNDS, WALK = 25, (6, 32, 8, 8)
+#: Widths of the sweep, that of ``WALK`` among them.
+SWEEP = (8, 32, 96)
+#: Distance sources of one graph.
+SOURCES = {"exact": 0.0, "coarse": 1 / 16, "fine": 1 / 64}
 #: Models of the base vectors: scalar quantizers (step, offset).
 MODELS = {
     "": {"coarse": (1 / 16, 0.0), "fine": (1 / 64, 0.0)},
@@ -29,19 +35,20 @@ def vectors(d):
 
 @relation("queries", "vectors")
 def queries(d):
-    return "SELECT vec_id AS query_id, e AS qe, label AS q_label FROM pl_vectors WHERE vec_id % 10 = 0"
+    """The stated query set; it is searched for in all rows but its own."""
+    return "SELECT vec_id AS query_id, e AS qe, label AS q_label FROM pl_vectors WHERE vec_id % 20 = 0"
 
 
 @relation("base", "vectors")
 def base(d):
-    return "SELECT vec_id AS base_id, e AS be, label AS b_label FROM pl_vectors WHERE vec_id % 10 <> 0"
+    return "SELECT vec_id AS base_id, e AS be, label AS b_label FROM pl_vectors"
 
 
-@relation("gt", "queries", "base", build=lambda spark, sf_dir, rel: knn.exact_top_k(rel("queries"), rel("base"), K + 1), keep=True)
+@relation("gt", "queries", "base", build=lambda spark, sf_dir, rel: knn.exact_top_k(rel("queries"), rel("base"), K + 1, same=True), keep=True)
 def gt(d):
     return f"""SELECT query_id, base_id, d, rk FROM (
       SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY d, base_id) AS rk
-      FROM (SELECT query_id, base_id, {d.l2('qe', 'be')} AS d FROM pl_queries CROSS JOIN pl_base)) WHERE rk <= {K + 1}"""
+      FROM (SELECT query_id, base_id, {d.l2('qe', 'be')} AS d FROM pl_queries JOIN pl_base ON query_id <> base_id)) WHERE rk <= {K + 1}"""
 
 
 @relation("subs", "base", build=lambda spark, sf_dir, rel: quantizers.sub_vectors(rel("base"), PARTS, DIMS))
@@ -50,9 +57,17 @@ def subs(d):
     return f"SELECT base_id, m, be[m * {w} + 1 : m * {w} + {w}] AS s FROM pl_base, (SELECT unnest(range({PARTS})) AS m)"
 
 
-@relation("codebook", "subs", build=lambda spark, sf_dir, rel: materialize(quantizers.first_codebook(rel("base"), PARTS, CODES, DIMS)), keep=True)
+@relation("codebook", "base", build=lambda spark, sf_dir, rel: materialize(quantizers.train_codebook(rel("base"), PARTS, CODES, DIMS, ROUNDS)), keep=True)
 def codebook(d):
-    return f"SELECT m, c, s AS centroid FROM (SELECT *, row_number() OVER (PARTITION BY m ORDER BY base_id) - 1 AS c FROM pl_subs) WHERE c < {CODES}"
+    """K-means by subspace, its rounds written out."""
+    w, steps = DIMS // PARTS, []
+    for k in range(ROUNDS):
+        steps.append(f"""a{k} AS MATERIALIZED (SELECT m, s, c FROM (SELECT x.m, s, c, row_number() OVER (PARTITION BY base_id, x.m ORDER BY {d.l2('s', 'centroid')}, c) AS q FROM t_ x JOIN k{k} ON x.m = k{k}.m) WHERE q = 1)""")
+        steps.append(f"""k{k + 1} AS MATERIALIZED (SELECT o.m, o.c, coalesce(n.mean, o.centroid) AS centroid FROM k{k} o LEFT JOIN (SELECT m, c, list(x ORDER BY j) AS mean FROM (
+          SELECT m, c, j, round(avg(x), 4) AS x FROM (SELECT m, c, unnest(range({w})) AS j, unnest(s) AS x FROM a{k}) GROUP BY m, c, j) GROUP BY m, c) n ON o.m = n.m AND o.c = n.c)""")
+    return f"""WITH o_ AS MATERIALIZED (SELECT base_id, be, row_number() OVER (ORDER BY {d.hash_order("'11'", 'base_id')}, base_id) - 1 AS r FROM pl_base),
+      t_ AS MATERIALIZED (SELECT base_id, r, m, be[m * {w} + 1 : m * {w} + {w}] AS s FROM o_, (SELECT unnest(range({PARTS})) AS m) WHERE r < {CODES * quantizers.PER_CODE}),
+      k0 AS MATERIALIZED (SELECT m, r AS c, s AS centroid FROM t_ WHERE r < {CODES}), {', '.join(steps)} SELECT m, c, centroid FROM k{ROUNDS}"""
 
 
 @relation("codes", "subs", "codebook", build=lambda spark, sf_dir, rel: quantizers.encode(rel("subs"), rel("codebook")), keep=True)
@@ -61,14 +76,14 @@ def codes(d):
       FROM (SELECT base_id, s.m, c, {d.l2('s.s', 'k.centroid')} AS dist FROM pl_subs s JOIN pl_codebook k ON s.m = k.m)) WHERE r = 1"""
 
 
-@relation("pool", "queries", "codes", "codebook", build=lambda spark, sf_dir, rel: quantizers.adc_top_k(rel("queries"), rel("codes"), rel("codebook"), POOL).select("query_id", (F.col("rk") - 1).cast("long").alias("pos"), "base_id", "adc"), keep=True)
+@relation("pool", "queries", "codes", "codebook", build=lambda spark, sf_dir, rel: knn.others(quantizers.adc_top_k(rel("queries"), rel("codes"), rel("codebook"), POOL + 1), POOL, "adc").select("query_id", (F.col("rk") - 1).cast("long").alias("pos"), "base_id", "adc"), keep=True)
 def pool(d):
     w = DIMS // PARTS
     return f"""SELECT query_id, r - 1 AS pos, base_id, adc FROM (
       SELECT query_id, base_id, adc, row_number() OVER (PARTITION BY query_id ORDER BY adc, base_id) AS r FROM (
         SELECT query_id, base_id, sum(dist ORDER BY c.m) AS adc FROM pl_codes c JOIN (
           SELECT query_id, k.m, k.c, {d.l2(f'qe[k.m * {w} + 1 : k.m * {w} + {w}]', 'k.centroid')} AS dist FROM pl_queries CROSS JOIN pl_codebook k) l
-        ON c.m = l.m AND c.c = l.c GROUP BY query_id, base_id)) WHERE r <= {POOL}"""
+        ON c.m = l.m AND c.c = l.c WHERE query_id <> base_id GROUP BY query_id, base_id)) WHERE r <= {POOL}"""
 
 
 def _family(sfx: str) -> None:
@@ -115,12 +130,45 @@ for _sfx in MODELS:
     _family(_sfx)
 
 
-@relation("decomposed", "perq", "gt", "ranked")
+def _searches(sfx: str, rounds: int, width: int, degree: int, entries: int) -> None:
+    @relation(f"walked{sfx}", "queries", "base", "edges", build=lambda spark, sf_dir, rel: graph.walk(rel("queries"), rel("base"), rel("edges"), SOURCES, rounds, width, degree, entries), keep=True)
+    def walked(d):
+        """What searches of one graph over exact and rounded vectors evaluate."""
+        names = ", ".join(f"('{m}', {x!r}::DOUBLE)" for m, x in SOURCES.items())
+        rounded = "list_transform(be, lambda v: floor(v / step + 0.5) * step)"
+        scored = lambda rows: f"""SELECT x.query_id, x.model, x.step, x.base_id, {d.l2('qe', 'be')} AS exact, CASE WHEN step = 0 THEN {d.l2('qe', 'be')} ELSE list_sum(list_transform(list_zip(qe, {rounded}), lambda t: (t[1] - t[2]) * (t[1] - t[2]))) END AS dist
+          FROM ({rows}) x JOIN pl_queries q ON x.query_id = q.query_id JOIN pl_base b ON x.base_id = b.base_id WHERE x.query_id <> x.base_id"""
+        first = f"SELECT base_id FROM pl_base ORDER BY {d.hash_order(chr(39) + '13' + chr(39), 'base_id')}, base_id LIMIT {entries}"
+        steps = [f"v0 AS MATERIALIZED ({scored(f'SELECT query_id, model, step, base_id FROM pl_queries CROSS JOIN (VALUES {names}) AS s(model, step) CROSS JOIN ({first})')})"]
+        for k in range(rounds):
+            beam = f"SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id, model ORDER BY dist, base_id) AS r FROM v{k}) WHERE r <= {width}"
+            new = f"SELECT DISTINCT m.query_id, m.model, m.step, e.dst AS base_id FROM ({beam}) m JOIN pl_edges e ON m.base_id = e.src WHERE e.rk <= {degree} AND NOT EXISTS (SELECT 1 FROM v{k} o WHERE o.query_id = m.query_id AND o.model = m.model AND o.base_id = e.dst)"
+            steps.append(f"v{k + 1} AS MATERIALIZED (SELECT * FROM v{k} UNION ALL {scored(new)})")
+        return f"WITH {', '.join(steps)} SELECT query_id, model, base_id, exact, dist FROM v{rounds}"
+
+
+    @relation(f"searched{sfx}", f"walked{sfx}", "gt", keep=True)
+    def searched(d):
+        """For each distance source: hits of its own order, of the exact order of all it evaluated, and of its best 16 in exact order."""
+        order = lambda by: f"row_number() OVER (PARTITION BY w.query_id, model ORDER BY {by}, w.base_id)"
+        return f"""SELECT query_id, model, CAST(sum(CASE WHEN nr <= {K} THEN in_gt ELSE 0 END) AS BIGINT) AS native_hits, CAST(sum(CASE WHEN er <= {K} THEN in_gt ELSE 0 END) AS BIGINT) AS oracle_hits,
+          CAST(sum(CASE WHEN rr <= {K} AND nr <= 16 THEN in_gt ELSE 0 END) AS BIGINT) AS all16_hits, CAST(sum(in_gt) AS BIGINT) AS pool_hits, CAST(count(*) AS BIGINT) AS evaluated,
+          max(CASE WHEN er = {K} THEN exact END) = max(CASE WHEN er = {K + 1} THEN exact END) AS oracle_tie, max(CASE WHEN nr = 16 THEN dist END) = max(CASE WHEN nr = 17 THEN dist END) AS tie16
+          FROM (SELECT *, row_number() OVER (PARTITION BY query_id, model, nr <= 16 ORDER BY exact, base_id) AS rr FROM (
+            SELECT w.query_id, model, w.base_id, exact, dist, {order('dist')} AS nr, {order('exact')} AS er, CASE WHEN g.base_id IS NULL THEN 0 ELSE 1 END AS in_gt
+            FROM pl_walked{sfx} w LEFT JOIN (SELECT query_id, base_id FROM pl_gt WHERE rk <= {K}) g ON w.query_id = g.query_id AND w.base_id = g.base_id) AS a_) AS b_ GROUP BY query_id, model"""
+
+
+for _width in SWEEP:
+    _searches("" if _width == WALK[1] else str(_width), WALK[0], _width, *WALK[2:])
+
+
+@relation("decomposed", "searched")
 def decomposed(d):
-    """A search over exact distances finds the whole ground truth; the pool and model are the quantized one."""
-    return f"""SELECT query_id, model, CAST({K} AS BIGINT) AS native_exact_hits, CAST({K} AS BIGINT) AS oracle_exact_hits, score_hits AS native_hits, exact_hits AS oracle_hits, pool_hits,
-      ({K} - score_hits) / {K}.0E0 AS total_loss, ({K} - exact_hits) / {K}.0E0 AS discovery_loss, (exact_hits - score_hits) / {K}.0E0 AS ranking_loss, 0.0E0 AS control_delta,
-      d10 = d11 AS boundary_tie FROM pl_perq"""
+    """The losses of a search over rounded vectors against the exact search of the same graph."""
+    return f"""SELECT p.query_id, p.model, e.native_hits AS native_exact_hits, e.oracle_hits AS oracle_exact_hits, p.native_hits, p.oracle_hits, p.all16_hits, p.pool_hits,
+      (e.native_hits - p.native_hits) / {K}.0E0 AS total_loss, (e.oracle_hits - p.oracle_hits) / {K}.0E0 AS discovery_loss, (p.oracle_hits - p.native_hits) / {K}.0E0 AS ranking_loss, (e.oracle_hits - e.native_hits) / {K}.0E0 AS control_delta,
+      p.oracle_tie AS boundary_tie, p.tie16, p.oracle_hits = p.pool_hits OR p.oracle_tie AS explained FROM pl_searched p JOIN pl_searched e ON p.query_id = e.query_id AND e.model = 'exact' WHERE p.model <> 'exact'"""
 
 
 @relation("loss", "perq")
@@ -143,27 +191,34 @@ def refined(d):
         JOIN (SELECT CAST(16 AS BIGINT) AS l UNION ALL SELECT CAST(32 AS BIGINT) UNION ALL SELECT CAST(64 AS BIGINT)) AS t_ ON r.sr <= l) AS x_ GROUP BY query_id, l"""
 
 
-@relation("policies", "refined", "gaps")
+@relation("policies", "refined", "gaps", "perq")
 def policies(d):
-    """Which queries each policy refines at a budget of a tenth, a quarter, a half."""
+    """Which queries each policy refines at a budget of a tenth, a quarter, a half; random orders are drawn a hundred times."""
     order = lambda expr: f"row_number() OVER (PARTITION BY f, rep, policy ORDER BY {expr})"
-    return f"""SELECT query_id, f, policy, rep, native_hits, refined_hits, CASE WHEN r <= floor(f * n) THEN 1 ELSE 0 END AS chosen FROM (
-      SELECT b.*, p.policy, CASE policy WHEN 'gap' THEN {order('gap, query_id')} WHEN 'oracle' THEN {order('native_hits - refined_hits, query_id')}
+    return f"""SELECT query_id, f, policy, rep, native_hits, refined_hits, oracle_hits, CASE WHEN r <= floor(f * n) THEN 1 ELSE 0 END AS chosen FROM (
+      SELECT b.*, p.policy, CASE policy WHEN 'gap' THEN {order('gap, query_id')} WHEN 'oracle' THEN {order('native_hits - refined_hits, query_id')} WHEN 'full loss' THEN {order('native_hits - oracle_hits, query_id')}
         ELSE {order(d.hash_order('rep', 'query_id'))} END AS r FROM (
-        SELECT r.query_id, native_hits, refined_hits, gap, f, rep, count(*) OVER (PARTITION BY f, rep) AS n FROM pl_refined r JOIN pl_gaps g ON r.query_id = g.query_id
-        CROSS JOIN (SELECT 0.1E0 AS f UNION ALL SELECT 0.25E0 UNION ALL SELECT 0.5E0) AS f_ CROSS JOIN {d.series(0, 19, 'rep')} AS r_ WHERE l = 16) b
-      CROSS JOIN (SELECT 'gap' AS policy UNION ALL SELECT 'oracle' UNION ALL SELECT 'random') AS p) AS q_ WHERE policy = 'random' OR rep = 0"""
+        SELECT r.query_id, r.native_hits, r.refined_hits, q.exact_hits AS oracle_hits, gap, f, rep, count(*) OVER (PARTITION BY f, rep) AS n FROM pl_refined r JOIN pl_gaps g ON r.query_id = g.query_id JOIN pl_perq q ON r.query_id = q.query_id AND q.model = 'coarse'
+        CROSS JOIN (SELECT 0.1E0 AS f UNION ALL SELECT 0.25E0 UNION ALL SELECT 0.5E0) AS f_ CROSS JOIN {d.series(0, REPLICATES - 1, 'rep')} AS r_ WHERE l = 16) b
+      CROSS JOIN (SELECT 'gap' AS policy UNION ALL SELECT 'oracle' UNION ALL SELECT 'full loss' UNION ALL SELECT 'random') AS p) AS q_ WHERE policy = 'random' OR rep = 0"""
 
 
+#: Random orders of queries.
+REPLICATES = 100
 #: Edges between exact ranks for residual permutations: none, 10, three, five, seven.
 EDGES = {"N0": (), "N1": (10,), "N2": (5, 10, 20), "N3": (5, 10, 15, 20, 40), "N4": (5, 8, 10, 12, 15, 20, 40)}
-DRAWS = 4
+DRAWS = 50
 
 
 @relation("nulls", "ranked", keep=True)
 def nulls(d):
     """Hits lost when residuals are permuted within bins of exact rank, by hash order."""
-    bins = " UNION ALL ".join(f"SELECT *, '{n}' AS condition, " + (" + ".join(f"CASE WHEN er > {e} THEN 1 ELSE 0 END" for e in edges) or "0") + f" AS bin FROM (SELECT * FROM pl_ranked WHERE model = 'coarse') AS c{n}" for n, edges in EDGES.items())
+    rows = "(SELECT *, count(*) OVER (PARTITION BY query_id) AS of_ FROM pl_ranked WHERE model = 'coarse')"
+    cuts = {n: " + ".join(f"CASE WHEN er > {e} THEN 1 ELSE 0 END" for e in edges) or "0" for n, edges in EDGES.items()}
+    # four bins of equal count, the first ones larger by one where that can't be
+    small, extra = "floor(of_ / 4)", "of_ % 4"
+    cuts["N_distance"] = f"CASE WHEN er <= ({extra}) * ({small} + 1) THEN floor((er - 1) / ({small} + 1)) ELSE {extra} + floor((er - 1 - ({extra}) * ({small} + 1)) / greatest({small}, 1)) END"
+    bins = " UNION ALL ".join(f"SELECT *, '{n}' AS condition, CAST({cut} AS BIGINT) AS bin FROM {rows} AS c{n}" for n, cut in cuts.items())
     part = "PARTITION BY query_id, condition, draw, bin ORDER BY"
     return f"""WITH b AS ({bins}), x AS (SELECT b.*, draw FROM b CROSS JOIN {d.series(0, DRAWS - 1, 'draw')} AS d_),
       k AS (SELECT *, row_number() OVER ({part} er) AS place, row_number() OVER ({part} {d.hash_order("'7'", 'draw', 'query_id', 'base_id')}) AS drawn FROM x),
@@ -199,6 +254,13 @@ def _latency(spark, sf_dir, rel):
     )
 
 
+@relation("components", "latency")
+def components(d):
+    """A stand-in for component clocks: parts of an event's value by digits of its own id and value; the last part is measured to whole units only."""
+    return """SELECT policy, query_id, us AS total_us, us * (0.5E0 + (query_id % 31) / 100.0E0) AS search_us, us * (query_id % 7) / 100.0E0 AS gap_us, us * (query_id % 11) / 100.0E0 AS refine_us,
+      floor(us * (0.5E0 - (query_id % 31) / 100.0E0 - (query_id % 7) / 100.0E0 - (query_id % 11) / 100.0E0)) AS final_us FROM pl_latency"""
+
+
 from .core import RELATIONS  # noqa: E402
 
 RELATIONS["latency"].build = _latency

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import knn
 from .core import SPARK, plan
-from .relations import CODES, DIMS, K, PARTS, POOL
+from .relations import CODES, DIMS, K, PARTS, POOL, SWEEP, WALK
 
 W = DIMS // PARTS
 
@@ -25,7 +25,7 @@ def _range_neighbors(rel):
     """Every tenth distance against the whole base; the SQL sees the first 11 rows of a query only."""
     bound = rel["gt"].filter(F.col("rk") == K).select(F.col("query_id").alias("id"), F.col("d").alias("bound"))
     asked = rel["queries"].select(F.col("query_id").alias("id"), F.col("qe").alias("vector")).join(bound, "id")
-    found = knn.count_within(asked, rel["base"].select(F.col("base_id").alias("id"), F.col("be").alias("vector")))
+    found = knn.count_within(asked, rel["base"].select(F.col("base_id").alias("id"), F.col("be").alias("vector")), same=True)
     return found.select("query_id", F.round("bound", 9).alias("d10"), "closer", "tied")
 
 
@@ -193,7 +193,7 @@ def bounded_retention(d):
 @plan("E8 K14 I14", "loss")
 def severity_sets(d):
     """The worst quarter by loss and by error, how they overlap, and what chance gives."""
-    return """WITH r AS (SELECT query_id, loss, mae, row_number() OVER (ORDER BY -loss, query_id) AS rl, row_number() OVER (ORDER BY -round(mae, 12), query_id) AS rm, count(*) OVER () AS n FROM pl_loss),
+    return f"""WITH r AS (SELECT l.query_id, l.loss, l.mae, l.r_ AS rl, m.r_ AS rm, l.n_ AS n FROM {d.ranked('pl_loss', '-loss', 'query_id')} AS l JOIN {d.ranked('pl_loss', '-round(mae, 12)', 'query_id')} AS m ON l.query_id = m.query_id),
       c AS (SELECT *, ceil(0.25E0 * n) AS k FROM r), t AS (SELECT min(loss) AS cut FROM c WHERE rl <= k)
       SELECT CAST(max(k) AS BIGINT) AS size, CAST(sum(CASE WHEN rl <= k AND rm <= k THEN 1 ELSE 0 END) AS BIGINT) AS overlap, round(max(k) * max(k) / max(n), 9) AS expected,
         round(sum(CASE WHEN rl <= k AND rm <= k THEN 1 ELSE 0 END) / CAST(sum(CASE WHEN rl <= k OR rm <= k THEN 1 ELSE 0 END) AS DOUBLE), 9) AS jaccard,
@@ -201,14 +201,24 @@ def severity_sets(d):
         round(sum(CASE WHEN loss >= cut AND rm <= k THEN 1 ELSE 0 END) / CAST(sum(CASE WHEN loss >= cut OR rm <= k THEN 1 ELSE 0 END) AS DOUBLE), 9) AS tie_inclusive_jaccard FROM c CROSS JOIN t"""
 
 
-@plan("E9 E10 E11", "pool", "gt")
+@plan("E9 E11", "pool", "gt")
 def operating_points(d):
-    """Recall by pool depth; the depth nearest 0.5, and the least that reaches each target."""
+    """Recall by pool depth; the depth nearest each target, none used twice, and the least that reaches it."""
+    near = lambda t, used: f"(SELECT min_by(ef, round(abs(recall - {t}E0), 12) + ef * 1e-15) FROM r{used})"
     return f"""WITH hits AS (SELECT p.query_id, p.pos FROM pl_pool p JOIN pl_gt g ON p.query_id = g.query_id AND p.base_id = g.base_id WHERE g.rk <= {K}),
       r AS (SELECT ef, count(h.pos) / ({K}.0E0 * (SELECT count(DISTINCT query_id) FROM pl_gt)) AS recall FROM (SELECT CAST(10 AS BIGINT) AS ef UNION ALL SELECT CAST(16 AS BIGINT) UNION ALL SELECT CAST(32 AS BIGINT) UNION ALL SELECT CAST(64 AS BIGINT) UNION ALL SELECT CAST(128 AS BIGINT)) AS e_
-        LEFT JOIN hits h ON h.pos < e_.ef GROUP BY ef)
-      SELECT target, (SELECT min_by(ef, round(abs(recall - 0.5E0), 12) + ef * 1e-15) FROM r) AS nearest_half, min(CASE WHEN recall >= target THEN ef END) AS least_ef, round(max(recall), 9) AS best_recall, max(recall) < 0.9E0 AS below_090
-      FROM r CROSS JOIN (SELECT 0.25E0 AS target UNION ALL SELECT 0.5E0 UNION ALL SELECT 0.75E0 UNION ALL SELECT 0.99E0) AS t_ GROUP BY target"""
+        LEFT JOIN hits h ON h.pos < e_.ef GROUP BY ef),
+      a1 AS (SELECT {near(0.25, '')} AS ef), a2 AS (SELECT {near(0.5, ' WHERE ef NOT IN (SELECT ef FROM a1)')} AS ef), a3 AS (SELECT {near(0.75, ' WHERE ef NOT IN (SELECT ef FROM a1 UNION ALL SELECT ef FROM a2)')} AS ef)
+      SELECT target, max(a.ef) AS nearest_ef, min(CASE WHEN recall >= target THEN r.ef END) AS least_ef, round(max(recall), 9) AS best_recall, max(recall) < 0.9E0 AS below_090
+      FROM r CROSS JOIN (SELECT 0.25E0 AS target, ef FROM a1 UNION ALL SELECT 0.5E0, ef FROM a2 UNION ALL SELECT 0.75E0, ef FROM a3) AS a GROUP BY target"""
+
+
+@plan("E10", "perq15")
+def quantizer_selection(d):
+    """Models within a window of recall and of recall lost, by how near the loss is to its target, then by name; the first is taken."""
+    return f"""WITH m AS (SELECT model, sum(score_hits) / (count(*) * {K}.0E0) AS recall, sum(exact_hits - score_hits) / (count(*) * {K}.0E0) AS delta FROM pl_perq15 GROUP BY model),
+      e AS (SELECT *, row_number() OVER (ORDER BY round(abs(delta - 0.05E0), 12), model) AS place FROM m WHERE recall >= 0.2E0 AND delta BETWEEN 0.005E0 AND 0.3E0)
+      SELECT m.model, round(m.recall, 9) AS recall, round(m.delta, 9) AS delta, CAST(place AS BIGINT) AS place, coalesce(place = 1, false) AS selected FROM m LEFT JOIN e ON m.model = e.model"""
 
 
 @plan("G1 G2 C1 C2 C5", "perq", "gt")
@@ -219,18 +229,28 @@ def paired_recall(d):
 
 @plan("G4 G8 G6", "decomposed")
 def decomposition(d):
-    return "SELECT query_id, model, round(total_loss, 9) AS total_loss, round(discovery_loss, 9) AS discovery_loss, round(ranking_loss, 9) AS ranking_loss, control_delta, abs(total_loss - discovery_loss - ranking_loss + control_delta) <= 1e-12 AS identity, boundary_tie FROM pl_decomposed"
+    """Losses of two searches over one graph; each part is a difference of its own, so the identity can fail."""
+    return """SELECT query_id, model, round(total_loss, 9) AS total_loss, round(discovery_loss, 9) AS discovery_loss, round(ranking_loss, 9) AS ranking_loss, round(control_delta, 9) AS control_delta,
+      abs(total_loss - discovery_loss - ranking_loss + control_delta) <= 1e-12 AS identity, boundary_tie, explained, all16_hits, tie16 FROM pl_decomposed"""
 
 
 @plan("G9 I2", "decomposed")
 def decomposition_summary(d):
+    """Ratios are of sums, and absent where nothing is lost."""
+    share = lambda x: f"CASE WHEN sum(native_exact_hits - native_hits) > 0 THEN round(sum({x}) / CAST(sum(native_exact_hits - native_hits) AS DOUBLE), 9) END"
     return f"""SELECT model, round(avg(total_loss), 9) AS total, round(avg(discovery_loss), 9) AS discovery, round(avg(ranking_loss), 9) AS ranking,
-      CASE WHEN sum({K} - native_hits) > 0 THEN round(sum(oracle_hits - native_hits) / CAST(sum({K} - native_hits) AS DOUBLE), 9) END AS rerank_recovery,
-      CASE WHEN sum({K} - native_hits) > 0 THEN round(sum({K} - oracle_hits) / CAST(sum({K} - native_hits) AS DOUBLE), 9) END AS discovery_share,
+      {share('oracle_hits - native_hits')} AS rerank_recovery, {share('all16_hits - native_hits')} AS recovery16, {share('native_exact_hits - oracle_hits')} AS discovery_share,
       round(avg(CASE WHEN ranking_loss > 0 THEN 1.0E0 ELSE 0.0E0 END), 9) AS positive, round(avg(CASE WHEN ranking_loss = 0 THEN 1.0E0 ELSE 0.0E0 END), 9) AS zero, round(avg(CASE WHEN ranking_loss < 0 THEN 1.0E0 ELSE 0.0E0 END), 9) AS negative
       FROM pl_decomposed GROUP BY model"""
 
 
+@plan("F9", *[f"searched{'' if w == WALK[1] else w}" for w in SWEEP])
+def search_sweep(d):
+    """Recall, evaluations and what the exact order of all evaluated would give, by width and distance source."""
+    rows = " UNION ALL ".join(f"SELECT CAST({w} AS BIGINT) AS width, * FROM pl_searched{'' if w == WALK[1] else w}" for w in SWEEP)
+    return f"SELECT width, model, round(avg(native_hits) / {K}.0E0, 9) AS recall, round(avg(oracle_hits) / {K}.0E0, 9) AS oracle_recall, round(avg(evaluated), 9) AS evaluated FROM ({rows}) AS x_ GROUP BY width, model"
+
+
 @plan("G5 N1 N2", "ranked")
 def pool_overlap(d):
     """Top lists of the two models as sets: intersection, union, difference, Jaccard."""
@@ -256,14 +276,19 @@ def tie_aware_recall(d):
 
 @plan("G11", "decomposed")
 def criterion_gates(d):
-    return """SELECT model, count(*) >= 30 AS enough, avg(ranking_loss) > 0.02E0 AS effect, CAST(sum(CASE WHEN s > 0 THEN 1 ELSE 0 END) AS BIGINT) AS shards_for, sum(CASE WHEN s > 0 THEN 1 ELSE 0 END) >= 3 AS replicated FROM (
-      SELECT model, query_id % 4 AS shard, avg(ranking_loss) AS s, avg(ranking_loss) AS ranking_loss FROM pl_decomposed GROUP BY model, query_id % 4) AS x_ GROUP BY model"""
+    """By model: the votes of four replicates (shards of queries) on evidence of a ranking (H1) and of a discovery loss (H2), and none of either."""
+    return f"""WITH s AS (SELECT model, floor(query_id / 20) % 4 AS shard, count(*) AS n, avg(native_exact_hits) / {K}.0E0 AS recall, avg(ranking_loss) AS ranking, avg(discovery_loss) AS discovery,
+        CASE WHEN sum(native_exact_hits - native_hits) > 0 THEN sum(oracle_hits - native_hits) / CAST(sum(native_exact_hits - native_hits) AS DOUBLE) END AS recovery FROM pl_decomposed GROUP BY model, floor(query_id / 20) % 4),
+      v AS (SELECT *, recall >= 0.5E0 AS eligible, recall >= 0.5E0 AND ranking >= 0.02E0 AS h1, recall >= 0.5E0 AND discovery >= 0.02E0 AND coalesce(recovery, 1.0E0) <= 0.5E0 AS h2, recall >= 0.5E0 AND abs(discovery) <= 0.02E0 AND coalesce(recovery, 1.0E0) >= 0.9E0 AS none_ FROM s)
+      SELECT model, sum(n) >= 20 AS enough, CAST(sum(CASE WHEN eligible THEN 1 ELSE 0 END) AS BIGINT) AS eligible, CAST(sum(CASE WHEN h1 THEN 1 ELSE 0 END) AS BIGINT) AS votes_ranking, CAST(sum(CASE WHEN h2 THEN 1 ELSE 0 END) AS BIGINT) AS votes_discovery,
+        sum(CASE WHEN h1 THEN 1 ELSE 0 END) >= 3 AS ranking_replicated, sum(CASE WHEN h2 THEN 1 ELSE 0 END) >= 3 AS emerging, sum(CASE WHEN eligible THEN 1 ELSE 0 END) > 0 AND sum(CASE WHEN none_ THEN 1 ELSE 0 END) = sum(CASE WHEN eligible THEN 1 ELSE 0 END) AS no_evidence FROM v GROUP BY model"""
 
 
 def _gt_disagreement(rel):
     """The second ground truth is a search of its own over the whole base; the SQL ranks the first one's rows again."""
     q, b = rel["queries"], rel["base"]
-    second = knn.blocked_top_k(q.select(F.col("query_id").alias("id"), F.col("qe").alias("vector")), b.select(F.col("base_id").alias("id"), F.col("be").alias("vector")), K, ("query_id", "base_id", "i"), knn.identity_distances)
+    second = knn.blocked_top_k(q.select(F.col("query_id").alias("id"), F.col("qe").alias("vector")), b.select(F.col("base_id").alias("id"), F.col("be").alias("vector")), K + 1, ("query_id", "base_id", "i"), knn.identity_distances)
+    second = knn.others(second, K, "i")
     mark = lambda df, one, two: df.select("query_id", "base_id", one.cast("int").alias("one"), two.cast("int").alias("two"))
     both = mark(rel["gt"], F.col("rk") <= K, F.lit(False)).union(mark(second, F.lit(False), F.lit(True)))
     both = both.groupBy("query_id", "base_id").agg(F.max("one").alias("one"), F.max("two").alias("two"))
@@ -281,14 +306,22 @@ def gt_disagreement(d):
       SELECT query_id, CAST(sum(CASE WHEN rk <= {K} AND ri > {K} THEN 1 ELSE 0 END) AS BIGINT) AS missing, CAST(sum(CASE WHEN rk > {K} AND ri <= {K} THEN 1 ELSE 0 END) AS BIGINT) AS extra, max(abs(d - i)) <= 2e-5 AS within FROM o GROUP BY query_id"""
 
 
-@plan("G13 L3 N4", "pool", "scored", "ranked", "gt")
+@plan("G13 L3 N4", "pool", "scored", "ranked", "gt", "perq", "gaps", "refined")
 def pool_audit(d):
-    """Violations of what must hold; every count is 0."""
+    """Violations of what must hold, each found in another way than the relation was made; every count is 0."""
+    again = "SELECT query_id, max(CASE WHEN c = 9 THEN score END) AS s9, max(CASE WHEN c = 12 THEN score END) AS s12 FROM (SELECT query_id, score, rank() OVER (PARTITION BY query_id ORDER BY score, base_id) AS c FROM pl_scored WHERE model = 'coarse') AS z_ GROUP BY query_id"
     return f"""SELECT 'pool repeats' AS check_name, CAST(count(*) AS BIGINT) AS violations FROM (SELECT query_id, base_id FROM pl_pool GROUP BY query_id, base_id HAVING count(*) > 1) AS a_
       UNION ALL SELECT 'pool size', CAST(count(*) AS BIGINT) FROM (SELECT query_id FROM pl_pool GROUP BY query_id HAVING count(*) <> {POOL}) AS b_
       UNION ALL SELECT 'order', CAST(count(*) AS BIGINT) FROM pl_pool a JOIN pl_pool b ON a.query_id = b.query_id AND b.pos = a.pos + 1 WHERE b.adc < a.adc
       UNION ALL SELECT 'rank bijection', CAST(count(*) AS BIGINT) FROM (SELECT query_id, model FROM pl_ranked GROUP BY query_id, model HAVING count(DISTINCT er) <> count(*) OR count(DISTINCT sr) <> count(*)) AS c_
-      UNION ALL SELECT 'truth in pool ranks first', CAST(count(*) AS BIGINT) FROM (SELECT query_id, model, sum(in_gt) AS g, sum(CASE WHEN er <= {K} THEN in_gt ELSE 0 END) AS t FROM pl_ranked GROUP BY query_id, model) AS e_ WHERE g <> t"""
+      UNION ALL SELECT 'truth in pool ranks first', CAST(count(*) AS BIGINT) FROM (SELECT query_id, model, sum(in_gt) AS g, sum(CASE WHEN er <= {K} THEN in_gt ELSE 0 END) AS t FROM pl_ranked GROUP BY query_id, model) AS e_ WHERE g <> t
+      UNION ALL SELECT 'gap', CAST(count(*) AS BIGINT) FROM ({again}) AS f_ JOIN pl_gaps g ON f_.query_id = g.query_id WHERE coalesce(f_.s12 - f_.s9, CAST('Infinity' AS DOUBLE)) <> g.gap
+      UNION ALL SELECT 'decision', CAST(count(*) AS BIGINT) FROM ({again}) AS h_ JOIN pl_gaps g ON h_.query_id = g.query_id WHERE (coalesce(h_.s12 - h_.s9, CAST('Infinity' AS DOUBLE)) <= 0.02E0) <> (g.gap <= 0.02E0)
+      UNION ALL SELECT 'top 16', CAST(count(*) AS BIGINT) FROM (SELECT a.query_id, count(b.base_id) AS closer, max(a.sr) AS sr FROM pl_ranked a LEFT JOIN pl_scored b ON a.query_id = b.query_id AND a.model = b.model AND (b.score < a.score OR (b.score = a.score AND b.pos < a.pos))
+        WHERE a.sr <= 16 GROUP BY a.query_id, a.model, a.base_id) AS i_ WHERE closer + 1 <> sr
+      UNION ALL SELECT 'oracle membership', CAST(count(*) AS BIGINT) FROM (SELECT p.query_id, p.model, max(p.exact_hits) AS kept, count(g.base_id) AS found FROM pl_perq p LEFT JOIN pl_scored s ON p.query_id = s.query_id AND p.model = s.model
+        LEFT JOIN pl_gt g ON s.query_id = g.query_id AND s.base_id = g.base_id AND g.rk <= {K} GROUP BY p.query_id, p.model) AS j_ WHERE kept <> found
+      UNION ALL SELECT 'refinement', CAST(count(*) AS BIGINT) FROM pl_refined r JOIN pl_perq p ON r.query_id = p.query_id AND p.model = 'coarse' WHERE r.native_hits <> p.score_hits OR r.refined_hits > p.exact_hits"""
 
 
 @plan("F1", "edges")
@@ -298,7 +331,10 @@ def knn_graph(d):
 
 @plan("F2", "edges")
 def graph_fingerprint(d):
-    return f"SELECT {d.sha256(d.names('h', 'src'))} AS fingerprint, CAST(sum(n) AS BIGINT) AS edges FROM (SELECT src, count(*) AS n, {d.sha256(d.names('dst', 'rk'))} AS h FROM pl_edges GROUP BY src) AS x_"
+    """A hash of bucket hashes of node hashes: a bucket has the nodes of 4,096 ids in a row."""
+    nodes = f"SELECT src, CAST(floor(src / 4096) AS BIGINT) AS bucket, count(*) AS n, {d.sha256(d.names('dst', 'rk'))} AS h FROM pl_edges GROUP BY src"
+    buckets = f"SELECT bucket, sum(n) AS n, {d.sha256(d.names('h', 'src'))} AS h FROM ({nodes}) AS x_ GROUP BY bucket"
+    return f"SELECT {d.sha256(d.names('h', 'bucket'))} AS fingerprint, CAST(sum(n) AS BIGINT) AS edges FROM ({buckets}) AS y_"
 
 
 @plan("F8", "pool", "edges", "gt")

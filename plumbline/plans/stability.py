@@ -28,12 +28,19 @@ def loss_attribution(d):
       SELECT query_id, cls AS pair_class, round(sum(share), 9) AS loss FROM (SELECT query_id, CASE WHEN freq = 1 THEN 'one-off' WHEN freq = 2 THEN 'minority' WHEN freq = 5 THEN 'persistent' ELSE 'majority' END AS cls, 1.0E0 / n AS share FROM p WHERE freq IS NOT NULL) AS x_ GROUP BY query_id, cls"""
 
 
-@plan("K4 C8 K12", "perq5")
+@plan("K4 C8 K12", "perq5", "inversions5")
 def model_pairs(d):
-    return """SELECT a.model AS first, b.model AS second, CAST(sum(CASE WHEN a.loss_hits > 0 AND b.loss_hits > 0 THEN 1 ELSE 0 END) AS BIGINT) AS both, CASE WHEN sum(CASE WHEN a.loss_hits > 0 OR b.loss_hits > 0 THEN 1 ELSE 0 END) > 0 THEN
-      round(sum(CASE WHEN a.loss_hits > 0 AND b.loss_hits > 0 THEN 1 ELSE 0 END) / CAST(sum(CASE WHEN a.loss_hits > 0 OR b.loss_hits > 0 THEN 1 ELSE 0 END) AS DOUBLE), 9) END AS jaccard,
-      round(avg(CASE WHEN a.loss_hits > 0 THEN 1.0E0 ELSE 0.0E0 END) * avg(CASE WHEN b.loss_hits > 0 THEN 1.0E0 ELSE 0.0E0 END) * count(*), 9) AS expected_both, round(corr(CAST(a.loss_hits AS DOUBLE), CAST(b.loss_hits AS DOUBLE)), 9) AS correlation
-      FROM pl_perq5 a JOIN pl_perq5 b ON a.query_id = b.query_id AND a.model < b.model GROUP BY a.model, b.model"""
+    """Pairs of models: harmful queries shared, expected and by Jaccard; correlation of losses and of inversion counts by average ranks; inversions shared."""
+    share = lambda a, b: f"CASE WHEN sum(CASE WHEN {a} OR {b} THEN 1 ELSE 0 END) > 0 THEN round(sum(CASE WHEN {a} AND {b} THEN 1 ELSE 0 END) / CAST(sum(CASE WHEN {a} OR {b} THEN 1 ELSE 0 END) AS DOUBLE), 9) END"
+    rank = lambda c: f"rank() OVER (PARTITION BY model ORDER BY {c}) + (count(*) OVER (PARTITION BY model, {c}) - 1) / 2.0E0"
+    return f"""WITH c AS (SELECT p.query_id, p.model, p.loss_hits, coalesce(i.n, 0) AS inversions FROM pl_perq5 p LEFT JOIN (SELECT query_id, model, count(*) AS n FROM pl_inversions5 GROUP BY query_id, model) i ON p.query_id = i.query_id AND p.model = i.model),
+      r AS (SELECT *, {rank('loss_hits')} AS rl, {rank('inversions')} AS ri FROM c), n AS (SELECT model, sum(inversions) AS n FROM c GROUP BY model),
+      s AS (SELECT a.model AS first, b.model AS second, count(*) AS shared FROM pl_inversions5 a JOIN pl_inversions5 b ON a.query_id = b.query_id AND a.inside_id = b.inside_id AND a.outside_id = b.outside_id WHERE a.model < b.model GROUP BY a.model, b.model),
+      x AS (SELECT a.model AS first, b.model AS second, CAST(sum(CASE WHEN a.loss_hits > 0 AND b.loss_hits > 0 THEN 1 ELSE 0 END) AS BIGINT) AS both, {share('a.loss_hits > 0', 'b.loss_hits > 0')} AS jaccard,
+        round(avg(CASE WHEN a.loss_hits > 0 THEN 1.0E0 ELSE 0.0E0 END) * avg(CASE WHEN b.loss_hits > 0 THEN 1.0E0 ELSE 0.0E0 END) * count(*), 9) AS expected_both,
+        round(corr(CAST(a.loss_hits AS DOUBLE), CAST(b.loss_hits AS DOUBLE)), 9) AS correlation, round(corr(a.rl, b.rl), 9) AS spearman_loss, round(corr(a.ri, b.ri), 9) AS spearman_inversions
+        FROM r a JOIN r b ON a.query_id = b.query_id AND a.model < b.model GROUP BY a.model, b.model)
+      SELECT x.*, CASE WHEN p.n + q.n > 0 THEN round(coalesce(shared, 0) / CAST(p.n + q.n - coalesce(shared, 0) AS DOUBLE), 9) END AS inversion_jaccard FROM x JOIN n p ON x.first = p.model JOIN n q ON x.second = q.model LEFT JOIN s ON x.first = s.first AND x.second = s.second"""
 
 
 @plan("K15", "inversions5")

@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.storage import materialize
+from .xvecs import _open
+
 #: Packed candidate records, 12 bytes each.
 RECORD = np.dtype([("id", "<i4"), ("exact", "<f4"), ("pq", "<f4")])
 
@@ -25,6 +30,53 @@ def unpack_candidates(files: DataFrame) -> DataFrame:
     return files.mapInPandas(run, "query_id long, pos long, base_id long, exact double, score double")
 
 
+def pack_candidates(pool: DataFrame, folder: str) -> DataFrame:
+    """Writes ``pool(query_id, pos, base_id, exact, score)``; its index ``query_id, file, byte_offset, candidate_count``.
+
+    A task writes the queries of its range one after the other into a file of its own.
+    """
+
+    def run(batches):
+        name, at_byte, out, left = uuid.uuid4().hex, 0, [], None
+        system, at = _open(folder)
+        with system.open_output_stream(f"{at}/{name}") as file:
+            for rows in batches:
+                rows = rows if left is None else pd.concat([left, rows], ignore_index=True)
+                last = rows["query_id"].iloc[-1] if len(rows) else None
+                left = rows[rows["query_id"] == last]  # it may go on in the next batch
+                for q, part in rows[rows["query_id"] != last].groupby("query_id", sort=True):
+                    out.append((q, name, at_byte, len(part)))
+                    at_byte += file.write(_records(part))
+            if left is not None and len(left):
+                out.append((left["query_id"].iloc[0], name, at_byte, len(left)))
+                file.write(_records(left))
+        yield pd.DataFrame(out, columns=["query_id", "file", "byte_offset", "candidate_count"])
+
+    system, at = _open(folder)
+    system.create_dir(at, recursive=True)
+    laid = pool.select("query_id", "pos", "base_id", "exact", "score").repartition("query_id").sortWithinPartitions("query_id", "pos")
+    return materialize(laid.mapInPandas(run, "query_id long, file string, byte_offset long, candidate_count long"))
+
+
+def _records(rows: pd.DataFrame) -> bytes:
+    out = np.zeros(len(rows), RECORD)
+    out["id"], out["exact"], out["pq"] = rows["base_id"], rows["exact"], rows["score"]
+    return out.tobytes()
+
+
+def scan_candidates(index: DataFrame, folder: str) -> DataFrame:
+    """The records that ``index`` names, by their offsets."""
+
+    def run(batches):
+        system, at = _open(folder)
+        for rows in batches:
+            for name, part in rows.groupby("file"):
+                with system.open_input_file(f"{at}/{name}") as file:
+                    yield pd.DataFrame({"query_id": part["query_id"], "content": [file.read_at(int(n) * RECORD.itemsize, int(a)) for a, n in zip(part["byte_offset"], part["candidate_count"], strict=True)]})
+
+    return unpack_candidates(index.mapInPandas(run, "query_id long, content binary"))
+
+
 def from_csr(rows: DataFrame) -> DataFrame:
     """``query_id, pos, base_id, score`` from ``query_id, ids, scores``."""
     return rows.select("query_id", F.posexplode(F.arrays_zip("ids", "scores")).alias("pos", "x")).select("query_id", F.col("pos").cast("long").alias("pos"), F.col("x.ids").alias("base_id"), F.col("x.scores").alias("score"))
@@ -32,12 +84,13 @@ def from_csr(rows: DataFrame) -> DataFrame:
 
 def to_csr(pool: DataFrame) -> DataFrame:
     """One row a query: ids and scores in pool order, and the offset of its first candidate."""
-    from pyspark.sql import Window
-
-    rows = pool.groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct("pos", "base_id", "score"))).alias("x"))
-    before = Window.orderBy("query_id").rowsBetween(Window.unboundedPreceding, -1)
-    sizes = rows.select("query_id", F.coalesce(F.sum(F.size("x")).over(before), F.lit(0)).alias("offset"))
-    return rows.join(sizes, "query_id").select("query_id", "offset", F.transform("x", lambda e: e["base_id"]).alias("ids"), F.transform("x", lambda e: e["score"]).alias("scores"))
+    rows = pool.groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct("pos", "base_id", "score"))).alias("x")).withColumn("bucket", F.floor(F.col("query_id") / 65536))
+    # offsets in two steps: a window over the buckets, and one over each bucket's queries
+    sizes = rows.groupBy("bucket").agg(F.sum(F.size("x")).alias("n"))
+    before = sizes.select(F.col("bucket").alias("b"), (F.sum("n").over(Window.orderBy("bucket")) - F.col("n")).alias("before"))
+    within = F.sum(F.size("x")).over(Window.partitionBy("bucket").orderBy("query_id")) - F.size("x")
+    placed = rows.withColumn("within", within).join(before, F.col("bucket") == F.col("b"))
+    return placed.select("query_id", (F.col("before") + F.col("within")).alias("offset"), F.transform("x", lambda e: e["base_id"]).alias("ids"), F.transform("x", lambda e: e["score"]).alias("scores"))
 
 
 def write_json_lines(df: DataFrame, path: str, compress: bool = True) -> None:
