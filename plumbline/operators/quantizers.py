@@ -39,7 +39,7 @@ def train_codebook(base: DataFrame, parts: int, codes: int, dims: int, rounds: i
     """
     key = F.md5(F.concat_ws(":", F.lit("11"), F.col("base_id").cast("string")))
     rows = base.select("base_id", "be", key.alias("k")).orderBy("k", "base_id").limit(codes * per_code).collect()
-    x, width = np.array([r["be"] for r in rows], dtype=np.float64).reshape(len(rows), -1), dims // parts
+    x, width = np.array([r["be"] for r in rows], dtype=np.float64).reshape(len(rows), dims), dims // parts
     out = []
     for m in range(parts):
         s = x[:, m * width : (m + 1) * width]

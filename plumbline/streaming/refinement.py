@@ -68,8 +68,12 @@ class Worker:
     def answer(self) -> list[tuple[int, int, int, int, bool, bool]]:
         """``query, batch, rank, id, refined, same`` of what waits; ``same``: the scalar path agrees."""
         now = self.tag == self.epoch
-        gap = self.scores[now, self.k + 1] - self.scores[now, self.k - 2] if self.depth > self.k + 1 else np.full(now.sum(), np.inf)
-        near = np.isfinite(gap) & (gap <= self.tau)
+        gap = np.full(int(now.sum()), np.inf)
+        if self.depth > self.k + 1:
+            near, far = self.scores[now, self.k - 2], self.scores[now, self.k + 1]
+            known = np.isfinite(far)  # pools of fewer are refined by no gap
+            gap[known] = far[known] - near[known]
+        near = gap <= self.tau
         order = np.lexsort((self.places[now], np.where(near[:, None], self.exact[now], self.scores[now])), axis=1)
         final, out = np.take_along_axis(self.places[now], order, axis=1)[:, : self.k], []
         for row, refined, (query, ids, exact, score) in zip(final, near, self.waiting, strict=True):
