@@ -5,7 +5,9 @@ what moves afterwards are suffixes and not texts.
 
 1. Of every ``LENGTH``-byte string the ``GRAM``-byte gram with the least hash is
    an anchor. Equal strings have the same anchor at the same place, so suffixes
-   that start at anchors (one in 15 bytes) are all that need comparing.
+   that start at anchors (one in 15 bytes) are all that need comparing. In a run
+   of one byte every place is an anchor with the same bytes around it; places in
+   a row within such a run are one anchor with a length.
 2. A chunk sends each of its anchors' hashes once; the hashes that several chunks
    have come back as a bitmap. Only anchors that several documents share go on.
 3. A chunk sends the suffix at such an anchor (and the bytes before it) once for
@@ -15,11 +17,12 @@ what moves afterwards are suffixes and not texts.
    is longer than that, so none crosses a boundary between ranges.
 4. A range sorts its suffixes by multikey quicksort on 8-byte words. Runs whose
    common prefix is long enough, divided by the bytes before the anchor, are the
-   equal strings; the least id of each goes back to the chunks.
+   equal strings; the least id of each goes back to the chunks. Bytes decide what
+   is equal; hashes only say where to look.
 5. A chunk removes the strings that have a smaller id elsewhere.
 
 A passage that a third of all documents share costs each chunk one suffix an
-anchor. Chunks are read by name from the shared folder, so lost executors cost
+anchor. There are as many ranges as keep one at ``PART`` bytes of text. Chunks are read by name from the shared folder, so lost executors cost
 a repetition only.
 
 Defined results: a null text is empty; texts under ``LENGTH`` bytes stay whole; a
@@ -47,8 +50,12 @@ LENGTH, GRAM = 50, 20
 WINDOW = LENGTH - GRAM + 1
 BEFORE = WINDOW - 1
 CHUNK, BLOCK = 16_000_000, 1 << 20
+#: Bytes of text for each range of hashes and of suffixes.
+PART = 32 << 20
 #: Sampled chunks, bytes of each, and anchors of each for the splitters.
 SAMPLE_CHUNKS, SAMPLE_BYTES, SAMPLE_ANCHORS = 24, 1_000_000, 4000
+#: Rows of a stretch that multikey quicksort doesn't split any more.
+SHORT = 2048
 NO_ID = np.iinfo(np.int64).max
 _M = [pow(0x9E3779B97F4A7C15, k, 1 << 64) for k in range(33)]
 
@@ -72,7 +79,11 @@ class Chunk:
     def read(cls, folder: str, name: str) -> Chunk:
         system, at = _file(folder)
         with system.open_input_file(f"{at.rstrip('/')}/{name}") as file:
-            raw = zstandard.ZstdDecompressor().decompress(file.read())
+            return cls.read_bytes(file.read())
+
+    @classmethod
+    def read_bytes(cls, packed: bytes) -> Chunk:
+        raw = zstandard.ZstdDecompressor().decompress(packed)
         n = int(np.frombuffer(raw, "<i8", 1)[0])
         ids, ends = np.frombuffer(raw, "<i8", n, 8), np.frombuffer(raw, "<i8", n, 8 + 8 * n)
         null = np.frombuffer(raw, np.uint8, n, 8 + 16 * n).astype(bool)
@@ -90,8 +101,9 @@ def _write(folder: str):
             name = uuid.uuid4().hex
             with system.open_output_stream(f"{at.rstrip('/')}/{name}") as out:
                 out.write(Chunk.pack(ids, texts))
+            row = pd.DataFrame({"file": [name], "n_bytes": [sum(map(len, texts))]})
             ids.clear(), texts.clear()
-            return pd.DataFrame({"file": [name]})
+            return row
 
         for rows in batches:
             for key, text in zip(rows["doc_id"], rows["text"], strict=True):
@@ -135,24 +147,41 @@ def _gram_hashes(data: np.ndarray) -> np.ndarray:
         return (whole >> np.uint64(16)) | np.uint64(1)
 
 
-def anchors(chunk: Chunk, upto: int | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Places and hashes of the anchors of all documents."""
+def anchors(chunk: Chunk, upto: int | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places, hashes and lengths of the anchors of all documents.
+
+    An anchor of length n stands for n places in a row whose surroundings (``BEFORE``
+    bytes before, ``LENGTH`` from it on, all of one document) are one byte repeated.
+    """
     size = len(chunk.data) if upto is None else min(upto, len(chunk.data))
-    places, hashes = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.uint64)]
+    places, hashes, lengths = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.uint64)], [np.zeros(0, dtype=np.int64)]
     for at in range(0, size, BLOCK):
         a, b = max(0, at - BEFORE), min(len(chunk.data), at + BLOCK + BEFORE + LENGTH)
         if b - a < LENGTH:
             continue
-        h = _gram_hashes(chunk.data[a:b])
+        data = chunk.data[a:b]
+        h = _gram_hashes(data)
         where = np.arange(a, a + len(h) - WINDOW + 1)
         end = chunk.ends[np.searchsorted(chunk.ends, where, side="right")]
         least = np.where(where + LENGTH <= end, _slide(h, WINDOW, np.minimum), np.uint64(0))
         most = _slide(np.concatenate([np.zeros(BEFORE, dtype=np.uint64), least, np.zeros(BEFORE, dtype=np.uint64)]), WINDOW, np.maximum)
         found = np.flatnonzero(most == h)
         found = found[(found + a >= at) & (found + a < at + BLOCK)]
+        length = np.ones(len(found), dtype=np.int64)
+        if len(found) > len(h) // 8:  # only runs have that many
+            same = np.flatnonzero(np.concatenate([[True], data[1:] != data[:-1]]))  # where a run of one byte begins
+            run = np.searchsorted(same, found, side="right") - 1
+            first, last = same[run], np.append(same[1:], len(data))[run]
+            doc = np.searchsorted(chunk.ends, found + a, side="right")
+            first, last = np.maximum(first, chunk.starts[doc] - a), np.minimum(last, chunk.ends[doc] - a)
+            inner = (found - BEFORE >= first) & (found + LENGTH <= last)
+            goes_on = np.concatenate([[False], inner[1:] & inner[:-1] & (found[1:] == found[:-1] + 1) & (run[1:] == run[:-1]) & (doc[1:] == doc[:-1])])
+            begin = np.flatnonzero(~goes_on)
+            length, found = np.diff(np.append(begin, len(found))), found[begin]
         places.append(found + a)
         hashes.append(h[found])
-    return np.concatenate(places), np.concatenate(hashes)
+        lengths.append(length)
+    return np.concatenate(places), np.concatenate(hashes), np.concatenate(lengths)
 
 
 def _delta(values: np.ndarray) -> bytes:
@@ -200,59 +229,73 @@ def _shared_hashes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"file": rows["file"].to_numpy(), "part": np.int32(part), "marks": marks})
 
 
-def _mix_rows(words: np.ndarray) -> np.ndarray:
+def _kinds(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Equal rows of 8-byte words: the first place of each kind, and the kind of each row.
+
+    A hash sorts them, and the bytes of all rows are held against their kind's first.
+    """
     with np.errstate(over="ignore"):
-        h = np.full(len(words), 0x1234567, dtype=np.uint64)
-        for k in range(words.shape[1]):
-            h = (h ^ words[:, k]) * np.uint64(0x9E3779B97F4A7C15)
+        h = np.full(len(rows), 0x1234567, dtype=np.uint64)
+        for k in range(rows.shape[1]):
+            h = (h ^ rows[:, k]) * np.uint64(0x9E3779B97F4A7C15)
             h ^= h >> np.uint64(32)
-        return h
+    _, first, kind = np.unique(h, return_index=True, return_inverse=True)
+    if len(rows) and (rows != rows[first[kind]]).any():
+        _, first, kind = np.unique(np.ascontiguousarray(rows).view(f"V{8 * rows.shape[1]}").ravel(), return_index=True, return_inverse=True)
+    return first, kind
 
 
 class Shared:
     """Anchors of a chunk that several documents have, and their distinct surroundings.
 
-    ``place, doc, kind`` are by anchor, the rest by kind: ``around`` (bytes before
-    and from the anchor), ``before``, ``after`` (how many of them are real),
+    ``place, length, doc, kind`` are by anchor, the rest by kind: ``around`` (bytes
+    before and from the anchor), ``before``, ``after`` (how many of them are real),
     ``least`` (id) and ``part`` (suffix range). Kinds are in order of parts.
     """
 
     def __init__(self, chunk: Chunk, marks: list[tuple[int, bytes]], parts: int, splitters: np.ndarray):
-        place, h = anchors(chunk)
+        place, h, length = anchors(chunk)
         own, inverse = np.unique(h, return_inverse=True)
         cut, several = _parts_of(own, parts), np.zeros(len(own), dtype=bool)
         for k, bits in marks:
             n = cut[k + 1] - cut[k]
             several[cut[k] : cut[k + 1]] = np.unpackbits(np.frombuffer(bits, np.uint8), count=n).astype(bool)
-        doc = np.searchsorted(chunk.ends, place, side="right")
+        doc = np.searchsorted(chunk.ends, place, side="right").astype(np.int32)
         low, high = np.full(len(own), len(chunk.ends)), np.full(len(own), -1)
         np.minimum.at(low, inverse, doc)
         np.maximum.at(high, inverse, doc)
         keep = (several | (low < high))[inverse]
-        self.place, self.doc = place[keep], doc[keep]
-        n = len(self.place)
-        before = np.minimum(BEFORE, self.place - chunk.starts[self.doc])
-        after = np.minimum(LENGTH, chunk.ends[self.doc] - self.place)
+        del inverse, h
+        self.place, self.doc, self.length = place[keep], doc[keep], length[keep]
+        n, width = len(self.place), BEFORE + LENGTH
         padded = np.concatenate([np.zeros(BEFORE, np.uint8), chunk.data, np.zeros(LENGTH, np.uint8)])
-        width = BEFORE + LENGTH
-        around = np.zeros((n, -(-width // 8) * 8), dtype=np.uint8)
-        step = np.arange(width)
-        for a in range(0, n, 1 << 17):
-            b = min(n, a + (1 << 17))
+        words, step = -(-width // 8), np.arange(width)
+        kinds, kind = [np.zeros((0, words + 1), dtype="<u8")], np.zeros(n, dtype=np.int64)
+        for a in range(0, n, 1 << 16):  # kinds of a block at a time: runs have few, however many places
+            b = min(n, a + (1 << 16))
+            before = np.minimum(BEFORE, self.place[a:b] - chunk.starts[self.doc[a:b]])
+            after = np.minimum(LENGTH, chunk.ends[self.doc[a:b]] - self.place[a:b])
             got = padded[self.place[a:b, None] + step]
-            got[(step < BEFORE - before[a:b, None]) | (step >= BEFORE + after[a:b, None])] = 0
-            around[a:b, :width] = got
-        key = _mix_rows(np.column_stack([around.view("<u8"), before.astype(np.uint64) << np.uint64(8) | after.astype(np.uint64)]))
-        _, first, kind = np.unique(key, return_index=True, return_inverse=True)
+            got[(step < BEFORE - before[:, None]) | (step >= BEFORE + after[:, None])] = 0
+            around = np.zeros((b - a, 8 * words), dtype=np.uint8)
+            around[:, :width] = got
+            rows = np.column_stack([around.view("<u8"), before.astype(np.uint64) << np.uint64(8) | after.astype(np.uint64)])
+            first, of = _kinds(rows)
+            kind[a:b] = of + sum(map(len, kinds))
+            kinds.append(rows[first])
+        rows = np.concatenate(kinds)
+        first, of = _kinds(rows)
+        kind, rows = of[kind], np.ascontiguousarray(rows[first])
         least = np.full(len(first), NO_ID)
         np.minimum.at(least, kind, chunk.ids[self.doc])
-        leading = np.ascontiguousarray(around[first, BEFORE : BEFORE + 16]).view("S16").ravel()
+        around = np.ascontiguousarray(rows[:, :words]).view(np.uint8)
+        leading = np.ascontiguousarray(around[:, BEFORE : BEFORE + 16]).view("S16").ravel()
         part = np.searchsorted(splitters, leading, side="right") if len(splitters) else np.zeros(len(first), dtype=np.int64)
         order = np.argsort(part, kind="stable")
         rank = np.empty(len(order), dtype=np.int64)
         rank[order] = np.arange(len(order))
-        self.kind, first = rank[kind], first[order]
-        self.around, self.before, self.after = around[first, :width], before[first].astype(np.uint8), after[first].astype(np.uint8)
+        self.kind = rank[kind].astype(np.int32)
+        self.around, self.before, self.after = around[order, :width], (rows[order, words] >> np.uint64(8)).astype(np.uint8), (rows[order, words] & np.uint64(255)).astype(np.uint8)
         self.least, self.part = least[order], part[order]
 
 
@@ -273,20 +316,27 @@ def _send_suffixes(folder: str, parts: int, splitters: np.ndarray):
 
 
 def multikey_order(words: np.ndarray) -> np.ndarray:
-    """Rows in lexicographic order: by the first word, ties by the next one, and so on."""
-    order = np.argsort(words[:, 0], kind="stable")
-    same = np.concatenate([[False], words[order[1:], 0] == words[order[:-1], 0]])
-    for k in range(1, words.shape[1]):
-        tied = same.copy()
-        tied[:-1] |= same[1:]
-        at = np.flatnonzero(tied)
-        if not len(at):
-            break
-        group = np.cumsum(~same)[at]
-        rows = order[at]
-        order[at] = rows[np.lexsort((words[rows, k], group))]
-        new = np.concatenate([[False], words[order[1:], k] == words[order[:-1], k]])
-        same &= new
+    """Rows in lexicographic order of their words, by multikey quicksort (Bentley and Sedgewick, 1997).
+
+    A stretch is split into rows whose word is less than, equal to and greater
+    than a pivot; the equal ones go on with the next word. Short stretches are
+    sorted by all words that are left.
+    """
+    order, todo = np.arange(len(words)), [(0, len(words), 0)]
+    while todo:
+        a, b, k = todo.pop()
+        if k == words.shape[1] or b - a < 2:
+            continue
+        rows = order[a:b]
+        if b - a <= SHORT:
+            order[a:b] = rows[np.lexsort([words[rows, j] for j in range(words.shape[1] - 1, k - 1, -1)])]
+            continue
+        word = words[rows, k]
+        pivot = np.sort(word[:: max(1, len(word) // 63)])[len(word[:: max(1, len(word) // 63)]) // 2]
+        less, more = word < pivot, word > pivot
+        n, m = int(less.sum()), int(more.sum())
+        order[a:b] = np.concatenate([rows[less], rows[~(less | more)], rows[more]])
+        todo += [(a, a + n, k), (a + n, b - m, k + 1), (b - m, b, k)]
     return order
 
 
@@ -306,22 +356,20 @@ def least_ids(around: np.ndarray, before: np.ndarray, after: np.ndarray, least:
     if n:
         same = np.minimum(same, np.minimum(reach[1:], reach[:-1]))
     have = before[order].astype(np.int64)
-    left = np.zeros(n, dtype=np.uint64)
-    with np.errstate(over="ignore"):
-        for o in range(WINDOW):
-            if o:
-                left = (left ^ (around[order, BEFORE - o].astype(np.uint64) + np.uint64(1))) * np.uint64(0x9E3779B97F4A7C15)
-                left ^= left >> np.uint64(29)
-            linked = same >= LENGTH - o
-            run = np.cumsum(np.concatenate([[True], ~linked])) if n else np.zeros(0, dtype=np.int64)
-            at = np.flatnonzero((np.concatenate([[False], linked]) | np.concatenate([linked, [False]]))[:n] & (have >= o))
-            if not len(at):
-                continue
-            key = (left[at] ^ (run[at].astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))) * np.uint64(0xBF58476D1CE4E5B9)
-            by = np.argsort(key)
-            edge = np.flatnonzero(np.concatenate([[True], key[by[1:]] != key[by[:-1]]]))
-            low = np.minimum.reduceat(ids[at[by]], edge)
-            out[order[at[by]], o] = np.repeat(low, np.diff(np.append(edge, len(by))))
+    left = np.zeros(n, dtype=np.int64)  # numbers of the different bytes before, longer by one each time
+    for o in range(WINDOW):
+        if o:
+            left = np.unique(left * 256 + around[order, BEFORE - o], return_inverse=True)[1]
+        linked = same >= LENGTH - o
+        run = np.cumsum(np.concatenate([[True], ~linked])) if n else np.zeros(0, dtype=np.int64)
+        at = np.flatnonzero((np.concatenate([[False], linked]) | np.concatenate([linked, [False]]))[:n] & (have >= o))
+        if not len(at):
+            continue
+        key = run[at] * (n + 1) + left[at]
+        by = np.argsort(key)
+        edge = np.flatnonzero(np.concatenate([[True], key[by[1:]] != key[by[:-1]]]))
+        low = np.minimum.reduceat(ids[at[by]], edge)
+        out[order[at[by]], o] = np.repeat(low, np.diff(np.append(edge, len(by))))
     return out
 
 
@@ -351,12 +399,16 @@ def _remove(folder: str, parts: int, splitters: np.ndarray, with_text: bool):
                 got = Shared(chunk, [(int(m["part"]), m["marks"]) for m in marks], parts, splitters)
                 low = [np.frombuffer(unpack.decompress(x["low"]), "<i8").reshape(WINDOW, -1) for x in sorted([] if lows is None else lows, key=lambda x: x["part"])]
                 low = np.concatenate(low, axis=1) + got.least if low else np.zeros((WINDOW, 0), dtype=np.int64)
-                edges, ids = np.zeros(len(chunk.data) + 1, dtype=np.int32), chunk.ids[got.doc]
-                for o in range(WINDOW):
-                    fits = (got.before[got.kind] >= o) & (got.after[got.kind] >= LENGTH - o)
-                    start = got.place[fits & (ids > low[o][got.kind])] - o
-                    np.add.at(edges, start, 1)
-                    np.add.at(edges, start + LENGTH, -1)
+                edges = np.zeros(len(chunk.data) + 1, dtype=np.int32)
+                for a in range(0, len(got.place), 1 << 18):
+                    b = a + (1 << 18)
+                    kind, place, length, ids = got.kind[a:b], got.place[a:b], got.length[a:b], chunk.ids[got.doc[a:b]]
+                    before, after = got.before[kind], got.after[kind]
+                    for o in range(WINDOW):
+                        goes = (before >= o) & (after >= LENGTH - o) & (ids > low[o][kind])
+                        start = place[goes] - o
+                        np.add.at(edges, start, 1)
+                        np.add.at(edges, start + LENGTH + length[goes] - 1, -1)
                 gone, out = np.cumsum(edges[:-1]) > 0, []
                 for key, null, a, b in zip(chunk.ids, chunk.null, chunk.starts, chunk.ends, strict=True):
                     x, data = gone[a:b], chunk.data[a:b]
@@ -387,7 +439,7 @@ def _sample(folder: str):
         for rows in batches:
             for name in rows["file"]:
                 chunk = Chunk.read(folder, name)
-                place = anchors(chunk, SAMPLE_BYTES)[0]
+                place, _, _ = anchors(chunk, SAMPLE_BYTES)
                 place = place[np.linspace(0, len(place) - 1, min(len(place), SAMPLE_ANCHORS)).astype(np.int64)] if len(place) else place
                 yield pd.DataFrame({"leading": [chunk.data[p : p + 16].tobytes() for p in place]}, dtype=object)
 
@@ -402,12 +454,14 @@ def remove_repeats(docs: DataFrame, with_text: bool = True) -> DataFrame:
     """
     spark = docs.sparkSession
     bound_batches(spark)
-    folder, parts = shared_dir(spark), shuffle_partitions(spark)
+    folder = shared_dir(spark)
     system, at = _file(folder)
     system.create_dir(at, recursive=True)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    files = materialize(rows.mapInPandas(_write(folder), "file string"))
-    tasks = max(1, min(files.count(), 100_000))  # a chunk is a row of a small table: deal them out one by one
+    files = materialize(rows.mapInPandas(_write(folder), "file string, n_bytes long"))
+    n_files, size = files.agg(F.count(F.lit(1)), F.coalesce(F.sum("n_bytes"), F.lit(0))).first()
+    files, parts = files.select("file"), max(shuffle_partitions(spark), -(-size // PART))
+    tasks = max(1, min(n_files, 100_000))  # a chunk is a row of a small table: deal them out one by one
     dealt = files.repartition(tasks)
     sample = files.orderBy(F.xxhash64("file"), "file").limit(SAMPLE_CHUNKS).repartition(SAMPLE_CHUNKS).mapInPandas(_sample(folder), "leading binary").collect()
     leading = np.sort(np.array([bytes(x[0]) for x in sample], dtype="S16"))

@@ -223,10 +223,49 @@ def test_repeats_at_random(spark, monkeypatch):
     _repeats(spark, rows)
 
 
-def test_multikey_order():
+def test_multikey_order(monkeypatch):
     words = np.random.default_rng(1).integers(0, 3, (500, 5)).astype(np.uint64)
-    order = suffixes.multikey_order(words)
-    assert [tuple(r) for r in words[order]] == sorted(tuple(r) for r in words)
+    for short in (suffixes.SHORT, 4):
+        monkeypatch.setattr(suffixes, "SHORT", short)
+        order = suffixes.multikey_order(words)
+        assert [tuple(r) for r in words[order]] == sorted(tuple(r) for r in words)
+
+
+def test_runs_by_brute_force(spark, monkeypatch):
+    """Runs of one byte and of short periods, alone and in a row, within and across documents, whole and cut into blocks."""
+    rng = np.random.default_rng(9)
+    pieces = ["a" * 400, "b" * 130, "ab" * 150, "abc" * 90, "a" * 79, "a" * 80, "a" * 81, " " * 300]
+    rows = [(k, "".join(str(rng.choice(pieces)) + "xyz"[: rng.integers(0, 4)] for _ in range(rng.integers(1, 5)))) for k in range(60)]
+    rows += [(100, "a" * 3000), (101, "a" * 3000), (50, "c" * 2500), (102, "c" * 2500 + "d"), (103, "a" * 49), (104, "b" + "a" * 500)]
+    _repeats(spark, rows)
+    monkeypatch.setattr(suffixes, "CHUNK", 4000)
+    monkeypatch.setattr(suffixes, "BLOCK", 600)
+    _repeats(spark, rows)
+
+
+def test_kinds_are_told_apart_by_bytes(monkeypatch):
+    rows = np.random.default_rng(2).integers(0, 3, (300, 4)).astype("<u8")
+    want = len({tuple(r) for r in rows})
+    for constant in (None, 0):  # a hash that says nothing
+        if constant is not None:
+            real = np.unique
+            monkeypatch.setattr(suffixes.np, "unique", lambda x, **o: real(np.zeros_like(x) if x.dtype == np.uint64 else x, **o))
+        first, kind = suffixes._kinds(rows)
+        assert len(first) == want and (rows[first[kind]] == rows).all()
+
+
+def test_a_long_run_takes_little_memory():
+    """16 MB of one byte in two documents: the surroundings of its 16 million anchors are few."""
+    import resource
+
+    text = b"z" * 16_000_000
+    chunk = suffixes.Chunk.read_bytes(suffixes.Chunk.pack([1, 2], [text, text[:1_000_000]]))
+    before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+    place, h, length = suffixes.anchors(chunk)
+    assert len(place) < 1000 and length.sum() > 16_000_000
+    got = suffixes.Shared(chunk, [(0, np.packbits(np.ones(len(np.unique(h)), dtype=bool)).tobytes())], 1, np.zeros(0, dtype="S16"))
+    low = suffixes.least_ids(got.around, got.before, got.after, got.least)
+    assert low.min() == 1 and resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before < 400_000
 
 
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var t="</p>";</script></head><body><nav><a href="/x">Menu</a></nav><div class="cookie-notice">We use cookies</div>
