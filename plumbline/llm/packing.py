@@ -3,9 +3,10 @@
 A document's token counts are hashed to 1024 dimensions, scaled to length 1 and
 projected to three; the cell of a 2^13 grid gives a 39-bit Hilbert key. 24 bits
 of a hash of the id follow, so that a key shared by many documents can be cut.
-Keys and ids are made once and written to the shared folder; Spark takes the
-ranges of the curve from the written keys, as many as keep a range at about
-``RANGE_BYTES``. Every range is sorted, and its documents are laid end to end,
+Keys and ids are made once and written to the shared folder, documents in
+segments of at most ``SEGMENT`` ids, so that rows weigh about the same; Spark
+takes the ranges of the curve from the written keys, as many as keep a range at
+about ``RANGE_BYTES``. Every range is sorted, and its documents are laid end to end,
 cut every 1024 tokens. What is left at a range's end becomes sequences whose
 lengths are powers of two, so nothing is padded at all.
 
@@ -33,8 +34,8 @@ from .tokens import blocks, encoder
 
 LENGTH = 1024
 DIMENSIONS, BITS, HASHED = 3, 13, 1024
-#: Bytes of ids in a range, and documents whose counts are held at a time.
-RANGE_BYTES, DOCUMENTS = 32 << 20, 512
+#: Bytes of ids in a range, ids in a row, and documents whose counts are held at a time.
+RANGE_BYTES, SEGMENT, DOCUMENTS = 32 << 20, 1024, 512
 
 
 def hilbert(cells: np.ndarray, bits: int = BITS) -> np.ndarray:
@@ -99,8 +100,20 @@ def _encode(path: str, end_id: int):
                 known = rows["doc_id"].iloc[a:b]
                 key = curve_keys(ids, lengths) << 24
                 key |= _mixed(known.fillna(-1).astype("int64").to_numpy())
-                ends = np.cumsum(lengths)
-                yield pd.DataFrame({"key": key, "doc_id": known.astype("Int64"), "ids": [ids[x:y].tobytes() for x, y in zip(ends - lengths, ends, strict=True)]})
+                pieces = -(-lengths // SEGMENT)
+                doc = np.repeat(np.arange(b - a), pieces)
+                start = SEGMENT * (np.arange(len(doc)) - np.repeat(np.cumsum(pieces) - pieces, pieces))
+                first = (np.cumsum(lengths) - lengths)[doc] + start
+                size = np.minimum(SEGMENT, lengths[doc] - start)
+                yield pd.DataFrame(
+                    {
+                        "key": key[doc],
+                        "doc_id": known.astype("Int64").iloc[doc].reset_index(drop=True),
+                        "start": start,
+                        "doc_tokens": lengths[doc],
+                        "ids": [ids[x:y].tobytes() for x, y in zip(first.tolist(), (first + size).tolist(), strict=True)],
+                    }
+                )
 
     return run
 
@@ -130,13 +143,12 @@ def _pack(length: int):
 
         for rows in batches:
             out = []
-            for doc, coded in zip(rows["doc_id"].astype(object), rows["ids"], strict=True):
-                ids, start = np.frombuffer(coded, dtype="<u2"), 0
-                doc, total = None if pd.isna(doc) else int(doc), len(ids)
-                while start < total:
-                    n = min(total - start, length - fill)
-                    open_.append((doc, start, ids[start : start + n], total))
-                    start, fill = start + n, fill + n
+            for doc, start, total, coded in zip(rows["doc_id"].astype(object), rows["start"].tolist(), rows["doc_tokens"].tolist(), rows["ids"], strict=True):
+                ids, doc = np.frombuffer(coded, dtype="<u2"), None if pd.isna(doc) else int(doc)
+                while len(ids):
+                    n = min(len(ids), length - fill)
+                    open_.append((doc, start, ids[:n], total))
+                    start, ids, fill = start + n, ids[n:], fill + n
                     if fill == length:
                         at = 0
                         for d, s, x, t in open_:
@@ -160,8 +172,9 @@ def pack(docs: DataFrame, path: str, end_id: int = 0, length: int = LENGTH) -> D
     spark = docs.sparkSession
     bound_batches(spark)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    coded = materialize(rows.mapInPandas(_encode(path, end_id), "key long, doc_id long, ids binary"))
+    coded = materialize(rows.mapInPandas(_encode(path, end_id), "key long, doc_id long, start long, doc_tokens long, ids binary"))
     size = coded.agg(F.sum(F.octet_length("ids"))).first()[0] or 0
     parts = max(shuffle_partitions(spark), -(-size // RANGE_BYTES))
-    laid = coded.repartitionByRange(parts, "key").sortWithinPartitions("key", "doc_id", "ids")
-    return laid.select("doc_id", "ids").mapInPandas(_pack(length), "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
+    # a tie of key and id: rows that are repeated, or without an id
+    laid = coded.repartitionByRange(parts, "key").sortWithinPartitions("key", "doc_id", "doc_tokens", "start", "ids")
+    return laid.select("doc_id", "start", "doc_tokens", "ids").mapInPandas(_pack(length), "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")

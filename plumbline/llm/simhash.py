@@ -64,15 +64,21 @@ def _fingerprints(width: int):
         release()
         for rows in batches:
             values = np.array([fingerprint(t, width) for t in rows["text"]], dtype=np.uint64).view(np.int64)
-            yield pd.DataFrame({"doc_id": rows["doc_id"], "fp": values})
+            yield pd.DataFrame({"doc_id": rows["doc_id"], "row": rows["row"], "fp": values})
 
     return run
 
 
+def row_keys(docs: DataFrame) -> DataFrame:
+    """``doc_id, text, row``: a hash of id and text tells rows apart that share an id."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return rows.withColumn("row", F.xxhash64("doc_id", "text"))
+
+
 def fingerprints(docs: DataFrame, width: int = SHINGLE) -> DataFrame:
-    """``doc_id, fp`` (the 64 bits as a signed long) of every row."""
+    """``doc_id, row, fp`` (the 64 bits as a signed long) of every row."""
     bound_batches(docs.sparkSession)
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInPandas(_fingerprints(width), "doc_id long, fp long")
+    return row_keys(docs).mapInPandas(_fingerprints(width), "doc_id long, row long, fp long")
 
 
 def _bits(values: np.ndarray) -> np.ndarray:
@@ -210,18 +216,16 @@ def _verify(distance: int):
     return run
 
 
-def links(entries: DataFrame, distance: int = DISTANCE) -> DataFrame:
-    """Links ``(u, v)`` whose components are those of all pairs within ``distance``."""
-    if distance != DISTANCE:
-        raise ValueError("large buckets are linked exactly for a distance of 2 only")
-    groups, thresholds = choose(entries, distance)
+def links(entries: DataFrame) -> DataFrame:
+    """Links ``(u, v)`` whose components are those of all pairs within ``DISTANCE``, for which large buckets are exact."""
+    groups, thresholds = choose(entries, DISTANCE)
     rows = materialize(entries.select("fp").mapInPandas(_probes(groups, thresholds), "part int, v long, fp long, own boolean"))
     hot = materialize(rows.groupBy("part", "v").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > BUCKET).select(F.col("part").alias("hp"), F.col("v").alias("hv")))
     n_hot = hot.count()
     large = broadcast_if_small(hot, n_hot)
     at = (F.col("part") == F.col("hp")) & (F.col("v") == F.col("hv"))
     buckets = rows.join(large, at, "left_anti").groupBy("part", "v").agg(F.collect_list("fp").alias("fps"), F.collect_list("own").alias("owns"))
-    found = buckets.filter(F.size("fps") > 1).select("fps", "owns").mapInPandas(_verify(distance), "u long, v long")
+    found = buckets.filter(F.size("fps") > 1).select("fps", "owns").mapInPandas(_verify(DISTANCE), "u long, v long")
     if n_hot:
         around = F.transform(F.sequence(F.lit(0), F.lit(63)), lambda b: F.col("fp").bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), b)))
         crowd = rows.join(large, at, "left_semi").select("fp").distinct()
@@ -230,34 +234,43 @@ def links(entries: DataFrame, distance: int = DISTANCE) -> DataFrame:
     return found
 
 
-def near_duplicates(docs: DataFrame, width: int = SHINGLE, distance: int = DISTANCE) -> DataFrame:
-    """``doc_id, fingerprint, component_id`` for every row of ``docs``."""
+def marked(docs: DataFrame, width: int = SHINGLE) -> DataFrame:
+    """``doc_id, row, fp, component_id, part`` of every row; ``part`` is the component's own name."""
     rows = materialize(fingerprints(docs, width))
     entries = materialize(rows.groupBy("fp").agg(F.min("doc_id").alias("first_id")))
-    roots = components(links(entries, distance))
+    roots = components(links(entries))
     joined = entries.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
     least = joined.groupBy("root").agg(F.min("first_id").alias("component_id")).select(F.col("root").alias("r"), "component_id")
-    named = joined.join(least, F.col("root") == F.col("r")).select(F.col("fp").alias("f"), "component_id")
-    return rows.join(named, F.col("fp") == F.col("f")).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    named = joined.join(least, F.col("root") == F.col("r")).select(F.col("fp").alias("f"), "component_id", F.col("root").alias("part"))
+    return rows.join(named, F.col("fp") == F.col("f")).select("doc_id", "row", "fp", "component_id", "part")
+
+
+def near_duplicates(docs: DataFrame, width: int = SHINGLE) -> DataFrame:
+    """``doc_id, fingerprint, component_id`` for every row of ``docs``."""
+    return marked(docs, width).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def drop_near_duplicates(docs: DataFrame, width: int = SHINGLE, distance: int = DISTANCE) -> DataFrame:
-    """The rows of ``docs`` with the smallest id of their component."""
-    return keep_first(docs, near_duplicates(docs, width, distance))
+def drop_near_duplicates(docs: DataFrame, width: int = SHINGLE) -> DataFrame:
+    """The row of ``docs`` with the smallest id of each component."""
+    return keep_first(docs, marked(docs, width))
 
 
 def keep_first(docs: DataFrame, marks: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that name their component in ``marks(doc_id, component_id)``.
+    """The row of each component of ``marks(doc_id, row, part)`` with the smallest id, columns as they are.
 
-    Rows without an id stay: nothing tells them apart. An id that several rows
-    share goes if all of them would go, and of rows with one kept id one stays.
-    Ids that go are broadcast up to ``GONE_BROADCAST``; beyond, texts are shuffled.
+    Of rows of a component that share this id, the one with the least hash of its
+    text stays, and of the same row many times one; rows of different components
+    that share an id all stay. Rows without an id stay: nothing tells them apart.
+    Rows that go are broadcast up to ``GONE_BROADCAST``; beyond, texts are shuffled.
     """
-    marked = marks.filter("doc_id IS NOT NULL")
-    by_id = materialize(marked.groupBy(F.col("doc_id").alias("__plumbline_id")).agg(F.bool_and(F.col("doc_id") != F.col("component_id")).alias("gone"), F.count(F.lit(1)).alias("n")))
-    gone = by_id.filter("gone").select("__plumbline_id")
+    rows = marks.filter("doc_id IS NOT NULL").groupBy("row").agg(F.min("doc_id").alias("doc_id"), F.min("part").alias("part"), F.count(F.lit(1)).alias("n"))
+    rows = materialize(rows)
+    first = rows.groupBy("part").agg(F.min(F.struct("doc_id", "row")).alias("first")).select(F.col("part").alias("p"), "first")
+    judged = materialize(rows.join(first, F.col("part") == F.col("p")).select(F.col("row").alias("__plumbline_gone"), "n", (F.col("row") != F.col("first.row")).alias("gone")))
+    gone = judged.filter("gone").select("__plumbline_gone")
     near = F.broadcast(gone) if gone.count() <= GONE_BROADCAST else gone
-    kept = docs.join(near, docs["doc_id"] == near["__plumbline_id"], "left_anti")
-    if not by_id.filter("n > 1 AND NOT gone").limit(1).count():
-        return kept
-    return kept.filter("doc_id IS NOT NULL").dropDuplicates(["doc_id"]).union(kept.filter("doc_id IS NULL"))
+    named = docs.withColumn("__plumbline_row", F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string")))
+    kept = named.join(near, F.col("doc_id").isNotNull() & (F.col("__plumbline_row") == F.col("__plumbline_gone")), "left_anti")
+    if judged.filter("n > 1 AND NOT gone").limit(1).count():
+        kept = kept.filter("doc_id IS NOT NULL").dropDuplicates(["__plumbline_row"]).union(kept.filter("doc_id IS NULL"))
+    return kept.drop("__plumbline_row")

@@ -70,6 +70,16 @@ def test_one_row_of_each_group_stays(spark):
     assert Counter(ids)[5] == 0 and Counter(ids)[1] == 1 and 9 not in ids and 8 in ids and 2 in ids and 3 not in ids
 
 
+def test_different_texts_of_one_id_stay(spark):
+    """Rows that share an id are told apart by their texts, on every run alike."""
+    texts = [(1, data.prose(1, 80)), (1, data.prose(2, 80)), (1, data.prose(2, 80)), (2, data.prose(2, 80)), (3, data.prose(1, 80)), (4, data.prose(3, 80))]
+    docs = data.table(spark, [(k, t, "en", "a", 0, *[None] * 10) for k, t in texts])
+    for n in (1, 3):
+        kept = simhash.drop_near_duplicates(docs.repartition(n))
+        assert kept.columns == docs.columns
+        assert sorted((r["doc_id"], r["text"]) for r in kept.collect()) == sorted([texts[0], texts[1], texts[5]])
+
+
 def test_links_find_every_pair(spark):
     """Random fingerprints around centres: chains, and a crowd larger than a bucket."""
     rng = random.Random(3)
