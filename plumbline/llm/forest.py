@@ -11,7 +11,8 @@ every tree of its block, and every query goes to every block.
 Hash strings do not depend on the data. On vectors without structure (64
 independent dimensions, where the nearest of 50,000 has a cosine under 0.5) a
 forest needs a good share of the vectors as candidates for a recall of 0.9, so
-``candidates`` is a share and not a number; recall was 0.98 with the defaults.
+``candidates`` is a share and not a number. Entries are counted with repeats: the
+default 0.6 makes about half of a block's vectors different candidates.
 
 Defined results: vectors that are null, zero, or hold a null or non-finite
 number take no part, nor do null ids and vectors of another length than the most
@@ -32,8 +33,8 @@ from pyspark.sql import functions as F
 from .common import materialize
 
 TREES, BLOCK, SEED = 64, 16_384, 11
-#: Queries that a block answers at a time.
-BATCH = 256
+#: Queries that a block answers at a time, and entries that are looked at in any case.
+BATCH, LEAST = 256, 4096
 _ALL = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
@@ -70,7 +71,7 @@ class Forest:
         norms = np.sqrt((queries * queries).sum(axis=1))
         strings = [hash_strings(queries / norms[:, None], p) for p in self.planes]
         # an entry counts at most once a tree, so these are k + 2 different ones at least
-        wanted = min(max(share * len(self.ids), len(self.planes) * (k + 2)), len(self.planes) * len(self.ids))
+        wanted = min(max(share * len(self.ids), LEAST, len(self.planes) * (k + 2)), len(self.planes) * len(self.ids))
         low, high = np.zeros(len(ids), dtype=np.int64), np.full(len(ids), 64)
         while (low < high).any():  # the longest prefix length with enough below it in all trees
             middle = (low + high + 1) // 2
@@ -123,7 +124,7 @@ def valid_vectors(vectors: DataFrame) -> DataFrame:
     return fine.filter(F.size("vector") == (common["d"] if common else 0))
 
 
-def nearest(vectors: DataFrame, is_query, k: int = 5, trees: int = TREES, candidates: float = 0.75, block: int = BLOCK) -> DataFrame:
+def nearest(vectors: DataFrame, is_query, k: int = 5, trees: int = TREES, candidates: float = 0.6, block: int = BLOCK) -> DataFrame:
     """``query_id, rank, vec_id, score`` for the rows of ``vectors(vec_id, embedding)`` with ``is_query(id)``."""
     rows = valid_vectors(vectors)
     blocks = max(1, -(-rows.count() // block))
