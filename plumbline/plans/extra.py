@@ -152,6 +152,7 @@ QUERIES = {f.__name__: f for f in (beam_search, beam_search_quantized, sharded_b
 SQL = {
     "orthogonal_rotation": (("gt",), "SELECT query_id, rk AS rank, base_id, round(d, 6) AS dist FROM pl_gt WHERE rk <= 10"),
     "index_round_trip": (("edges", "codes"), "SELECT src, dst, CAST(rk AS BIGINT) AS rank, CAST(c AS BIGINT) AS code FROM pl_edges JOIN pl_codes ON src = base_id WHERE m = 0"),
+    "pq_lloyd": (("codebook",), "SELECT m, c, unnest(range(len(centroid))) AS j, round(unnest(centroid), 9) AS x FROM pl_codebook"),
     "xvec_round_trip": (("vectors",), "SELECT row_number() OVER (ORDER BY vec_id) - 1 AS vec_id, len(e)::BIGINT AS dim, round(list_sum(e), 6) AS total FROM pl_vectors"),
     "raw_round_trip": (
         ("vectors",),
