@@ -8,6 +8,8 @@ is one SELECT over relations. Both are written once and rendered for a dialect;
 
 from __future__ import annotations
 
+import re
+import uuid
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
@@ -147,10 +149,19 @@ def get(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def over(spark: SparkSession, sql: str, inputs: dict[str, DataFrame]) -> DataFrame:
-    """``sql`` with ``inputs`` as views named ``pl_<name>``."""
+    """``sql`` with ``inputs`` as views named ``pl_<name>``.
+
+    The views have names of this call's own and are gone once the text is resolved,
+    so nothing stays in the session and calls don't see one another's.
+    """
+    call = uuid.uuid4().hex
     for name, df in inputs.items():
-        df.createOrReplaceTempView(f"pl_{name}")
-    return spark.sql(sql)
+        df.createOrReplaceTempView(f"pl_{name}_{call}")
+    try:
+        return spark.sql(re.sub(r"\bpl_(\w+)\b", lambda m: f"pl_{m[1]}_{call}" if m[1] in inputs else m[0], sql))
+    finally:
+        for name in inputs:
+            spark.catalog.dropTempView(f"pl_{name}_{call}")
 
 
 def run(spark: SparkSession, name: str, **inputs: DataFrame) -> DataFrame:

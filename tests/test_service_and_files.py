@@ -132,6 +132,14 @@ def test_ranks_of_a_whole_table(spark):
     assert plan.count() == 400
 
 
+def test_plans_leave_no_views(spark):
+    one, two = (spark.createDataFrame([(k, 1.0 * k)], "query_id long, x double") for k in (1, 2))
+    first = over(spark, "SELECT x FROM pl_loss", {"loss": one})
+    second = over(spark, "SELECT a.x + b.x AS x FROM pl_loss a JOIN pl_loss_of b ON true", {"loss": two, "loss_of": one})
+    assert first.collect()[0]["x"] == 1 and second.collect()[0]["x"] == 3
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("pl_")]
+
+
 def test_shared_folder_needs_a_name_on_a_cluster(spark):
     class Conf:
         def get(self, key, default=None):
