@@ -24,8 +24,8 @@ fewer than ``min_host`` pages, where counts say little, classes that say what an
 element is ("ad", "sidebar", ...) count too, and if there are articles, only they
 are taken.
 
-Defined results: a null or empty page has an empty text; a null or odd url is of
-the host ""; repeated rows are extracted alike, and copies of a page count once;
+Defined results: a null or empty page has an empty text; pages with a null or odd
+url are counted with those of small hosts; repeated rows are extracted alike, and copies of a page count once;
 other columns are not looked at; broken markup is read as far as it goes: unknown
 end tags are skipped, open elements end with their parents, an unclosed comment
 takes the rest.
@@ -333,7 +333,7 @@ def page_rows(pages: DataFrame) -> DataFrame:
 def site_templates(found: DataFrame, min_pages: int = 5, min_share: float = 0.2, min_host: int = 10) -> DataFrame:
     """``host, subtree`` of templates; hash 0 marks the hosts with enough pages, ``FEW`` is all others."""
     of_hosts = found.filter(F.col("kind") == PAGE).groupBy("host").agg(F.countDistinct("content").alias("of"))
-    large = materialize(of_hosts.filter(F.col("of") >= min_host).withColumnRenamed("host", "h"))
+    large = materialize(of_hosts.filter((F.col("of") >= min_host) & (F.col("host") != "")).withColumnRenamed("host", "h"))
     n = large.count()
     near = broadcast_if_small(large, n)
     small = found.join(near, F.col("host") == F.col("h"), "left_anti")

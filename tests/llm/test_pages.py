@@ -31,13 +31,13 @@ def slow_templates(pages, min_pages=5, min_share=0.2, min_host=10):
     for host, page in pages:
         content[host].add(html_text.Page(page).hashes[0])
     for host, page in pages:
-        group = host if len(content[host]) >= min_host else html_text.FEW
+        group = host if host and len(content[host]) >= min_host else html_text.FEW
         parsed = html_text.Page(page)
         spine, beside = parsed.spine()
         for kind, found in (("text", parsed.templates()), ("spine", [parsed.places[k] for k in spine]), ("beside", [parsed.places[k] for k in beside])):
             for h in found:
                 seen[group, h, kind].add(parsed.hashes[0])
-    of = {h: len(c) for h, c in content.items() if len(c) >= min_host}
+    of = {h: len(c) for h, c in content.items() if h and len(c) >= min_host}
     of[html_text.FEW] = len(set().union(*[c for h, c in content.items() if h not in of]))
     out = {(h, 0) for h in of if h != html_text.FEW}
     for group, h, _ in seen:
@@ -51,6 +51,7 @@ def slow_templates(pages, min_pages=5, min_share=0.2, min_host=10):
 def test_counts_by_brute_force(spark):
     rows = [(r["page_id"], r["url"], r["html"]) for r in pq.read_table(SMALL).to_pylist()]
     rows += [site("neutral.example", k) for k in range(14)] + [site(f"h{k}.example", 100 + k) for k in range(6)] + [rows[0], site("neutral.example", 3)]
+    rows += [(200 + k, None if k % 2 else "no host", site("x", 200 + k)[2]) for k in range(14)]
     pages = html_text.page_rows(spark.createDataFrame(rows, SCHEMA)).select("host", "key", "html")
     found = pages.mapInPandas(html_text._subtrees, html_text.COUNTED)
     got = {tuple(r) for r in html_text.site_templates(found).collect()}
