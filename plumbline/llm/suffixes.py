@@ -22,7 +22,12 @@ what moves afterwards are suffixes and not texts.
 5. A chunk removes the strings that have a smaller id elsewhere.
 
 A passage that a third of all documents share costs each chunk one suffix an
-anchor. There are as many ranges as keep one at ``PART`` bytes of text. Chunks are read by name from the shared folder, so lost executors cost
+anchor, except where different texts meet it, at its ends. There an anchor has a
+kind for each neighbourhood. So an anchor that any chunk has in ``HOT``
+neighbourhoods sends each of its strings alone, to a range that the whole string's
+hash names: inside the passage these are few, and at its ends they are spread by
+what is around it.
+There are as many ranges as keep one at ``PART`` bytes of text. Chunks are read by name from the shared folder, so lost executors cost
 a repetition only.
 
 Defined results: a null text is empty; texts under ``LENGTH`` bytes stay whole; a
@@ -54,6 +59,8 @@ CHUNK, BLOCK = 16_000_000, 1 << 20
 PART = 32 << 20
 #: Sampled chunks, bytes of each, and anchors of each for the splitters.
 SAMPLE_CHUNKS, SAMPLE_BYTES, SAMPLE_ANCHORS = 24, 1_000_000, 4000
+#: Different neighbourhoods in one chunk from which an anchor's strings are dealt out one by one.
+HOT = 1024
 #: Rows of a stretch that multikey quicksort doesn't split any more.
 SHORT = 2048
 NO_ID = np.iinfo(np.int64).max
@@ -201,14 +208,32 @@ def _parts_of(values: np.ndarray, parts: int) -> np.ndarray:
     return np.searchsorted(values, np.array([(k << 48) // parts for k in range(parts + 1)], dtype=np.uint64))
 
 
+def neighbourhoods(chunk: Chunk, place: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The different hashes, and among how many different bytes (``BEFORE`` before, ``LENGTH`` after) each is."""
+    doc = np.searchsorted(chunk.ends, place, side="right")
+    words = np.ndarray((len(chunk.data) + BEFORE + LENGTH - 7,), "<u8", np.concatenate([np.zeros(BEFORE, np.uint8), chunk.data, np.zeros(LENGTH, np.uint8)]), 0, (1,))
+    mixed, room, left = h.copy(), place - chunk.starts[doc], chunk.ends[doc] - place
+    with np.errstate(over="ignore"):
+        for at in (-BEFORE, -21, -13, -8, GRAM, 28, 36, LENGTH - 8):
+            word = words[place + (BEFORE + at)]
+            word[(room < -at) | (left < at + 8)] = 0
+            mixed = (mixed ^ word) * np.uint64(0x9E3779B97F4A7C15)
+            mixed ^= mixed >> np.uint64(32)
+    _, one = np.unique(mixed, return_index=True)
+    return np.unique(h[one], return_counts=True)
+
+
 def _send_hashes(folder: str, parts: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
             for name in rows["file"]:
-                own = np.unique(anchors(Chunk.read(folder, name))[1])
-                cut = _parts_of(own, parts)
+                chunk = Chunk.read(folder, name)
+                place, h, _ = anchors(chunk)
+                own, times = neighbourhoods(chunk, place, h)
+                cut, hot = _parts_of(own, parts), times >= HOT
                 full = [k for k in range(parts) if cut[k + 1] > cut[k]]
-                yield pd.DataFrame({"part": full, "file": name, "blob": [_delta(own[cut[k] : cut[k + 1]]) for k in full]}).astype({"part": "int32"})
+                at = [slice(cut[k], cut[k + 1]) for k in full]
+                yield pd.DataFrame({"part": full, "file": name, "blob": [_delta(own[x]) for x in at], "hot": [np.packbits(hot[x]).tobytes() for x in at]}).astype({"part": "int32"})
 
     return run
 
@@ -220,13 +245,19 @@ def _whole_parts(batches: Iterator[pd.DataFrame]):
         yield from pd.concat(frames, ignore_index=True).groupby("part", sort=True)
 
 
+def _bits(raw: bytes, n: int) -> np.ndarray:
+    return np.unpackbits(np.frombuffer(raw, np.uint8), count=n).astype(bool)
+
+
 def _shared_hashes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for part, rows in _whole_parts(batches):
         lists = [_undelta(b) for b in rows["blob"]]
         value, n = np.unique(np.concatenate(lists), return_counts=True)
         again = value[n > 1]
+        hot = np.unique(np.concatenate([x[_bits(b, len(x))] for x, b in zip(lists, rows["hot"], strict=True)]))
         marks = [np.packbits(np.isin(x, again, assume_unique=True)).tobytes() for x in lists]
-        yield pd.DataFrame({"file": rows["file"].to_numpy(), "part": np.int32(part), "marks": marks})
+        hots = [np.packbits(np.isin(x, hot, assume_unique=True)).tobytes() for x in lists]
+        yield pd.DataFrame({"file": rows["file"].to_numpy(), "part": np.int32(part), "marks": marks, "hots": hots})
 
 
 def _kinds(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -248,38 +279,47 @@ def _kinds(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 class Shared:
     """Anchors of a chunk that several documents have, and their distinct surroundings.
 
-    ``place, length, doc, kind`` are by anchor, the rest by kind: ``around`` (bytes
-    before and from the anchor), ``before``, ``after`` (how many of them are real),
-    ``least`` (id) and ``part`` (suffix range). Kinds are in order of parts.
+    ``place, length, doc, kind`` are by anchor (of hot ones by string), the rest by
+    kind: ``around`` (bytes before and from the anchor), ``before``, ``after`` (how
+    many of them are real), ``first``, ``least`` (id) and ``part`` (suffix range).
+    Kinds are in order of parts. A kind stands for the strings that begin ``first``
+    to ``before`` bytes before the anchor.
     """
 
-    def __init__(self, chunk: Chunk, marks: list[tuple[int, bytes]], parts: int, splitters: np.ndarray):
+    def __init__(self, chunk: Chunk, marks: list[tuple[int, bytes, bytes]], parts: int, splitters: np.ndarray):
         place, h, length = anchors(chunk)
         own, inverse = np.unique(h, return_inverse=True)
-        cut, several = _parts_of(own, parts), np.zeros(len(own), dtype=bool)
-        for k, bits in marks:
+        cut, several, hot = _parts_of(own, parts), np.zeros(len(own), dtype=bool), np.zeros(len(own), dtype=bool)
+        for k, shared, often in marks:
             n = cut[k + 1] - cut[k]
-            several[cut[k] : cut[k + 1]] = np.unpackbits(np.frombuffer(bits, np.uint8), count=n).astype(bool)
+            several[cut[k] : cut[k + 1]], hot[cut[k] : cut[k + 1]] = _bits(shared, n), _bits(often, n)
         doc = np.searchsorted(chunk.ends, place, side="right").astype(np.int32)
         low, high = np.full(len(own), len(chunk.ends)), np.full(len(own), -1)
         np.minimum.at(low, inverse, doc)
         np.maximum.at(high, inverse, doc)
         keep = (several | (low < high))[inverse]
+        hot = hot[inverse[keep]]
         del inverse, h
-        self.place, self.doc, self.length = place[keep], doc[keep], length[keep]
+        place, doc, length = place[keep], doc[keep], length[keep]
+        room, left = place - chunk.starts[doc], chunk.ends[doc] - place
+        rows = [np.flatnonzero(~hot), *(np.flatnonzero(hot & (room >= o) & (left >= LENGTH - o)) for o in range(WINDOW))]
+        one, sizes = np.concatenate(rows), [len(x) for x in rows]
+        alone = np.repeat([0] + [1] * WINDOW, sizes)
+        begin, last, upto = (np.repeat(x, sizes) for x in ([0, *range(WINDOW)], [BEFORE, *range(WINDOW)], [LENGTH, *range(LENGTH, LENGTH - WINDOW, -1)]))
+        self.place, self.doc, self.length = place[one], doc[one], length[one]
         n, width = len(self.place), BEFORE + LENGTH
         padded = np.concatenate([np.zeros(BEFORE, np.uint8), chunk.data, np.zeros(LENGTH, np.uint8)])
         words, step = -(-width // 8), np.arange(width)
         kinds, kind = [np.zeros((0, words + 1), dtype="<u8")], np.zeros(n, dtype=np.int64)
         for a in range(0, n, 1 << 16):  # kinds of a block at a time: runs have few, however many places
             b = min(n, a + (1 << 16))
-            before = np.minimum(BEFORE, self.place[a:b] - chunk.starts[self.doc[a:b]])
-            after = np.minimum(LENGTH, chunk.ends[self.doc[a:b]] - self.place[a:b])
+            before = np.minimum(last[a:b], self.place[a:b] - chunk.starts[self.doc[a:b]])
+            after = np.minimum(upto[a:b], chunk.ends[self.doc[a:b]] - self.place[a:b])
             got = padded[self.place[a:b, None] + step]
             got[(step < BEFORE - before[:, None]) | (step >= BEFORE + after[:, None])] = 0
             around = np.zeros((b - a, 8 * words), dtype=np.uint8)
             around[:, :width] = got
-            rows = np.column_stack([around.view("<u8"), before.astype(np.uint64) << np.uint64(8) | after.astype(np.uint64)])
+            rows = np.column_stack([around.view("<u8"), (alone[a:b] << 24 | begin[a:b] << 16 | before << 8 | after).astype(np.uint64)])
             first, of = _kinds(rows)
             kind[a:b] = of + sum(map(len, kinds))
             kinds.append(rows[first])
@@ -289,13 +329,23 @@ class Shared:
         least = np.full(len(first), NO_ID)
         np.minimum.at(least, kind, chunk.ids[self.doc])
         around = np.ascontiguousarray(rows[:, :words]).view(np.uint8)
+        before, after = (rows[:, words] >> np.uint64(8) & np.uint64(255)).astype(np.uint8), (rows[:, words] & np.uint64(255)).astype(np.uint8)
+        level, single = (rows[:, words] >> np.uint64(16) & np.uint64(255)).astype(np.uint8), np.flatnonzero(rows[:, words] >> np.uint64(24))
         leading = np.ascontiguousarray(around[:, BEFORE : BEFORE + 16]).view("S16").ravel()
         part = np.searchsorted(splitters, leading, side="right") if len(splitters) else np.zeros(len(first), dtype=np.int64)
+        with np.errstate(over="ignore"):
+            mixed = np.full(len(single), 0x1234567, dtype=np.uint64)
+            for x in range(0, LENGTH, 8):  # the string's own bytes, the last 8 of them last
+                at = BEFORE - level[single].astype(np.int64) + min(x, LENGTH - 8)
+                word = np.ascontiguousarray(around[single[:, None], at[:, None] + np.arange(8)]).view("<u8").ravel()
+                mixed = (mixed ^ word) * np.uint64(0x9E3779B97F4A7C15)
+                mixed ^= mixed >> np.uint64(29)
+        part[single] = (mixed >> np.uint64(16)) % np.uint64(len(splitters) + 1)
         order = np.argsort(part, kind="stable")
         rank = np.empty(len(order), dtype=np.int64)
         rank[order] = np.arange(len(order))
         self.kind = rank[kind].astype(np.int32)
-        self.around, self.before, self.after = around[order, :width], (rows[order, words] >> np.uint64(8)).astype(np.uint8), (rows[order, words] & np.uint64(255)).astype(np.uint8)
+        self.around, self.before, self.after, self.first = around[order, :width], before[order], after[order], level[order]
         self.least, self.part = least[order], part[order]
 
 
@@ -304,7 +354,7 @@ def _send_suffixes(folder: str, parts: int, splitters: np.ndarray):
         codec = zstandard.ZstdCompressor(level=3)
         for rows in batches:
             for name, marks in zip(rows["file"], rows["marks"], strict=True):
-                got = Shared(Chunk.read(folder, name), [(int(m["part"]), m["marks"]) for m in marks], parts, splitters)
+                got = Shared(Chunk.read(folder, name), [(int(m["part"]), m["marks"], m["hots"]) for m in marks], parts, splitters)
                 out = []
                 for k in np.unique(got.part):
                     at = slice(*np.searchsorted(got.part, [k, k + 1]))
@@ -396,16 +446,16 @@ def _remove(folder: str, parts: int, splitters: np.ndarray, with_text: bool):
         for rows in batches:
             for name, marks, lows in zip(rows["file"], rows["marks"], rows["lows"], strict=True):
                 chunk = Chunk.read(folder, name)
-                got = Shared(chunk, [(int(m["part"]), m["marks"]) for m in marks], parts, splitters)
+                got = Shared(chunk, [(int(m["part"]), m["marks"], m["hots"]) for m in marks], parts, splitters)
                 low = [np.frombuffer(unpack.decompress(x["low"]), "<i8").reshape(WINDOW, -1) for x in sorted([] if lows is None else lows, key=lambda x: x["part"])]
                 low = np.concatenate(low, axis=1) + got.least if low else np.zeros((WINDOW, 0), dtype=np.int64)
                 edges = np.zeros(len(chunk.data) + 1, dtype=np.int32)
                 for a in range(0, len(got.place), 1 << 18):
                     b = a + (1 << 18)
                     kind, place, length, ids = got.kind[a:b], got.place[a:b], got.length[a:b], chunk.ids[got.doc[a:b]]
-                    before, after = got.before[kind], got.after[kind]
+                    before, after, first = got.before[kind], got.after[kind], got.first[kind]
                     for o in range(WINDOW):
-                        goes = (before >= o) & (after >= LENGTH - o) & (ids > low[o][kind])
+                        goes = (before >= o) & (first <= o) & (after >= LENGTH - o) & (ids > low[o][kind])
                         start = place[goes] - o
                         np.add.at(edges, start, 1)
                         np.add.at(edges, start + LENGTH + length[goes] - 1, -1)
@@ -466,10 +516,10 @@ def remove_repeats(docs: DataFrame, with_text: bool = True) -> DataFrame:
     sample = files.orderBy(F.xxhash64("file"), "file").limit(SAMPLE_CHUNKS).repartition(SAMPLE_CHUNKS).mapInPandas(_sample(folder), "leading binary").collect()
     leading = np.sort(np.array([bytes(x[0]) for x in sample], dtype="S16"))
     splitters = np.unique(leading[np.arange(1, parts) * len(leading) // parts]) if len(leading) else leading
-    sent = dealt.mapInPandas(_send_hashes(folder, parts), "part int, file string, blob binary")
-    marks = sent.repartitionById(parts, F.col("part")).mapInPandas(_shared_hashes, "file string, part int, marks binary")
-    marks = materialize(marks.groupBy("file").agg(F.collect_list(F.struct("part", "marks")).alias("marks")))
-    whole = files.join(marks.withColumnRenamed("file", "f"), F.col("file") == F.col("f"), "left").select("file", F.coalesce("marks", F.array().cast("array<struct<part:int,marks:binary>>")).alias("marks"))
+    sent = dealt.mapInPandas(_send_hashes(folder, parts), "part int, file string, blob binary, hot binary")
+    marks = sent.repartitionById(parts, F.col("part")).mapInPandas(_shared_hashes, "file string, part int, marks binary, hots binary")
+    marks = materialize(marks.groupBy("file").agg(F.collect_list(F.struct("part", "marks", "hots")).alias("marks")))
+    whole = files.join(marks.withColumnRenamed("file", "f"), F.col("file") == F.col("f"), "left").select("file", F.coalesce("marks", F.array().cast("array<struct<part:int,marks:binary,hots:binary>>")).alias("marks"))
     whole = materialize(whole)
     suffixes = whole.repartition(tasks).mapInPandas(_send_suffixes(folder, parts, splitters), "part int, file string, n long, blob binary")
     lows = suffixes.repartitionById(parts, F.col("part")).mapInPandas(_compare, "file string, part int, low binary")

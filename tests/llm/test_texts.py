@@ -243,6 +243,49 @@ def test_runs_by_brute_force(spark, monkeypatch):
     _repeats(spark, rows)
 
 
+def test_hot_anchors_by_brute_force(spark, monkeypatch):
+    """Passages in many documents, behind and before different texts, dealt out string by string; several ranges and chunks."""
+    rng = np.random.default_rng(8)
+    letters = np.array(list("abcd "))
+    passages = ["".join(rng.choice(letters, n)) for n in (50, 55, 70, 200)]
+    rows = []
+    for k in range(160):
+        text = "".join(rng.choice(letters, int(rng.integers(0, 70))))
+        for _ in range(int(rng.integers(0, 3))):
+            text += str(rng.choice(["", "x", ". ", "the same words before "])) + str(rng.choice(passages)) + "".join(rng.choice(letters, int(rng.integers(0, 40))))
+        rows.append((int(rng.integers(0, 300)), text))
+    for hot in (1, 4, 30):
+        monkeypatch.setattr(suffixes, "HOT", hot)
+        _repeats(spark, rows)
+    monkeypatch.setattr(suffixes, "CHUNK", 2500)
+    monkeypatch.setattr(suffixes, "BLOCK", 700)
+    for hot in (1, 6):
+        monkeypatch.setattr(suffixes, "HOT", hot)
+        _repeats(spark, rows)
+
+
+def test_hot_anchors_are_spread():
+    """A passage between a thousand different texts, and a thousand copies: the passage's ends go to many ranges, copies aren't hot."""
+    rng = np.random.default_rng(4)
+    letters = np.frombuffer(b"abcdefghijklmnopqrstuvwxyz ", np.uint8)
+    words = lambda n: rng.choice(letters, n).tobytes()
+    passage, copy = words(300), words(500)
+    texts = [words(60) + passage + words(60) for _ in range(1000)] + [copy] * 1000
+    chunk = suffixes.Chunk.read_bytes(suffixes.Chunk.pack(list(range(2000)), texts))
+    place, h, _ = suffixes.anchors(chunk)
+    own, times = suffixes.neighbourhoods(chunk, place, h)
+    assert times.max() >= 900 and 2 <= (times >= 500).sum() <= 10
+    of = [copy.count(t) for t in {chunk.data[p : p + 20].tobytes() for p, x in zip(place, h) if times[np.searchsorted(own, x)] >= 500}]
+    assert not any(of)
+    bits = lambda x: np.packbits(x).tobytes()
+    splitters = np.unique(np.array([words(16) for _ in range(1500)], dtype="S16"))
+    largest = {}
+    for hot in (False, True):
+        got = suffixes.Shared(chunk, [(0, bits(np.zeros(len(own), dtype=bool)), bits((times >= 500) & hot))], 1, splitters)
+        largest[hot] = np.bincount(got.part).max()
+    assert largest[False] >= 900 and largest[True] < largest[False] / 3
+
+
 def test_kinds_are_told_apart_by_bytes(monkeypatch):
     rows = np.random.default_rng(2).integers(0, 3, (300, 4)).astype("<u8")
     want = len({tuple(r) for r in rows})
@@ -263,7 +306,8 @@ def test_a_long_run_takes_little_memory():
     before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
     place, h, length = suffixes.anchors(chunk)
     assert len(place) < 1000 and length.sum() > 16_000_000
-    got = suffixes.Shared(chunk, [(0, np.packbits(np.ones(len(np.unique(h)), dtype=bool)).tobytes())], 1, np.zeros(0, dtype="S16"))
+    every = np.packbits(np.ones(len(np.unique(h)), dtype=bool)).tobytes()
+    got = suffixes.Shared(chunk, [(0, every, every)], 1, np.zeros(0, dtype="S16"))
     low = suffixes.least_ids(got.around, got.before, got.after, got.least)
     assert low.min() == 1 and resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before < 400_000
 
