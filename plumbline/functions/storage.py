@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import os
 import re
 import tempfile
 import uuid
@@ -16,8 +17,8 @@ from pyspark.sql import functions as F
 BROADCAST_ROWS = 200_000
 
 
-#: Folders of this process's sessions, deleted when it ends.
-_roots: set[str] = set()
+#: Folders of this process's sessions, deleted when it ends (and not when a fork of it does).
+_roots: set[tuple[int, str]] = set()
 
 
 def _delete(root: str) -> None:
@@ -30,8 +31,9 @@ def _delete(root: str) -> None:
 
 @atexit.register
 def _delete_all() -> None:
-    for root in _roots:
-        _delete(root)
+    for process, root in _roots:
+        if process == os.getpid():
+            _delete(root)
 
 
 def shared_root(spark: SparkSession) -> str:
@@ -51,7 +53,7 @@ def shared_root(spark: SparkSession) -> str:
     path = spark._jvm.org.apache.hadoop.fs.Path(root.rstrip("/"))
     root = path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString()
     root = f"{re.sub('^file:/+', 'file:///', root)}/plumbline-{spark.sparkContext.applicationId}"
-    _roots.add(root)
+    _roots.add((os.getpid(), root))
     return root
 
 
