@@ -250,9 +250,18 @@ def near_duplicates(docs: DataFrame, width: int = SHINGLE) -> DataFrame:
     return marked(docs, width).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def drop_near_duplicates(docs: DataFrame, width: int = SHINGLE) -> DataFrame:
-    """The row of ``docs`` with the smallest id of each component."""
-    return keep_first(docs, marked(docs, width))
+def drop_near_duplicates(docs: DataFrame, width: int = SHINGLE, similarity: float | None = None) -> DataFrame:
+    """The row of ``docs`` with the smallest id of each component.
+
+    Rows are linked by their fingerprints, or, with a ``similarity``, by that of
+    their sets of shingles: what is 0.8 alike is too far apart for fingerprints
+    (see ``near_copies``).
+    """
+    if similarity is None:
+        return keep_first(docs, marked(docs, width))
+    from . import near_copies
+
+    return keep_first(docs, near_copies.marked(docs, similarity, width))
 
 
 def keep_first(docs: DataFrame, marks: DataFrame) -> DataFrame:
