@@ -23,8 +23,8 @@ what moves afterwards are suffixes and not texts.
 
 A passage that a third of all documents share costs each chunk one suffix an
 anchor, except where different texts meet it, at its ends. There an anchor has a
-kind for each neighbourhood. So an anchor that any chunk has in ``HOT``
-neighbourhoods sends each of its strings alone, to a range that the whole string's
+kind for each neighbourhood. So an anchor that has ``HOT`` different
+neighbourhoods, summed over the chunks, sends each of its strings alone, to a range that the whole string's
 hash names: inside the passage these are few, and at its ends they are spread by
 what is around it.
 There are as many ranges as keep one at ``PART`` bytes of text. Chunks are read by name from the shared folder, so lost executors cost
@@ -59,8 +59,8 @@ CHUNK, BLOCK = 16_000_000, 1 << 20
 PART = 32 << 20
 #: Sampled chunks, bytes of each, and anchors of each for the splitters.
 SAMPLE_CHUNKS, SAMPLE_BYTES, SAMPLE_ANCHORS = 24, 1_000_000, 4000
-#: Different neighbourhoods in one chunk from which an anchor's strings are dealt out one by one.
-HOT = 1024
+#: Different neighbourhoods in all chunks together from which an anchor's strings are dealt out one by one.
+HOT = 16_384
 #: Rows of a stretch that multikey quicksort doesn't split any more.
 SHORT = 2048
 NO_ID = np.iinfo(np.int64).max
@@ -225,15 +225,16 @@ def neighbourhoods(chunk: Chunk, place: np.ndarray, h: np.ndarray) -> tuple[np.n
 
 def _send_hashes(folder: str, parts: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        codec = zstandard.ZstdCompressor(level=1)
         for rows in batches:
             for name in rows["file"]:
                 chunk = Chunk.read(folder, name)
                 place, h, _ = anchors(chunk)
                 own, times = neighbourhoods(chunk, place, h)
-                cut, hot = _parts_of(own, parts), times >= HOT
+                cut, times = _parts_of(own, parts), np.minimum(times, 0xFFFF).astype("<u2")
                 full = [k for k in range(parts) if cut[k + 1] > cut[k]]
                 at = [slice(cut[k], cut[k + 1]) for k in full]
-                yield pd.DataFrame({"part": full, "file": name, "blob": [_delta(own[x]) for x in at], "hot": [np.packbits(hot[x]).tobytes() for x in at]}).astype({"part": "int32"})
+                yield pd.DataFrame({"part": full, "file": name, "blob": [_delta(own[x]) for x in at], "times": [codec.compress(times[x].tobytes()) for x in at]}).astype({"part": "int32"})
 
     return run
 
@@ -251,10 +252,10 @@ def _bits(raw: bytes, n: int) -> np.ndarray:
 
 def _shared_hashes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for part, rows in _whole_parts(batches):
-        lists = [_undelta(b) for b in rows["blob"]]
-        value, n = np.unique(np.concatenate(lists), return_counts=True)
+        unpack, lists = zstandard.ZstdDecompressor(), [_undelta(b) for b in rows["blob"]]
+        value, of, n = np.unique(np.concatenate(lists), return_inverse=True, return_counts=True)
         again = value[n > 1]
-        hot = np.unique(np.concatenate([x[_bits(b, len(x))] for x, b in zip(lists, rows["hot"], strict=True)]))
+        hot = value[np.bincount(of, weights=np.concatenate([np.frombuffer(unpack.decompress(b), "<u2") for b in rows["times"]])) >= HOT]
         marks = [np.packbits(np.isin(x, again, assume_unique=True)).tobytes() for x in lists]
         hots = [np.packbits(np.isin(x, hot, assume_unique=True)).tobytes() for x in lists]
         yield pd.DataFrame({"file": rows["file"].to_numpy(), "part": np.int32(part), "marks": marks, "hots": hots})
@@ -516,7 +517,7 @@ def remove_repeats(docs: DataFrame, with_text: bool = True) -> DataFrame:
     sample = files.orderBy(F.xxhash64("file"), "file").limit(SAMPLE_CHUNKS).repartition(SAMPLE_CHUNKS).mapInPandas(_sample(folder), "leading binary").collect()
     leading = np.sort(np.array([bytes(x[0]) for x in sample], dtype="S16"))
     splitters = np.unique(leading[np.arange(1, parts) * len(leading) // parts]) if len(leading) else leading
-    sent = dealt.mapInPandas(_send_hashes(folder, parts), "part int, file string, blob binary, hot binary")
+    sent = dealt.mapInPandas(_send_hashes(folder, parts), "part int, file string, blob binary, times binary")
     marks = sent.repartitionById(parts, F.col("part")).mapInPandas(_shared_hashes, "file string, part int, marks binary, hots binary")
     marks = materialize(marks.groupBy("file").agg(F.collect_list(F.struct("part", "marks", "hots")).alias("marks")))
     whole = files.join(marks.withColumnRenamed("file", "f"), F.col("file") == F.col("f"), "left").select("file", F.coalesce("marks", F.array().cast("array<struct<part:int,marks:binary,hots:binary>>")).alias("marks"))
