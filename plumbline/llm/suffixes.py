@@ -37,6 +37,7 @@ take nothing from each other; an empty table gives no rows.
 
 from __future__ import annotations
 
+import decimal
 import hashlib
 import uuid
 from collections.abc import Iterator
@@ -204,8 +205,14 @@ def _undelta(blob: bytes) -> np.ndarray:
 
 
 def _parts_of(values: np.ndarray, parts: int) -> np.ndarray:
-    """Where each of ``parts`` equal hash ranges begins in sorted 48-bit values."""
-    return np.searchsorted(values, np.array([(k << 48) // parts for k in range(parts + 1)], dtype=np.uint64))
+    """Where each of ``parts`` ranges begins in sorted 48-bit hashes of anchors.
+
+    An anchor's hash is the least of ``WINDOW``, so small values are many: ranges
+    have equal shares of such minima. Decimals give the same bounds everywhere.
+    """
+    one, root = decimal.Decimal(1), decimal.Decimal(1) / WINDOW
+    bounds = [int((one - (one - one * k / parts) ** root) * (1 << 48)) for k in range(parts)]
+    return np.searchsorted(values, np.array([*bounds, 1 << 48], dtype=np.uint64))
 
 
 def neighbourhoods(chunk: Chunk, place: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
