@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import forest, html_text, mixing, ngram_quality, packing, pii, quality_rules, simhash, suffixes, token_store
+from . import forest, html_text, mixing, ngram_quality, packing, pii, quality_rules, simhash, spelling, suffixes, token_store
 from .common import read_table
 from .tokens import vocabulary
 
@@ -48,6 +48,10 @@ def op10_pack_hilbert(spark, sf_dir):
     return packing.pack(read_table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), end_id=0)
 
 
+def op12_spelling_variants(spark, sf_dir):
+    return spelling.variants(read_table(spark, sf_dir, "documents"), every=spelling.DAMAGE)
+
+
 def queries():
     return {n: f for n, f in globals().items() if n.startswith("op") and callable(f) and n[2].isdigit()}
 
