@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import forest, html_text, mixing, ngram_quality, packing, pii, quality_rules, simhash, spelling, suffixes, token_store
+from . import forest, html_text, mixing, ngram_quality, packing, pii, prefix_trie, quality_rules, simhash, spelling, suffixes, token_store
 from .common import read_table
 from .tokens import vocabulary
 
@@ -52,6 +52,11 @@ def op12_spelling_variants(spark, sf_dir):
     return spelling.variants(read_table(spark, sf_dir, "documents"), every=spelling.DAMAGE)
 
 
+def op13_prefix_trie(spark, sf_dir):
+    turns = prefix_trie.conversations(read_table(spark, sf_dir, "conversations"))
+    return prefix_trie.trie(prefix_trie.shared_beginnings(turns))
+
+
 def queries():
     return {n: f for n, f in globals().items() if n.startswith("op") and callable(f) and n[2].isdigit()}
 
