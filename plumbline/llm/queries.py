@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import forest, html_text, mixing, ngram_quality, packing, pii, prefix_trie, quality_rules, simhash, spelling, suffixes, token_store
+from . import forest, html_text, mixing, ngram_quality, packing, pii, prefix_trie, quality_rules, simhash, spelling, suffixes, token_store, url_filter
 from .common import read_table
 from .tokens import vocabulary
 
@@ -48,6 +48,16 @@ def op10_pack_hilbert(spark, sf_dir):
     return packing.pack(read_table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), end_id=0)
 
 
+#: Rules of the query, and words in names of hosts by which it makes its list from the pages.
+RULES = [url_filter.Rule("block", "net", "/"), url_filter.Rule("allow", "example.net", "/en/"), url_filter.Rule("block", "example.com", "/de/"), url_filter.Rule("allow", "org", "/fr/")]
+TERMS = ["adult", "ads", "bets", "casino", "pills", "porn", "spam", "xxx"]
+
+
+def op11_url_filter(spark, sf_dir):
+    pages = read_table(spark, sf_dir, "pages")
+    return url_filter.judge(pages, RULES, url_filter.named(pages, TERMS))
+
+
 def op12_spelling_variants(spark, sf_dir):
     return spelling.variants(read_table(spark, sf_dir, "documents"), every=spelling.DAMAGE)
 
@@ -91,6 +101,27 @@ SELECT doc_id, size, source_size, target,
 FROM c
 """
 
+OP11_SQL = r"""
+WITH p AS (
+  SELECT page_id, coalesce(translate(regexp_extract(url, '://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host,
+         coalesce(regexp_extract(url, '://[^/?#]*([^?#]*)', 1), '') AS path,
+         list_filter(string_split(regexp_extract(url, '://[^?#]*\?([^#]*)', 1), '&'), lambda x: x <> '' AND NOT regexp_matches(x, '^(utm_[^=]*|ref|gclid|fbclid)(=|$)')) AS q
+  FROM pages
+), k AS (
+  SELECT page_id, host, path, regexp_replace(regexp_replace(host, ':(80|443)$', ''), '^(www|m)\.', '') AS site,
+         regexp_replace(path, '/$', '') || CASE WHEN len(q) > 0 THEN '?' || array_to_string(list_sort(q), '&') ELSE '' END AS rest FROM p
+), listed AS (
+  SELECT DISTINCT site, rest FROM k WHERE site <> '' AND list_has_any(string_split_regex(host, '[.:-]'), ['adult', 'ads', 'bets', 'casino', 'pills', 'porn', 'spam', 'xxx'])
+), rules AS (
+  SELECT * FROM (VALUES ('block', 'net', '/'), ('allow', 'example.net', '/en/'), ('block', 'example.com', '/de/'), ('allow', 'org', '/fr/')) AS r(verdict, rule_host, rule_path)
+), fits AS (
+  SELECT host, path, arg_max(rule_host || rule_path, length(rule_host || rule_path)) AS rule, arg_max(verdict, length(rule_host || rule_path)) AS verdict
+  FROM (SELECT DISTINCT host, path FROM p) JOIN rules ON (host = rule_host OR ends_with(host, '.' || rule_host)) AND starts_with(path, rule_path) GROUP BY host, path
+)
+SELECT page_id, k.host, k.path, rule, coalesce(verdict, CASE WHEN l.site IS NULL THEN 'allow' ELSE 'block' END) AS verdict
+FROM k LEFT JOIN fits f ON k.host = f.host AND k.path = f.path LEFT JOIN listed l ON k.site = l.site AND k.rest = l.rest
+"""
+
 OP9_SQL = r"""
 WITH d AS (
   SELECT row_number() OVER () AS r, doc_id, lang, source, coalesce(text, '') AS t,
@@ -152,4 +183,4 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 
 
 def oracle_sql():
-    return {"op8_mix_sources": OP8_SQL, "op9_quality_rules": OP9_SQL}
+    return {"op8_mix_sources": OP8_SQL, "op9_quality_rules": OP9_SQL, "op11_url_filter": OP11_SQL}
