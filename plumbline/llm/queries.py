@@ -181,6 +181,68 @@ WITH d AS (
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, (NOT base_failed AND inside) AS kept FROM o
 """
 
+#: The table of CRC-32, and the CRC of a list of bytes.
+_CRC = r"""crc AS MATERIALIZED (
+  SELECT list(list_reduce(range(8), lambda c, i: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, n) ORDER BY n) AS t FROM (SELECT unnest(range(256)) AS n)
+)"""
+
+
+def _crc_of(b):
+    return f"xor(list_reduce({b}, lambda c, x: xor(c >> 8, t[(xor(c, x) & 255) + 1]), 4294967295), 4294967295)"
+
+
+OP12_SQL = f"""
+WITH {_CRC}, runs AS MATERIALIZED (
+  SELECT doc_id, w, count(*) AS c FROM (
+    SELECT doc_id, translate(unnest(regexp_extract_all(text, '[A-Za-zÀ-ÿ]+')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS w FROM documents
+  ) WHERE length(w) >= 5 GROUP BY doc_id, w
+), bytes AS (
+  SELECT w, c, flatten(list_transform(string_split(coalesce(doc_id::VARCHAR, '') || ':' || w, ''), lambda x: CASE WHEN unicode(x) < 128 THEN [unicode(x)::BIGINT] ELSE [195::BIGINT, unicode(x)::BIGINT - 64] END)) AS b FROM runs
+), hashed AS (
+  SELECT w, c, {_crc_of('b')} AS h FROM bytes, crc
+), words AS MATERIALIZED (
+  SELECT word, sum(c)::BIGINT AS n FROM (SELECT CASE WHEN h % 97 = 0 THEN left(w, h % length(w)) || substr(w, h % length(w) + 2) ELSE w END AS word, c FROM hashed)
+  WHERE length(word) >= 5 GROUP BY word HAVING sum(c) >= 3
+), cut AS MATERIALIZED (
+  SELECT word, n, i, left(word, i) || substr(word, i + 2) AS rest FROM (SELECT word, n, unnest(range(length(word))) AS i FROM words)
+), near AS MATERIALIZED (
+  SELECT a.word, b.word AS other, b.n FROM cut a JOIN cut b ON a.i = b.i AND a.rest = b.rest AND a.word <> b.word
+  UNION SELECT a.word, b.word, b.n FROM cut a JOIN words b ON a.rest = b.word
+  UNION SELECT b.word, a.word, a.n FROM cut a JOIN words b ON a.rest = b.word
+), best AS MATERIALIZED (
+  SELECT w.word, w.n, count(other) AS n_near, arg_min(other, (-x.n, other)) AS other, max(x.n) AS other_n FROM words w LEFT JOIN near x ON w.word = x.word GROUP BY w.word, w.n
+), forms AS MATERIALIZED (
+  SELECT word, n, n_near, CASE WHEN other_n >= 2 * n THEN other END AS form, CASE WHEN other_n >= 2 * n THEN other_n END AS form_n FROM best
+), chain AS (
+  WITH RECURSIVE up AS (SELECT word, word AS root FROM forms UNION ALL SELECT up.word, f.form FROM up JOIN forms f ON up.root = f.word WHERE f.form IS NOT NULL)
+  SELECT up.word, up.root FROM up JOIN forms f ON up.root = f.word WHERE f.form IS NULL
+)
+SELECT word, form, root, n, n_near, form_n FROM forms JOIN chain USING (word)
+"""
+
+OP13_SQL = f"""
+WITH {_CRC}, turns AS MATERIALIZED (
+  SELECT conv_id, list(struct_pack(r := coalesce(role, ''), t := coalesce(text, '')) ORDER BY turn NULLS FIRST, role NULLS FIRST) AS own FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id
+), heads AS (
+  SELECT a.conv_id, a.own, b.own AS base, {_crc_of("list_transform(string_split(a.conv_id::VARCHAR, ''), lambda x: unicode(x)::BIGINT)")} % 6 AS h
+  FROM crc, turns a LEFT JOIN turns b ON b.conv_id = a.conv_id - ((a.conv_id % 100) + 100) % 100
+), built AS MATERIALIZED (
+  SELECT conv_id, coalesce(base[1:h], []) || own[h + 1:] AS s FROM heads
+), members AS MATERIALIZED (
+  SELECT conv_id, len(s) AS size, d, s[1:d] AS p FROM (SELECT *, unnest(range(len(s) + 1)) AS d FROM built)
+), nodes AS MATERIALIZED (
+  SELECT p, d AS depth, min(conv_id) AS conv_id, count(*) AS n_convs, sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (size = d), '')) AS ends_sha256,
+         CASE WHEN d = 0 THEN 0 ELSE (count(*) - 1) * length(p[d].t) END AS own
+  FROM members GROUP BY p, d
+), kids AS (
+  SELECT p[1:depth - 1] AS up, count(*) AS n_children FROM nodes WHERE depth > 0 GROUP BY up
+), below AS (
+  SELECT u.p[1:k] AS p, sum(u.own) AS saved, count(*) FILTER (kids.up IS NULL) AS n_leaves FROM (SELECT *, unnest(range(depth + 1)) AS k FROM nodes) u LEFT JOIN kids ON u.p = kids.up GROUP BY u.p[1:k]
+)
+SELECT n.conv_id, n.depth, up.conv_id AS parent_conv_id, n.n_convs, coalesce(kids.n_children, 0) AS n_children, below.n_leaves, below.saved::BIGINT AS saved_tokens, n.ends_sha256
+FROM nodes n JOIN below ON n.p = below.p LEFT JOIN kids ON n.p = kids.up LEFT JOIN nodes up ON n.depth > 0 AND up.p = n.p[1:n.depth - 1]
+"""
+
 
 def oracle_sql():
-    return {"op8_mix_sources": OP8_SQL, "op9_quality_rules": OP9_SQL, "op11_url_filter": OP11_SQL}
+    return {"op8_mix_sources": OP8_SQL, "op9_quality_rules": OP9_SQL, "op11_url_filter": OP11_SQL, "op12_spelling_variants": OP12_SQL, "op13_prefix_trie": OP13_SQL}
