@@ -4,7 +4,7 @@ DataFrame functions only. Every signal of a row is an integer in thousandths;
 its sketch is a log-linear histogram (32 to 63 steps for each power of two), a
 mergeable quantile summary with a relative error of 1/32: counts of a bucket
 add up whatever the order of rows or partitions. Rows that fail the fixed base
-rule are left out of the sketches, so that junk doesn't set its own limits.
+rule are left out of the sketches.
 
 No threshold is a number of its own; all are read off the sketches. A limit lies
 as far beyond a percentile as that is from the median: for characters per word,
@@ -12,6 +12,12 @@ which is odd on both sides, beyond the ``LOW``-th and the ``HIGH``-th; for share
 (symbols, repeated lines, repeated words), which are 0 on most rows, beyond the
 ``TOP``-th. A value is compared by its step of the sketch.
 
+Junk that passes the base rule can be more than the share above a percentile, and
+would then set the limit itself. Rows far off the others are therefore left out
+before the percentiles are read: the sketch is cut where its two sides differ most
+(the largest variance between them), if the upper side has at most one row in
+``JUNK``, enough rows to reach the percentile, and a mean ``APART`` deviations away.
+
 A group with fewer than ``min_group`` rows in the sketch uses the sum of the
 sketches of its language, and that failing, of all rows.
 
@@ -32,6 +38,8 @@ SYMBOLS = r"[#*$%&|<>]"
 SHARES = ["symbols_per_word", "dup_line_share", "repeat_share"]
 LEVEL = "chars_per_word"
 LOW, HIGH, TOP = 5, 95, 99
+#: A separate upper part of a sketch: one row in so many at most, its mean so many deviations (of both parts) away.
+JUNK, APART = 5, 8
 
 
 def _bind(value: Column, body) -> Column:
@@ -95,8 +103,20 @@ def _percentiles(sketches: DataFrame, by: list[str]) -> DataFrame:
     """A row a group: how many rows its sketch has, and the limits of each signal."""
     merged = sketches.groupBy(*by, "signal", "bucket").agg(F.sum("n").alias("n"))
     part = Window.partitionBy(*by, "signal")
-    run = merged.withColumn("upto", F.sum("n").over(part.orderBy("bucket"))).withColumn("of", F.sum("n").over(part))
-    at = lambda s, q: F.min(F.when((F.col("signal") == s) & (F.col("upto") * 100 >= F.col("of") * q), F.col("bucket")))
+    rising = part.orderBy("bucket").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    x = F.col("bucket").cast("double")
+    sums = {"upto": F.sum("n"), "s": F.sum(F.col("n") * x), "q": F.sum(F.col("n") * x * x)}
+    run = merged.select("*", *[f.over(rising).alias(c) for c, f in sums.items()], *[f.over(part).alias(f"all_{c}") for c, f in sums.items()])
+    # both sides of a cut behind each step: rows, means and variances
+    rest = F.nullif(F.col("all_upto") - F.col("upto"), F.lit(0))
+    low, high = F.col("s") / F.col("upto"), (F.col("all_s") - F.col("s")) / rest
+    spread = F.col("q") / F.col("upto") - low * low + ((F.col("all_q") - F.col("q")) / rest - high * high)
+    reach = F.when(F.col("signal") == LEVEL, 100 - HIGH).otherwise(100 - TOP)
+    apart = (rest > 0) & (rest * JUNK <= F.col("all_upto")) & (rest * 100 > F.col("all_upto") * reach) & ((high - low) * (high - low) >= APART * APART * spread)
+    between = F.when(apart, F.struct(F.col("upto") * (rest * ((high - low) * (high - low))), -F.col("bucket")))
+    run = run.withColumn("top", F.max_by("bucket", between).over(part)).withColumn("of", F.col("all_upto"))
+    run = run.filter(F.col("top").isNull() | (F.col("bucket") <= F.col("top"))).withColumn("kept", F.max("upto").over(part))
+    at = lambda s, q: F.min(F.when((F.col("signal") == s) & (F.col("upto") * 100 >= F.col("kept") * q), F.col("bucket")))
     beyond = lambda s, q: 2 * at(s, q) - at(s, 50)
     limits = [beyond(LEVEL, LOW).alias("least"), beyond(LEVEL, HIGH).alias(f"most_{LEVEL}"), *[beyond(s, TOP).alias(f"most_{s}") for s in SHARES]]
     return run.groupBy(*by).agg(F.max("of").alias("of"), *limits)

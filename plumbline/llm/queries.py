@@ -156,10 +156,18 @@ WITH d AS (
   SELECT 1 AS level, lang, source, sig, b, n FROM k
   UNION ALL SELECT 2, lang, NULL, sig, b, sum(n) FROM k GROUP BY lang, sig, b
   UNION ALL SELECT 3, NULL, NULL, sig, b, sum(n) FROM k GROUP BY sig, b
+), run AS MATERIALIZED (
+  SELECT *, sum(n) OVER w AS n1, sum(n * b::DOUBLE) OVER w AS s1, sum(n * b::DOUBLE * b) OVER w AS q1, sum(n) OVER p AS n_all, sum(n * b::DOUBLE) OVER p AS s_all, sum(n * b::DOUBLE * b) OVER p AS q_all
+  FROM u WINDOW p AS (PARTITION BY level, lang, source, sig), w AS (PARTITION BY level, lang, source, sig ORDER BY b ROWS UNBOUNDED PRECEDING)
+), cuts AS (
+  SELECT *, s1 / n1 AS m1, (s_all - s1) / (n_all - n1) AS m2, q1 / n1 - (s1 / n1) * (s1 / n1) AS v1, (q_all - q1) / (n_all - n1) - ((s_all - s1) / (n_all - n1)) * ((s_all - s1) / (n_all - n1)) AS v2 FROM run WHERE n1 < n_all
+), cut AS MATERIALIZED (
+  SELECT level, lang, source, sig, arg_max(CASE WHEN (n_all - n1) * 5 <= n_all AND (n_all - n1) * 100 > n_all * CASE WHEN sig = 2 THEN 5 ELSE 1 END AND (m2 - m1) * (m2 - m1) >= 64 * (v1 + v2) THEN b END, (n1 * ((n_all - n1) * ((m2 - m1) * (m2 - m1))), -b)) AS top FROM cuts GROUP BY level, lang, source, sig
 ), q AS MATERIALIZED (
-  SELECT level, lang, source, sig, any_value(n) AS n, 2 * min(b) FILTER (upto * 100 >= n * 5) - min(b) FILTER (upto * 100 >= n * 50) AS least,
-         2 * min(b) FILTER (upto * 100 >= n * CASE WHEN sig = 2 THEN 95 ELSE 99 END) - min(b) FILTER (upto * 100 >= n * 50) AS most
-  FROM (SELECT level, lang, source, sig, b, sum(n) OVER (PARTITION BY level, lang, source, sig ORDER BY b) AS upto, sum(n) OVER (PARTITION BY level, lang, source, sig) AS n FROM u)
+  SELECT level, lang, source, sig, any_value(n) AS n, 2 * min(b) FILTER (upto * 100 >= kept_n * 5) - min(b) FILTER (upto * 100 >= kept_n * 50) AS least,
+         2 * min(b) FILTER (upto * 100 >= kept_n * CASE WHEN sig = 2 THEN 95 ELSE 99 END) - min(b) FILTER (upto * 100 >= kept_n * 50) AS most
+  FROM (SELECT r.level, r.lang, r.source, r.sig, r.b, r.n1 AS upto, r.n_all AS n, max(r.n1) OVER (PARTITION BY r.level, r.lang, r.source, r.sig) AS kept_n
+        FROM run r LEFT JOIN cut c ON r.level = c.level AND r.lang IS NOT DISTINCT FROM c.lang AND r.source IS NOT DISTINCT FROM c.source AND r.sig = c.sig WHERE top IS NULL OR b <= top)
   GROUP BY level, lang, source, sig
 ), fence AS MATERIALIZED (
   SELECT p.lang, p.source, s.sig, CASE WHEN g.n >= 200 THEN g.least WHEN gl.n >= 200 THEN gl.least ELSE ge.least END AS least,

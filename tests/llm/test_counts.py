@@ -189,3 +189,13 @@ def test_rules_adapt(spark):
     odd = [(5000, data.prose(9, 60).replace(" ", "# "), "en", "a", 0, *[None] * 10)]
     kept = {r["doc_id"]: r["kept"] for r in quality_rules.apply_rules(data.table(spark, plain + marked + odd)).collect()}
     assert not kept[5000] and np.mean([kept[r[0]] for r in plain]) > 0.99 and kept[1001]
+
+
+@pytest.mark.parametrize("share", [0.02, 0.05, 0.1])
+def test_planted_junk_sets_no_limit(spark, share):
+    """Junk with three symbols a word is over one row in a hundred, and passes the base rule."""
+    rng = np.random.default_rng(4)
+    plain = [(k, data.prose(k, 60).replace(" ", "# " if k % 50 == 0 else " ", 3), "en", "a", 0, *[None] * 10) for k in range(1000)]
+    junk = [(5000 + k, " ".join(f"{w}{''.join(rng.choice(list('#*$%&|<>'), 3))}" for w in data.prose(k, 50).split()), "en", "a", 0, *[None] * 10) for k in range(int(1000 * share))]
+    kept = {r["doc_id"]: r["kept"] for r in quality_rules.apply_rules(data.table(spark, plain + junk)).collect()}
+    assert not any(kept[r[0]] for r in junk) and np.mean([kept[r[0]] for r in plain]) > 0.99
