@@ -45,7 +45,7 @@ def slow_quality(rows, trusted):
     p = test_texts.slow_kneser_ney(texts, table)
     cost = {}
     for k, t, *_ in rows:
-        s = [int(table[c]) for c in ngram_quality.marked_codes([t or ""])[0]]
+        s = test_texts.spelled(ngram_quality.marked_codes([t or ""])[0], table)
         cost[k] = (sum(-math.log(p(tuple(s[j - 3 : j + 1]))) for j in range(3, len(s))), len(s) - 3)
     good = [cost[k] for k in cost if k in trusted and cost[k][1]]
     middle = ordered([c / n for c, n in good], 0.5)

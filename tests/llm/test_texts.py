@@ -1,6 +1,7 @@
 """Personal data, quality model, repeated passages and pages."""
 
 import hashlib
+import random
 import re
 
 import numpy as np
@@ -115,15 +116,23 @@ def test_model_sums_to_one(spark):
     assert abs(total - 1).max() < 1e-3
 
 
+def spelled(codes, table):
+    """Symbols of code points, one at a time."""
+    out = []
+    for c in codes:
+        c = int(c)
+        out += [int(table[c])] if table[c] != ngram_quality.SPELLED else [57 + (c >> 12) % 7, (c >> 6) & 63, c & 63]
+    return out
+
+
 def slow_kneser_ney(texts, table):
     """-log p of a 4-gram by the textbook formulas, with dictionaries and recursion."""
     from collections import Counter, defaultdict
 
     counts = Counter()
     for t in texts:
-        codes, _ = ngram_quality.marked_codes([t])
-        s = [int(table[c]) for c in codes]
-        counts.update(tuple(s[k - 3 : k + 1]) for k in range(3, len(s)) if codes[k] != ngram_quality.START)
+        s = spelled(ngram_quality.marked_codes([t])[0], table)
+        counts.update(tuple(s[k - 3 : k + 1]) for k in range(3, len(s)))
     orders = {4: counts}
     for k in (3, 2, 1):
         orders[k] = Counter(g[1:] for g in orders[k + 1])
@@ -159,13 +168,35 @@ def test_perplexity_by_brute_force(spark):
     labels = spark.createDataFrame([(k, 1) for k in range(40)], "doc_id long, quality int")
     got = {r["doc_id"]: r for r in ngram_quality.classify(data.table(spark, rows), labels, prior=0).collect()}
     for k, t, *_ in rows:
-        codes, _ = ngram_quality.marked_codes([t])
-        s = [int(table[c]) for c in codes]
+        s = spelled(ngram_quality.marked_codes([t])[0], table)
         cost = [-np.log(p(tuple(s[j - 3 : j + 1]))) for j in range(3, len(s))]
         assert got[k]["n_symbols"] == len(cost)
         assert np.log(got[k]["perplexity"]) == pytest.approx(np.mean(cost), abs=1e-4)
 
 
+def test_rare_scripts(spark):
+    """Nine of ten trusted texts are Latin; junk in Chinese, Japanese and Cyrillic letters stands out all the same."""
+    rng = random.Random(3)
+    blocks = {"zh": (0x4E00, 0x9FA5), "ja": (0x3041, 0x3096), "ru": (0x430, 0x44F)}
+    lexicon = {k: ["".join(chr(rng.randint(*b)) for _ in range(2 if k == "zh" else 4)) for _ in range(25)] for k, b in blocks.items()}
+    made = lambda k, n: ("" if k != "ru" else " ").join(rng.choice(lexicon[k]) for _ in range(n))
+    junk = lambda k, n: "".join(chr(rng.randint(*blocks[k])) for _ in range(n))
+    rows = [(k, data.prose(k, 60), "en") for k in range(2700)]
+    for j, lang in enumerate(blocks):
+        rows += [(10_000 * (j + 1) + k, made(lang, 60), lang) for k in range(220)]
+        rows += [(10_000 * (j + 1) + 5000 + k, junk(lang, 200), lang) for k in range(20)]
+        rows += [(10_000 * (j + 1) + 6000 + k, chr(blocks[lang][0] + k) * 100, lang) for k in range(5)]
+    docs = data.table(spark, [(k, t, lang, "a", len(t), *[None] * 10) for k, t, lang in rows])
+    labels = spark.createDataFrame([(k, 1) for k, *_ in rows if k % 10_000 < 5000 and k % 10 != 7], "doc_id long, quality int")
+    kept = {r["doc_id"]: r["kept"] for r in ngram_quality.classify(docs, labels, min_trusted=150).collect()}
+    for j in range(3):
+        of = {k: v for k, v in kept.items() if k // 10_000 == j + 1}
+        assert np.mean([v for k, v in of.items() if k % 10_000 < 5000]) > 0.97, j
+        assert not any(v for k, v in of.items() if k % 10_000 >= 5000)
+    table = ngram_quality.alphabet_table([ord(c) for c in "abc"])
+    assert len({tuple(ngram_quality.symbols(np.array([c]), table)[0]) for c in range(0x4E00, 0x4E00 + 28_672)}) == 28_672
+
+
 def test_marks():
     codes, doc = ngram_quality.marked_codes(["The the\nTHE cat cat cat", "", "cat"])
     S, R, U = ngram_quality.START, ngram_quality.REPEAT, ngram_quality.SHIFT
