@@ -33,16 +33,18 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import bound_batches, materialize, shared_dir
+from .common import bound_batches, materialize, shared_dir, shuffle_partitions
 from .tokens import blocks, encoder
 
 MAGIC = b"PLTOKEF2"
 #: Ids after which a shard is closed at the next document.
 SHARD_IDS = 8_000_000
 SAMPLE = 256
+#: Bytes of text for a range of ids.
+RANGE_BYTES = 64 << 20
 #: Documents that are read at a time.
 ROWS = 4096
 
@@ -161,6 +163,10 @@ class Shard:
         return [None] * nulls + [int(x) + self.base for x in known]
 
 
+#: The manifest's place in the folder of a lasting store.
+MANIFEST = "manifest.parquet"
+
+
 def _file(uri: str):
     from pyarrow import fs
 
@@ -213,23 +219,36 @@ def write(docs: DataFrame, path: str, end_id: int, folder: str | None = None) ->
     """Writes all of ``docs(doc_id, text)``; the folder and its manifest.
 
     The manifest has a row for each file: its range and place in it, ``start``
-    being the ids before it.
+    being the ids before it. With a ``folder`` of the caller's both stay there when
+    the application ends, and :func:`open_store` finds them; without, they go.
     """
     spark = docs.sparkSession
     bound_batches(spark)
+    lasting = folder is not None
     folder = folder or shared_dir(spark)
     system, at = _file(folder)
     system.create_dir(at, recursive=True)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     # the second column deals out a null or repeated id that many rows have
     tied = rows.withColumn("tie", F.rand(20040707))
-    ordered = tied.repartitionByRange(F.col("doc_id").asc_nulls_first(), "tie").sortWithinPartitions(F.col("doc_id").asc_nulls_first()).select("doc_id", "text")
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    parts = max(shuffle_partitions(spark), -(-size // RANGE_BYTES))
+    ordered = tied.repartitionByRange(parts, F.col("doc_id").asc_nulls_first(), "tie").sortWithinPartitions(F.col("doc_id").asc_nulls_first()).select("doc_id", "text")
     files = materialize(ordered.mapInPandas(_write(folder, path, end_id), "file string, part int, place int, first_id long, last_id long, n_ids long"))
     # two levels: this window has a row a range, the next one a row a file of its range
     ranges = files.groupBy("part").agg(F.sum("n_ids").alias("of")).select(F.col("part").alias("p"), (F.sum("of").over(Window.orderBy("part")) - F.col("of")).alias("ranges_before"))
     within = F.sum("n_ids").over(Window.partitionBy("part").orderBy("place")) - F.col("n_ids")
     started = files.withColumn("within", within).join(F.broadcast(ranges), F.col("part") == F.col("p"))
-    return folder, materialize(started.select(*files.columns, (F.col("ranges_before") + F.col("within")).cast("long").alias("start")))
+    manifest = started.select(*files.columns, (F.col("ranges_before") + F.col("within")).cast("long").alias("start"))
+    if not lasting:
+        return folder, materialize(manifest)
+    manifest.write.mode("error").parquet(f"{folder.rstrip('/')}/{MANIFEST}")  # last: a store without it isn't whole
+    return folder, open_store(spark, folder)
+
+
+def open_store(spark: SparkSession, folder: str) -> DataFrame:
+    """The manifest of a store that :func:`write` has left in ``folder``; an error where it didn't end."""
+    return spark.read.parquet(f"{folder.rstrip('/')}/{MANIFEST}")
 
 
 def _read(folder: str):

@@ -202,3 +202,27 @@ def test_pack_counts_repeats_and_null_ids(spark, encoders):
     assert packing.pack(data.table(spark, []), BYTES).count() == 0
     with pytest.raises(ValueError):
         packing.pack(data.table(spark), BYTES, length=1000)
+
+
+def test_a_store_outlives_the_process_that_wrote_it(spark, tmp_path):
+    """Another process writes into a folder of its caller's and ends; an unfinished store is an error."""
+    import subprocess
+    import sys
+
+    folder = f"file://{tmp_path}/store"
+    code = f"""
+import sys
+sys.path[:0] = {sys.path!r}
+from pyspark.sql import SparkSession
+from plumbline.llm import token_store
+from tests.llm import data
+spark = SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false").config("spark.sql.shuffle.partitions", "2").config("spark.checkpoint.dir", "file://{tmp_path}/shared").getOrCreate()
+token_store.write(data.table(spark), {WORDS!r}, 2, {folder!r})
+spark.stop()
+"""
+    subprocess.run([sys.executable, "-c", code], check=True, timeout=300)
+    got = sorted(map(tuple, token_store.read(folder, token_store.open_store(spark, folder)).collect()), key=lambda r: r[1])
+    here, manifest = token_store.write(data.table(spark), WORDS, 2)
+    assert got == sorted(map(tuple, token_store.read(here, manifest).collect()), key=lambda r: r[1]) and got
+    with pytest.raises(Exception):
+        token_store.open_store(spark, f"file://{tmp_path}/none")
