@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import vectors as V
-from ..functions.storage import materialize
+from ..functions.storage import materialize, shared_dir
 from .knn import BATCH, blocked_top_k, rough_squared_distances
 
 #: Base vectors up to which a graph is given to every task; a beam search needs
@@ -123,34 +123,59 @@ class Graph:
         return (q, r + 1, final[q, r]), (who[real], upper[real], what[real])
 
 
-def walk(queries: DataFrame, base: DataFrame, edges: DataFrame, steps: dict[str, float], rounds: int, width: int, degree: int, entries: int) -> DataFrame:
-    """``query_id, model, base_id, exact, dist``: all that a search evaluates, by DataFrame operations.
+def walk(queries: DataFrame, base: DataFrame, edges: DataFrame, coded: DataFrame, luts: DataFrame, sources: list[str], limit: int, width: int, degree: int, entries: int) -> DataFrame:
+    """``query_id, model, base_id, exact, dist``: all that searches of one graph evaluate.
 
     Every query starts at the ``entries`` base vectors with the least MD5 of their
-    ids. In each round the neighbours (the first ``degree`` edges) of its ``width``
-    best are evaluated. ``steps`` names the distance sources of one and the same
-    graph: 0 is exact, else base vectors are rounded to multiples. A query's own
-    row takes no part. Rounds are written, so none is computed twice.
+    ids. A round expands those of its ``width`` best that aren't yet (their first
+    ``degree`` edges). A search ends when all of them are: whatever is still open is
+    farther than the worst one held. Ended searches take no further part; none has
+    more than ``limit`` rounds.
+
+    ``sources`` are the distances by which the same graph is walked: ``exact``, or a
+    model of ``coded(base_id, model, codes)``. Under a model a round joins codes and
+    the query's lookup table (``luts``), never vectors. What a round evaluates is
+    appended to a folder; exact distances of all follow at the end. A query's own row
+    takes no part.
     """
+    spark, folder = queries.sparkSession, shared_dir(queries.sparkSession)
     key = F.md5(F.concat_ws(":", F.lit("13"), F.col("base_id").cast("string")))
     first = [r[0] for r in base.select("base_id", key.alias("k")).orderBy("k", "base_id").limit(entries).collect()]
-    source = F.array(*[F.struct(F.lit(m).alias("model"), F.lit(float(x)).alias("step")) for m, x in steps.items()])
     near = edges.filter(F.col("rk") <= degree).select("src", "dst")
+    schema = "query_id long, model string, base_id long, dist double"
+    # a sum from left to right of what the table has for each code
+    part = F.transform("codes", lambda c, m: F.element_at("lut", (m * (F.size("lut") / F.size("codes")) + c + 1).cast("int")))
+    by_code = F.aggregate(part, F.lit(0.0), lambda a, x: a + x)
 
     def evaluated(rows: DataFrame) -> DataFrame:
-        at = rows.filter("query_id <> base_id").join(base.select("base_id", "be"), "base_id").join(queries.select("query_id", "qe"), "query_id")
-        rounded = F.transform("be", lambda v: F.floor(v / F.col("step") + 0.5) * F.col("step"))
-        exact = V.squared_l2(F.col("qe"), F.col("be"))
-        dist = F.when(F.col("step") == 0, exact).otherwise(V.squared_l2(F.col("qe"), rounded))
-        return at.select("query_id", "model", "step", "base_id", exact.alias("exact"), dist.alias("dist"))
-
-    found = materialize(evaluated(queries.select("query_id", F.inline(source)).withColumn("base_id", F.explode(F.array(*[F.lit(x).cast("long") for x in first])))))
+        rows = rows.filter("query_id <> base_id")
+        exact = rows.filter("model = 'exact'").join(base.select("base_id", "be"), "base_id").join(queries.select("query_id", "qe"), "query_id")
+        exact = exact.select("query_id", "model", "base_id", V.squared_l2(F.col("qe"), F.col("be")).alias("dist"))
+        quick = rows.filter("model <> 'exact'").join(coded, ["base_id", "model"]).join(luts, "query_id").withColumn("lut", F.element_at("luts", F.col("model")))
+        return exact.unionByName(quick.select("query_id", "model", "base_id", by_code.alias("dist")))
+
+    def written(rows: DataFrame, k: int) -> DataFrame:
+        rows.write.option("compression", "zstd").parquet(f"{folder}/{k:04d}")
+        return spark.read.schema(schema).parquet(f"{folder}/{k:04d}")
+
+    asked = queries.select("query_id", F.explode(F.array(*[F.lit(s) for s in sources])).alias("model"))
+    new = written(evaluated(asked.withColumn("base_id", F.explode(F.array(*[F.lit(x).cast("long") for x in first])))), 0)
+    held, rounds = new.withColumn("open", F.lit(True)), 0
     best = Window.partitionBy("query_id", "model").orderBy("dist", "base_id")
-    for _ in range(rounds):
-        beam = found.withColumn("r", F.row_number().over(best)).filter(F.col("r") <= width)
-        new = beam.join(near, F.col("base_id") == F.col("src")).select("query_id", "model", "step", F.col("dst").alias("base_id")).distinct()
-        found = materialize(found.unionByName(evaluated(new.join(found.select("query_id", "model", "base_id"), ["query_id", "model", "base_id"], "left_anti"))))
-    return found.select("query_id", "model", "base_id", "exact", "dist")
+    while rounds < limit:
+        beam = materialize(held.withColumn("r", F.row_number().over(best)).filter(F.col("r") <= width).drop("r"))
+        opened = beam.filter("open")
+        if opened.isEmpty():
+            break
+        rounds += 1
+        reached = opened.join(near, F.col("base_id") == F.col("src")).select("query_id", "model", F.col("dst").alias("base_id")).distinct()
+        seen = spark.read.schema(schema).parquet(*[f"{folder}/{k:04d}" for k in range(rounds)]).select("query_id", "model", "base_id")
+        new = written(evaluated(reached.join(seen, ["query_id", "model", "base_id"], "left_anti")), rounds)
+        still = opened.select("query_id", "model").distinct()  # a search without open vectors has ended
+        held = beam.join(still, ["query_id", "model"], "left_semi").withColumn("open", F.lit(False)).unionByName(new.withColumn("open", F.lit(True)))
+    found = spark.read.schema(schema).parquet(*[f"{folder}/{k:04d}" for k in range(rounds + 1)])
+    whole = found.join(base.select("base_id", "be"), "base_id").join(queries.select("query_id", "qe"), "query_id")
+    return whole.select("query_id", "model", "base_id", V.squared_l2(F.col("qe"), F.col("be")).alias("exact"), "dist")
 
 
 def native_heap(ids: list[int], scores: list[float], k: int) -> list[int]:

@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+from typing import NamedTuple
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import vectors as V
-from ..functions.storage import broadcast_if_small
+from ..functions.storage import broadcast_if_small, materialize
 from .knn import blocked_top_k
 
 
@@ -29,31 +33,212 @@ def first_codebook(base: DataFrame, parts: int, codes: int, dims: int) -> DataFr
 PER_CODE = 256
 
 
+class Model(NamedTuple):
+    """A product quantizer of a family: sub-spaces, seed of its start, training subset (None: all), rotation (0: none)."""
+
+    name: str
+    parts: int
+    seed: int = 11
+    subset: int | None = None
+    turn: int = 0
+
+
+def hash_key(*parts) -> Column:
+    """MD5 of the parts joined by colons, as text."""
+    return F.md5(F.concat_ws(":", *[p.cast("string") if isinstance(p, Column) else F.lit(str(p)) for p in parts]))
+
+
+def turn_signs(dims: int, turn: int) -> list[int]:
+    """0 or 1 a dimension: which coordinates change their sign before the transform."""
+    return [int(hashlib.md5(f"turn:{turn}:{j}".encode()).hexdigest(), 16) & 1 for j in range(dims)]
+
+
+def turn_matrix(dims: int, turn: int) -> np.ndarray:
+    """A rotation: signs by hash, then the Hadamard transform. ``dims`` is a power of two."""
+    if dims & (dims - 1):
+        raise ValueError("a rotated model needs a power of two dimensions")
+    i = np.arange(dims)
+    odd = (np.bitwise_count(i[:, None] & i[None, :]) + np.array(turn_signs(dims, turn))[None, :]) & 1
+    return np.where(odd, -1.0, 1.0)
+
+
+def turned(x: np.ndarray, turn: int) -> np.ndarray:
+    """Rows rotated; sums run from the first dimension to the last."""
+    if not turn:
+        return x
+    matrix, out = turn_matrix(x.shape[1], turn), np.zeros_like(x)
+    for j in range(x.shape[1]):
+        out += x[:, j, None] * matrix[None, :, j]
+    return out / x.shape[1] ** 0.5
+
+
+def _nearest(s: np.ndarray, centroids: np.ndarray) -> np.ndarray:
+    """The nearest centroid of each row; ties to the lower code."""
+    d = np.zeros((len(s), len(centroids)))
+    for j in range(s.shape[1]):
+        t = s[:, j, None] - centroids[None, :, j]
+        d += t * t
+    return d.argmin(axis=1)
+
+
+def _cells(models: list[Model], books: dict[str, np.ndarray]):
+    """Sums and counts by cell of what a task holds: a row a coordinate of a centroid."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total: dict[str, np.ndarray] = {}
+        for rows in batches:
+            if not len(rows):
+                continue
+            x, member, by_turn = np.stack(rows["be"].to_numpy()), np.stack(rows["member"].to_numpy()), {}
+            for k, model in enumerate(models):
+                if model.turn not in by_turn:
+                    by_turn[model.turn] = turned(x, model.turn)
+                own, book = by_turn[model.turn][member[:, k]], books[model.name]
+                parts, codes, width = book.shape
+                sums = total.setdefault(model.name, np.zeros((parts, codes, width + 1)))
+                for m in range(parts):
+                    s = own[:, m * width : (m + 1) * width]
+                    near = _nearest(s, book[m])
+                    for j in range(width):
+                        sums[m, :, j] += np.bincount(near, weights=s[:, j], minlength=codes)
+                    sums[m, :, width] += np.bincount(near, minlength=codes)
+        for name, sums in total.items():
+            m, c, j = (g.ravel() for g in np.indices(sums[:, :, :-1].shape))
+            n = np.repeat(sums[:, :, -1].ravel(), sums.shape[2] - 1)
+            yield pd.DataFrame({"model": name, "m": m, "c": c, "j": j, "total": sums[:, :, :-1].ravel(), "n": n.astype(np.int64)})[n > 0]
+
+    return run
+
+
+def fit(rows: DataFrame, models: list[Model], start: dict[str, np.ndarray], rounds: int) -> dict[str, np.ndarray]:
+    """K-means of all models and sub-spaces at once, over ``rows(be, member)``.
+
+    Tasks assign their rows and send on sums by cell; only the means (models * codes *
+    dimensions numbers) come back. Means are kept to four decimals, so they don't
+    depend on the order of a sum; an empty cell keeps its centroid.
+    """
+    books = {name: book.copy() for name, book in start.items()}
+    for _ in range(rounds):
+        cells = rows.mapInPandas(_cells(models, books), "model string, m int, c int, j int, total double, n long")
+        means = cells.groupBy("model", "m", "c", "j").agg(F.round(F.sum("total") / F.sum("n"), 4).alias("x")).toPandas()
+        for name, part in means.groupby("model"):
+            books[name] = books[name].copy()
+            books[name][part["m"], part["c"], part["j"]] = part["x"]
+    return books
+
+
+def _start(rows: list, model: Model, dims: int) -> np.ndarray:
+    x = turned(np.array(rows, dtype=np.float64).reshape(len(rows), dims), model.turn)
+    return x.reshape(len(rows), model.parts, dims // model.parts).transpose(1, 0, 2)
+
+
+def book_table(spark: SparkSession, books: dict[str, np.ndarray]) -> DataFrame:
+    """``model, m, c, centroid``."""
+    rows = [(name, m, c, book[m, c].tolist()) for name, book in books.items() for m in range(book.shape[0]) for c in range(book.shape[1])]
+    return spark.createDataFrame(rows, "model string, m long, c long, centroid array<double>")
+
+
+def books_of(table: DataFrame) -> dict[str, np.ndarray]:
+    """The same the other way; a family's books are bounded by its parameters."""
+    out: dict[str, dict] = {}
+    for r in table.collect():
+        out.setdefault(r["model"], {})[r["m"], r["c"]] = r["centroid"]
+    return {name: np.array([[of[m, c] for c in range(1 + max(c for _, c in of))] for m in range(1 + max(m for m, _ in of))]) for name, of in out.items()}
+
+
 def train_codebook(base: DataFrame, parts: int, codes: int, dims: int, rounds: int = 25, per_code: int = PER_CODE) -> DataFrame:
     """``m, c, centroid``: k-means in every subspace, a fixed number of rounds.
 
     It is fitted on the ``codes * per_code`` vectors with the least MD5 of their
-    ids, which bounds what comes to the driver; the first ``codes`` of them are
-    the first centroids. Means are kept to four decimals, so they don't depend on
-    the order of a sum; ties go to the lower code; an empty cell keeps its centroid.
+    ids; the first ``codes`` of them are the first centroids.
+    """
+    spark, model = base.sparkSession, Model("pq", parts)
+    sample = base.select("base_id", "be", hash_key(11, F.col("base_id")).alias("k")).orderBy("k", "base_id").limit(codes * per_code)
+    rows = materialize(sample.select("be", F.array(F.lit(True)).alias("member"), "k", "base_id"))
+    first = [r["be"] for r in rows.orderBy("k", "base_id").limit(codes).collect()]
+    if not first:
+        return spark.createDataFrame([], "m long, c long, centroid array<double>")
+    return book_table(spark, fit(rows, [model], {"pq": _start(first, model, dims)}, rounds)).drop("model")
+
+
+#: Hashes of a subset's members are below this: a third of all.
+THIRD = "5" * 32
+
+
+def train_models(base: DataFrame, models: list[Model], codes: int, dims: int, rounds: int, per_code: int = PER_CODE) -> DataFrame:
+    """``model, m, c, centroid``: a family of product quantizers, trained together.
+
+    Training vectors are a share of all by hash, ``codes * per_code`` on average if
+    there are more; a model of a subset sees the third with the least hashes of its
+    own. A model starts at the ``codes`` of its vectors that come first by its seed.
     """
-    key = F.md5(F.concat_ws(":", F.lit("11"), F.col("base_id").cast("string")))
-    rows = base.select("base_id", "be", key.alias("k")).orderBy("k", "base_id").limit(codes * per_code).collect()
-    x, width = np.array([r["be"] for r in rows], dtype=np.float64).reshape(len(rows), dims), dims // parts
-    out = []
-    for m in range(parts):
-        s = x[:, m * width : (m + 1) * width]
-        centroids = s[:codes].copy()
-        for _ in range(rounds if len(s) else 0):
-            d = np.zeros((len(s), len(centroids)))
-            for j in range(width):
-                t = s[:, j, None] - centroids[None, :, j]
-                d += t * t
-            near = d.argmin(axis=1)
-            for c in np.unique(near):
-                centroids[c] = np.round(s[near == c].mean(axis=0), 4)
-        out += [(m, c, v.tolist()) for c, v in enumerate(centroids)]
-    return base.sparkSession.createDataFrame(out, "m long, c long, centroid array<double>")
+    spark, n = base.sparkSession, base.count()
+    share = min(1.0, codes * per_code / max(1, n))
+    key = F.conv(F.substring(hash_key(11, F.col("base_id")), 1, 8), 16, 10).cast("double")
+    member = F.array(*[F.lit(True) if m.subset is None else hash_key("subset", m.subset, F.col("base_id")) < THIRD for m in models])
+    rows = materialize(base.filter(key < share * 2.0**32).select("base_id", "be", member.alias("member")))
+    start, ready = {}, []
+    asked = F.array(*[F.struct(F.lit(k).alias("k"), hash_key(m.seed, F.col("base_id")).alias("key")) for k, m in enumerate(models)])
+    own = rows.select("base_id", "be", "member", F.explode(asked).alias("a")).filter(F.col("member")[F.col("a.k")])
+    first = own.withColumn("r", F.row_number().over(Window.partitionBy("a.k").orderBy("a.key", "base_id"))).filter(F.col("r") <= codes).select("a.k", "r", "be").collect()
+    for k, model in enumerate(models):
+        chosen = [r["be"] for r in sorted(first, key=lambda r: r["r"]) if r["k"] == k]
+        if chosen:
+            start[model.name] = _start(chosen, model, dims)
+            ready.append(model)
+    return book_table(spark, fit(rows, models, start, rounds)) if len(ready) == len(models) else book_table(spark, {})
+
+
+def encode_models(base: DataFrame, models: list[Model], books: dict[str, np.ndarray]) -> DataFrame:
+    """``base_id, model, codes``: every vector under every model."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in batches:
+            x = np.stack(rows["be"].to_numpy()) if len(rows) else np.zeros((0, 1))
+            for model in models:
+                if len(rows):
+                    book, own = books[model.name], turned(x, model.turn)
+                    width = book.shape[2]
+                    codes = np.stack([_nearest(own[:, m * width : (m + 1) * width], book[m]) for m in range(book.shape[0])], axis=1)
+                    yield pd.DataFrame({"base_id": rows["base_id"], "model": model.name, "codes": list(codes)})
+
+    return base.select("base_id", "be").mapInPandas(run, "base_id long, model string, codes array<long>")
+
+
+def code_distances(q: np.ndarray, codes: np.ndarray, book: np.ndarray) -> np.ndarray:
+    """Distances of (rotated) queries to coded vectors, row by row: sums by sub-space, added up in order."""
+    out, width = np.zeros(len(q)), book.shape[2]
+    for m in range(book.shape[0]):
+        near, part = book[m][codes[:, m]], np.zeros(len(q))
+        for j in range(width):
+            d = q[:, m * width + j] - near[:, j]
+            part += d * d
+        out += part
+    return out
+
+
+def lookup_tables(queries: DataFrame, models: list[Model], books: dict[str, np.ndarray]) -> DataFrame:
+    """``query_id, luts``: a map of a model's distances to all its centroids, flat by sub-space and code."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in batches:
+            x = np.stack(rows["qe"].to_numpy()) if len(rows) else None
+            luts = [{} for _ in range(len(rows))]
+            for model in models if len(rows) else []:
+                book, q = books[model.name], turned(x, model.turn)
+                width, flat = book.shape[2], []
+                for m in range(book.shape[0]):
+                    d = np.zeros((len(q), book.shape[1]))
+                    for j in range(width):
+                        t = q[:, m * width + j, None] - book[m][None, :, j]
+                        d += t * t
+                    flat.append(d)
+                flat = np.concatenate(flat, axis=1)
+                for k, lut in enumerate(luts):
+                    lut[model.name] = flat[k].tolist()
+            yield pd.DataFrame({"query_id": rows["query_id"], "luts": luts})
+
+    return queries.select("query_id", "qe").mapInPandas(run, "query_id long, luts map<string, array<double>>")
 
 
 def encode(subs: DataFrame, codebook: DataFrame) -> DataFrame:
@@ -112,14 +297,33 @@ def adc_top_k(queries: DataFrame, codes: DataFrame, codebook: DataFrame, k: int)
     return blocked_top_k(q, b, k, ("query_id", "base_id", "adc"), distances)
 
 
-def score_pool(pool: DataFrame, queries: DataFrame, base: DataFrame, models: dict[str, tuple[float, float]]) -> DataFrame:
+def score_pool(pool: DataFrame, queries: DataFrame, base: DataFrame, coded: DataFrame, models: list[Model], books: dict[str, np.ndarray], pooled: str | None = None) -> DataFrame:
     """``query_id, pos, base_id, exact, model, score`` of every candidate under every model.
 
-    A model is a scalar quantizer ``(step, offset)`` of the base vectors.
+    Scores are asymmetric distances to the vectors' codes. ``pooled`` names the model
+    whose distances the pool has already, in ``adc``.
     """
-    rows = pool.join(base.select("base_id", "be"), "base_id").join(queries.select("query_id", "qe"), "query_id")
-    scores = F.array(*[F.struct(F.lit(n).alias("model"), V.squared_l2(F.col("qe"), V.quantize(F.col("be"), s, o)).alias("score")) for n, (s, o) in models.items()])
-    return rows.select("query_id", "pos", "base_id", V.squared_l2(F.col("qe"), F.col("be")).alias("exact"), F.inline(scores))
+    codes = coded.groupBy("base_id").agg(F.map_from_entries(F.collect_list(F.struct("model", "codes"))).alias("codes"))
+    rows = pool.join(base.select("base_id", "be"), "base_id").join(codes, "base_id").join(queries.select("query_id", "qe"), "query_id")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in batches:
+            if not len(rows):
+                continue
+            q, x = np.stack(rows["qe"].to_numpy()), np.stack(rows["be"].to_numpy())
+            exact = np.zeros(len(rows))
+            for j in range(q.shape[1]):
+                d = q[:, j] - x[:, j]
+                exact += d * d
+            out = rows[["query_id", "pos", "base_id"]].assign(exact=exact)
+            if pooled:
+                yield out.assign(model=pooled, score=rows["adc"])
+            listed = [dict(c) for c in rows["codes"]]
+            for model in models:
+                own = np.stack([c[model.name] for c in listed])
+                yield out.assign(model=model.name, score=code_distances(turned(q, model.turn), own, books[model.name]))
+
+    return rows.select("query_id", "pos", "base_id", "adc", "qe", "be", "codes").mapInPandas(run, "query_id long, pos long, base_id long, exact double, model string, score double")
 
 
 def rotation(dims: int, seed: int) -> np.ndarray:

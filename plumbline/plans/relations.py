@@ -9,18 +9,18 @@ from ..operators import graph, knn, quantizers
 from .core import relation
 
 K, POOL, PARTS, CODES, DIMS = 10, 128, 8, 16, 64
-#: Rounds of k-means; and of a walk over the neighbour graph, with its width, edges a node and entries.
-ROUNDS, WALK = 25, (6, 32, 8, 8)
+#: Rounds of k-means, of one codebook and of families; most rounds of a walk over the neighbour graph, its width, edges a node and entries.
+ROUNDS, FAMILY_ROUNDS, WALK = 25, 5, (12, 32, 8, 8)
 #: Widths of the sweep, that of ``WALK`` among them.
 SWEEP = (8, 32, 96)
-#: Distance sources of one graph.
-SOURCES = {"exact": 0.0, "coarse": 1 / 16, "fine": 1 / 64}
-#: Models of the base vectors: scalar quantizers (step, offset).
+#: Distance sources of one graph: vectors, the codebook's codes, and those of a model with more sub-spaces.
+SOURCES = ("exact", "coarse", "fine")
+#: Families of trained quantizers. The pool's own codebook is the model ``coarse``.
 MODELS = {
-    "": {"coarse": (1 / 16, 0.0), "fine": (1 / 64, 0.0)},
-    "5": {f"s{i}": (1 / 16, i / 80) for i in range(5)},
-    "9": {f"g{i}{j}": (1 / (14 + 2 * i), j / 48) for i in range(3) for j in range(3)},
-    "15": {f"r{i}{j}": (1 / (12 + i), j / 48) for i in range(5) for j in range(3)},
+    "": [quantizers.Model("fine", 2 * PARTS)],
+    "5": [quantizers.Model(f"s{i}", PARTS, seed=i) for i in range(5)],
+    "9": [quantizers.Model(f"g{i}{j}", PARTS, seed=j, subset=i) for i in range(3) for j in range(3)],
+    "15": [quantizers.Model(f"r{i}{j}", PARTS, seed=j, turn=i + 1) for i in range(5) for j in range(3)],
 }
 
 
@@ -86,15 +86,62 @@ def pool(d):
         ON c.m = l.m AND c.c = l.c WHERE query_id <> base_id GROUP BY query_id, base_id)) WHERE r <= {POOL}"""
 
 
+def _turned(v: str, turn: int) -> str:
+    """A rotated list, for DuckDB."""
+    if not turn:
+        return v
+    signs = quantizers.turn_signs(DIMS, turn)
+    return f"list_transform(range({DIMS}), lambda i: list_sum(list_transform(range({DIMS}), lambda j: CASE WHEN (bit_count(i & j) + ({signs})[j + 1]) % 2 = 0 THEN {v}[j + 1] ELSE -{v}[j + 1] END)) / {DIMS**0.5!r}::DOUBLE)"
+
+
+def _by_codes() -> str:
+    """The sum of a lookup table's entries for a vector's codes, for DuckDB."""
+    return f"list_sum(list_transform(codes, lambda c, m: lut[(m - 1) * {CODES} + c + 1]))"
+
+
 def _family(sfx: str) -> None:
     models = MODELS[sfx]
-
-    @relation(f"scored{sfx}", "pool", "queries", "base", build=lambda spark, sf_dir, rel: quantizers.score_pool(rel("pool"), rel("queries"), rel("base"), models), keep=True)
+    turns = sorted({m.turn for m in models})
+    listed = ", ".join(f"('{m.name}', {m.parts}, {m.seed}, {'NULL' if m.subset is None else m.subset}, {m.turn})" for m in models)
+    names = f"(VALUES {listed}) AS m_(model, parts, seed, subset, turn)"
+
+    @relation(f"turned{sfx}", "base")
+    def turned(d):
+        return " UNION ALL ".join(f"SELECT {t} AS turn, base_id, {_turned('be', t)} AS x FROM pl_base" for t in turns)
+
+    @relation(f"books{sfx}", "base", f"turned{sfx}", build=lambda spark, sf_dir, rel: materialize(quantizers.train_models(rel("base"), models, CODES, DIMS, FAMILY_ROUNDS)), keep=True)
+    def books(d):
+        """Codebooks of all models, the rounds of k-means written out."""
+        steps = []
+        for k in range(FAMILY_ROUNDS):
+            steps.append(f"a{k} AS MATERIALIZED (SELECT x.model, x.m, any_value(s) AS s, arg_min(k{k}.c, ({d.l2('s', 'centroid')}, k{k}.c)) AS c FROM s_ x JOIN k{k} ON x.model = k{k}.model AND x.m = k{k}.m GROUP BY x.model, x.m, base_id)")
+            steps.append(f"""k{k + 1} AS MATERIALIZED (SELECT o.model, o.m, o.c, coalesce(n.mean, o.centroid) AS centroid FROM k{k} o LEFT JOIN (SELECT model, m, c, list(x ORDER BY j) AS mean FROM (
+              SELECT model, m, c, j, round(avg(x), 4) AS x FROM (SELECT model, m, c, unnest(range(len(s))) AS j, unnest(s) AS x FROM a{k}) GROUP BY model, m, c, j) GROUP BY model, m, c) n ON o.model = n.model AND o.m = n.m AND o.c = n.c)""")
+        return f"""WITH t_ AS MATERIALIZED (SELECT model, parts, base_id, x, row_number() OVER (PARTITION BY model ORDER BY {d.hash_order('seed', 'base_id')}, base_id) - 1 AS c
+            FROM {names} JOIN pl_turned{sfx} USING (turn) CROSS JOIN (SELECT count(*) AS n FROM pl_base) AS n_
+            WHERE ('0x' || left({d.hash_order("'11'", 'base_id')}, 8))::BIGINT < least(1, {CODES * quantizers.PER_CODE}::DOUBLE / n) * 4294967296.0 AND (subset IS NULL OR {d.hash_order("'subset'", 'subset', 'base_id')} < '{quantizers.THIRD}')),
+          s_ AS MATERIALIZED (SELECT model, base_id, m, c, x[m * ({DIMS} // parts) + 1 : (m + 1) * ({DIMS} // parts)] AS s FROM (SELECT *, unnest(range(parts)) AS m FROM t_)),
+          k0 AS MATERIALIZED (SELECT model, m, c, s AS centroid FROM s_ WHERE c < {CODES}), {', '.join(steps)} SELECT model, m, c, centroid FROM k{FAMILY_ROUNDS}"""
+
+    @relation(f"coded{sfx}", "base", f"turned{sfx}", f"books{sfx}", build=lambda spark, sf_dir, rel: quantizers.encode_models(rel("base"), models, quantizers.books_of(rel(f"books{sfx}"))), keep=True)
+    def coded(d):
+        return f"""SELECT base_id, model, list(c ORDER BY m) AS codes FROM (SELECT base_id, k.model, k.m, arg_min(c, ({d.l2(f'x[k.m * ({DIMS} // parts) + 1 : (k.m + 1) * ({DIMS} // parts)]', 'centroid')}, c)) AS c
+          FROM {names} JOIN pl_turned{sfx} USING (turn) JOIN pl_books{sfx} k ON m_.model = k.model GROUP BY base_id, k.model, k.m) GROUP BY base_id, model"""
+
+    @relation(f"luts{sfx}", "queries", f"books{sfx}")
+    def luts(d):
+        rows = " UNION ALL ".join(f"SELECT {t} AS turn, query_id, {_turned('qe', t)} AS x FROM pl_queries" for t in turns)
+        return f"""SELECT query_id, model, list(dist ORDER BY m, c) AS lut FROM (SELECT query_id, k.model, m, c, {d.l2(f'x[m * ({DIMS} // parts) + 1 : (m + 1) * ({DIMS} // parts)]', 'centroid')} AS dist
+          FROM {names} JOIN ({rows}) AS q_ USING (turn) JOIN pl_books{sfx} k ON m_.model = k.model) GROUP BY query_id, model"""
+
+    def _scored(spark, sf_dir, rel):
+        return quantizers.score_pool(rel("pool"), rel("queries"), rel("base"), rel(f"coded{sfx}"), models, quantizers.books_of(rel(f"books{sfx}")), None if sfx else "coarse")
+
+    @relation(f"scored{sfx}", "pool", "queries", "base", f"coded{sfx}", f"luts{sfx}", build=_scored, keep=True)
     def scored(d):
-        rows = ", ".join(f"('{n}', {s!r}::DOUBLE, {o!r}::DOUBLE)" for n, (s, o) in models.items())
-        return f"""SELECT p.query_id, p.pos, p.base_id, {d.l2('qe', 'be')} AS exact, model,
-          list_sum(list_transform(list_zip(qe, list_transform(be, lambda v: floor((v + off) / step + 0.5) * step - off)), lambda t: (t[1] - t[2]) * (t[1] - t[2]))) AS score
-          FROM pl_pool p JOIN pl_queries q ON p.query_id = q.query_id JOIN pl_base b ON p.base_id = b.base_id CROSS JOIN (VALUES {rows}) AS m(model, step, off)"""
+        pooled = "" if sfx else f"UNION ALL SELECT p.query_id, p.pos, p.base_id, {d.l2('qe', 'be')} AS exact, 'coarse' AS model, adc AS score FROM pl_pool p JOIN pl_queries q ON p.query_id = q.query_id JOIN pl_base b ON p.base_id = b.base_id"
+        return f"""SELECT p.query_id, p.pos, p.base_id, {d.l2('qe', 'be')} AS exact, c.model, {_by_codes()} AS score
+          FROM pl_pool p JOIN pl_queries q ON p.query_id = q.query_id JOIN pl_base b ON p.base_id = b.base_id JOIN pl_coded{sfx} c ON p.base_id = c.base_id JOIN pl_luts{sfx} l ON p.query_id = l.query_id AND l.model = c.model {pooled}"""
 
     @relation(f"ranked{sfx}", f"scored{sfx}", "gt", keep=True)
     def ranked(d):
@@ -130,19 +177,42 @@ for _sfx in MODELS:
     _family(_sfx)
 
 
+@relation("stored", "codes", "coded", build=lambda spark, sf_dir, rel: _stored(rel), keep=True)
+def stored(d):
+    """The codes of both models of a walk."""
+    return "SELECT base_id, 'coarse' AS model, list(c ORDER BY m) AS codes FROM pl_codes GROUP BY base_id UNION ALL SELECT base_id, model, codes FROM pl_coded"
+
+
+def _stored(rel):
+    listed = F.transform(F.sort_array(F.collect_list(F.struct(F.col("m").cast("long").alias("m"), F.col("c").cast("long").alias("c")))), lambda e: e["c"])
+    return rel("codes").groupBy("base_id").agg(listed.alias("codes")).select("base_id", F.lit("coarse").alias("model"), "codes").unionByName(rel("coded"))
+
+
+@relation("tables", "queries", "codebook", "luts", build=lambda spark, sf_dir, rel: _tables(rel), keep=True)
+def tables(d):
+    """Every query's distances to the centroids of both models."""
+    w = DIMS // PARTS
+    return f"SELECT query_id, 'coarse' AS model, list(dist ORDER BY m, c) AS lut FROM (SELECT query_id, m, c, {d.l2(f'qe[m * {w} + 1 : m * {w} + {w}]', 'centroid')} AS dist FROM pl_queries CROSS JOIN pl_codebook) GROUP BY query_id UNION ALL SELECT * FROM pl_luts"
+
+
+def _tables(rel):
+    models = [quantizers.Model("coarse", PARTS), *MODELS[""]]
+    books = quantizers.books_of(rel("codebook").withColumn("model", F.lit("coarse")).unionByName(rel("books")))
+    return quantizers.lookup_tables(rel("queries"), models, books)
+
+
 def _searches(sfx: str, rounds: int, width: int, degree: int, entries: int) -> None:
-    @relation(f"walked{sfx}", "queries", "base", "edges", build=lambda spark, sf_dir, rel: graph.walk(rel("queries"), rel("base"), rel("edges"), SOURCES, rounds, width, degree, entries), keep=True)
+    @relation(f"walked{sfx}", "queries", "base", "edges", "stored", "tables", build=lambda spark, sf_dir, rel: graph.walk(rel("queries"), rel("base"), rel("edges"), rel("stored"), rel("tables"), list(SOURCES), rounds, width, degree, entries), keep=True)
     def walked(d):
-        """What searches of one graph over exact and rounded vectors evaluate."""
-        names = ", ".join(f"('{m}', {x!r}::DOUBLE)" for m, x in SOURCES.items())
-        rounded = "list_transform(be, lambda v: floor(v / step + 0.5) * step)"
-        scored = lambda rows: f"""SELECT x.query_id, x.model, x.step, x.base_id, {d.l2('qe', 'be')} AS exact, CASE WHEN step = 0 THEN {d.l2('qe', 'be')} ELSE list_sum(list_transform(list_zip(qe, {rounded}), lambda t: (t[1] - t[2]) * (t[1] - t[2]))) END AS dist
-          FROM ({rows}) x JOIN pl_queries q ON x.query_id = q.query_id JOIN pl_base b ON x.base_id = b.base_id WHERE x.query_id <> x.base_id"""
+        """What searches of one graph evaluate, by exact distances and by codes. Rounds after a search's end add nothing."""
+        names = ", ".join(f"('{m}')" for m in SOURCES)
+        scored = lambda rows: f"""SELECT x.query_id, x.model, x.base_id, {d.l2('qe', 'be')} AS exact, CASE WHEN x.model = 'exact' THEN {d.l2('qe', 'be')} ELSE {_by_codes()} END AS dist
+          FROM ({rows}) x JOIN pl_queries q ON x.query_id = q.query_id JOIN pl_base b ON x.base_id = b.base_id LEFT JOIN pl_stored s ON x.base_id = s.base_id AND x.model = s.model LEFT JOIN pl_tables l ON x.query_id = l.query_id AND x.model = l.model WHERE x.query_id <> x.base_id"""
         first = f"SELECT base_id FROM pl_base ORDER BY {d.hash_order(chr(39) + '13' + chr(39), 'base_id')}, base_id LIMIT {entries}"
-        steps = [f"v0 AS MATERIALIZED ({scored(f'SELECT query_id, model, step, base_id FROM pl_queries CROSS JOIN (VALUES {names}) AS s(model, step) CROSS JOIN ({first})')})"]
+        steps = [f"v0 AS MATERIALIZED ({scored(f'SELECT query_id, model, base_id FROM pl_queries CROSS JOIN (VALUES {names}) AS s(model) CROSS JOIN ({first})')})"]
         for k in range(rounds):
             beam = f"SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id, model ORDER BY dist, base_id) AS r FROM v{k}) WHERE r <= {width}"
-            new = f"SELECT DISTINCT m.query_id, m.model, m.step, e.dst AS base_id FROM ({beam}) m JOIN pl_edges e ON m.base_id = e.src WHERE e.rk <= {degree} AND NOT EXISTS (SELECT 1 FROM v{k} o WHERE o.query_id = m.query_id AND o.model = m.model AND o.base_id = e.dst)"
+            new = f"SELECT DISTINCT m.query_id, m.model, e.dst AS base_id FROM ({beam}) m JOIN pl_edges e ON m.base_id = e.src WHERE e.rk <= {degree} AND NOT EXISTS (SELECT 1 FROM v{k} o WHERE o.query_id = m.query_id AND o.model = m.model AND o.base_id = e.dst)"
             steps.append(f"v{k + 1} AS MATERIALIZED (SELECT * FROM v{k} UNION ALL {scored(new)})")
         return f"WITH {', '.join(steps)} SELECT query_id, model, base_id, exact, dist FROM v{rounds}"
 

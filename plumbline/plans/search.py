@@ -253,10 +253,10 @@ def search_sweep(d):
 
 @plan("Q7 C9", *[f"searched{'' if w == WALK[1] else w}" for w in SWEEP])
 def search_frontier(d):
-    """Widths and distance sources by recall and by what a search costs: evaluations, and bits of a stored component; those that no other dominates."""
+    """Widths and distance sources by recall and by what a search costs: evaluations, and bits of a stored vector; those that no other dominates."""
     rows = " UNION ALL ".join(f"SELECT CAST({w} AS BIGINT) AS width, * FROM pl_searched{'' if w == WALK[1] else w}" for w in SWEEP)
     better = "b.recall >= a.recall AND b.evaluated <= a.evaluated AND b.bits <= a.bits"
-    return f"""WITH a AS (SELECT width, model, avg(native_hits) / {K}.0E0 AS recall, avg(evaluated) AS evaluated, max(CASE model WHEN 'exact' THEN 32 WHEN 'fine' THEN 7 ELSE 5 END) AS bits FROM ({rows}) AS x_ GROUP BY width, model)
+    return f"""WITH a AS (SELECT width, model, avg(native_hits) / {K}.0E0 AS recall, avg(evaluated) AS evaluated, max(CASE model WHEN 'exact' THEN {32 * DIMS} WHEN 'fine' THEN {8 * PARTS} ELSE {4 * PARTS} END) AS bits FROM ({rows}) AS x_ GROUP BY width, model)
       SELECT width, model, round(recall, 9) AS recall, round(evaluated, 9) AS evaluated, CAST(bits AS BIGINT) AS bits, NOT EXISTS (SELECT 1 FROM a b WHERE {better} AND (b.recall > a.recall OR b.evaluated < a.evaluated OR b.bits < a.bits)) AS on_frontier FROM a"""
 
 

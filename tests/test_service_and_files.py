@@ -65,34 +65,79 @@ def test_batches_answer_like_single_queries(size):
         assert [(r[3] - 1000, r[4]) for r in sorted(out, key=lambda r: r[2]) if r[0] == q] == [(p, refined) for p in places]
 
 
-def slow_walk(x, near, q, step, rounds, width, first):
-    stored = x if step == 0 else np.floor(x / step + 0.5) * step
-    d = ((stored - x[q]) ** 2).sum(axis=1)
-    seen = {k for k in first if k != q}
-    for _ in range(rounds):
-        beam = sorted(seen, key=lambda k: (d[k], k))[:width]
-        seen |= {k for b in beam for k in near[b] if k != q}
-    return seen
-
-
-def test_walk(spark):
+def slow_walk(d, near, q, limit, width, first):
+    """A beam that expands all open ones of its best at a time, and ends when none is open."""
+    seen, done, rounds = {k for k in first if k != q}, set(), 0
+    while rounds < limit:
+        opened = [k for k in sorted(seen, key=lambda k: (d[k], k))[:width] if k not in done]
+        if not opened:
+            break
+        rounds += 1
+        done |= set(opened)
+        seen |= {k for b in opened for k in near[b] if k != q}
+    return seen, rounds
+
+
+@pytest.mark.parametrize("limit", [2, 50])
+def test_walk(spark, limit):
     import hashlib
 
-    x, base = vectors(spark, 200)
+    x, base = vectors(spark, 200, 8)
     queries = base.filter("base_id % 20 = 0").select(F.col("base_id").alias("query_id"), F.col("be").alias("qe"))
     edges = graph.knn_graph(base, 6)
     near = {}
     for r in edges.collect():
         if r["rk"] <= 4:
             near.setdefault(r["src"], []).append(r["dst"])
+    models = [quantizers.Model("pq4", 4), quantizers.Model("turned", 2, turn=3)]
+    books = quantizers.books_of(quantizers.train_models(base, models, 4, 8, 3))
+    coded, luts = quantizers.encode_models(base, models, books), quantizers.lookup_tables(queries, models, books)
+    codes = {(r["base_id"], r["model"]): r["codes"] for r in coded.collect()}
     first = sorted(range(200), key=lambda k: (hashlib.md5(f"13:{k}".encode()).hexdigest(), k))[:3]
-    got = {}
-    for r in graph.walk(queries, base, edges, {"exact": 0.0, "coarse": 0.5}, 3, 5, 4, 3).collect():
-        got.setdefault((r["query_id"], r["model"]), set()).add(r["base_id"])
+    got, dist = {}, {}
+    for r in graph.walk(queries, base, edges, coded, luts, ["exact", "pq4", "turned"], limit, 5, 4, 3).collect():
+        got.setdefault((r["query_id"], r["model"]), []).append(r["base_id"])
+        dist[r["query_id"], r["model"], r["base_id"]] = r["dist"]
         assert r["exact"] == pytest.approx(((x[r["base_id"]] - x[r["query_id"]]) ** 2).sum())
+    ended = []
     for q in range(0, 200, 20):
-        for model, step in (("exact", 0.0), ("coarse", 0.5)):
-            assert got[q, model] == slow_walk(x, near, q, step, 3, 5, first)
+        for model in [quantizers.Model("exact", 1), *models]:
+            if model.name == "exact":
+                d = ((x - x[q]) ** 2).sum(axis=1)
+            else:
+                turn = quantizers.turn_matrix(8, model.turn) / 8**0.5 if model.turn else np.eye(8)
+                decoded = np.stack([np.concatenate([books[model.name][m][c] for m, c in enumerate(codes[k, model.name])]) for k in range(200)])
+                d = ((decoded - turn @ x[q]) ** 2).sum(axis=1)
+            seen, rounds = slow_walk(d, near, q, limit, 5, first)
+            ended.append(rounds)
+            assert sorted(got[q, model.name]) == sorted(seen)
+            assert all(dist[q, model.name, k] == pytest.approx(d[k]) for k in seen)
+    assert max(ended) == limit if limit < 5 else len(set(ended)) > 1 and max(ended) < limit
+
+
+def test_families_are_trained_and_differ(spark):
+    """Seeds, subsets and rotations give other codebooks; the distributed rounds are those of plain k-means."""
+    import hashlib
+
+    x, base = vectors(spark, 300, 8)
+    models = [quantizers.Model("a", 2), quantizers.Model("b", 2, seed=5), quantizers.Model("c", 2, subset=1), quantizers.Model("d", 4, turn=2)]
+    books = quantizers.books_of(quantizers.train_models(base.repartition(7), models, 4, 8, 4))
+    again = quantizers.books_of(quantizers.train_models(base.coalesce(1), models, 4, 8, 4))
+    assert all((books[m.name] == again[m.name]).all() for m in models) and not (books["a"] == books["b"]).all()
+    md5 = lambda *p: hashlib.md5(":".join(map(str, p)).encode()).hexdigest()
+    for model in models:
+        own = [k for k in range(300) if model.subset is None or md5("subset", model.subset, k) < quantizers.THIRD]
+        turn = quantizers.turn_matrix(8, model.turn) / 8**0.5 if model.turn else np.eye(8)
+        assert np.allclose(turn @ turn.T, np.eye(8)) and (60 < len(own) < 140 or model.subset is None)
+        rows, first = x[own] @ turn.T, sorted(range(len(own)), key=lambda k: md5(model.seed, own[k]))[:4]
+        width = 8 // model.parts
+        for m in range(model.parts):
+            s = rows[:, m * width : (m + 1) * width]
+            c = s[first].copy()
+            for _ in range(4):
+                near = ((s[:, None] - c[None]) ** 2).sum(-1).argmin(1)
+                c = np.stack([np.round(s[near == k].mean(0), 4) if (near == k).any() else c[k] for k in range(4)])
+            assert np.allclose(books[model.name][m], c, atol=2e-4)
 
 
 def test_own_rows_are_no_neighbours(spark):
