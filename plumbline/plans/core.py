@@ -68,19 +68,10 @@ class Dialect:
     def hash_order(self, *parts: str) -> str:
         return "md5(concat_ws(':', " + ", ".join(f"CAST({p} AS {'STRING' if self.spark else 'VARCHAR'})" for p in parts) + "))"
 
-    def ranked(self, source: str, key: str, tie: str, weight: str = "0") -> str:
-        """Rows of ``source`` with their place ``r_`` from 1, the number ``n_`` of all, and the sum ``upto_`` of weights.
-
-        The order of the whole table is put together from buckets of the key: a
-        window sees the rows of one bucket, and another one a row a bucket. Null
-        keys come last.
-        """
-        edges = f"SELECT *, {key} AS key_, {weight} AS w_ FROM {source}"
-        rows = f"""SELECT s_.*, lo_, hi_, n_, CASE WHEN key_ IS NULL THEN 4096 ELSE coalesce(least(4095, floor((key_ - lo_) / nullif(hi_ - lo_, 0) * 4096)), 0) END AS bucket_
-          FROM ({edges}) AS s_ CROSS JOIN (SELECT min(key_) AS lo_, max(key_) AS hi_, count(*) AS n_ FROM ({edges}) AS t_) AS e_"""
-        order = f"PARTITION BY x_.bucket_ ORDER BY key_, {tie} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW"
-        return f"""(SELECT x_.*, before_ + row_number() OVER (PARTITION BY x_.bucket_ ORDER BY key_, {tie}) AS r_, less_ + sum(w_) OVER ({order}) AS upto_ FROM ({rows}) AS x_
-          JOIN (SELECT bucket_, sum(c_) OVER (ORDER BY bucket_) - c_ AS before_, sum(v_) OVER (ORDER BY bucket_) - v_ AS less_ FROM (SELECT bucket_, count(*) AS c_, sum(w_) AS v_ FROM ({rows}) AS y_ GROUP BY bucket_) AS b_) AS o_ ON x_.bucket_ = o_.bucket_)"""
+    def hash_int(self, *parts: str) -> str:
+        """A whole number of 28 bits from a hash."""
+        h = self.hash_order(*parts)
+        return f"CAST(conv(substring({h}, 1, 7), 16, 10) AS BIGINT)" if self.spark else f"('0x' || left({h}, 7))::BIGINT"
 
     def at(self, a: str, k: int) -> str:
         """The k-th element, from 1."""

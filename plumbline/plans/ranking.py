@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from .core import plan
-from .relations import K, POOL
+from .relations import K
 
 
 @plan("H1 H2 H3", "perq")
@@ -12,26 +12,26 @@ def ranking_rows(d):
       round(d12 - d9, 9) AS gap_r2, round(d15 - d6, 9) AS gap_r5, agreement, exact_hits / {K}.0E0 AS oracle_recall, score_hits / {K}.0E0 AS recall, loss_hits, class FROM pl_perq"""
 
 
-@plan("H4 H5 H6 H11", "ranked", "perq")
+@plan("H4 H5 H6 H11", "ranked", "perq", "metrics")
 def candidate_errors(d):
+    """Errors of a pool, at the boundary, and the pairs across it that are nearly as far (by the tenth distance)."""
     e = "r.score - r.exact"
-    return f"""SELECT r.query_id, r.model, round(avg(abs({e})), 9) AS mae, round(percentile_cont(0.5) WITHIN GROUP (ORDER BY abs({e})), 9) AS median_error, round(percentile_cont(0.95) WITHIN GROUP (ORDER BY abs({e})), 9) AS p95_error,
-      round(avg(CASE WHEN er BETWEEN {K - 5} AND {K + 5} THEN abs({e}) END), 9) AS window_mae, round(max(CASE WHEN er BETWEEN {K - 5} AND {K + 5} THEN abs({e}) END), 9) AS window_max,
-      round(max(CASE WHEN er = {K} THEN {e} END) - max(CASE WHEN er = {K + 1} THEN {e} END), 9) AS boundary_advantage,
-      max(CASE WHEN er = {K} THEN r.score END) > max(CASE WHEN er = {K + 1} THEN r.score END) AS overtaken,
-      CASE WHEN max(d11 - d10) > 1e-12 THEN round(avg(abs({e})) / max(d11 - d10), 9) END AS error_per_margin,
-      round(avg(CASE WHEN r.exact > 1e-12 THEN abs({e}) / r.exact END), 9) AS relative_mae, CAST(sum(CASE WHEN r.exact > 1e-12 THEN 0 ELSE 1 END) AS BIGINT) AS omitted,
-      CAST(sum(CASE WHEN r.er > {K} AND r.exact <= d10 * 1.01E0 THEN 1 ELSE 0 END) AS BIGINT) AS within_1, CAST(sum(CASE WHEN r.er > {K} AND r.exact <= d10 * 1.05E0 THEN 1 ELSE 0 END) AS BIGINT) AS within_5,
-      CAST(sum(CASE WHEN r.er > {K} AND r.exact <= d10 * 1.1E0 THEN 1 ELSE 0 END) AS BIGINT) AS within_10
-      FROM pl_ranked r JOIN pl_perq p ON r.query_id = p.query_id AND r.model = p.model GROUP BY r.query_id, r.model"""
-
-
-@plan("H7 C3 T8", "inversions", "perq", "ranked")
+    near = lambda f: f"CAST(sum(CASE WHEN (b.exact - a.exact) / greatest(q.d10, 1e-12) <= {f} THEN 1 ELSE 0 END) AS BIGINT)"
+    return f"""SELECT x.query_id, x.model, round(m.mae, 9) AS mae, median_error, p95_error, round(m.window_mae, 9) AS window_mae, round(m.window_max, 9) AS window_max, boundary_advantage, overtaken,
+      CASE WHEN margin > 0 THEN round(m.window_mae / margin, 9) END AS error_per_margin, round(m.relative_mae, 9) AS relative_mae, m.omitted, within_1, within_5, within_10, cross_pairs FROM (
+      SELECT r.query_id, r.model, round(percentile_cont(0.5) WITHIN GROUP (ORDER BY abs({e})), 9) AS median_error, round(percentile_cont(0.95) WITHIN GROUP (ORDER BY abs({e})), 9) AS p95_error, max(p.d11 - p.d10) AS margin,
+        round(max(CASE WHEN er = {K} THEN {e} END) - max(CASE WHEN er = {K + 1} THEN {e} END), 9) AS boundary_advantage, max(CASE WHEN er = {K} THEN r.score END) > max(CASE WHEN er = {K + 1} THEN r.score END) AS overtaken
+      FROM pl_ranked r JOIN pl_perq p ON r.query_id = p.query_id AND r.model = p.model GROUP BY r.query_id, r.model) x
+      JOIN pl_metrics m ON x.query_id = m.query_id AND x.model = m.model
+      JOIN (SELECT a.query_id, a.model, {near('0.01E0')} AS within_1, {near('0.05E0')} AS within_5, {near('0.1E0')} AS within_10, CAST(count(*) AS BIGINT) AS cross_pairs FROM (SELECT * FROM pl_ranked WHERE er <= {K}) a JOIN (SELECT * FROM pl_ranked WHERE er > {K}) b
+        ON a.query_id = b.query_id AND a.model = b.model JOIN pl_perq q ON a.query_id = q.query_id AND a.model = q.model GROUP BY a.query_id, a.model) c ON x.query_id = c.query_id AND x.model = c.model"""
+
+
+@plan("H7 C3 T8", "inversions", "ranked", "metrics")
 def boundary_inversions(d):
-    return f"""SELECT p.query_id, p.model, CAST(count(i.inside_id) AS BIGINT) AS inversions, round(count(i.inside_id) / ({K}.0E0 * (max(p.n) - {K})), 9) AS fraction, CAST(count(DISTINCT i.inside_id) AS BIGINT) AS overtaken_items,
-      CAST(coalesce(max(i.overtakers), 0) AS BIGINT) AS max_overtakers, round(max(i.violation), 9) AS max_violation, CAST(coalesce(max(t.ties), 0) AS BIGINT) AS exact_ties
-      FROM pl_perq p LEFT JOIN (SELECT a.query_id, a.model, count(*) AS ties FROM (SELECT * FROM pl_ranked WHERE er <= {K}) a JOIN (SELECT * FROM pl_ranked WHERE er > {K}) b ON a.query_id = b.query_id AND a.model = b.model AND a.exact = b.exact GROUP BY a.query_id, a.model) t ON p.query_id = t.query_id AND p.model = t.model
-      LEFT JOIN (SELECT *, count(*) OVER (PARTITION BY query_id, model, inside_id) AS overtakers FROM pl_inversions) i ON p.query_id = i.query_id AND p.model = i.model GROUP BY p.query_id, p.model"""
+    return f"""SELECT p.query_id, p.model, p.inversions, round(p.fraction, 9) AS fraction, CAST(coalesce(i.items, 0) AS BIGINT) AS overtaken_items, CAST(coalesce(i.overtakers, 0) AS BIGINT) AS max_overtakers, round(p.max_violation, 9) AS max_violation, CAST(coalesce(t.ties, 0) AS BIGINT) AS exact_ties
+      FROM pl_metrics p LEFT JOIN (SELECT a.query_id, a.model, count(*) AS ties FROM (SELECT * FROM pl_ranked WHERE er <= {K}) a JOIN (SELECT * FROM pl_ranked WHERE er > {K}) b ON a.query_id = b.query_id AND a.model = b.model AND a.exact = b.exact GROUP BY a.query_id, a.model) t ON p.query_id = t.query_id AND p.model = t.model
+      LEFT JOIN (SELECT query_id, model, count(*) AS items, max(n) AS overtakers FROM (SELECT query_id, model, inside_id, count(*) AS n FROM pl_inversions GROUP BY query_id, model, inside_id) AS o_ GROUP BY query_id, model) i ON p.query_id = i.query_id AND p.model = i.model"""
 
 
 @plan("H8", "ranked")
@@ -41,37 +41,41 @@ def replacement_pairs(d):
       FROM (SELECT * FROM pl_ranked WHERE er <= {K} AND sr > {K}) a JOIN (SELECT * FROM pl_ranked WHERE er > {K} AND sr <= {K}) b ON a.query_id = b.query_id AND a.model = b.model"""
 
 
-@plan("H9", "scored")
+@plan("H9", "random_pairs")
 def random_pair_inversions(d):
-    """512 different pairs of pool places a query, those with the least hash of query and places."""
-    order = d.hash_order("'9'", "query_id", "i", "j")
-    pairs = f"""SELECT query_id, i, j FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY {order}) AS r FROM (SELECT query_id FROM pl_scored GROUP BY query_id) AS q_
-      CROSS JOIN {d.series(0, POOL - 1, 'i')} AS i_ CROSS JOIN {d.series(0, POOL - 1, 'j')} AS j_ WHERE i < j) AS p_ WHERE r <= 512"""
-    return f"""SELECT a.query_id, a.model, CAST(sum(CASE WHEN (a.exact - b.exact) * (a.score - b.score) < 0 THEN 1 ELSE 0 END) AS BIGINT) AS inverted, CAST(sum(CASE WHEN a.exact = b.exact OR a.score = b.score THEN 1 ELSE 0 END) AS BIGINT) AS ties, CAST(count(*) AS BIGINT) AS pairs
-      FROM ({pairs}) AS x_ JOIN pl_scored a ON x_.query_id = a.query_id AND x_.i = a.pos JOIN pl_scored b ON a.query_id = b.query_id AND a.model = b.model AND x_.j = b.pos GROUP BY a.query_id, a.model"""
+    return "SELECT query_id, model, inverted, ties, pairs FROM pl_random_pairs"
 
 
-@plan("H10", "inversions")
+@plan("H10", "inversions", "metrics")
 def intruder_overtakes(d):
-    return f"SELECT query_id, model, CAST(count(*) AS BIGINT) AS overtakes, CAST(count(DISTINCT outside_id) AS BIGINT) AS intruders FROM pl_inversions WHERE outside_score_rank <= {K} GROUP BY query_id, model"
+    """Selected intruders that overtake members of the exact top: in all, and the most over one member."""
+    return f"""SELECT m.query_id, m.model, CAST(coalesce(overtakes, 0) AS BIGINT) AS overtakes, CAST(coalesce(most, 0) AS BIGINT) AS most_over_one FROM pl_metrics m LEFT JOIN (
+      SELECT query_id, model, sum(n) AS overtakes, max(n) AS most FROM (SELECT query_id, model, inside_id, count(*) AS n FROM pl_inversions WHERE outside_score_rank <= {K} GROUP BY query_id, model, inside_id) AS x_ GROUP BY query_id, model) o ON m.query_id = o.query_id AND m.model = o.model"""
 
 
-@plan("H12 H14", "perq")
+@plan("H12 H14", "perq", "metrics")
 def precision_transition(d):
-    c, f = "c.loss_hits", "f.loss_hits"
-    return f"""SELECT c.query_id, {c} AS coarse_loss, {f} AS fine_loss, {c} - {f} AS delta_loss, {c} > {f} AS improved, {c} < {f} AS regressed, {c} > 0 AND {f} > 0 AS persistent, {c} > 0 AND {f} = 0 AS rescued,
-      {c} <= 0 AND {f} > 0 AS newly_harmful, {c} = {f} AS unchanged, c.class <> f.class AS class_changed, round(c.mae - f.mae, 9) AS delta_mae, c.agreement - f.agreement AS delta_agreement
-      FROM (SELECT * FROM pl_perq WHERE model = 'coarse') c JOIN (SELECT * FROM pl_perq WHERE model = 'fine') f ON c.query_id = f.query_id"""
+    """From the coarse to the fine model: seven flags, which overlap, and differences of eight measures and of the loss."""
+    a, b = "c.loss_hits", "f.loss_hits"
+    flags = {"stable_both": f"{a} = 0 AND {b} = 0", "rescued_improved": f"{a} > {b}", "persistent_harmful": f"{a} > 0 AND {b} > 0", "regressed": f"{b} > {a}", "fully_rescued": f"{a} > 0 AND {b} = 0", "partially_improved_persistent": f"{a} > {b} AND {b} > 0", "unchanged_harmful": f"{a} = {b} AND {a} > 0"}
+    measures = ("inversions", "fraction", "mae", "relative_mae", "random_rate", "window_mae", "max_violation", "displaced")
+    return f"""SELECT c.query_id, {a} AS coarse_loss, {b} AS fine_loss, {a} - {b} AS delta_loss, {', '.join(f'{x} AS {n}' for n, x in flags.items())}, {', '.join(f'round(x.{m} - y.{m}, 9) AS delta_{m}' for m in measures)}
+      FROM (SELECT * FROM pl_perq WHERE model = 'coarse') c JOIN (SELECT * FROM pl_perq WHERE model = 'fine') f ON c.query_id = f.query_id
+      JOIN (SELECT * FROM pl_metrics WHERE model = 'coarse') x ON c.query_id = x.query_id JOIN (SELECT * FROM pl_metrics WHERE model = 'fine') y ON c.query_id = y.query_id"""
 
 
-@plan("H13", "inversions")
+@plan("H13", "inversions", "perq", "metrics")
 def inversion_transition(d):
-    """Pairs inverted under the coarse model, the fine one, or both (a full outer join)."""
-    return f"""SELECT query_id, state, CAST(count(*) AS BIGINT) AS pairs, round(avg(margin), 9) AS mean_margin, CAST(sum(CASE WHEN inside_rank >= {K - 1} AND outside_rank <= {K + 2} THEN 1 ELSE 0 END) AS BIGINT) AS near_boundary FROM (
-      SELECT coalesce(c.query_id, f.query_id) AS query_id, coalesce(c.margin, f.margin) AS margin, coalesce(c.inside_rank, f.inside_rank) AS inside_rank, coalesce(c.outside_rank, f.outside_rank) AS outside_rank,
-        CASE WHEN f.query_id IS NULL THEN 'corrected' WHEN c.query_id IS NULL THEN 'new' ELSE 'persistent' END AS state
-      FROM (SELECT * FROM pl_inversions WHERE model = 'coarse') c FULL OUTER JOIN (SELECT * FROM pl_inversions WHERE model = 'fine') f ON c.query_id = f.query_id AND c.inside_id = f.inside_id AND c.outside_id = f.outside_id) AS x_
-      GROUP BY query_id, state"""
+    """Pairs inverted under the coarse model, the fine one, or both (a full outer join), by their margin as a share of the tenth distance and their ranks; the counts of each model's inversions must add up."""
+    n = lambda x: f"CAST(sum(CASE WHEN {x} THEN 1 ELSE 0 END) AS BIGINT)"
+    states = ", ".join(f"{n(f'state = {chr(39)}{s}{chr(39)} AND {x}')} AS {s}_{c}" for s in ("corrected", "persistent", "new") for c, x in {"pairs": "true", "small_margin": "rel <= 0.05E0", "large_margin": "rel > 0.1E0", "near_boundary": "inside_rank >= 5 AND outside_rank <= 20"}.items())
+    return f"""SELECT t.*, corrected_pairs + persistent_pairs = c.inversions AS coarse_adds_up, new_pairs + persistent_pairs = f.inversions AS fine_adds_up FROM (SELECT query_id, {states} FROM (
+      SELECT x_.*, margin / greatest(d10, 1e-12) AS rel FROM (
+        SELECT coalesce(c.query_id, f.query_id) AS query_id, coalesce(c.margin, f.margin) AS margin, coalesce(c.inside_rank, f.inside_rank) AS inside_rank, coalesce(c.outside_rank, f.outside_rank) AS outside_rank,
+          CASE WHEN f.query_id IS NULL THEN 'corrected' WHEN c.query_id IS NULL THEN 'new' ELSE 'persistent' END AS state
+        FROM (SELECT * FROM pl_inversions WHERE model = 'coarse') c FULL OUTER JOIN (SELECT * FROM pl_inversions WHERE model = 'fine') f ON c.query_id = f.query_id AND c.inside_id = f.inside_id AND c.outside_id = f.outside_id) AS x_
+      JOIN (SELECT query_id AS q, d10 FROM pl_perq WHERE model = 'coarse') p ON x_.query_id = p.q) AS y_ GROUP BY query_id) t
+      JOIN (SELECT * FROM pl_metrics WHERE model = 'coarse') c ON t.query_id = c.query_id JOIN (SELECT * FROM pl_metrics WHERE model = 'fine') f ON t.query_id = f.query_id"""
 
 
 @plan("H15", "perq15")
@@ -85,16 +89,20 @@ def residual_regions(d):
     """Residuals by exact rank, by region of ranks and by quartile of the exact distance in a pool."""
     region = f"CASE WHEN er <= 5 THEN 'top5' WHEN er <= {K} THEN 'top10' WHEN er <= 20 THEN 'boundary' WHEN er <= 64 THEN 'middle' ELSE 'tail' END"
     text = "STRING" if d.spark else "VARCHAR"
-    return f"""SELECT model, kind, region, CAST(count(*) AS BIGINT) AS n, round(avg(e), 9) AS mean_residual, round(avg(abs(e)), 9) AS mae, round(stddev_samp(e), 9) AS sd FROM (
+    q = lambda p: f"round(percentile_cont({p}) WITHIN GROUP (ORDER BY abs(e)), 9)"
+    return f"""SELECT model, kind, region, CAST(count(*) AS BIGINT) AS n, round(avg(e), 9) AS mean_residual, round(avg(abs(e)), 9) AS mae, round(stddev_pop(e), 9) AS sd, round(var_pop(e), 9) AS variance, {q(0.5)} AS abs_p50, {q(0.9)} AS abs_p90, {q(0.95)} AS abs_p95 FROM (
       SELECT model, score - exact AS e, 'region' AS kind, {region} AS region FROM pl_ranked UNION ALL SELECT model, score - exact, 'rank', CAST(er AS {text}) FROM pl_ranked
       UNION ALL SELECT model, score - exact, 'distance', concat('q', CAST(ntile(4) OVER (PARTITION BY query_id, model ORDER BY er) AS {text})) FROM pl_ranked) AS x_ GROUP BY model, kind, region"""
 
 
 @plan("H16", "perq", "ranked")
 def score_observables(d):
-    return f"""SELECT p.query_id, p.model, round(s11 - s10, 9) AS g10_11, round(s12 - s9, 9) AS g9_12, CASE WHEN s10 > 1e-12 THEN round((s11 - s10) / s10, 9) END AS rel10_11, w1, w2, w5 FROM pl_perq p JOIN (
-      SELECT r.query_id, r.model, CAST(sum(CASE WHEN score <= q.s10 * 1.01E0 THEN 1 ELSE 0 END) AS BIGINT) AS w1, CAST(sum(CASE WHEN score <= q.s10 * 1.02E0 THEN 1 ELSE 0 END) AS BIGINT) AS w2, CAST(sum(CASE WHEN score <= q.s10 * 1.05E0 THEN 1 ELSE 0 END) AS BIGINT) AS w5
-      FROM pl_ranked r JOIN pl_perq q ON r.query_id = q.query_id AND r.model = q.model GROUP BY r.query_id, r.model) w ON p.query_id = w.query_id AND p.model = w.model"""
+    """Gaps between scores about the tenth, as they are and by its size, and candidates within 1, 2, 5 % of it on either side."""
+    scale = "greatest(abs(s10), 1e-12)"
+    near = lambda f: f"CAST(sum(CASE WHEN abs(r.score - q.s10) <= {f} * greatest(abs(q.s10), 1e-12) THEN 1 ELSE 0 END) AS BIGINT)"
+    return f"""SELECT p.query_id, p.model, round(s11 - s10, 9) AS g10_11, round(s12 - s9, 9) AS g9_12, round((s11 - s10) / {scale}, 9) AS relative_g10_11, round((s12 - s9) / {scale}, 9) AS relative_g9_12, w1, w2, w5 FROM pl_perq p JOIN (
+      SELECT r.query_id, r.model, {near('0.01E0')} AS w1, {near('0.02E0')} AS w2, {near('0.05E0')} AS w5
+      FROM pl_ranked r JOIN pl_perq q ON r.query_id = q.query_id AND r.model = q.model GROUP BY r.query_id, r.model) w ON p.query_id = w.query_id AND p.model = w.model WHERE p.n >= 12"""
 
 
 @plan("H18", "ranked")
@@ -111,11 +119,10 @@ def group_statistics(d):
       round(min(mae), 9) AS least, round(max(mae), 9) AS most FROM pl_perq GROUP BY model, class"""
 
 
-@plan("I3 J3", "loss")
+@plan("I3 J3", "loss_down")
 def loss_concentration(d):
     """The least share of queries with a loss that hold 50, 80, 90 % of it."""
-    return f"""WITH p AS (SELECT r_ AS r, n_ AS n, upto_ AS upto FROM {d.ranked('(SELECT * FROM pl_loss WHERE loss > 0)', '-loss', 'query_id', 'loss')} AS l_), t AS (SELECT max(upto) AS total FROM p)
-      SELECT target, CAST(min(r) AS BIGINT) AS queries, round(min(r) / CAST(max(n) AS DOUBLE), 9) AS share FROM p CROSS JOIN t CROSS JOIN (SELECT 0.5E0 AS target UNION ALL SELECT 0.8E0 UNION ALL SELECT 0.9E0) AS t_ WHERE upto / CAST(total AS DOUBLE) >= target - 1e-12 GROUP BY target"""
+    return """SELECT target, CAST(min(r_) AS BIGINT) AS queries, round(min(r_) / CAST(max(n_) AS DOUBLE), 9) AS share FROM pl_loss_down CROSS JOIN (SELECT 0.5E0 AS target UNION ALL SELECT 0.8E0 UNION ALL SELECT 0.9E0) AS t_ WHERE upto_ / CAST(sum_ AS DOUBLE) >= target - 1e-12 GROUP BY target"""
 
 
 @plan("I4 I5 I12", "perq5")
@@ -155,12 +162,12 @@ def harmful_grid(d):
       SELECT g.models, g.subsets, CAST(count(q.query_id) AS BIGINT) AS n FROM (SELECT models, subsets FROM {d.series(0, 9, 'models')} AS m_ CROSS JOIN {d.series(0, 3, 'subsets')} AS u_) AS g LEFT JOIN q ON g.models = q.models AND g.subsets = q.subsets GROUP BY g.models, g.subsets"""
 
 
-@plan("I11 J2 T15", "loss")
+@plan("I11 J2 T15", "by_loss", "by_margin", "by_mae")
 def rank_correlation(d):
     """Pearson and Spearman (average ranks) of loss with margin and error."""
-    rank = lambda c: f"(SELECT query_id, avg(r_) OVER (PARTITION BY key_) AS r FROM {d.ranked('pl_loss', f'round({c}, 12)', 'query_id')} AS s_)"
-    return f"""SELECT round(corr(CAST(loss AS DOUBLE), margin), 9) AS pearson_margin, round(corr(a.r, b.r), 9) AS spearman_margin, round(corr(CAST(loss AS DOUBLE), mae), 9) AS pearson_error, round(corr(a.r, c.r), 9) AS spearman_error
-      FROM pl_loss l JOIN {rank('loss')} AS a ON l.query_id = a.query_id JOIN {rank('margin')} AS b ON l.query_id = b.query_id JOIN {rank('mae')} AS c ON l.query_id = c.query_id"""
+    rank = lambda t: f"({t}.first_ + {t}.last_) / 2.0E0"
+    return f"""SELECT round(corr(CAST(a.loss AS DOUBLE), a.margin), 9) AS pearson_margin, round(corr({rank('a')}, {rank('b')}), 9) AS spearman_margin, round(corr(CAST(a.loss AS DOUBLE), a.mae), 9) AS pearson_error, round(corr({rank('a')}, {rank('c')}), 9) AS spearman_error
+      FROM pl_by_loss a JOIN pl_by_margin b ON a.query_id = b.query_id JOIN pl_by_mae c ON a.query_id = c.query_id"""
 
 
 @plan("I13", "loss")
@@ -180,9 +187,9 @@ def adjacent_gaps(d):
       FROM (SELECT *, lead(exact) OVER (PARTITION BY query_id, model ORDER BY er) AS nxt FROM pl_ranked) AS x_ WHERE er <= 20 GROUP BY query_id, model"""
 
 
-@plan("J3", "loss")
+@plan("J3", "by_margin")
 def margin_ecdf(d):
-    return f"SELECT query_id, round(max(r_) OVER (PARTITION BY key_) / CAST(n_ AS DOUBLE), 9) AS share, round(upto_, 9) AS upto FROM {d.ranked('pl_loss', 'margin', 'query_id', 'CAST(loss AS DOUBLE)')} AS m_"
+    return "SELECT query_id, round(last_ / CAST(n_ AS DOUBLE), 9) AS share, CAST(upto_ AS BIGINT) AS upto FROM pl_by_margin"
 
 
 @plan("J5 T13", "loss")
@@ -194,12 +201,12 @@ def margin_bins(d):
         FROM pl_loss CROSS JOIN (SELECT {edge(0.25)} AS q1, {edge(0.5)} AS q2, {edge(0.75)} AS q3) AS e_) AS x_ GROUP BY 1"""
 
 
-@plan("J6 T14", "loss")
+@plan("J6 T14", "by_margin")
 def equal_count_groups(d):
     """Five groups of equal count by margin; the first ones are larger by one where that can't be."""
     small, extra = "floor(n_ / 5)", "n_ % 5"
     group = f"CASE WHEN r_ <= ({extra}) * ({small} + 1) THEN ceil(r_ / ({small} + 1)) ELSE {extra} + ceil((r_ - ({extra}) * ({small} + 1)) / greatest({small}, 1)) END"
-    return f"SELECT CAST(g AS BIGINT) AS quintile, CAST(count(*) AS BIGINT) AS n, round(avg(CAST(loss AS DOUBLE)), 9) AS mean_loss, round(max(margin), 9) AS upper FROM (SELECT loss, margin, {group} AS g FROM {d.ranked('pl_loss', 'margin', 'query_id')} AS m_) AS x_ GROUP BY g"
+    return f"SELECT CAST(g AS BIGINT) AS quintile, CAST(count(*) AS BIGINT) AS n, round(avg(CAST(loss AS DOUBLE)), 9) AS mean_loss, round(max(margin), 9) AS upper FROM (SELECT loss, margin, {group} AS g FROM pl_by_margin) AS x_ GROUP BY g"
 
 
 @plan("J7", "loss")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.ranks import placed
 from ..functions.storage import materialize
 from ..operators import graph, knn, quantizers
 from .core import relation
@@ -247,6 +248,67 @@ def loss(d):
     return "SELECT query_id, loss_hits AS loss, d11 - d10 AS margin, mae, class FROM pl_perq WHERE model = 'coarse'"
 
 
+def _placed(name: str, source: str, key: str, ties: tuple[str, ...] = ("query_id",), group: tuple[str, ...] = (), weight: str | None = None, where: str = "true") -> None:
+    """Rows of ``source`` with ``key_`` and their places: in Spark by ranges, in DuckDB by windows over all."""
+
+    def build(spark, sf_dir, rel):
+        return placed(rel(source).filter(where).withColumn("key_", F.expr(key)), ["key_"], ties, group, weight)
+
+    @relation(name, source, build=build, keep=True)
+    def body(d):
+        part = f"PARTITION BY {', '.join(group)}" if group else ""
+        order = f"{part} ORDER BY key_ NULLS LAST"
+        sums = f", sum({weight}) OVER ({order}, {', '.join(ties)} ROWS UNBOUNDED PRECEDING) AS upto_, sum({weight}) OVER ({part}) AS sum_" if weight else ""
+        return f"""SELECT *, row_number() OVER ({order}, {', '.join(ties)}) AS r_, rank() OVER ({order}) AS first_, rank() OVER ({order}) + count(*) OVER (PARTITION BY {', '.join([*group, 'key_'])}) - 1 AS last_, count(*) OVER ({part}) AS n_{sums}
+          FROM (SELECT *, {key} AS key_ FROM pl_{source} WHERE {where}) AS s_"""
+
+
+_placed("loss_down", "loss", "-loss", weight="loss", where="loss > 0")
+_placed("by_loss", "loss", "loss")
+_placed("by_margin", "loss", "round(margin, 12)", weight="loss")
+_placed("by_mae", "loss", "round(mae, 12)")
+_placed("severity", "perq", "-loss_hits", group=("model",))
+
+
+@relation("geometry", "perq5")
+def geometry(d):
+    """Features of a query's exact distances, and its mean loss under five models; a row a feature."""
+    rows = " UNION ALL ".join(f"SELECT query_id, '{n}' AS feature, round({e}, 12) AS x, y FROM q" for n, e in {"margin": "margin", "d1": "d1", "spread": "spread"}.items())
+    return f"WITH q AS (SELECT query_id, round(avg(CAST(loss_hits AS DOUBLE)), 12) AS y, max(d11 - d10) AS margin, max(d1) AS d1, max(d20 - d1) AS spread FROM pl_perq5 GROUP BY query_id) {rows}"
+
+
+_placed("geometry_x", "geometry", "x", group=("feature",))
+_placed("geometry_y", "geometry", "y", group=("feature",))
+_placed("harm", "perq5", "loss_hits", group=("model",))
+
+
+@relation("random_pairs", "scored", keep=True)
+def random_pairs(d):
+    """512 different pairs of pool places a query: the k-th is a bijection of k keyed by the query, so none is drawn, sorted or looked up."""
+    pairs = POOL * (POOL - 1) // 2
+    odd = [p for p in range(2, pairs) if pairs % p == 0 and all(p % q for q in range(2, p))]  # factors that the step must not have
+    step = f"(2 * {d.hash_int(chr(39) + '9' + chr(39), 'query_id')} + 1)"
+    fit = " + ".join(f"CASE WHEN {step} % {p} = 0 THEN 2 ELSE 0 END" for p in odd if p > 2) or "0"
+    at = f"CAST(floor((1 + sqrt(1 + 8E0 * t)) / 2) AS BIGINT)"  # noqa: F541
+    return f"""WITH q AS (SELECT query_id, {step} + {fit} AS a, {d.hash_int(chr(39) + '10' + chr(39), 'query_id')} AS b FROM (SELECT query_id FROM pl_scored GROUP BY query_id) AS q_),
+      t AS (SELECT query_id, (a % {pairs} * k + b) % {pairs} AS t FROM q CROSS JOIN {d.series(0, 511, 'k')} AS k_), p AS (SELECT query_id, {at} AS j, t - {at} * ({at} - 1) / 2 AS i FROM t)
+      SELECT a.query_id, a.model, CAST(sum(CASE WHEN (a.exact - b.exact) * (a.score - b.score) < 0 THEN 1 ELSE 0 END) AS BIGINT) AS inverted, CAST(sum(CASE WHEN a.exact = b.exact OR a.score = b.score THEN 1 ELSE 0 END) AS BIGINT) AS ties, CAST(count(*) AS BIGINT) AS pairs
+      FROM p JOIN pl_scored a ON p.query_id = a.query_id AND p.i = a.pos JOIN pl_scored b ON a.query_id = b.query_id AND a.model = b.model AND p.j = b.pos GROUP BY a.query_id, a.model"""
+
+
+@relation("metrics", "ranked", "inversions", "random_pairs", keep=True)
+def metrics(d):
+    """Errors and inversions of a query under a model. The largest violation is over all pairs across the boundary, so it can be negative."""
+    e = "abs(score - exact)"
+    window = f"er BETWEEN {K - 5} AND {K + 5}"
+    return f"""SELECT m.*, coalesce(i.inversions, 0) AS inversions, coalesce(i.inversions, 0) / ({K}.0E0 * (n - {K})) AS fraction, r.inverted / CAST(r.pairs AS DOUBLE) AS random_rate FROM (
+      SELECT query_id, model, count(*) AS n, avg({e}) AS mae, avg(CASE WHEN exact > 1e-12 THEN {e} / exact END) AS relative_mae, CAST(sum(CASE WHEN exact > 1e-12 THEN 0 ELSE 1 END) AS BIGINT) AS omitted,
+        avg(CASE WHEN {window} THEN {e} END) AS window_mae, max(CASE WHEN {window} THEN {e} END) AS window_max, max(CASE WHEN er <= {K} THEN score END) - min(CASE WHEN er > {K} THEN score END) AS max_violation,
+        CAST(sum(CASE WHEN er <= {K} AND sr > {K} THEN 1 ELSE 0 END) AS BIGINT) AS displaced FROM pl_ranked GROUP BY query_id, model) AS m
+      LEFT JOIN (SELECT query_id, model, CAST(count(*) AS BIGINT) AS inversions FROM pl_inversions GROUP BY query_id, model) i ON m.query_id = i.query_id AND m.model = i.model
+      LEFT JOIN pl_random_pairs r ON m.query_id = r.query_id AND m.model = r.model"""
+
+
 @relation("gaps", "perq")
 def gaps(d):
     return "SELECT query_id, CASE WHEN n < 12 THEN CAST('Infinity' AS DOUBLE) ELSE s12 - s9 END AS gap FROM pl_perq WHERE model = 'coarse'"
@@ -283,20 +345,28 @@ DRAWS = 50
 @relation("nulls", "ranked", keep=True)
 def nulls(d):
     """Hits lost when residuals are permuted within bins of exact rank, by hash order."""
-    rows = "(SELECT *, count(*) OVER (PARTITION BY query_id) AS of_ FROM pl_ranked WHERE model = 'coarse')"
+    rows = "(SELECT *, count(*) OVER (PARTITION BY query_id, model) AS of_ FROM pl_ranked)"
     cuts = {n: " + ".join(f"CASE WHEN er > {e} THEN 1 ELSE 0 END" for e in edges) or "0" for n, edges in EDGES.items()}
     # four bins of equal count, the first ones larger by one where that can't be
     small, extra = "floor(of_ / 4)", "of_ % 4"
     cuts["N_distance"] = f"CASE WHEN er <= ({extra}) * ({small} + 1) THEN floor((er - 1) / ({small} + 1)) ELSE {extra} + floor((er - 1 - ({extra}) * ({small} + 1)) / greatest({small}, 1)) END"
     bins = " UNION ALL ".join(f"SELECT *, '{n}' AS condition, CAST({cut} AS BIGINT) AS bin FROM {rows} AS c{n}" for n, cut in cuts.items())
-    part = "PARTITION BY query_id, condition, draw, bin ORDER BY"
+    part = "PARTITION BY query_id, model, condition, draw, bin ORDER BY"
     return f"""WITH b AS ({bins}), x AS (SELECT b.*, draw FROM b CROSS JOIN {d.series(0, DRAWS - 1, 'draw')} AS d_),
       k AS (SELECT *, row_number() OVER ({part} er) AS place, row_number() OVER ({part} {d.hash_order("'7'", 'draw', 'query_id', 'base_id')}) AS drawn FROM x),
-      p AS (SELECT a.query_id, a.condition, a.draw, a.pos, a.er, a.in_gt, a.exact, a.exact + (r.score - r.exact) AS score FROM k a JOIN k r
-        ON a.query_id = r.query_id AND a.condition = r.condition AND a.draw = r.draw AND a.bin = r.bin AND a.place = r.drawn),
-      s AS (SELECT *, row_number() OVER (PARTITION BY query_id, condition, draw ORDER BY score, pos) AS sr FROM p)
-      SELECT query_id, condition, draw, CAST(sum(CASE WHEN er <= {K} THEN in_gt ELSE 0 END) - sum(CASE WHEN sr <= {K} THEN in_gt ELSE 0 END) AS BIGINT) AS loss_hits,
-        CAST(sum(CASE WHEN er <= {K} AND sr > {K} THEN 1 ELSE 0 END) AS BIGINT) AS displaced FROM s GROUP BY query_id, condition, draw"""
+      p AS (SELECT a.query_id, a.model, a.condition, a.draw, a.pos, a.er, a.in_gt, a.exact, a.exact + (r.score - r.exact) AS score FROM k a JOIN k r
+        ON a.query_id = r.query_id AND a.model = r.model AND a.condition = r.condition AND a.draw = r.draw AND a.bin = r.bin AND a.place = r.drawn),
+      s AS (SELECT *, row_number() OVER (PARTITION BY query_id, model, condition, draw ORDER BY score, pos) AS sr FROM p)
+      SELECT query_id, model, condition, draw, CAST(sum(CASE WHEN er <= {K} THEN in_gt ELSE 0 END) - sum(CASE WHEN sr <= {K} THEN in_gt ELSE 0 END) AS BIGINT) AS loss_hits,
+        CAST(sum(CASE WHEN er <= {K} AND sr > {K} THEN 1 ELSE 0 END) AS BIGINT) AS displaced FROM s GROUP BY query_id, model, condition, draw"""
+
+
+@relation("shuffled", "ranked", keep=True)
+def shuffled(d):
+    """The residuals that the unconditioned draws give the coarse model's candidates."""
+    return f"""WITH k AS (SELECT r.query_id, base_id, er, score - exact AS e, draw, row_number() OVER (PARTITION BY query_id, draw ORDER BY {d.hash_order("'7'", 'draw', 'query_id', 'base_id')}) AS drawn
+        FROM pl_ranked r CROSS JOIN {d.series(0, DRAWS - 1, 'draw')} AS d_ WHERE model = 'coarse')
+      SELECT a.query_id, a.draw, a.base_id, r.e FROM k a JOIN k r ON a.query_id = r.query_id AND a.draw = r.draw AND a.er = r.drawn"""
 
 
 @relation("edges", "base", build=lambda spark, sf_dir, rel: _knn_graph(rel), keep=True)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.ranks import placed
 from ..operators import knn
 from .core import SPARK, plan
 from .relations import CODES, DIMS, K, PARTS, POOL, SWEEP, WALK
@@ -44,11 +45,20 @@ def cosine_identity(d):
 
 @plan("B6 A4", "vectors")
 def normalized(d):
+    """Vectors divided by their norm once and stored as FLOAT; zero vectors and those with a component that isn't finite are rejected."""
     n = f"sqrt({d.dot('e', 'e')})"
-    return f"SELECT vec_id, round(n, 9) AS norm, round({d.at('e', 1)} / n, 9) AS first, round({d.at('e', DIMS)} / n, 9) AS last FROM (SELECT vec_id, e, {n} AS n FROM pl_vectors) AS x_ WHERE n > 0"
+    unit = lambda k: f"CASE WHEN fit THEN round(CAST(CAST({d.at('e', k)} / n AS FLOAT) AS DOUBLE), 9) END"
+    return f"SELECT vec_id, fit AS stored, CASE WHEN fit THEN round(n, 9) END AS norm, {unit(1)} AS first, {unit(DIMS)} AS last FROM (SELECT vec_id, e, n, n > 0 AND n < CAST('Infinity' AS DOUBLE) AS fit FROM (SELECT vec_id, e, {n} AS n FROM pl_vectors) AS y_) AS x_"
 
 
-@plan("B7 B9 B10", "vectors")
+def _role_split(rel):
+    """A seeded order of all vectors, by ranges of hashes."""
+    keyed = rel["vectors"].select("vec_id", F.md5(F.concat_ws(":", F.lit("42"), F.col("vec_id").cast("string"))).alias("key"))
+    role = F.when(F.col("r_") <= F.floor(0.1 * F.col("n_")), "query").when(F.col("r_") <= F.floor(0.3 * F.col("n_")), "training").when(F.col("r_") <= F.floor(0.9 * F.col("n_")), "base").otherwise("held out")
+    return placed(keyed, ["key"], ["vec_id"]).select("vec_id", role.alias("role"), F.when(F.col("vec_id") % 8 == 0, 1).otherwise(0).alias("strided"))
+
+
+@plan("B7 B9 B10", "vectors", build=_role_split)
 def role_split(d):
     return f"""SELECT vec_id, CASE WHEN r <= floor(0.1E0 * n) THEN 'query' WHEN r <= floor(0.3E0 * n) THEN 'training' WHEN r <= floor(0.9E0 * n) THEN 'base' ELSE 'held out' END AS role,
       CASE WHEN vec_id % 8 = 0 THEN 1 ELSE 0 END AS strided FROM (
@@ -190,15 +200,15 @@ def bounded_retention(d):
     return f"SELECT query_id, model, {d.names('base_id', 'r')} AS kept, round(max(score), 9) AS worst FROM (SELECT *, row_number() OVER (PARTITION BY query_id, model ORDER BY score, pos) AS r FROM pl_scored) AS x_ WHERE r <= 16 GROUP BY query_id, model"
 
 
-@plan("E8 K14 I14", "loss")
+@plan("E8 K14 I14 T18", "severity")
 def severity_sets(d):
-    """The worst quarter by loss and by error, how they overlap, and what chance gives."""
-    return f"""WITH r AS (SELECT l.query_id, l.loss, l.mae, l.r_ AS rl, m.r_ AS rm, l.n_ AS n FROM {d.ranked('pl_loss', '-loss', 'query_id')} AS l JOIN {d.ranked('pl_loss', '-round(mae, 12)', 'query_id')} AS m ON l.query_id = m.query_id),
-      c AS (SELECT *, ceil(0.25E0 * n) AS k FROM r), t AS (SELECT min(loss) AS cut FROM c WHERE rl <= k)
-      SELECT CAST(max(k) AS BIGINT) AS size, CAST(sum(CASE WHEN rl <= k AND rm <= k THEN 1 ELSE 0 END) AS BIGINT) AS overlap, round(max(k) * max(k) / max(n), 9) AS expected,
-        round(sum(CASE WHEN rl <= k AND rm <= k THEN 1 ELSE 0 END) / CAST(sum(CASE WHEN rl <= k OR rm <= k THEN 1 ELSE 0 END) AS DOUBLE), 9) AS jaccard,
-        CAST(sum(CASE WHEN loss = cut THEN 1 ELSE 0 END) AS BIGINT) AS cutoff_ties,
-        round(sum(CASE WHEN loss >= cut AND rm <= k THEN 1 ELSE 0 END) / CAST(sum(CASE WHEN loss >= cut OR rm <= k THEN 1 ELSE 0 END) AS DOUBLE), 9) AS tie_inclusive_jaccard FROM c CROSS JOIN t"""
+    """The worst quarter by the losses of two models: how they overlap, what is expected where ties at the cut are broken independently, and the overlap with all ties let in."""
+    weight = "CASE WHEN last_ <= k THEN 1.0E0 WHEN first_ <= k THEN (k - first_ + 1) / CAST(last_ - first_ + 1 AS DOUBLE) ELSE 0.0E0 END"
+    side = lambda m: f"(SELECT query_id, loss_hits, r_ <= k AS chosen, {weight} AS w, first_ <= k AS let_in, first_ <= k AND last_ >= k AS at_cut, k FROM (SELECT *, ceil(0.25E0 * n_) AS k FROM pl_severity WHERE model = '{m}') AS s_)"
+    n = lambda x: f"sum(CASE WHEN {x} THEN 1 ELSE 0 END)"
+    return f"""SELECT CAST(max(a.k) AS BIGINT) AS size, round({n('a.chosen AND b.chosen')} / max(a.k), 9) AS overlap, round(sum(a.w * b.w) / max(a.k), 9) AS expected_overlap, round({n('a.let_in AND b.let_in')} / CAST({n('a.let_in OR b.let_in')} AS DOUBLE), 9) AS tie_inclusive_jaccard,
+      CAST(max(CASE WHEN a.at_cut THEN a.loss_hits END) AS BIGINT) AS cutoff_a, CAST(max(CASE WHEN b.at_cut THEN b.loss_hits END) AS BIGINT) AS cutoff_b, CAST({n('a.at_cut')} AS BIGINT) AS cutoff_ties_a, CAST({n('b.at_cut')} AS BIGINT) AS cutoff_ties_b
+      FROM {side('coarse')} a JOIN {side('fine')} b ON a.query_id = b.query_id"""
 
 
 @plan("E9 E11", "pool", "gt")

@@ -18,14 +18,16 @@ def inversion_union(d):
       SELECT query_id, inside_id, outside_id, CAST(count(*) AS BIGINT) AS n, {d.names('model', 'model')} AS mask FROM pl_inversions5 GROUP BY query_id, inside_id, outside_id) AS x_"""
 
 
-@plan("K3", "ranked5", "inversions5")
+@plan("K3", "ranked5", "inversions5", "perq5")
 def loss_attribution(d):
-    """A lost member of the truth is shared among the intruders that overtook it, by how often their pair recurs."""
+    """A lost member of the truth is shared among the chosen intruders that overtake it in this model, by how often their pair recurs; what none overtakes stays unassigned, and intruders that are true themselves are credited. The parts are the loss."""
     return f"""WITH f AS (SELECT query_id, inside_id, outside_id, count(*) AS freq FROM pl_inversions5 GROUP BY query_id, inside_id, outside_id),
-      lost AS (SELECT query_id, model, base_id FROM pl_ranked5 WHERE er <= {K} AND sr > {K} AND in_gt = 1), intr AS (SELECT query_id, model, base_id, in_gt FROM pl_ranked5 WHERE er > {K} AND sr <= {K}),
-      p AS (SELECT l.query_id, l.model, l.base_id AS lost_id, f.freq, count(f.freq) OVER (PARTITION BY l.query_id, l.model, l.base_id) AS n
-        FROM lost l JOIN intr i ON l.query_id = i.query_id AND l.model = i.model LEFT JOIN f ON f.query_id = l.query_id AND f.inside_id = l.base_id AND f.outside_id = i.base_id)
-      SELECT query_id, cls AS pair_class, round(sum(share), 9) AS loss FROM (SELECT query_id, CASE WHEN freq = 1 THEN 'one-off' WHEN freq = 2 THEN 'minority' WHEN freq = 5 THEN 'persistent' ELSE 'majority' END AS cls, 1.0E0 / n AS share FROM p WHERE freq IS NOT NULL) AS x_ GROUP BY query_id, cls"""
+      p AS (SELECT l.query_id, l.model, l.base_id, f.freq, count(i.outside_id) OVER (PARTITION BY l.query_id, l.model, l.base_id) AS n FROM (SELECT query_id, model, base_id FROM pl_ranked5 WHERE er <= {K} AND sr > {K} AND in_gt = 1) l
+        LEFT JOIN (SELECT * FROM pl_inversions5 WHERE outside_score_rank <= {K}) i ON l.query_id = i.query_id AND l.model = i.model AND l.base_id = i.inside_id LEFT JOIN f ON i.query_id = f.query_id AND i.inside_id = f.inside_id AND i.outside_id = f.outside_id),
+      c AS (SELECT query_id, model, CASE WHEN n = 0 THEN 'unassigned' WHEN freq = 1 THEN 'one-off' WHEN freq = 2 THEN 'minority' WHEN freq = 5 THEN 'persistent' ELSE 'majority' END AS pair_class, 1.0E0 / {K} / greatest(n, 1) AS x FROM p
+        UNION ALL SELECT query_id, model, 'intruder credit', -1.0E0 / {K} FROM pl_ranked5 WHERE er > {K} AND sr <= {K} AND in_gt = 1),
+      s AS (SELECT query_id, model, pair_class, sum(x) AS loss FROM c GROUP BY query_id, model, pair_class)
+      SELECT s.query_id, s.model, pair_class, round(s.loss, 9) AS loss, abs(sum(s.loss) OVER (PARTITION BY s.query_id, s.model) - q.loss_hits / {K}.0E0) <= 1e-10 AS adds_up FROM s JOIN pl_perq5 q ON s.query_id = q.query_id AND s.model = q.model"""
 
 
 @plan("K4 C8 K12", "perq5", "inversions5")
@@ -67,17 +69,23 @@ def subset_majority(d):
 
 @plan("K7", "inversions9")
 def grid_inversion_union(d):
-    return """SELECT query_id, CAST(n AS BIGINT) AS models, CAST(majorities AS BIGINT) AS majorities, CAST(count(*) AS BIGINT) AS pairs FROM (SELECT query_id, inside_id, outside_id, sum(h) AS n, sum(CASE WHEN h >= 2 THEN 1 ELSE 0 END) AS majorities FROM (
-      SELECT query_id, inside_id, outside_id, substring(model, 2, 1) AS subset, count(*) AS h FROM pl_inversions9 GROUP BY query_id, inside_id, outside_id, substring(model, 2, 1)) AS y_ GROUP BY query_id, inside_id, outside_id) AS x_ GROUP BY query_id, n, majorities"""
+    """Inverted pairs by the number of models, of subsets in which most starts invert them, and in which all do."""
+    return """SELECT query_id, CAST(n AS BIGINT) AS models, CAST(majorities AS BIGINT) AS majorities, CAST(all_starts AS BIGINT) AS all_starts, CAST(count(*) AS BIGINT) AS pairs FROM (
+      SELECT query_id, inside_id, outside_id, sum(h) AS n, sum(CASE WHEN h >= 2 THEN 1 ELSE 0 END) AS majorities, sum(CASE WHEN h = 3 THEN 1 ELSE 0 END) AS all_starts FROM (
+      SELECT query_id, inside_id, outside_id, substring(model, 2, 1) AS subset, count(*) AS h FROM pl_inversions9 GROUP BY query_id, inside_id, outside_id, substring(model, 2, 1)) AS y_ GROUP BY query_id, inside_id, outside_id) AS x_ GROUP BY query_id, n, majorities, all_starts"""
 
 
 @plan("K8", "perq15")
 def factorial_variance(d):
-    """Rotation and start as two factors: main effects and interaction add up."""
+    """Five rotations by three starts: within + between = total, and between + start + interaction = total; sample forms; in how many rotations most starts lose."""
     return """WITH x AS (SELECT query_id, substring(model, 2, 1) AS r, substring(model, 3, 1) AS i, CAST(loss_hits AS DOUBLE) AS y FROM pl_perq15),
-      m AS (SELECT *, avg(y) OVER (PARTITION BY query_id) AS g, avg(y) OVER (PARTITION BY query_id, r) AS mr, avg(y) OVER (PARTITION BY query_id, i) AS mi FROM x)
-      SELECT query_id, round(avg((mr - g) * (mr - g)), 9) AS rotation, round(avg((mi - g) * (mi - g)), 9) AS init, round(avg((y - mr - mi + g) * (y - mr - mi + g)), 9) AS interaction, round(avg((y - g) * (y - g)), 9) AS total,
-        abs(avg((mr - g) * (mr - g)) + avg((mi - g) * (mi - g)) + avg((y - mr - mi + g) * (y - mr - mi + g)) - avg((y - g) * (y - g))) <= 1e-9 AS adds_up FROM m GROUP BY query_id"""
+      m AS (SELECT *, avg(y) OVER (PARTITION BY query_id) AS g, avg(y) OVER (PARTITION BY query_id, r) AS mr, avg(y) OVER (PARTITION BY query_id, i) AS mi FROM x),
+      t AS (SELECT query_id, avg((mr - g) * (mr - g)) AS b, avg((mi - g) * (mi - g)) AS s, avg((y - mr - mi + g) * (y - mr - mi + g)) AS z, avg((y - g) * (y - g)) AS t, avg(y) AS mean FROM m GROUP BY query_id),
+      w AS (SELECT query_id, avg(v) AS w, avg(vs) AS ws, var_samp(mean) AS bs, CAST(sum(CASE WHEN h >= 2 THEN 1 ELSE 0 END) AS BIGINT) AS rotations, CAST(sum(h) AS BIGINT) AS models FROM (
+        SELECT query_id, r, var_pop(y) AS v, var_samp(y) AS vs, avg(y) AS mean, sum(CASE WHEN y > 0 THEN 1 ELSE 0 END) AS h FROM x GROUP BY query_id, r) AS y_ GROUP BY query_id)
+      SELECT t.query_id, round(mean, 9) AS mean_loss, round(w, 9) AS within, round(b, 9) AS rotation, round(s, 9) AS init, round(z, 9) AS interaction, round(t, 9) AS total, abs(w + b - t) <= 1e-9 AS nested_adds_up, abs(b + s + z - t) <= 1e-9 AS adds_up,
+        round(ws, 9) AS within_sample, round(bs, 9) AS rotation_sample, round(bs - ws / 3, 9) AS signed_contrast, rotations AS harmful_rotations, models AS harmful_models,
+        CASE WHEN rotations = 0 THEN 'rotation-robust' WHEN rotations <= 2 THEN 'occasionally vulnerable' WHEN rotations <= 4 THEN 'usually vulnerable' ELSE 'rotation-persistent' END AS category FROM t JOIN w ON t.query_id = w.query_id"""
 
 
 @plan("K9", "inversions15")
@@ -95,45 +103,94 @@ def pair_relations(d):
 
 @plan("K11", "perq15")
 def variance_accounting(d):
-    """Over queries and models: joint = between queries + mean within."""
-    return """SELECT round(max(j), 9) AS joint, round(var_pop(m), 9) AS between_queries, round(avg(v), 9) AS model_variance, abs(max(j) - var_pop(m) - avg(v)) <= 1e-9 AS adds_up FROM (
-      SELECT query_id, avg(y) AS m, var_pop(y) AS v, max(j) AS j FROM (SELECT query_id, CAST(loss_hits AS DOUBLE) AS y, var_pop(CAST(loss_hits AS DOUBLE)) OVER () AS j FROM pl_perq15) AS y_ GROUP BY query_id) AS x_"""
+    """Over queries and models: joint = between queries + mean within. The joint variance is of sums, so no row sees all others."""
+    return """WITH q AS (SELECT query_id, avg(y) AS m, var_pop(y) AS v FROM (SELECT query_id, CAST(loss_hits AS DOUBLE) AS y FROM pl_perq15) AS y_ GROUP BY query_id), j AS (SELECT var_pop(CAST(loss_hits AS DOUBLE)) AS j FROM pl_perq15)
+      SELECT round(max(j), 9) AS joint, round(var_pop(m), 9) AS between_queries, round(avg(v), 9) AS model_variance, abs(max(j) - var_pop(m) - avg(v)) <= 1e-9 AS adds_up FROM q CROSS JOIN j"""
 
 
-@plan("K13", "perq5")
+@plan("K13", "geometry_x", "geometry_y")
 def geometry_correlations(d):
-    rows = " UNION ALL ".join(f"SELECT '{n}' AS feature, {e} AS x, y FROM q" for n, e in {"margin": "margin", "d1": "d1", "spread": "spread"}.items())
-    return f"""WITH q AS (SELECT query_id, avg(CAST(loss_hits AS DOUBLE)) AS y, max(d11 - d10) AS margin, max(d1) AS d1, max(d20 - d1) AS spread FROM pl_perq5 GROUP BY query_id)
-      SELECT feature, CAST(count(*) AS BIGINT) AS n, round(corr(x, y), 9) AS pearson FROM ({rows}) AS x_ GROUP BY feature"""
+    rank = lambda t: f"({t}.first_ + {t}.last_) / 2.0E0"
+    return f"""SELECT a.feature, CAST(count(*) AS BIGINT) AS n, round(corr(a.x, a.y), 9) AS pearson, round(corr({rank('a')}, {rank('b')}), 9) AS spearman FROM pl_geometry_x a JOIN pl_geometry_y b ON a.feature = b.feature AND a.query_id = b.query_id GROUP BY a.feature"""
+
+
+@plan("K13 T13", "geometry")
+def geometry_bins(d):
+    """Mean losses by quintile of a feature; edges that coincide are one, and equal values stay together."""
+    edges = ", ".join(f"percentile_cont({k / 5}) WITHIN GROUP (ORDER BY x) AS q{k}" for k in range(1, 5))
+    place = " + ".join(f"CASE WHEN x >= q{k}{f' AND q{k} > q{k - 1}' if k > 1 else ''} AND q{k} > q0 AND q{k} < q5 THEN 1 ELSE 0 END" for k in range(1, 5))
+    return f"""SELECT feature, CAST(bin AS BIGINT) AS bin, CAST(count(*) AS BIGINT) AS n, round(min(x), 9) AS least, round(max(x), 9) AS most, round(avg(y), 9) AS mean_loss, round(stddev_samp(y) / sqrt(count(*)), 9) AS se FROM (
+      SELECT g.feature, x, y, {place} AS bin FROM pl_geometry g JOIN (SELECT feature, min(x) AS q0, max(x) AS q5, {edges} FROM pl_geometry GROUP BY feature) e ON g.feature = e.feature) AS b_ GROUP BY feature, bin"""
+
+
+@plan("K13", "geometry_x", "geometry_y", "harm")
+def geometry_realized(d):
+    """How a feature ranks the mean loss of five models, and how it ranks what each of them loses."""
+    rank = lambda t: f"({t}.first_ + {t}.last_) / 2.0E0"
+    return f"""SELECT a.feature, h.model, round(max(m.rho), 9) AS mean_spearman, round(corr({rank('a')}, {rank('h')}), 9) AS realized_spearman FROM pl_geometry_x a JOIN pl_harm h ON a.query_id = h.query_id
+      JOIN (SELECT a.feature, corr({rank('a')}, {rank('b')}) AS rho FROM pl_geometry_x a JOIN pl_geometry_y b ON a.feature = b.feature AND a.query_id = b.query_id GROUP BY a.feature) m ON a.feature = m.feature GROUP BY a.feature, h.model"""
 
 
 @plan("L1 L2", "nulls")
 def null_draws(d):
-    return "SELECT query_id, condition, draw, loss_hits, displaced FROM pl_nulls"
+    return "SELECT query_id, model, condition, draw, loss_hits, displaced FROM pl_nulls"
 
 
 @plan("L4", "nulls", "loss")
 def null_summary(d):
     q = lambda p: f"round(percentile_cont({p}) WITHIN GROUP (ORDER BY CAST(loss_hits AS DOUBLE)), 9)"
     return f"""SELECT n.query_id, condition, round(avg(CAST(loss_hits AS DOUBLE)), 9) AS mean, round(stddev_samp(CAST(loss_hits AS DOUBLE)), 9) AS sd, {q(0.5)} AS median, {q(0.05)} AS p05, {q(0.95)} AS p95, round(max(loss) - avg(CAST(loss_hits AS DOUBLE)), 9) AS excess
-      FROM pl_nulls n JOIN pl_loss l ON n.query_id = l.query_id GROUP BY n.query_id, condition"""
+      FROM pl_nulls n JOIN pl_loss l ON n.query_id = l.query_id WHERE model = 'coarse' GROUP BY n.query_id, condition"""
 
 
 @plan("L5", "nulls", "loss")
 def empirical_rank(d):
     return f"""SELECT n.query_id, condition, CAST(sum(CASE WHEN loss_hits < loss THEN 1 ELSE 0 END) AS BIGINT) AS below, CAST(sum(CASE WHEN loss_hits = loss THEN 1 ELSE 0 END) AS BIGINT) AS equal, CAST(sum(CASE WHEN loss_hits > loss THEN 1 ELSE 0 END) AS BIGINT) AS above,
       sum(CASE WHEN loss_hits < loss THEN 1 ELSE 0 END) / {DRAWS}.0E0 AS lower, sum(CASE WHEN loss_hits <= loss THEN 1 ELSE 0 END) / {DRAWS}.0E0 AS upper, (sum(CASE WHEN loss_hits < loss THEN 1 ELSE 0 END) + sum(CASE WHEN loss_hits <= loss THEN 1 ELSE 0 END)) / {2 * DRAWS}.0E0 AS middle
-      FROM pl_nulls n JOIN pl_loss l ON n.query_id = l.query_id GROUP BY n.query_id, condition"""
+      FROM pl_nulls n JOIN pl_loss l ON n.query_id = l.query_id WHERE model = 'coarse' GROUP BY n.query_id, condition"""
 
 
-@plan("L6 L8", "nulls", "loss")
+def _closure(n0: str, nj: str, observed: str) -> str:
+    """The share of the gap to the unconditioned null that a condition closes; absent unless that gap is positive."""
+    return f"CASE WHEN {n0} - {observed} > 1e-6 THEN ({n0} - {nj}) / ({n0} - {observed}) END"
+
+
+@plan("L6", "nulls", "perq")
 def gap_closure(d):
-    return """WITH m AS (SELECT condition, draw, avg(CAST(loss_hits AS DOUBLE)) AS x FROM pl_nulls GROUP BY condition, draw), o AS (SELECT avg(CAST(loss AS DOUBLE)) AS obs FROM pl_loss)
-      SELECT a.condition, CAST(count(*) AS BIGINT) AS draws, round(avg(a.x), 9) AS mean, round(min(a.x), 9) AS least, round(max(a.x), 9) AS most, CASE WHEN abs(avg(z.x) - max(obs)) > 1e-6 THEN round((avg(z.x) - avg(a.x)) / (avg(z.x) - max(obs)), 9) + 0.0E0 END AS closure
-      FROM m a JOIN m z ON a.draw = z.draw AND z.condition = 'N0' CROSS JOIN o GROUP BY a.condition"""
+    """By condition and model: the closure of the means, and of every draw."""
+    return f"""WITH m AS (SELECT model, condition, draw, avg(CAST(loss_hits AS DOUBLE)) AS x FROM pl_nulls GROUP BY model, condition, draw), o AS (SELECT model, avg(CAST(loss_hits AS DOUBLE)) AS obs FROM pl_perq GROUP BY model),
+      c AS (SELECT a.model, a.condition, a.x, z.x AS n0, obs, {_closure('z.x', 'a.x', 'obs')} AS closure FROM m a JOIN m z ON a.model = z.model AND a.draw = z.draw AND z.condition = 'N0' JOIN o ON a.model = o.model)
+      SELECT model, condition, CAST(count(*) AS BIGINT) AS draws, round(avg(x), 9) AS mean, round(min(x), 9) AS least, round(max(x), 9) AS most, round({_closure('avg(n0)', 'avg(x)', 'max(obs)')}, 9) + 0.0E0 AS closure,
+        CAST(count(closure) AS BIGINT) AS closed_draws, round(avg(closure), 9) + 0.0E0 AS mean_closure, round(stddev_samp(closure), 9) AS sd_closure FROM c GROUP BY model, condition"""
 
 
-@plan("L7", "nulls", "ranked")
+@plan("L6", "nulls", "perq")
+def draw_closure(d):
+    """The closure of each draw."""
+    return f"""WITH m AS (SELECT model, condition, draw, avg(CAST(loss_hits AS DOUBLE)) AS x FROM pl_nulls GROUP BY model, condition, draw), o AS (SELECT model, avg(CAST(loss_hits AS DOUBLE)) AS obs FROM pl_perq GROUP BY model)
+      SELECT a.model, a.condition, a.draw, round(a.x, 9) AS mean, round({_closure('z.x', 'a.x', 'obs')}, 9) + 0.0E0 AS closure FROM m a JOIN m z ON a.model = z.model AND a.draw = z.draw AND z.condition = 'N0' JOIN o ON a.model = o.model"""
+
+
+@plan("L8", "nulls")
+def null_models(d):
+    """The mean over models of each draw, and how models differ about it."""
+    return """SELECT condition, draw, round(avg(x), 9) AS mean, round(min(x), 9) AS least_model, round(max(x), 9) AS most_model, round(stddev_samp(x), 9) AS sd_models, CAST(count(*) AS BIGINT) AS models FROM (
+      SELECT model, condition, draw, avg(CAST(loss_hits AS DOUBLE)) AS x FROM pl_nulls GROUP BY model, condition, draw) AS m_ GROUP BY condition, draw"""
+
+
+@plan("L7", "shuffled", "ranked")
 def replacement_null(d):
-    return f"""SELECT n.condition, round(avg(CAST(n.displaced AS DOUBLE)), 9) AS shuffled, round(max(o.observed), 9) AS observed FROM pl_nulls n CROSS JOIN (
-      SELECT avg(x) AS observed FROM (SELECT query_id, CAST(sum(CASE WHEN er <= {K} AND sr > {K} THEN 1 ELSE 0 END) AS DOUBLE) AS x FROM pl_ranked WHERE model = 'coarse' GROUP BY query_id) AS y_) o GROUP BY n.condition"""
+    """Displaced members against the intruders that took their places: the difference of their errors, and what draws give the same pair. A pair counts as inverted where the difference is over a positive margin."""
+    q = lambda p: f"round(percentile_cont({p}) WITHIN GROUP (ORDER BY diff), 9)"
+    return f"""WITH p AS (SELECT a.query_id, a.base_id AS displaced, b.base_id AS intruder, b.exact - a.exact AS margin, (a.score - a.exact) - (b.score - b.exact) AS observed
+        FROM (SELECT * FROM pl_ranked WHERE model = 'coarse' AND er <= {K} AND sr > {K}) a JOIN (SELECT * FROM pl_ranked WHERE model = 'coarse' AND er > {K} AND sr <= {K}) b ON a.query_id = b.query_id)
+      SELECT query_id, displaced, intruder, round(max(margin), 9) AS margin, round(max(observed), 9) AS observed, round(max(observed) - max(margin), 9) AS violation, round(avg(diff), 9) AS null_mean, round(stddev_samp(diff), 9) AS null_sd, {q(0.5)} AS null_median, {q(0.05)} AS null_p05, {q(0.95)} AS null_p95,
+        round(avg(CASE WHEN margin > 0 AND diff > margin THEN 1.0E0 ELSE 0.0E0 END), 9) AS null_inverted FROM (
+      SELECT p.*, x.e - y.e AS diff FROM p JOIN pl_shuffled x ON p.query_id = x.query_id AND p.displaced = x.base_id JOIN pl_shuffled y ON x.query_id = y.query_id AND x.draw = y.draw AND p.intruder = y.base_id) AS d_ GROUP BY query_id, displaced, intruder"""
+
+
+@plan("L7", "nulls", "ranked")
+def replacement_counts(d):
+    """Members displaced by draws, against those displaced by the model."""
+    return f"""SELECT n.model, n.condition, round(avg(CAST(n.displaced AS DOUBLE)), 9) AS shuffled, round(max(o.observed), 9) AS observed FROM pl_nulls n JOIN (
+      SELECT model, avg(x) AS observed FROM (SELECT query_id, model, CAST(sum(CASE WHEN er <= {K} AND sr > {K} THEN 1 ELSE 0 END) AS DOUBLE) AS x FROM pl_ranked GROUP BY query_id, model) AS y_ GROUP BY model) o ON n.model = o.model GROUP BY n.model, n.condition"""

@@ -75,11 +75,14 @@ def test_exact_ties_never_invert(spark, two):
 def test_transition_states(spark, two):
     exact = [1, 2, 3, 4, 5]
     scored = _scored(spark, exact, [1, 6, 2, 3, 4]).union(_scored(spark, exact, [4, 2, 1, 5, 6], "fine"))
-    inv = over(spark, RELATIONS["inversions"].body(SPARK), {"ranked": _ranked(spark, scored, _gt(spark, [0, 1]))})
+    made = {"scored": scored, "ranked": _ranked(spark, scored, _gt(spark, [0, 1]))}
+    for name in ("inversions", "perq", "random_pairs", "metrics"):
+        made[name] = over(spark, RELATIONS[name].body(SPARK), made)
     pairs = lambda p: {(i, j) for i in range(2) for j in range(2, 5) if p[i] > p[j]}
     a, b = pairs([1, 6, 2, 3, 4]), pairs([4, 2, 1, 5, 6])
-    got = {r["state"]: r["pairs"] for r in core.run(spark, "inversion_transition", inversions=inv).collect()}
-    assert got == {k: n for k, n in {"corrected": len(a - b), "persistent": len(a & b), "new": len(b - a)}.items() if n}
+    (r,) = core.run(spark, "inversion_transition", inversions=made["inversions"], perq=made["perq"], metrics=made["metrics"]).collect()
+    assert {k: r[f"{k}_pairs"] for k in ("corrected", "persistent", "new")} == {"corrected": len(a - b), "persistent": len(a & b), "new": len(b - a)}
+    assert r["coarse_adds_up"] and r["fine_adds_up"]
 
 
 def test_native_heap():

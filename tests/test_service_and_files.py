@@ -162,21 +162,6 @@ def test_training_is_bounded_and_repeats(spark):
     assert quantizers.train_codebook(base.limit(0), 2, 4, 8).count() == 0
 
 
-def test_ranks_of_a_whole_table(spark):
-    rng = np.random.default_rng(0)
-    rows = [(k, None if k % 11 == 0 else float(rng.choice([0.0, 1.5, -2.0, rng.normal()])), int(rng.integers(0, 5))) for k in range(400)]
-    loss = spark.createDataFrame(rows, "query_id long, x double, w long")
-    got = over(spark, f"SELECT query_id, r_, n_, upto_ FROM {SPARK.ranked('pl_loss', 'x', 'query_id', 'w')} AS t", {"loss": loss}).collect()
-    order = sorted(rows, key=lambda r: (r[1] is None, r[1] or 0.0, r[0]))
-    total, want = 0, set()
-    for place, (q, _, w) in enumerate(order, 1):
-        total += w
-        want.add((q, place, 400, total))
-    assert {tuple(r) for r in got} == want
-    plan = over(spark, f"SELECT * FROM {SPARK.ranked('pl_loss', 'x', 'query_id')} AS t", {"loss": loss})
-    assert plan.count() == 400
-
-
 def test_plans_leave_no_views(spark):
     one, two = (spark.createDataFrame([(k, 1.0 * k)], "query_id long, x double") for k in (1, 2))
     first = over(spark, "SELECT x FROM pl_loss", {"loss": one})
