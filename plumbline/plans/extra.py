@@ -7,8 +7,8 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from ..functions.storage import shared_dir
-from ..operators import graph, knn, quantizers
-from ..sources import records, xvecs
+from ..operators import descent, graph, knn, quantizers
+from ..sources import arrow_ipc, records, xvecs
 from ..streaming import refinement
 from .core import get
 
@@ -119,6 +119,21 @@ def settings(spark, sf_dir):
     return spark.createDataFrame([(k, v, len(records.list_value(v))) for k, v in found.items()], "key string, value string, items long")
 
 
+def descent_graph(spark, sf_dir):
+    """a graph by descent, without all pairs."""
+    edges, _ = descent.build(get(spark, sf_dir, "base"), 16)
+    return edges.select("src", F.col("rk").cast("long").alias("rank"), "dst")
+
+
+def arrow_round_trip(spark, sf_dir):
+    """A4: vectors written as Arrow streams by tasks, and read by ranges of record batches."""
+    folder = shared_dir(spark)
+    rows = get(spark, sf_dir, "vectors").select("vec_id", "label", F.col("e").cast("array<float>").alias("e"))
+    n = arrow_ipc.write_arrow(rows, folder, batch_rows=100)
+    back = arrow_ipc.read_arrow(spark, folder, "e", key="vec_id", dimension=64, rows=n)
+    return back.select(F.col("key").alias("vec_id"), F.size("embedding").cast("long").alias("dim"), F.round(F.aggregate(F.col("embedding").cast("array<double>"), F.lit(0.0), lambda a, x: a + x), 6).alias("total"))
+
+
 def service(spark, sf_dir):
     """Workers by query number, 32 queries deferred at a time, against the scalar path."""
     queries = get(spark, sf_dir, "queries").select("query_id", F.floor(F.col("query_id") / 20).alias("number"))
@@ -147,13 +162,14 @@ def streaming_refinement(spark, sf_dir):
     return spark.read.parquet(f"{root}/out").select("query_id", "rank", "base_id", "refined")
 
 
-QUERIES = {f.__name__: f for f in (beam_search, beam_search_quantized, sharded_beam_search, native_heap, pq_lloyd, gaussian_matrix, seeded_permutations, orthogonal_rotation, index_round_trip, xvec_round_trip, raw_round_trip, packed_round_trip, table_sink, settings, service, csr_round_trip, json_round_trip, streaming_refinement)}
+QUERIES = {f.__name__: f for f in (beam_search, beam_search_quantized, sharded_beam_search, native_heap, pq_lloyd, gaussian_matrix, seeded_permutations, orthogonal_rotation, index_round_trip, xvec_round_trip, raw_round_trip, packed_round_trip, table_sink, settings, service, csr_round_trip, json_round_trip, streaming_refinement, descent_graph, arrow_round_trip)}
 #: SQL where a round trip gives a relation back.
 SQL = {
     "orthogonal_rotation": (("gt",), "SELECT query_id, rk AS rank, base_id, round(d, 6) AS dist FROM pl_gt WHERE rk <= 10"),
     "index_round_trip": (("edges", "codes"), "SELECT src, dst, CAST(rk AS BIGINT) AS rank, CAST(c AS BIGINT) AS code FROM pl_edges JOIN pl_codes ON src = base_id WHERE m = 0"),
     "pq_lloyd": (("codebook",), "SELECT m, c, unnest(range(len(centroid))) AS j, round(unnest(centroid), 9) AS x FROM pl_codebook"),
     "xvec_round_trip": (("vectors",), "SELECT row_number() OVER (ORDER BY vec_id) - 1 AS vec_id, len(e)::BIGINT AS dim, round(list_sum(e), 6) AS total FROM pl_vectors"),
+    "arrow_round_trip": (("vectors",), "SELECT vec_id, len(e)::BIGINT AS dim, round(list_sum(e), 6) AS total FROM pl_vectors"),
     "raw_round_trip": (
         ("vectors",),
         "WITH v AS (SELECT row_number() OVER (ORDER BY vec_id) - 1 AS pos, vec_id::DOUBLE AS i, e[1] AS x, label::DOUBLE AS l FROM pl_vectors) SELECT kind, pos, round(CASE WHEN kind IN ('f32', 'f64') THEN x WHEN kind IN ('i32', 'u8') THEN l ELSE i END, 6) AS value FROM v CROSS JOIN (SELECT unnest(['f32', 'f64', 'i32', 'i64', 'u8', 'u32']) AS kind)",

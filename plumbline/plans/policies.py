@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from .core import plan
+from ..functions.skyline import skyline
+from .core import over, plan
 from .relations import K
 
 
@@ -148,8 +149,15 @@ def worker_imbalance(d):
       SELECT w.policy, round(imbalance, 6) AS imbalance, round(utilization, 6) AS utilization, round(clocks, 6) AS clock_overhead FROM w JOIN c ON w.policy = c.policy"""
 
 
-@plan("Q7 C9", "perq15", "perq9", "perq5")
+_MODELS = f"""SELECT model, sum(score_hits) / (count(*) * {K}.0E0) AS recall, round(-avg(mae), 9) AS cheap FROM (SELECT model, score_hits, mae FROM pl_perq15 UNION ALL SELECT model, score_hits, mae FROM pl_perq9 UNION ALL SELECT model, score_hits, mae FROM pl_perq5) AS u_ GROUP BY model"""
+
+
+def _pareto_frontier(rel):
+    return skyline(over(rel["perq5"].sparkSession, _MODELS, rel), ["recall"], ["cheap"]).selectExpr("model", "round(recall, 9) AS recall", "round(cheap, 9) AS negative_error")
+
+
+@plan("Q7 C9", "perq15", "perq9", "perq5", build=_pareto_frontier)
 def pareto_frontier(d):
-    """Models by recall and compression (a coarser step); those that no other dominates."""
-    return f"""WITH a AS (SELECT model, sum(score_hits) / (count(*) * {K}.0E0) AS recall, round(-avg(mae), 9) AS cheap FROM (SELECT model, score_hits, mae FROM pl_perq15 UNION ALL SELECT model, score_hits, mae FROM pl_perq9 UNION ALL SELECT model, score_hits, mae FROM pl_perq5) AS u_ GROUP BY model)
+    """Models by recall and error; those that no other dominates."""
+    return f"""WITH a AS ({_MODELS})
       SELECT model, round(recall, 9) AS recall, round(cheap, 9) AS negative_error FROM a WHERE NOT EXISTS (SELECT 1 FROM a b WHERE b.recall >= a.recall AND b.cheap <= a.cheap AND (b.recall > a.recall OR b.cheap < a.cheap))"""

@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.ranks import placed
+from ..functions.skyline import skyline
+from ..functions.storage import materialize
 from ..operators import knn
-from .core import SPARK, plan
+from .core import SPARK, over, plan
 from .relations import CODES, DIMS, K, PARTS, POOL, SWEEP, WALK
 
 W = DIMS // PARTS
@@ -261,12 +263,23 @@ def search_sweep(d):
     return f"SELECT width, model, round(avg(native_hits) / {K}.0E0, 9) AS recall, round(avg(oracle_hits) / {K}.0E0, 9) AS oracle_recall, round(avg(evaluated), 9) AS evaluated FROM ({rows}) AS x_ GROUP BY width, model"
 
 
-@plan("Q7 C9", *[f"searched{'' if w == WALK[1] else w}" for w in SWEEP])
+def _points() -> str:
+    rows = " UNION ALL ".join(f"SELECT CAST({w} AS BIGINT) AS width, * FROM pl_searched{'' if w == WALK[1] else w}" for w in SWEEP)
+    return f"SELECT width, model, avg(native_hits) / {K}.0E0 AS recall, avg(evaluated) AS evaluated, max(CASE model WHEN 'exact' THEN {32 * DIMS} WHEN 'fine' THEN {8 * PARTS} ELSE {4 * PARTS} END) AS bits FROM ({rows}) AS x_ GROUP BY width, model"
+
+
+def _search_frontier(rel):
+    points = over(next(iter(rel.values())).sparkSession, _points(), rel)
+    best = skyline(points, ["recall"], ["evaluated", "bits"]).select(F.col("width").alias("w"), F.col("model").alias("m"), F.lit(True).alias("on"))
+    joined = points.join(best, (F.col("width") == F.col("w")) & (F.col("model") == F.col("m")), "left")
+    return joined.select("width", "model", F.round("recall", 9).alias("recall"), F.round("evaluated", 9).alias("evaluated"), F.col("bits").cast("long").alias("bits"), F.coalesce("on", F.lit(False)).alias("on_frontier"))
+
+
+@plan("Q7 C9", *[f"searched{'' if w == WALK[1] else w}" for w in SWEEP], build=_search_frontier)
 def search_frontier(d):
     """Widths and distance sources by recall and by what a search costs: evaluations, and bits of a stored vector; those that no other dominates."""
-    rows = " UNION ALL ".join(f"SELECT CAST({w} AS BIGINT) AS width, * FROM pl_searched{'' if w == WALK[1] else w}" for w in SWEEP)
     better = "b.recall >= a.recall AND b.evaluated <= a.evaluated AND b.bits <= a.bits"
-    return f"""WITH a AS (SELECT width, model, avg(native_hits) / {K}.0E0 AS recall, avg(evaluated) AS evaluated, max(CASE model WHEN 'exact' THEN {32 * DIMS} WHEN 'fine' THEN {8 * PARTS} ELSE {4 * PARTS} END) AS bits FROM ({rows}) AS x_ GROUP BY width, model)
+    return f"""WITH a AS ({_points()})
       SELECT width, model, round(recall, 9) AS recall, round(evaluated, 9) AS evaluated, CAST(bits AS BIGINT) AS bits, NOT EXISTS (SELECT 1 FROM a b WHERE {better} AND (b.recall > a.recall OR b.evaluated < a.evaluated OR b.bits < a.bits)) AS on_frontier FROM a"""
 
 
@@ -356,6 +369,27 @@ def graph_fingerprint(d):
     return f"SELECT {d.sha256(d.names('h', 'bucket'))} AS fingerprint, CAST(sum(n) AS BIGINT) AS edges FROM ({buckets}) AS y_"
 
 
+def _storage_swap(rel):
+    """The edges are hashed before and after; a difference, or a search that met an unknown node, is an error."""
+    spark = rel["edges"].sparkSession
+    stamp = lambda: over(spark, graph_fingerprint(SPARK), {"edges": rel["edges"]}).first()["fingerprint"]
+    before = stamp()
+    found = over(spark, _SWAPPED, rel).withColumn("before", F.lit(before))
+    kept = materialize(found)
+    if stamp() != before:
+        raise ValueError("the graph has changed while it was searched")
+    return kept.select("before", "model", "queries", "evaluated", "unknown", F.lit(True).alias("unchanged"))
+
+
+_SWAPPED = "SELECT w.model, CAST(count(DISTINCT w.query_id) AS BIGINT) AS queries, CAST(count(*) AS BIGINT) AS evaluated, CAST(sum(CASE WHEN n.src IS NULL THEN 1 ELSE 0 END) AS BIGINT) AS unknown FROM pl_walked w LEFT JOIN (SELECT DISTINCT src FROM pl_edges) n ON w.base_id = n.src GROUP BY w.model"
+
+
+@plan("F3", "walked", "edges", build=_storage_swap)
+def storage_swap(d):
+    """One graph, its distance source swapped: vectors, and two models' codes. Its fingerprint stays."""
+    return f"SELECT f.fingerprint AS before, s.*, true AS unchanged FROM ({_SWAPPED}) s CROSS JOIN ({graph_fingerprint(d)}) f"
+
+
 @plan("F8", "pool", "edges", "gt")
 def graph_expansion(d):
     """Coverage of the truth by the first 8 candidates and one or two hops from them."""

@@ -2,18 +2,24 @@
 
 from __future__ import annotations
 
+import contextlib
+import json
 import uuid
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.parquet as pq
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, WriterCommitMessage
 
-from ..functions.storage import materialize
 from .xvecs import _open
 
 #: Packed candidate records, 12 bytes each.
 RECORD = np.dtype([("id", "<i4"), ("exact", "<f4"), ("pq", "<f4")])
+#: Endings of a task's files, and the list of those that a finished job has written.
+RECORDS, INDEX, LIST = ".records", ".index.parquet", "_list.json"
 
 
 def unpack_candidates(files: DataFrame) -> DataFrame:
@@ -30,32 +36,103 @@ def unpack_candidates(files: DataFrame) -> DataFrame:
     return files.mapInPandas(run, "query_id long, pos long, base_id long, exact double, score double")
 
 
+class _Written(WriterCommitMessage):
+    def __init__(self, name: str):
+        self.name = name
+
+
+class _PackedWriter(DataSourceArrowWriter):
+    """A file of records and one of their index a task; a list of the files makes them visible."""
+
+    def __init__(self, path: str):
+        self.path = path
+
+    def write(self, iterator):
+        name, at_byte, out, left = uuid.uuid4().hex, 0, [], None
+        system, at = _open(self.path)
+        system.create_dir(at, recursive=True)
+        try:
+            with system.open_output_stream(f"{at}/{name}{RECORDS}") as file:
+                for batch in iterator:
+                    rows = batch.to_pandas()
+                    if rows[["query_id", "base_id", "exact", "score"]].isna().to_numpy().any():
+                        raise ValueError("a record's value is null or NaN")
+                    rows = rows if left is None else pd.concat([left, rows], ignore_index=True)
+                    last = rows["query_id"].iloc[-1] if len(rows) else None
+                    left = rows[rows["query_id"] == last]  # it may go on in the next batch
+                    for q, part in rows[rows["query_id"] != last].groupby("query_id", sort=True):
+                        out.append((q, name, at_byte, len(part)))
+                        at_byte += file.write(_records(part))
+                if left is not None and len(left):
+                    out.append((left["query_id"].iloc[0], name, at_byte, len(left)))
+                    file.write(_records(left))
+            index = pd.DataFrame(out, columns=["query_id", "file", "byte_offset", "candidate_count"]).astype({"query_id": "int64", "byte_offset": "int64", "candidate_count": "int64"})
+            with system.open_output_stream(f"{at}/{name}{INDEX}") as file:
+                pq.write_table(pa.Table.from_pandas(index, preserve_index=False), file)
+        except BaseException:
+            _remove(system, at, name)
+            raise
+        return _Written(name)
+
+    def commit(self, messages):
+        system, at = _open(self.path)
+        with system.open_output_stream(f"{at}/{LIST}.part") as file:
+            file.write(json.dumps(sorted(m.name for m in messages if m)).encode())
+        system.move(f"{at}/{LIST}.part", f"{at}/{LIST}")
+
+    def abort(self, messages):
+        system, at = _open(self.path)
+        for m in messages:
+            if m:
+                _remove(system, at, m.name)
+
+
+def _remove(system, at: str, name: str) -> None:
+    for ending in (RECORDS, INDEX):
+        with contextlib.suppress(OSError):
+            system.delete_file(f"{at}/{name}{ending}")
+
+
+class PackedSource(DataSource):
+    """``df.write.format("packedrecords").mode("append").save(folder)`` of ``query_id, pos, base_id, exact, score``."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "packedrecords"
+
+    def writer(self, schema, overwrite: bool):
+        if overwrite:
+            raise ValueError("packed records aren't overwritten")
+        return _PackedWriter(self.options["path"])
+
+
 def pack_candidates(pool: DataFrame, folder: str) -> DataFrame:
     """Writes ``pool(query_id, pos, base_id, exact, score)``; its index ``query_id, file, byte_offset, candidate_count``.
 
-    A task writes the queries of its range one after the other into a file of its own.
+    A task writes the queries of its range one after the other into a file of its own,
+    and their index beside it. The job's last act is a list of the files: without it,
+    after a failure, nothing can be read, and what was written is deleted. Records and
+    index stay where they are, and any process reads them by :func:`packed_index`.
     """
+    spark = pool.sparkSession
+    system, at = _open(folder)
+    if system.get_file_info(f"{at}/{LIST}").type.name != "NotFound":
+        raise ValueError(f"{folder} has records")
+    spark.dataSource.register(PackedSource)
+    laid = pool.select(*[F.col(c).cast(t) for c, t in (("query_id", "long"), ("pos", "long"), ("base_id", "long"), ("exact", "double"), ("score", "double"))]).repartition("query_id").sortWithinPartitions("query_id", "pos")
+    laid.write.format("packedrecords").mode("append").save(folder)
+    return packed_index(spark, folder)
 
-    def run(batches):
-        name, at_byte, out, left = uuid.uuid4().hex, 0, [], None
-        system, at = _open(folder)
-        with system.open_output_stream(f"{at}/{name}") as file:
-            for rows in batches:
-                rows = rows if left is None else pd.concat([left, rows], ignore_index=True)
-                last = rows["query_id"].iloc[-1] if len(rows) else None
-                left = rows[rows["query_id"] == last]  # it may go on in the next batch
-                for q, part in rows[rows["query_id"] != last].groupby("query_id", sort=True):
-                    out.append((q, name, at_byte, len(part)))
-                    at_byte += file.write(_records(part))
-            if left is not None and len(left):
-                out.append((left["query_id"].iloc[0], name, at_byte, len(left)))
-                file.write(_records(left))
-        yield pd.DataFrame(out, columns=["query_id", "file", "byte_offset", "candidate_count"])
 
+def packed_index(spark: SparkSession, folder: str) -> DataFrame:
+    """The index of a folder of packed records; an error where no job has ended."""
     system, at = _open(folder)
-    system.create_dir(at, recursive=True)
-    laid = pool.select("query_id", "pos", "base_id", "exact", "score").repartition("query_id").sortWithinPartitions("query_id", "pos")
-    return materialize(laid.mapInPandas(run, "query_id long, file string, byte_offset long, candidate_count long"))
+    with system.open_input_file(f"{at}/{LIST}") as file:
+        names = json.loads(file.read())
+    schema = "query_id long, file string, byte_offset long, candidate_count long"
+    if not names:
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(*[f"{folder.rstrip('/')}/{n}{INDEX}" for n in names])
 
 
 def _records(rows: pd.DataFrame) -> bytes:
@@ -71,7 +148,7 @@ def scan_candidates(index: DataFrame, folder: str) -> DataFrame:
         system, at = _open(folder)
         for rows in batches:
             for name, part in rows.groupby("file"):
-                with system.open_input_file(f"{at}/{name}") as file:
+                with system.open_input_file(f"{at}/{name}{RECORDS}") as file:
                     yield pd.DataFrame({"query_id": part["query_id"], "content": [file.read_at(int(n) * RECORD.itemsize, int(a)) for a, n in zip(part["byte_offset"], part["candidate_count"], strict=True)]})
 
     return unpack_candidates(index.mapInPandas(run, "query_id long, content binary"))

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from plumbline.functions import storage
 from plumbline.operators import graph, knn, quantizers
-from plumbline.plans.core import SPARK, over
+from plumbline.plans.core import over
 from plumbline.sources import records, xvecs
 from plumbline.streaming import refinement
 
