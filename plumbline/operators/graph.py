@@ -123,61 +123,127 @@ class Graph:
         return (q, r + 1, final[q, r]), (who[real], upper[real], what[real])
 
 
-def walk(queries: DataFrame, base: DataFrame, edges: DataFrame, coded: DataFrame, luts: DataFrame, sources: list[str], limit: int, width: int, degree: int, entries: int) -> DataFrame:
-    """``query_id, model, base_id, exact, dist``: all that searches of one graph evaluate.
+EVALUATED = "query_id long, model string, base_id long, dist double, step int"
 
-    Every query starts at the ``entries`` base vectors with the least MD5 of their
-    ids. A round expands those of its ``width`` best that aren't yet (their first
-    ``degree`` edges). A search ends when all of them are: whatever is still open is
-    farther than the worst one held. Ended searches take no further part; none has
-    more than ``limit`` rounds.
 
-    ``sources`` are the distances by which the same graph is walked: ``exact``, or a
-    model of ``coded(base_id, model, codes)``. Under a model a round joins codes and
-    the query's lookup table (``luts``), never vectors. What a round evaluates is
-    appended to a folder; exact distances of all follow at the end. A query's own row
-    takes no part.
-    """
-    spark, folder = queries.sparkSession, shared_dir(queries.sparkSession)
-    key = F.md5(F.concat_ws(":", F.lit("13"), F.col("base_id").cast("string")))
-    first = [r[0] for r in base.select("base_id", key.alias("k")).orderBy("k", "base_id").limit(entries).collect()]
-    near = edges.filter(F.col("rk") <= degree).select("src", "dst")
-    schema = "query_id long, model string, base_id long, dist double"
+def _evaluator(queries: DataFrame, base: DataFrame, coded: DataFrame, luts: DataFrame):
+    """Rows ``query_id, model, base_id`` with distances: by vectors, or by codes and the query's lookup table."""
     # a sum from left to right of what the table has for each code
     part = F.transform("codes", lambda c, m: F.element_at("lut", (m * (F.size("lut") / F.size("codes")) + c + 1).cast("int")))
     by_code = F.aggregate(part, F.lit(0.0), lambda a, x: a + x)
 
-    def evaluated(rows: DataFrame) -> DataFrame:
+    def evaluated(rows: DataFrame, step: int) -> DataFrame:
         rows = rows.filter("query_id <> base_id")
         exact = rows.filter("model = 'exact'").join(base.select("base_id", "be"), "base_id").join(queries.select("query_id", "qe"), "query_id")
         exact = exact.select("query_id", "model", "base_id", V.squared_l2(F.col("qe"), F.col("be")).alias("dist"))
         quick = rows.filter("model <> 'exact'").join(coded, ["base_id", "model"]).join(luts, "query_id").withColumn("lut", F.element_at("luts", F.col("model")))
-        return exact.unionByName(quick.select("query_id", "model", "base_id", by_code.alias("dist")))
+        return exact.unionByName(quick.select("query_id", "model", "base_id", by_code.alias("dist"))).withColumn("step", F.lit(step))
 
-    def written(rows: DataFrame, k: int) -> DataFrame:
-        rows.write.option("compression", "zstd").parquet(f"{folder}/{k:04d}")
-        return spark.read.schema(schema).parquet(f"{folder}/{k:04d}")
+    return evaluated
 
-    asked = queries.select("query_id", F.explode(F.array(*[F.lit(s) for s in sources])).alias("model"))
-    new = written(evaluated(asked.withColumn("base_id", F.explode(F.array(*[F.lit(x).cast("long") for x in first])))), 0)
-    held, rounds = new.withColumn("open", F.lit(True)), 0
-    best = Window.partitionBy("query_id", "model").orderBy("dist", "base_id")
-    while rounds < limit:
+
+class _Steps:
+    """Evaluations, a written table a step."""
+
+    def __init__(self, spark):
+        self.spark, self.folder, self.n = spark, shared_dir(spark), 0
+
+    def add(self, rows: DataFrame) -> DataFrame:
+        path = f"{self.folder}/{self.n:04d}"
+        rows.select("query_id", "model", "base_id", "dist", "step").write.option("compression", "zstd").parquet(path)
+        self.n += 1
+        return self.spark.read.schema(EVALUATED).parquet(path)
+
+    def all(self) -> DataFrame:
+        return self.spark.read.schema(EVALUATED).parquet(*[f"{self.folder}/{k:04d}" for k in range(self.n)])
+
+
+def least_hashed(base: DataFrame, seed: int, n: int) -> list[int]:
+    """The ``n`` ids with the least MD5."""
+    key = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("base_id").cast("string")))
+    return [r[0] for r in base.select("base_id", key.alias("k")).orderBy("k", "base_id").limit(n).collect()]
+
+
+def _walked(evaluated, start: DataFrame, edges: DataFrame, limit: int, width: int, degree: int) -> DataFrame:
+    near, steps = edges.filter(F.col("rk") <= degree).select("src", "dst"), _Steps(start.sparkSession)
+    held = steps.add(evaluated(start, 0)).withColumn("open", F.lit(True))
+    best, step = Window.partitionBy("query_id", "model").orderBy("dist", "base_id"), 0
+    while step < limit:
         beam = materialize(held.withColumn("r", F.row_number().over(best)).filter(F.col("r") <= width).drop("r"))
         opened = beam.filter("open")
         if opened.isEmpty():
             break
-        rounds += 1
+        step += 1
         reached = opened.join(near, F.col("base_id") == F.col("src")).select("query_id", "model", F.col("dst").alias("base_id")).distinct()
-        seen = spark.read.schema(schema).parquet(*[f"{folder}/{k:04d}" for k in range(rounds)]).select("query_id", "model", "base_id")
-        new = written(evaluated(reached.join(seen, ["query_id", "model", "base_id"], "left_anti")), rounds)
+        seen = steps.all().select("query_id", "model", "base_id")
+        new = steps.add(evaluated(reached.join(seen, ["query_id", "model", "base_id"], "left_anti"), step))
         still = opened.select("query_id", "model").distinct()  # a search without open vectors has ended
         held = beam.join(still, ["query_id", "model"], "left_semi").withColumn("open", F.lit(False)).unionByName(new.withColumn("open", F.lit(True)))
-    found = spark.read.schema(schema).parquet(*[f"{folder}/{k:04d}" for k in range(rounds + 1)])
+    return steps.all()
+
+
+def walk(queries: DataFrame, base: DataFrame, edges: DataFrame, coded: DataFrame, luts: DataFrame, sources: list[str], limit: int, width: int, degree: int, entries: int) -> DataFrame:
+    """``query_id, model, base_id, exact, dist``: all that searches of one graph evaluate.
+
+    Every query starts at the ``entries`` base vectors with the least MD5 of their
+    ids. A round expands those of its ``width`` best that aren't yet (their first
+    ``degree`` edges). A search ends when all of them are: whatever is still open is
+    farther than the worst one held. Ended searches take no further part; none has
+    more than ``limit`` rounds.
+
+    ``sources`` are the distances by which the same graph is walked: ``exact``, or a
+    model of ``coded(base_id, model, codes)``. Under a model a round joins codes and
+    the query's lookup table (``luts``), never vectors. What a round evaluates is
+    written by itself; exact distances of all follow at the end. A query's own row
+    takes no part.
+    """
+    first = F.array(*[F.lit(x).cast("long") for x in least_hashed(base, 13, entries)])
+    asked = queries.select("query_id", F.explode(F.array(*[F.lit(s) for s in sources])).alias("model"))
+    found = _walked(_evaluator(queries, base, coded, luts), asked.withColumn("base_id", F.explode(first)), edges, limit, width, degree)
     whole = found.join(base.select("base_id", "be"), "base_id").join(queries.select("query_id", "qe"), "query_id")
     return whole.select("query_id", "model", "base_id", V.squared_l2(F.col("qe"), F.col("be")).alias("exact"), "dist")
 
 
+def upper_level(base: DataFrame, degree: int = 8) -> DataFrame:
+    """``src, dst, rk`` among a hashed sixteenth of the vectors: those whose MD5 begins with a 0."""
+    key = F.md5(F.concat_ws(":", F.lit("5"), F.col("base_id").cast("string")))
+    return knn_graph(base.filter(key.startswith("0")), degree)
+
+
+def level_search(queries: DataFrame, base: DataFrame, edges: DataFrame, upper: DataFrame, coded: DataFrame, luts: DataFrame, sources: list[str], moves: int, limit: int, width: int, degree: int) -> DataFrame:
+    """``query_id, model, phase, step, base_id, dist``: what a search of two levels evaluates, each vector once a phase, with the step of its first evaluation.
+
+    On the upper level a search goes from the vector with the least MD5 (that isn't the
+    query's own) to the nearest linked one as long as that is nearer, ``moves`` times at
+    most. Where it ends, the beam of :func:`walk` begins on the whole graph; that vector
+    is evaluated again there. Searches that can't move take no further part.
+    """
+    spark, evaluated = queries.sparkSession, _evaluator(queries, base, coded, luts)
+    first = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(x).cast("long").alias("base_id")) for k, x in enumerate(least_hashed(base, 5, 2))])
+    begin = queries.select("query_id", F.inline(first)).filter("query_id <> base_id").groupBy("query_id").agg(F.min_by("base_id", "k").alias("base_id"))
+    asked = queries.select("query_id", F.explode(F.array(*[F.lit(s) for s in sources])).alias("model"))
+    steps = _Steps(spark)
+    at = steps.add(evaluated(asked.join(begin, "query_id"), 0)).drop("step")
+    moving, ended = at, []
+    for step in range(1, moves + 1):
+        near = moving.join(upper, F.col("base_id") == F.col("src")).select("query_id", "model", F.col("dst").alias("base_id"))
+        found = steps.add(evaluated(near, step))
+        best = found.groupBy("query_id", "model").agg(F.min(F.struct("dist", "base_id")).alias("next"))
+        both = materialize(moving.join(best, ["query_id", "model"], "left"))
+        nearer = F.coalesce(F.col("next.dist") < F.col("dist"), F.lit(False))
+        ended.append(both.filter(~nearer).select("query_id", "model", "base_id"))
+        moving = both.filter(nearer).select("query_id", "model", F.col("next.base_id").alias("base_id"), F.col("next.dist").alias("dist"))
+        if moving.isEmpty():
+            break
+    start = moving.select("query_id", "model", "base_id")
+    for rows in ended:
+        start = start.unionByName(rows)
+    start = materialize(start)
+    once = lambda rows, phase: rows.groupBy("query_id", "model", "base_id").agg(F.min("step").alias("step"), F.first("dist").alias("dist")).withColumn("phase", F.lit(phase))
+    below = _walked(evaluated, start, edges, limit, width, degree)
+    return once(steps.all(), "upper").unionByName(once(below, "level0")).select("query_id", "model", "phase", F.col("step").cast("long").alias("step"), "base_id", "dist")
+
+
 def native_heap(ids: list[int], scores: list[float], k: int) -> list[int]:
     """A new item enters only if strictly closer than the worst, which (distance, id) names."""
     held: list[tuple[float, int]] = []

@@ -234,6 +234,40 @@ for _width in SWEEP:
     _searches("" if _width == WALK[1] else str(_width), WALK[0], _width, *WALK[2:])
 
 
+#: Moves on the upper level, at most, and its links a node.
+MOVES, LINKS = 8, 8
+
+
+@relation("upper", "base", build=lambda spark, sf_dir, rel: graph.upper_level(rel("base"), LINKS), keep=True)
+def upper(d):
+    nodes = f"(SELECT base_id, be FROM pl_base WHERE starts_with({d.hash_order(chr(39) + '5' + chr(39), 'base_id')}, '0'))"
+    return f"SELECT src, dst, rk FROM (SELECT a.base_id AS src, b.base_id AS dst, row_number() OVER (PARTITION BY a.base_id ORDER BY {d.l2('a.be', 'b.be')}, b.base_id) AS rk FROM {nodes} a JOIN {nodes} b ON a.base_id <> b.base_id) WHERE rk <= {LINKS}"
+
+
+@relation("recorded", "queries", "base", "edges", "upper", "stored", "tables", build=lambda spark, sf_dir, rel: graph.level_search(rel("queries"), rel("base"), rel("edges"), rel("upper"), rel("stored"), rel("tables"), list(SOURCES), MOVES, *WALK[:3]), keep=True)
+def recorded(d):
+    """What searches of two levels evaluate, with the step of each vector's first evaluation in a phase."""
+    names = ", ".join(f"('{m}')" for m in SOURCES)
+    limit, width, degree, _ = WALK
+    dist = f"CASE WHEN x.model = 'exact' THEN {d.l2('qe', 'be')} ELSE {_by_codes()} END"
+    scored = lambda rows: f"""SELECT x.query_id, x.model, x.base_id, {dist} AS dist FROM ({rows}) x JOIN pl_queries q ON x.query_id = q.query_id JOIN pl_base b ON x.base_id = b.base_id
+      LEFT JOIN pl_stored s ON x.base_id = s.base_id AND x.model = s.model LEFT JOIN pl_tables l ON x.query_id = l.query_id AND x.model = l.model WHERE x.query_id <> x.base_id"""
+    first = f"SELECT base_id, row_number() OVER (ORDER BY {d.hash_order(chr(39) + '5' + chr(39), 'base_id')}, base_id) AS k FROM pl_base"
+    steps = [f"o0 AS MATERIALIZED ({scored(f'SELECT query_id, model, arg_min(base_id, k) AS base_id FROM pl_queries CROSS JOIN (VALUES {names}) AS s_(model) CROSS JOIN (SELECT * FROM ({first}) WHERE k <= 2) AS f_ WHERE query_id <> base_id GROUP BY query_id, model')})", "u0 AS (SELECT *, 0 AS step FROM o0)"]
+    for k in range(MOVES):
+        steps.append(f"u{k + 1} AS MATERIALIZED (SELECT *, {k + 1} AS step FROM ({scored(f'SELECT o.query_id, o.model, e.dst AS base_id FROM o{k} o JOIN pl_upper e ON o.base_id = e.src')}))")
+        steps.append(f"""o{k + 1} AS MATERIALIZED (SELECT o.query_id, o.model, CASE WHEN n.dist < o.dist THEN n.base_id ELSE o.base_id END AS base_id, CASE WHEN n.dist < o.dist THEN n.dist ELSE o.dist END AS dist
+          FROM o{k} o LEFT JOIN (SELECT query_id, model, min(dist) AS dist, arg_min(base_id, (dist, base_id)) AS base_id FROM u{k + 1} GROUP BY query_id, model) n ON o.query_id = n.query_id AND o.model = n.model)""")
+    steps.append(f"v0 AS MATERIALIZED (SELECT *, 0 AS step FROM ({scored(f'SELECT query_id, model, base_id FROM o{MOVES}')}))")
+    for k in range(limit):
+        beam = f"SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id, model ORDER BY dist, base_id) AS r FROM v{k}) WHERE r <= {width}"
+        new = f"SELECT DISTINCT m.query_id, m.model, e.dst AS base_id FROM ({beam}) m JOIN pl_edges e ON m.base_id = e.src WHERE e.rk <= {degree} AND NOT EXISTS (SELECT 1 FROM v{k} o WHERE o.query_id = m.query_id AND o.model = m.model AND o.base_id = e.dst)"
+        steps.append(f"v{k + 1} AS MATERIALIZED (SELECT * FROM v{k} UNION ALL SELECT *, {k + 1} AS step FROM ({scored(new)}))")
+    uppers = " UNION ALL ".join(f"SELECT * FROM u{k}" for k in range(MOVES + 1))
+    once = lambda rows, phase: f"SELECT query_id, model, '{phase}' AS phase, CAST(min(step) AS BIGINT) AS step, base_id, min(dist) AS dist FROM ({rows}) GROUP BY query_id, model, base_id"
+    return f"WITH {', '.join(steps)} {once(uppers, 'upper')} UNION ALL {once(f'SELECT * FROM v{limit}', 'level0')}"
+
+
 @relation("decomposed", "searched")
 def decomposed(d):
     """The losses of a search over rounded vectors against the exact search of the same graph."""

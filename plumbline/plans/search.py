@@ -390,6 +390,22 @@ def storage_swap(d):
     return f"SELECT f.fingerprint AS before, s.*, true AS unchanged FROM ({_SWAPPED}) s CROSS JOIN ({graph_fingerprint(d)}) f"
 
 
+@plan("F4 F6", "recorded")
+def evaluation_record(d):
+    """Every vector that a search of two levels evaluates, once a phase, with the step of its first evaluation."""
+    return "SELECT query_id, model, phase, step, base_id, round(dist, 9) AS dist FROM pl_recorded"
+
+
+@plan("F4 F5 F7", "recorded", "gt")
+def phase_split(d):
+    """Evaluations on the whole graph, and those on the upper level only; where the descent ended; and the truth that the beam's results and evaluations hold."""
+    n = lambda x: f"CAST(sum(CASE WHEN {x} THEN 1 ELSE 0 END) AS BIGINT)"
+    return f"""SELECT query_id, model, {n("phase = 'upper'")} AS upper, {n("phase = 'upper' AND below = 0")} AS upper_only, {n("phase = 'level0'")} AS level0, max(CASE WHEN phase = 'level0' AND step = 0 THEN base_id END) AS entry, max(CASE WHEN phase = 'upper' THEN step END) AS moves, max(CASE WHEN phase = 'level0' THEN step END) AS rounds,
+      {n(f"phase = 'level0' AND place <= {K} AND true_")} AS native_hits, {n("phase = 'level0' AND true_")} AS pool_hits FROM (
+      SELECT r.*, g.base_id IS NOT NULL AS true_, sum(CASE WHEN phase = 'level0' THEN 1 ELSE 0 END) OVER (PARTITION BY r.query_id, model, r.base_id) AS below, row_number() OVER (PARTITION BY r.query_id, model, phase ORDER BY dist, r.base_id) AS place
+      FROM pl_recorded r LEFT JOIN (SELECT query_id, base_id FROM pl_gt WHERE rk <= {K}) g ON r.query_id = g.query_id AND r.base_id = g.base_id) AS x_ GROUP BY query_id, model"""
+
+
 @plan("F8", "pool", "edges", "gt")
 def graph_expansion(d):
     """Coverage of the truth by the first 8 candidates and one or two hops from them."""
