@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from ..functions.sketches import UNITS
 from .core import plan
 from .relations import K
 
@@ -211,9 +212,20 @@ def equal_count_groups(d):
 
 @plan("J7", "loss")
 def threshold_sweep(d):
-    cuts = " UNION ALL ".join(f"SELECT {k / 10}E0 AS q, percentile_cont({k / 10}) WITHIN GROUP (ORDER BY margin) AS cut FROM pl_loss" for k in range(1, 10))
-    return f"""SELECT q, direction, CAST(count(*) AS BIGINT) AS n, round(avg(CAST(loss AS DOUBLE)), 9) AS mean_loss FROM ({cuts}) AS c_ CROSS JOIN (SELECT 'le' AS direction UNION ALL SELECT 'ge') AS d_
-      JOIN pl_loss l ON (direction = 'le' AND margin <= cut) OR (direction = 'ge' AND margin >= cut) GROUP BY q, direction"""
+    """Losses on either side of nine deciles of the margin, which one pass finds."""
+    cuts = ", ".join(f"percentile_cont({k / 10}) WITHIN GROUP (ORDER BY margin) AS c{k}" for k in range(1, 10))
+    picked = " ".join(f"WHEN {k} THEN c{k}" for k in range(1, 10))
+    return f"""SELECT q, direction, CAST(count(*) AS BIGINT) AS n, round(avg(CAST(loss AS DOUBLE)), 9) AS mean_loss FROM (SELECT k / 10.0E0 AS q, CASE k {picked} END AS cut FROM (SELECT {cuts} FROM pl_loss) AS e_ CROSS JOIN {d.series(1, 9, 'k')} AS k_) AS c_
+      CROSS JOIN (SELECT 'le' AS direction UNION ALL SELECT 'ge') AS d_ JOIN pl_loss l ON (direction = 'le' AND margin <= cut) OR (direction = 'ge' AND margin >= cut) GROUP BY q, direction"""
+
+
+@plan("I1 I16", "error_sketch")
+def sketched_statistics(d):
+    """Quantiles of errors by model and class and all marginals, from one pass's sketches; a quantile is at most a sixty-fourth below."""
+    q = lambda p: f"min(CASE WHEN upto >= ceil({p} * total) THEN step END) / {UNITS}.0E0 AS p{round(100 * p)}"
+    return f"""WITH u AS (SELECT coalesce(model, 'all') AS model, coalesce(class, 'all') AS class, step, sum(n) AS n FROM pl_error_sketch GROUP BY GROUPING SETS ((model, class, step), (model, step), (class, step), (step))),
+      r AS (SELECT *, sum(n) OVER (PARTITION BY model, class ORDER BY step) AS upto, sum(n) OVER (PARTITION BY model, class) AS total FROM u)
+      SELECT model, class, CAST(max(total) AS BIGINT) AS n, {', '.join(q(p) for p in (0.25, 0.5, 0.75, 0.9, 0.95, 0.99))} FROM r GROUP BY model, class"""
 
 
 @plan("B11", "perq")

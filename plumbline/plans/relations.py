@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import sketches
 from ..functions.ranks import placed
 from ..functions.storage import materialize
 from ..operators import graph, knn, quantizers
@@ -276,6 +277,13 @@ def decomposed(d):
       p.oracle_tie AS boundary_tie, p.tie16, p.oracle_hits = p.pool_hits OR p.oracle_tie AS explained FROM pl_searched p JOIN pl_searched e ON p.query_id = e.query_id AND e.model = 'exact' WHERE p.model <> 'exact'"""
 
 
+@relation("error_sketch", "perq", build=lambda spark, sf_dir, rel: sketches.sketch(rel("perq"), "mae", ["model", "class"]), keep=True)
+def error_sketch(d):
+    """Errors of the finest groups as counts by step of their leading bits."""
+    cut = f"greatest(length(bin(v)) - {sketches.BITS}, 0)"
+    return f"SELECT model, class, (v >> {cut}) << {cut} AS step, count(*) AS n FROM (SELECT model, class, CAST(floor(mae * {sketches.UNITS}) AS BIGINT) AS v FROM pl_perq) GROUP BY ALL"
+
+
 @relation("loss", "perq")
 def loss(d):
     """The coarse model's loss a query, in hits."""
@@ -316,6 +324,14 @@ _placed("geometry_y", "geometry", "y", group=("feature",))
 _placed("harm", "perq5", "loss_hits", group=("model",))
 
 
+@relation("inversion_counts", "perq5", "inversions5")
+def inversion_counts(d):
+    return "SELECT p.query_id, p.model, p.loss_hits, coalesce(i.n, 0) AS inversions FROM pl_perq5 p LEFT JOIN (SELECT query_id, model, CAST(count(*) AS BIGINT) AS n FROM pl_inversions5 GROUP BY query_id, model) i ON p.query_id = i.query_id AND p.model = i.model"
+
+
+_placed("by_inversions", "inversion_counts", "inversions", group=("model",))
+
+
 @relation("random_pairs", "scored", keep=True)
 def random_pairs(d):
     """512 different pairs of pool places a query: the k-th is a bijection of k keyed by the query, so none is drawn, sorted or looked up."""

@@ -91,7 +91,7 @@ def mixtures(d):
     """sqrt(1 - rho) of a query and sqrt(rho * d) of its label's first base vector."""
     body = d.zip2("qe", "be", f"sqrt(1 - rho) * x + sqrt(rho * {DIMS}) * y")
     return f"""SELECT query_id, rho, round(sqrt({d.dot('v', 'v')}), 9) AS norm, round({d.at('v', 1)}, 9) AS first FROM (
-      SELECT query_id, rho, {body} AS v FROM pl_queries q JOIN (SELECT b_label, be FROM (SELECT *, row_number() OVER (PARTITION BY b_label ORDER BY base_id) AS r FROM pl_base) AS r_ WHERE r = 1) AS c_
+      SELECT query_id, rho, {body} AS v FROM pl_queries q JOIN (SELECT b_label, min_by(be, base_id) AS be FROM pl_base GROUP BY b_label) AS c_
       ON q.q_label = c_.b_label CROSS JOIN (SELECT 0.0E0 AS rho UNION ALL SELECT 0.3E0 UNION ALL SELECT 0.9E0) AS h_) AS x_"""
 
 

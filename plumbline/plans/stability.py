@@ -30,13 +30,12 @@ def loss_attribution(d):
       SELECT s.query_id, s.model, pair_class, round(s.loss, 9) AS loss, abs(sum(s.loss) OVER (PARTITION BY s.query_id, s.model) - q.loss_hits / {K}.0E0) <= 1e-10 AS adds_up FROM s JOIN pl_perq5 q ON s.query_id = q.query_id AND s.model = q.model"""
 
 
-@plan("K4 C8 K12", "perq5", "inversions5")
+@plan("K4 C8 K12", "harm", "by_inversions", "inversions5")
 def model_pairs(d):
     """Pairs of models: harmful queries shared, expected and by Jaccard; correlation of losses and of inversion counts by average ranks; inversions shared."""
     share = lambda a, b: f"CASE WHEN sum(CASE WHEN {a} OR {b} THEN 1 ELSE 0 END) > 0 THEN round(sum(CASE WHEN {a} AND {b} THEN 1 ELSE 0 END) / CAST(sum(CASE WHEN {a} OR {b} THEN 1 ELSE 0 END) AS DOUBLE), 9) END"
-    rank = lambda c: f"rank() OVER (PARTITION BY model ORDER BY {c}) + (count(*) OVER (PARTITION BY model, {c}) - 1) / 2.0E0"
-    return f"""WITH c AS (SELECT p.query_id, p.model, p.loss_hits, coalesce(i.n, 0) AS inversions FROM pl_perq5 p LEFT JOIN (SELECT query_id, model, count(*) AS n FROM pl_inversions5 GROUP BY query_id, model) i ON p.query_id = i.query_id AND p.model = i.model),
-      r AS (SELECT *, {rank('loss_hits')} AS rl, {rank('inversions')} AS ri FROM c), n AS (SELECT model, sum(inversions) AS n FROM c GROUP BY model),
+    rank = lambda t: f"({t}.first_ + {t}.last_) / 2.0E0"
+    return f"""WITH r AS (SELECT h.query_id, h.model, h.loss_hits, i.inversions, {rank('h')} AS rl, {rank('i')} AS ri FROM pl_harm h JOIN pl_by_inversions i ON h.query_id = i.query_id AND h.model = i.model), n AS (SELECT model, sum(inversions) AS n FROM r GROUP BY model),
       s AS (SELECT a.model AS first, b.model AS second, count(*) AS shared FROM pl_inversions5 a JOIN pl_inversions5 b ON a.query_id = b.query_id AND a.inside_id = b.inside_id AND a.outside_id = b.outside_id WHERE a.model < b.model GROUP BY a.model, b.model),
       x AS (SELECT a.model AS first, b.model AS second, CAST(sum(CASE WHEN a.loss_hits > 0 AND b.loss_hits > 0 THEN 1 ELSE 0 END) AS BIGINT) AS both, {share('a.loss_hits > 0', 'b.loss_hits > 0')} AS jaccard,
         round(avg(CASE WHEN a.loss_hits > 0 THEN 1.0E0 ELSE 0.0E0 END) * avg(CASE WHEN b.loss_hits > 0 THEN 1.0E0 ELSE 0.0E0 END) * count(*), 9) AS expected_both,
