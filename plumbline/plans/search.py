@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions.ranks import placed
 from ..functions.skyline import skyline
 from ..functions.storage import materialize
-from ..operators import knn
+from ..operators import balls, knn
 from .core import SPARK, over, plan
 from .relations import CODES, DIMS, K, PARTS, POOL, SWEEP, WALK
 
@@ -19,6 +19,17 @@ def exact_knn(d):
     return f"SELECT query_id, CAST(rk AS BIGINT) AS rank, base_id, round(d, 9) AS dist FROM pl_gt WHERE rk <= {K}"
 
 
+def _pruned_knn(rel):
+    found, _ = balls.pruned_top_k(rel["queries"], rel["base"], K, same=True)
+    return found.select("query_id", F.col("rk").cast("long").alias("rank"), "base_id", F.round("d", 9).alias("dist"))
+
+
+@plan("E1 C4", "queries", "base", build=_pruned_knn)
+def pruned_knn(d):
+    """The same by balls and the triangle inequality: a query goes only to blocks that can hold one of its neighbours."""
+    return f"SELECT query_id, CAST(r AS BIGINT) AS rank, base_id, round(dist, 9) AS dist FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY dist, base_id) AS r FROM (SELECT query_id, base_id, {d.l2('qe', 'be')} AS dist FROM pl_queries JOIN pl_base ON query_id <> base_id) AS p_) AS x_ WHERE r <= {K}"
+
+
 @plan("A2 J8", "gt")
 def first_neighbors(d):
     return f"SELECT query_id, {d.names('base_id', 'rk')} AS ids FROM pl_gt WHERE rk <= 5 GROUP BY query_id"
