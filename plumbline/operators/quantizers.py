@@ -115,15 +115,18 @@ def fit(rows: DataFrame, models: list[Model], start: dict[str, np.ndarray], roun
 
     Tasks assign their rows and send on sums by cell; only the means (models * codes *
     dimensions numbers) come back. Means are kept to four decimals, so they don't
-    depend on the order of a sum; an empty cell keeps its centroid.
+    depend on the order of a sum; an empty cell keeps its centroid. Once a round changes
+    none, further ones wouldn't either.
     """
     books = {name: book.copy() for name, book in start.items()}
     for _ in range(rounds):
         cells = rows.mapInPandas(_cells(models, books), "model string, m int, c int, j int, total double, n long")
         means = cells.groupBy("model", "m", "c", "j").agg(F.round(F.sum("total") / F.sum("n"), 4).alias("x")).toPandas()
+        before, books = books, {name: book.copy() for name, book in books.items()}
         for name, part in means.groupby("model"):
-            books[name] = books[name].copy()
             books[name][part["m"], part["c"], part["j"]] = part["x"]
+        if all((books[name] == before[name]).all() for name in books):
+            break
     return books
 
 
