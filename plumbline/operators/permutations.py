@@ -111,3 +111,26 @@ def counted(ranked: DataFrame, top: int, edges: dict[str, tuple[int, ...] | None
     """
     return _gathered(ranked).mapInArrow(_counted(top, edges, draws), "query_id long, model string, condition string, draw long, loss_hits long, displaced long")
 
+
+def _moved(top: int, draws: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            query, ids, errors = [], [], []
+            for q, _, c in _groups(batch):
+                crossed = np.flatnonzero((c["er"] <= top) != (c["sr"] <= top))
+                if len(crossed):
+                    error = c["score"] - c["exact"]
+                    query.append(np.full(draws * len(crossed), q))
+                    ids.append(np.tile(c["base_id"][crossed], draws))
+                    errors.append(error[hash_orders(q, c["base_id"], draws)[:, crossed]].ravel())
+            if query:
+                draw = [np.repeat(np.arange(draws), len(i) // draws) for i in ids]
+                columns = [pa.array(np.concatenate(x).astype(t)) for x, t in ((query, np.int64), (draw, np.int64), (ids, np.int64), (errors, np.float64))]
+                yield pa.RecordBatch.from_arrays(columns, names=["query_id", "draw", "base_id", "e"])
+
+    return run
+
+
+def moved(ranked: DataFrame, top: int, draws: int) -> DataFrame:
+    """``query_id, draw, base_id, e``: what unconditioned draws give the candidates that scores take across the boundary."""
+    return _gathered(ranked).mapInArrow(_moved(top, draws), "query_id long, draw long, base_id long, e double")

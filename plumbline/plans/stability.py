@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .core import plan
+from .core import SPARK, over, plan
 from .relations import DRAWS, K
 
 
@@ -177,7 +177,12 @@ def null_models(d):
       SELECT model, condition, draw, avg(CAST(loss_hits AS DOUBLE)) AS x FROM pl_nulls GROUP BY model, condition, draw) AS m_ GROUP BY condition, draw"""
 
 
-@plan("L7", "shuffled", "ranked")
+def _replacement_null(rel):
+    """The text as it is; draws are many small rows, whose files are so small that Spark would send them to the driver to broadcast them."""
+    return over(rel["ranked"].sparkSession, replacement_null(SPARK), rel | {"shuffled": rel["shuffled"].hint("merge")})
+
+
+@plan("L7", "shuffled", "ranked", build=_replacement_null)
 def replacement_null(d):
     """Displaced members against the intruders that took their places: the difference of their errors, and what draws give the same pair. A pair counts as inverted where the difference is over a positive margin."""
     q = lambda p: f"round(percentile_cont({p}) WITHIN GROUP (ORDER BY diff), 9)"

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 
 from plumbline.operators import permutations
-from plumbline.plans import relations
+from plumbline.plans import core, relations
 from plumbline.plans.core import RELATIONS, SPARK, over
 
 RANKED = "query_id long, model string, pos long, base_id long, exact double, score double, er long, sr long, in_gt long"
@@ -38,6 +38,24 @@ def test_draws_without_a_row_a_candidate(spark, ranked, monkeypatch):
     assert RELATIONS["nulls"].build(spark, None, lambda _: ranked.limit(0)).count() == 0
 
 
+def test_errors_of_displaced_and_intruders(spark, ranked, monkeypatch):
+    monkeypatch.setattr(relations, "DRAWS", 4)
+    coarse = ranked.filter("model = 'coarse'")
+    got, want = same(spark, "shuffled", ranked, ["query_id", "draw", "base_id", "e"])
+    crossed = {(r["query_id"], r["base_id"]) for r in coarse.collect() if (r["er"] <= relations.K) != (r["sr"] <= relations.K)}
+    assert crossed and got == [r for r in want if (r[0], r[2]) in crossed]
+    whole = core.over(spark, RELATIONS["shuffled"].body(SPARK), {"ranked": ranked})
+    run = lambda shuffled: sorted(map(tuple, core.run(spark, "replacement_null", shuffled=shuffled, ranked=ranked).collect()))
+    assert run(RELATIONS["shuffled"].build(spark, None, lambda _: ranked)) == run(whole) != []
+
+
+def test_pairs_are_never_broadcast(spark, ranked, monkeypatch):
+    monkeypatch.setattr(relations, "DRAWS", 4)
+    shuffled = RELATIONS["shuffled"].build(spark, None, lambda _: ranked)
+    plan = core.run(spark, "replacement_null", shuffled=shuffled, ranked=ranked)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("strategy=merge") == 2
+
+
 def test_equal_leading_halves_of_hashes(monkeypatch):
     class Fixed:
         def __init__(self, x):
