@@ -180,6 +180,14 @@ def test_overhead_against_the_native_policy(spark):
     assert {(r["speedup"], r["efficiency"]) for r in core.run(spark, "scaling", latency=latency).collect() if r["workers"] == 2} == {(2.0, 1.0)}
 
 
+def test_scaling_has_overhead_and_tail(spark):
+    """Two workers take 110 instead of 100 on average, and their slowest query 200 instead of 100."""
+    rows = [("a", w, 0, k, 100.0 if w == 1 else 200.0 if k == 9 else 100.0) for w in (1, 2) for k in range(10)]
+    latency = spark.createDataFrame(rows, "policy string, workers long, rep long, query_id long, us double")
+    got = {r["workers"]: r for r in core.run(spark, "scaling", latency=latency).collect()}
+    assert (got[2]["overhead"], got[2]["p99_ratio"]) == (0.1, 1.91) and (got[1]["overhead"], got[1]["p99_ratio"]) == (0.0, 1.0)
+
+
 def test_service_gates(spark):
     us = {"a native": 100.0, "b bounded": 104.0, "c full": 110.0, "d bounded all": 106.0, "e full all": 120.0}
     latency = spark.createDataFrame([(p, 1, 0, 0, x) for p, x in us.items()], "policy string, workers long, rep long, query_id long, us double")
