@@ -253,15 +253,29 @@ def near_duplicates(docs: DataFrame, width: int = SHINGLE) -> DataFrame:
 def drop_near_duplicates(docs: DataFrame, width: int = SHINGLE, similarity: float | None = None) -> DataFrame:
     """The row of ``docs`` with the smallest id of each component.
 
-    Rows are linked by their fingerprints, or, with a ``similarity``, by that of
-    their sets of shingles: what is 0.8 alike is too far apart for fingerprints
-    (see ``near_copies``).
+    Rows are linked by their fingerprints. With a ``similarity`` they are also linked
+    by that of their sets of ``width``-word shingles: what is 0.8 alike is too far apart
+    for fingerprints (see ``near_copies``). A component is what both together link.
     """
     if similarity is None:
         return keep_first(docs, marked(docs, width))
     from . import near_copies
 
-    return keep_first(docs, near_copies.marked(docs, similarity, width))
+    return keep_first(docs, joined(near_copies.marked(docs, similarity, width), marked(docs)))
+
+
+def joined(marks: DataFrame, others: DataFrame) -> DataFrame:
+    """``doc_id, row, part`` of components that links of ``marks`` and those of ``others`` make together.
+
+    Parts of ``marks`` that share one of ``others`` are one, and so on; a part of any
+    number of rows is one node.
+    """
+    marks = materialize(marks.select("doc_id", "row", "part"))
+    by_row = others.groupBy("row").agg(F.min("part").alias("other"))
+    pairs = materialize(marks.select("row", "part").distinct().join(by_row, "row").select("part", "other").distinct())
+    least = pairs.groupBy("other").agg(F.min("part").alias("least"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("other", "least")
+    links = pairs.join(least, "other").filter("part <> least").select(F.col("part").alias("u"), F.col("least").alias("v"))
+    return marks.join(components(links), F.col("part") == F.col("node"), "left").select("doc_id", "row", F.coalesce("root", "part").alias("part"))
 
 
 def keep_first(docs: DataFrame, marks: DataFrame) -> DataFrame:

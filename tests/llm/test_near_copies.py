@@ -3,7 +3,7 @@
 import random
 
 import corpus_pipeline
-from plumbline.llm import near_copies
+from plumbline.llm import near_copies, simhash
 
 from . import data
 
@@ -79,3 +79,16 @@ def test_awkward_rows(spark):
     ids = [r["doc_id"] for r in kept.filter("doc_id IS NOT NULL").select("doc_id").collect()]
     assert len(ids) == len(set(ids)) and {1, 2, 8} <= set(ids) and not {3, 4, 5, 9} & set(ids)
     assert near_copies.drop_near_copies(data.table(spark, [])).count() == 0
+
+
+def test_fingerprints_link_in_the_pipeline(spark):
+    """Repeating a text's middle changes its set of shingles, but hardly their counts by bit; a third text is 0.8 like the second only."""
+    first = " ".join(["a b c d e f g h i j"] * 30)
+    second = f"{first} " + " ".join(f"w{k}" for k in range(12))
+    third = f"{second} end"
+    rows = [(5, first), (3, second), (4, third), (6, " ".join(f"x{k}" for k in range(40)))]
+    assert jaccard(first, second) < 0.8 <= jaccard(second, third)
+    prints = [simhash.fingerprint(t) for _, t in rows]
+    assert (prints[0] ^ prints[1]).bit_count() <= simhash.DISTANCE
+    docs = spark.createDataFrame([*rows, (7, None), (8, "")], "doc_id long, text string")
+    assert {r["doc_id"] for r in corpus_pipeline.drop_near_copies(spark, docs, "").collect()} == {3, 6, 7}
