@@ -382,3 +382,12 @@ def test_site_templates(spark, rows):
         else:
             assert r["text"] == "" and r["n_chars"] == 0
     assert html_text.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
+def test_rare_symbols_cost_what_the_model_says():
+    """Backing off three times from contexts that leave 1e-6 to what wasn't seen: far below 1e-12, and no less."""
+    n, one = ngram_quality.SYMBOLS, lambda x, t: np.array([x], dtype=t)
+    lower = [(one(0, int), one(1 - 1e-6, float), np.arange(n ** (k - 1)), np.full(n ** (k - 1), 1e-6)) for k in (1, 2, 3)]
+    costs = ngram_quality.Costs(lower, [(np.arange(n**3), np.full(n**3, 1e-6), one(0, int), one(1 - 1e-6, float))])
+    assert costs[one(5, int)][0] == pytest.approx(-np.log(1e-24 / n), rel=1e-6)
+    assert costs[one(0, int)][0] == pytest.approx(1e-6, rel=0.1)
