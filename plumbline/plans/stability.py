@@ -193,7 +193,13 @@ def replacement_null(d):
       SELECT p.*, x.e - y.e AS diff FROM p JOIN pl_shuffled x ON p.query_id = x.query_id AND p.displaced = x.base_id JOIN pl_shuffled y ON x.query_id = y.query_id AND x.draw = y.draw AND p.intruder = y.base_id) AS d_ GROUP BY query_id, displaced, intruder"""
 
 
-@plan("L7", "nulls", "ranked")
+def _replacement_counts(rel):
+    """Draws are averaged before the join: their files are so small that Spark would broadcast their rows."""
+    draws = "SELECT model, condition, avg(CAST(displaced AS DOUBLE)) AS displaced FROM pl_nulls GROUP BY model, condition"
+    return over(rel["nulls"].sparkSession, replacement_counts(SPARK).replace("FROM pl_nulls n", f"FROM ({draws}) n"), rel)
+
+
+@plan("L7", "nulls", "ranked", build=_replacement_counts)
 def replacement_counts(d):
     """Members displaced by draws, against those displaced by the model."""
     return f"""SELECT n.model, n.condition, round(avg(CAST(n.displaced AS DOUBLE)), 9) AS shuffled, round(max(o.observed), 9) AS observed FROM pl_nulls n JOIN (

@@ -72,3 +72,11 @@ def test_equal_leading_halves_of_hashes(monkeypatch):
 def test_bins(n, want):
     assert permutations.bins(n, None).tolist() == want
     assert permutations.bins(n, (1, 2)).tolist() == [0, 1, *[2] * (n - 2)]
+
+
+def test_draws_are_averaged_before_the_join(spark, ranked, monkeypatch):
+    monkeypatch.setattr(relations, "DRAWS", 4)
+    nulls = RELATIONS["nulls"].build(spark, None, lambda _: ranked)
+    found = core.run(spark, "replacement_counts", nulls=nulls, ranked=ranked)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Join") < plan.index("avg(cast(displaced")
