@@ -20,10 +20,12 @@ from pyspark.sql import functions as F
 
 from ..functions.storage import materialize
 from .graph import least_hashed
-from .knn import BLOCK, _best, others, rough_squared_distances
+from .knn import BATCH, BLOCK, _best, others, rough_squared_distances
 
 #: Centres, at most: with their radii they are a parameter of the tasks.
 CENTRES = 4096
+#: Rows that a task sends on at a time.
+SENT = 8192
 
 
 class Visited(NamedTuple):
@@ -33,17 +35,31 @@ class Visited(NamedTuple):
     of: int
 
 
+def _some(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """At most ``BATCH`` rows at a time: a row meets all centres."""
+    for rows in batches:
+        for a in range(0, len(rows), BATCH):
+            yield rows.iloc[a : a + BATCH]
+
+
 def _distances(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum(rough_squared_distances(x, centres), 0.0))
 
 
+def _sent(rows: pd.DataFrame, q: np.ndarray, ball: np.ndarray) -> Iterator[pd.DataFrame]:
+    """Rows for balls, ``SENT`` at a time: each carries its vector."""
+    ids, vectors = rows["id"].to_numpy(), rows["vector"].to_numpy()
+    for a in range(0, len(q), SENT):
+        at = q[a : a + SENT]
+        yield pd.DataFrame({"id": ids[at], "vector": vectors[at], "ball": ball[a : a + SENT]})
+
+
 def _dealt(centres: np.ndarray):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for rows in batches:
-            if len(rows):
-                d = _distances(np.stack(rows["vector"].to_numpy()), centres)
-                ball = d.argmin(axis=1)
-                yield pd.DataFrame({"ball": ball, "far": d[np.arange(len(ball)), ball], "id": rows["id"], "vector": rows["vector"]})
+        for rows in _some(batches):
+            d = _distances(np.stack(rows["vector"].to_numpy()), centres)
+            ball = d.argmin(axis=1)
+            yield pd.DataFrame({"ball": ball, "far": d[np.arange(len(ball)), ball], "id": rows["id"], "vector": rows["vector"]})
 
     return run
 
@@ -52,12 +68,11 @@ def _first(centres: np.ndarray, sizes: np.ndarray, k: int):
     """The nearest balls that hold ``k`` vectors together."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for rows in batches:
-            if len(rows):
-                order = _distances(np.stack(rows["vector"].to_numpy()), centres).argsort(axis=1, kind="stable")
-                held = sizes[order].cumsum(axis=1)
-                q, at = np.nonzero((held - sizes[order] < k) & (sizes[order] > 0))
-                yield pd.DataFrame({"id": rows["id"].to_numpy()[q], "vector": rows["vector"].to_numpy()[q], "ball": order[q, at]})
+        for rows in _some(batches):
+            order = _distances(np.stack(rows["vector"].to_numpy()), centres).argsort(axis=1, kind="stable")
+            held = sizes[order].cumsum(axis=1)
+            q, at = np.nonzero((held - sizes[order] < k) & (sizes[order] > 0))
+            yield from _sent(rows, q, order[q, at])
 
     return run
 
@@ -66,17 +81,16 @@ def _rest(centres: np.ndarray, radii: np.ndarray, sizes: np.ndarray, k: int):
     """Balls that weren't visited first and that the bound doesn't exclude."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for rows in batches:
-            if len(rows):
-                d = _distances(np.stack(rows["vector"].to_numpy()), centres)
-                order = d.argsort(axis=1, kind="stable")
-                held = sizes[order].cumsum(axis=1)
-                seen = np.zeros(d.shape, dtype=bool)
-                np.put_along_axis(seen, order, held - sizes[order] < k, axis=1)
-                bound = np.sqrt(rows["bound"].to_numpy())[:, None]
-                slack = 1e-6 * (1 + d + bound + radii[None])  # roots of rounded sums
-                q, ball = np.nonzero(~seen & (d - radii[None] <= bound + slack) & (sizes[None] > 0))
-                yield pd.DataFrame({"id": rows["id"].to_numpy()[q], "vector": rows["vector"].to_numpy()[q], "ball": ball})
+        for rows in _some(batches):
+            d = _distances(np.stack(rows["vector"].to_numpy()), centres)
+            order = d.argsort(axis=1, kind="stable")
+            held = sizes[order].cumsum(axis=1)
+            seen = np.zeros(d.shape, dtype=bool)
+            np.put_along_axis(seen, order, held - sizes[order] < k, axis=1)
+            bound = np.sqrt(rows["bound"].to_numpy())[:, None]
+            slack = 1e-6 * (1 + d + bound + radii[None])  # roots of rounded sums
+            q, ball = np.nonzero(~seen & (d - radii[None] <= bound + slack) & (sizes[None] > 0))
+            yield from _sent(rows, q, ball)
 
     return run
 

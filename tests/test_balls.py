@@ -32,3 +32,16 @@ def test_small_tables(spark):
     assert [r["base_id"] for r in sorted(got.collect(), key=lambda r: r["rk"])] == [0, 1, 2] and visited == (3, 3)
     assert balls.pruned_top_k(queries, base.limit(0), 5)[0].count() == 0
     assert balls.pruned_top_k(queries.limit(0), base, 5)[0].count() == 0
+
+
+def test_no_batch_meets_all_centres_at_once(monkeypatch):
+    """A large batch is measured a few rows at a time, and what it sends comes in pieces."""
+    import pandas as pd
+
+    met, rough = [], balls.rough_squared_distances
+    monkeypatch.setattr(balls, "rough_squared_distances", lambda x, c: met.append(len(x)) or rough(x, c))
+    rng = np.random.default_rng(1)
+    x, centres = rng.standard_normal((3000, 4)), rng.standard_normal((50, 4))
+    rows, sizes, far = pd.DataFrame({"id": np.arange(3000), "vector": list(x), "bound": 100.0}), np.full(50, 9), np.full(50, 9.0)
+    sent = [list(run(iter([rows]))) for run in (balls._dealt(centres), balls._first(centres, sizes, 20), balls._rest(centres, far, sizes, 20))]
+    assert max(met) <= 256 and [sum(map(len, out)) for out in sent] == [3000, 3 * 3000, 47 * 3000] and max(len(o) for out in sent for o in out) <= 8192
