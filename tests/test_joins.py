@@ -1,6 +1,7 @@
 """Tables that grow with the input never go through the driver, and codes of several models stay apart."""
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from plumbline.operators import graph, quantizers
 
@@ -49,3 +50,18 @@ def test_walks_merge_and_measure_a_pair_once(spark):
     assert len(keys) == len(set(keys)) and {m for _, m, _ in keys} == set(SOURCES)
     assert {(q, b) for q, m, b in keys if m == "b"} - {(q, b) for q, m, b in keys if m == "exact"}
     assert all(r["exact"] == r["dist"] for r in rows if r["model"] == "exact")
+
+
+def test_no_vector_is_sent_for_a_pair_that_only_models_came_to(spark, monkeypatch):
+    """Such pairs are measured by blocks; vectors of FLOAT components are sent as such, others aren't rounded."""
+    models, seen, whole = [quantizers.Model("b", 2)], [], graph.measured
+    monkeypatch.setattr(graph, "measured", lambda pairs, queries, base: seen.append(dict(base.dtypes)["be"]) or whole(pairs, queries, base))
+    monkeypatch.setattr(graph, "MEASURED", 10)
+    x, books, base, queries, coded = tables(spark, models)
+    edges, luts = graph.knn_graph(base, 4), quantizers.lookup_tables(queries, models, books)
+    for move in (0.0, 1e-12):
+        moved = base.withColumn("be", F.transform("be", lambda v: v + move))
+        for r in graph.walk(queries, moved, edges, coded, luts, SOURCES, 2, 4, 4, 3).collect():
+            d = x[r["query_id"]] - (x[r["base_id"]] + move)
+            assert r["exact"] == (d * d).cumsum()[-1]
+    assert seen == ["array<float>", "array<double>"]
