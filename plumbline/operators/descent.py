@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from ..functions.ranks import placed
 from ..functions.storage import materialize
+from .graph import _narrow
 
 #: Directions by which lists are begun, and vectors of a leaf.
 DIRECTIONS, LEAF = 4, 64
@@ -127,7 +128,7 @@ def build(base: DataFrame, degree: int, limit: int = 15, least_change: float = 0
     It ends when a round changes less than ``least_change`` of all places on lists.
     Fewer than ``degree`` vectors give shorter lists; one vector has none.
     """
-    vectors = materialize(base.select(F.col("base_id").alias("id"), F.col("be").cast("array<double>").alias("vector")))
+    vectors = materialize(_narrow(base.select(F.col("base_id").alias("id"), F.col("be").cast("array<double>").alias("vector")), "vector"))
     first, n = vectors.select(F.size("vector")).first(), vectors.count()
     if first is None:
         return base.sparkSession.createDataFrame([], "src long, dst long, rk int"), Report(0, 0, [], [])
@@ -142,8 +143,9 @@ def build(base: DataFrame, degree: int, limit: int = 15, least_change: float = 0
         back = lists.select(F.col("dst").alias("v"), F.col("src").alias("id"), "fresh")
         some = Window.partitionBy("v").orderBy(F.desc("fresh"), F.xxhash64("v", "id", F.lit(len(changes))))
         back = back.withColumn("r", F.row_number().over(some)).filter(F.col("r") <= degree).drop("r")
-        members = lists.select(F.col("src").alias("v"), F.col("dst").alias("id"), "fresh").unionByName(back).groupBy("v", "id").agg(F.max("fresh").alias("fresh"))
-        members = materialize(members)
+        members = lists.select(F.col("src").alias("v"), F.col("dst").alias("id"), "fresh").unionByName(back).repartition("v").groupBy("v", "id").agg(F.max("fresh").alias("fresh"))
+        # where nobody is new nothing is measured, so no vectors are sent there
+        members = materialize(members.withColumn("any", F.max("fresh").over(Window.partitionBy("v"))).filter("any").drop("any"))
         sizes = members.groupBy("v").agg(F.count(F.lit(1)).alias("n"), F.sum((~F.col("fresh")).cast("long")).alias("old"))
         pairs.append(int(sizes.agg(F.sum((F.col("n") * (F.col("n") - 1) - F.col("old") * (F.col("old") - 1)) / 2)).first()[0] or 0))
         worst = lists.groupBy(F.col("src").alias("id")).agg(F.when(F.count(F.lit(1)) < degree, F.lit(float("inf"))).otherwise(F.max("d")).alias("worst"))

@@ -64,3 +64,15 @@ def test_skyline_of_a_million(spark):
     assert not sky.dominated(best, best).any() and 20 < len(best) < 500
     rest = sample[~sample["id"].isin(found["id"])][["x", "y", "z"]].to_numpy()
     assert sky.dominated(rest, best).all()
+
+
+def test_vectors_go_to_groups_with_newcomers_only(spark, monkeypatch):
+    kept, whole = [], descent.materialize
+    monkeypatch.setattr(descent, "materialize", lambda df: kept.append(whole(df)) or kept[-1])
+    x = np.random.default_rng(6).standard_normal((150, 4)).astype(np.float32).astype(float)
+    base = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "base_id long, be array<double>")
+    descent.build(base, 4, limit=4)
+    assert dict(kept[0].dtypes)["vector"] == "array<float>"
+    members = [df.toPandas() for df in kept if df.columns == ["v", "id", "fresh"]]
+    assert len(members) > 1 and all(m.groupby("v")["fresh"].any().all() for m in members)
+    assert members[-1]["v"].nunique() < 150
