@@ -24,3 +24,30 @@ def test_pairs_measured_at_a_time():
     got = pd.concat(knn._best(3, ["q", "b", "d"], distances)(iter(given)))
     assert max(sizes) <= 1 << 19  # 256 queries met all 8192 vectors before
     assert len(got) == 900 and (got.groupby("q")["b"].first().to_numpy() == np.arange(300)).all()
+
+
+def test_codes_are_searched_by_large_blocks(spark, monkeypatch):
+    rng = np.random.default_rng(2)
+    n, k = 700, 9
+    codes, book, asked = rng.integers(0, 3, (n, 4)), rng.standard_normal((4, 3, 2)), rng.standard_normal((40, 8))
+    coded = spark.createDataFrame([(i, m, int(codes[i, m])) for i in range(n) for m in range(4)], "base_id long, m long, c long")
+    books = spark.createDataFrame([(m, c, book[m, c].tolist()) for m in range(4) for c in range(3)], "m long, c long, centroid array<double>")
+    queries = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(asked)], "query_id long, qe array<double>")
+    calls, search = [], knn.blocked_top_k
+    monkeypatch.setattr(quantizers, "blocked_top_k", lambda *a: calls.append(a[5:]) or search(*a))
+    want = []
+    for i, q in enumerate(asked):
+        d = np.zeros(n)
+        for m in range(4):
+            lut = np.zeros(3)
+            for j in range(2):
+                lut += (q[2 * m + j] - book[m, :, j]) ** 2
+            d += lut[codes[:, m]]
+        want += [(i, int(b), d[b], r + 1) for r, b in enumerate(np.lexsort((np.arange(n), d))[:k])]
+    for block, tasks in ((32_768, 48), (300, 7)):  # one task, and several that share blocks
+        monkeypatch.setattr(quantizers, "CODED", block, raising=False)
+        monkeypatch.setattr(quantizers, "TASKS", tasks, raising=False)
+        monkeypatch.setattr(quantizers, "BLOCK", 100, raising=False)
+        got = quantizers.adc_top_k(queries, coded, books, k).select("query_id", "base_id", "adc", "rk").collect()
+        assert sorted(map(tuple, got)) == sorted(want)
+    assert calls == [(32_768, 7), (300, 2)]  # 8192 vectors a block before, each of which sent k rows a query
