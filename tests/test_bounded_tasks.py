@@ -51,3 +51,25 @@ def test_codes_are_searched_by_large_blocks(spark, monkeypatch):
         got = quantizers.adc_top_k(queries, coded, books, k).select("query_id", "base_id", "adc", "rk").collect()
         assert sorted(map(tuple, got)) == sorted(want)
     assert calls == [(32_768, 7), (300, 2)]  # 8192 vectors a block before, each of which sent k rows a query
+
+
+def test_batches_of_models_are_small(spark):
+    models = [quantizers.Model("a", 2), quantizers.Model("b", 4, turn=1), quantizers.Model("c", 2, turn=1)]
+    x = np.random.default_rng(3).standard_normal((5000, 4))
+    books = {m.name: x[:12].reshape(12, m.parts, -1).transpose(1, 0, 2) for m in models}
+    base = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "base_id long, be array<double>").coalesce(1)
+    spark.conf.set(KEY, str(64 << 20))
+    coded = quantizers.encode_models(base, models, books)
+    assert int(spark.conf.get(KEY)) <= 2 << 20
+    got = {(r["base_id"], r["model"]): r["codes"] for r in coded.collect()}
+    assert len(got) == 15_000
+    for i in (0, 2047, 2048, 4999):
+        for m in models:
+            own = quantizers.turned(x[i : i + 1], m.turn).reshape(m.parts, -1)
+            assert got[i, m.name] == [int(((books[m.name][p] - own[p]) ** 2).sum(axis=1).argmin()) for p in range(m.parts)]
+    spark.conf.set(KEY, str(64 << 20))
+    pool = spark.createDataFrame([(0, 0, 5, 1.0)], "query_id long, pos long, base_id long, adc double")
+    queries = base.filter("base_id = 0").toDF("query_id", "qe")
+    scored = quantizers.score_pool(pool, queries, base, coded, models, books)
+    assert int(spark.conf.get(KEY)) <= 2 << 20
+    assert {r["model"] for r in scored.collect()} == {"a", "b", "c"}
