@@ -1,5 +1,7 @@
 """What a task holds at a time doesn't depend on the numbers of queries, vectors and models."""
 
+import re
+
 import numpy as np
 import pandas as pd
 
@@ -73,3 +75,32 @@ def test_batches_of_models_are_small(spark):
     scored = quantizers.score_pool(pool, queries, base, coded, models, books)
     assert int(spark.conf.get(KEY)) <= 2 << 20
     assert {r["model"] for r in scored.collect()} == {"a", "b", "c"}
+
+
+def test_blocks_are_searched_by_tiles():
+    """Single precision chooses from tiles, exact sums rank; where it can't tell vectors apart, double precision chooses as before."""
+    rng, k = np.random.default_rng(4), 9
+    plain = rng.standard_normal((5000, 16))
+    for base, single in ((plain, True), (plain[rng.integers(0, 300, 5000)], True), (np.round(plain), None), (plain + 1e4, False), (plain[:5], False)):
+        asked, ids = base[:: max(1, len(base) // 100)] + 0.0, rng.permutation(len(base))
+        d = np.zeros((len(asked), len(base)))
+        for j in range(16):
+            d += (asked[:, j, None] - base[None, :, j]) ** 2
+        want = [(q, ids[b], d[q, b]) for q in range(len(asked)) for b in np.lexsort((ids, d[q]))[:k]]
+        block = knn._Block(ids, base)
+        assert single is None or (block._roughly(k, asked) is not None) == single
+        assert [row for rows in block.nearest(k, np.arange(len(asked)), asked) for row in zip(*rows, strict=True)] == want
+
+
+def test_tasks_share_blocks_by_queries_and_base(spark, monkeypatch):
+    """A base that asks for itself sends either side to a few tasks only; each query met a block of 8192 vectors a task before."""
+    monkeypatch.setattr(knn, "WORTH", 20)
+    x = np.random.default_rng(5).standard_normal((400, 4))
+    base = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "id long, vector array<double>")
+    for queries in (base, base.filter("id % 40 = 0")):
+        found = knn.blocked_top_k(queries, base, 3, ("q", "b", "d"))
+        laid = [int(n) for n in re.findall(r"RepartitionByExpression .*?, (\d+)", found._jdf.queryExecution().optimizedPlan().toString())]
+        assert len(laid) == 1 and 12 <= laid[0] <= 60
+        got = sorted((r["q"], r["rk"], r["b"]) for r in found.collect())
+        want = [(q, r + 1, int(b)) for q in range(0, 400, 400 // queries.count()) for r, b in enumerate(((x - x[q]) ** 2).sum(axis=1).argsort(kind="stable")[:3])]
+        assert got == want
